@@ -12,7 +12,7 @@ before the shuffle, so a case holding a third of all evidence needs no large win
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import dims
@@ -20,6 +20,12 @@ from attestry.dims import DEFAULT_RISK, RiskConfig
 from attestry.operators.ranking import first_row, ordinal, top_rows
 
 GROUP = ["case_id", "category", "correlation_group"]
+DIGITS = 8  # absorbs the order in which doubles were summed
+
+
+def rounded(column: Column, digits: int) -> Column:
+    """Half-up rounding that treats 5.0149999999999997 as the 5.015 it stands for."""
+    return F.round(F.round(column, DIGITS), digits)
 
 
 def case_when(pairs, otherwise=None) -> Column:
@@ -131,14 +137,13 @@ def case_rollup(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataF
 
 
 def _capped(category: str, cap: float) -> Column:
-    # six digits absorb the order in which doubles were summed
-    return F.least(F.round(_raw(category), 6), F.lit(cap))
+    return F.least(F.round(_raw(category), DIGITS), F.lit(cap))
 
 
 def total_score(config: RiskConfig = DEFAULT_RISK) -> Column:
     """Half-even rounded sum of the capped categories, at most 100."""
     total = sum((_capped(c, cap) for c, cap in config.caps.items()), F.lit(0.0))
-    return F.least(F.bround(F.round(total, 6), 0), F.lit(100.0)).cast("int")
+    return F.least(F.bround(F.round(total, DIGITS), 0), F.lit(100.0)).cast("int")
 
 
 def risk_level(score: Column, config: RiskConfig = DEFAULT_RISK) -> Column:
@@ -182,7 +187,7 @@ def category_breakdown(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -
         *[
             F.struct(
                 F.lit(c).alias("category"),
-                F.round(_raw(c), 6).alias("raw"),
+                F.round(_raw(c), DIGITS).alias("raw"),
                 _capped(c, cap).alias("capped"),
                 F.lit(cap).alias("maximum"),
             )
@@ -195,7 +200,7 @@ def category_breakdown(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -
         F.round("raw", 4).alias("raw_contribution"),
         F.round("capped", 2).alias("contribution"),
         "maximum",
-        F.round(F.col("capped") / F.col("maximum") * 100, 1).alias("percentage_of_max"),
+        rounded(F.col("capped") / F.col("maximum") * 100, 1).alias("percentage_of_max"),
     )
 
 
@@ -256,10 +261,11 @@ def _category_position() -> Column:
     return case_when([(F.col("category") == c, F.lit(i)) for i, c in enumerate(dims.CATEGORY_CAPS)], F.lit(99))
 
 
-CONTRIBUTION_ORDER = [
-    F.desc("effect"), F.asc("_category"), F.asc("_ungrouped"), F.asc("_group_start"), F.desc("_strength"),
-    F.asc("item_seq"),
-]
+def contribution_order() -> list[Column]:
+    return [
+        F.desc("effect"), F.asc("_category"), F.asc("_ungrouped"), F.asc("_group_start"), F.desc("_strength"),
+        F.asc("item_seq"),
+    ]
 
 
 def _with_order(items: DataFrame, starts: DataFrame) -> DataFrame:
@@ -308,9 +314,9 @@ def top_contributors(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, k:
     )
     rest = tail.unionByName(single).drop("rank").withColumn("effect", F.col("tail_effect"))
     candidates = lead.unionByName(rest).filter(F.col("effect") > 0)
-    ranked = top_rows(_with_order(candidates, _group_starts(items)), ["case_id"], CONTRIBUTION_ORDER, k, "position")
+    ranked = top_rows(_with_order(candidates, _group_starts(items)), ["case_id"], contribution_order(), k, "position")
     return ranked.select(
-        "case_id", "position", "item_seq", "module", "signal", "severity", F.round("effect", 4).alias("contribution")
+        "case_id", "position", "item_seq", "module", "signal", "severity", rounded(F.col("effect"), 4).alias("contribution")
     )
 
 
@@ -320,14 +326,14 @@ def risk_reasons(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, hot_row
     rows = effects(items, config).filter((F.col("effect") > 0) & (F.col("severity") != "NONE"))
     rows = _with_order(rows, _group_starts(items))
     rows = ordinal(
-        rows, ["case_id"], CONTRIBUTION_ORDER, "position", hot_rows, evidence.select("case_id")
+        rows, ["case_id"], contribution_order(), "position", hot_rows, evidence.select("case_id")
     )
     number = F.lpad(
         F.col("position").cast("string"), F.greatest(F.length(F.col("position").cast("string")), F.lit(3)), F.lit("0")
     )
     return rows.select(
         "case_id", F.concat_ws("-", F.lit("R"), "module", number).alias("reason_id"), "position", "module", "signal",
-        "severity", F.round("confidence", 3).alias("confidence"), F.round("effect", 4).alias("contribution"),
+        "severity", F.round("confidence", 3).alias("confidence"), rounded(F.col("effect"), 4).alias("contribution"),
     )
 
 
