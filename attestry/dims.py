@@ -202,3 +202,151 @@ DEFAULT_RISK = RiskConfig()
 def points_frame(spark: SparkSession) -> DataFrame:
     rows = [(signal, severity, points) for signal, _, severity, points in signal_points()]
     return spark.createDataFrame(rows, "signal string, severity string, points double")
+
+# ---------------------------------------------------------------------------------------
+# Identity vocabularies
+
+# Accepted spellings of each document type, after trimming and lower-casing.
+TYPE_ALIASES = {
+    "passport": "passport", "visa": "visa",
+    "drivinglicense": "driving_license", "driving_license": "driving_license",
+    "aadhaar": "aadhaar", "aadhaarcard": "aadhaar", "uid": "aadhaar",
+    "voter_id": "voter_id", "voterid": "voter_id", "epic": "voter_id", "voter": "voter_id",
+    "pan_card": "pan_card", "pancard": "pan_card", "pan": "pan_card",
+    "borderpermit": "border_permit", "border_permit": "border_permit",
+    "national_id": "aadhaar", "nationalid": "aadhaar", "nid": "aadhaar",
+}
+
+# State codes and names; LEGACY_STATES are no longer issued.
+STATES = """
+AN Andaman and Nicobar Islands
+AP Andhra Pradesh
+AR Arunachal Pradesh
+AS Assam
+BR Bihar
+CH Chandigarh
+CG Chhattisgarh
+DD Daman and Diu
+DH Dadra and Nagar Haveli and Daman and Diu
+DL Delhi
+DN Dadra and Nagar Haveli
+GA Goa
+GJ Gujarat
+HR Haryana
+HP Himachal Pradesh
+JK Jammu and Kashmir
+JH Jharkhand
+KA Karnataka
+KL Kerala
+LA Ladakh
+LD Lakshadweep
+MP Madhya Pradesh
+MH Maharashtra
+MN Manipur
+ML Meghalaya
+MZ Mizoram
+NL Nagaland
+OD Odisha
+OR Odisha
+PY Puducherry
+PB Punjab
+RJ Rajasthan
+SK Sikkim
+TN Tamil Nadu
+TS Telangana
+TG Telangana
+TR Tripura
+UP Uttar Pradesh
+UK Uttarakhand
+UA Uttarakhand
+WB West Bengal
+"""
+STATE_NAMES = dict(line.split(" ", 1) for line in STATES.strip().split("\n"))
+LEGACY_STATES = ("DD", "DN", "OR", "UA")
+# Codes that stand for each other when two documents are compared.
+STATE_PAIRS = ("OR=OD", "UA=UK", "TG=TS", "DD=DH", "DN=DH")
+
+# Spelling of a vehicle class -> canonical class.
+VEHICLE_CLASSES = {
+    "MCWG": "MCWG", "M/CYCL.WG": "MCWG", "MC WITH GEAR": "MCWG",
+    "MCWOG": "MCWOG", "M/CYCL.WOG": "MCWOG", "MC WITHOUT GEAR": "MCWOG",
+    "LMV": "LMV", "LMV-NT": "LMV-NT", "LMVNT": "LMV-NT", "LMV-TR": "LMV-TR", "LMVTR": "LMV-TR",
+    "TRANS": "TRANS", "HGMV": "HGMV", "HPMV": "HPMV", "HTV": "HTV", "HPV": "HPV", "HGV": "HGV",
+    "MGV": "MGV", "MMV": "MMV", "MPV": "MPV",
+    "3W-CAB": "3W-CAB", "3WCAB": "3W-CAB", "3W-NT": "3W-NT", "3WNT": "3W-NT",
+    "3W-TR": "3W-TR", "3WTR": "3W-TR", "3W-GV": "3W-GV",
+    "TRAILR": "TRAILR", "TRLR": "TRAILR",
+    "E-RICKSHAW": "E-RICKSHAW", "E-CART": "E-CART", "ERICK": "E-RICKSHAW", "ECART": "E-CART",
+    "PSV": "PSV", "INVCRG": "INVCRG", "LDRXCV": "LDRXCV", "TRACTOR": "TRACTOR",
+}
+VEHICLE_STOPWORDS = (
+    "COV CLASS CLASSES VEHICLE VEHICLES AUTHORISATION AUTHORIZATION DRIVE OF TO VALID FROM DATE ISSUE"
+).split()
+TRANSPORT_CLASSES = "TRANS HGMV HPMV HTV HPV HGV MGV MMV MPV LMV-TR 3W-TR PSV".split()
+# Minimum age per class; other recognised classes need DEFAULT_MIN_AGE.
+CLASS_MIN_AGE = {
+    "MCWOG": 16,
+    "TRANS": 20, "HGMV": 20, "HPMV": 20, "HTV": 20, "HPV": 20, "HGV": 20, "MGV": 20, "MMV": 20, "MPV": 20,
+    "LMV-TR": 20, "3W-TR": 20, "PSV": 20,
+}
+DEFAULT_MIN_AGE = 18
+MAX_PLAUSIBLE_AGE = 110
+
+BLOOD_GROUPS = "A+ A- B+ B- AB+ AB- O+ O- A1+ A1- A1B+ A1B- A2+ A2- A2B+ A2B-".split()
+
+# Permit wording -> permit type.
+PERMIT_TYPES = {
+    "entry": "ENTRY", "entry permit": "ENTRY", "visitor": "ENTRY",
+    "transit": "TRANSIT", "transit permit": "TRANSIT",
+    "local": "LOCAL_BORDER", "local border": "LOCAL_BORDER", "local_border": "LOCAL_BORDER",
+    "border crossing": "LOCAL_BORDER",
+    "commercial": "COMMERCIAL", "crew": "COMMERCIAL",
+    "special": "SPECIAL_ACCESS", "special access": "SPECIAL_ACCESS", "diplomatic": "SPECIAL_ACCESS",
+}
+
+# Holder category by the fourth character of a tax number.
+PAN_CATEGORIES = {
+    "P": "Individual / Person", "C": "Company", "H": "Hindu Undivided Family", "F": "Firm",
+    "A": "Association of Persons", "T": "Trust", "B": "Body of Individuals", "L": "Local Authority",
+    "J": "Artificial Juridical Person", "G": "Government",
+}
+
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+# ---------------------------------------------------------------------------------------
+# Registry comparison
+
+# Critical and secondary fields per document type; other types use passport.
+CRITICAL_FIELDS = {
+    "passport": "document_number date_of_birth name nationality",
+    "visa": "document_number name nationality",
+    "driving_license": "document_number date_of_birth name",
+    "aadhaar": "document_number date_of_birth name",
+    "voter_id": "document_number name",
+    "pan_card": "document_number name",
+    "national_id": "document_number date_of_birth name",
+    "border_permit": "document_number name",
+}
+SECONDARY_FIELDS = {
+    "passport": "expiry_date issuing_authority",
+    "visa": "expiry_date issuing_authority",
+    "driving_license": "expiry_date valid_from vehicle_classes issuing_authority state blood_group",
+    "aadhaar": "issuing_authority",
+    "voter_id": "date_of_birth issuing_authority",
+    "pan_card": "date_of_birth issuing_authority",
+    "national_id": "issuing_authority",
+    "border_permit": "expiry_date issuing_authority",
+}
+# How each field is compared.
+COMPARISON_METHODS = {
+    "document_number": "normalized_identifier",
+    "date_of_birth": "iso_date_equality",
+    "expiry_date": "iso_date_equality",
+    "valid_from": "iso_date_equality",
+    "name": "token_normalized",
+    "nationality": "iso_alpha3_equality",
+    "vehicle_classes": "cov_taxonomy",
+    "state": "state_code_registry",
+    "issuing_authority": "case_insensitive",
+    "blood_group": "case_insensitive",
+}

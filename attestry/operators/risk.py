@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from attestry import dims
 from attestry.dims import DEFAULT_RISK, RiskConfig
+from attestry.functions.text import case_when
 from attestry.operators.ranking import first_row, ordinal, top_rows
 
 GROUP = ["case_id", "category", "correlation_group"]
@@ -28,14 +29,6 @@ def rounded(column: Column, digits: int) -> Column:
     return F.round(F.round(column, DIGITS), digits)
 
 
-def case_when(pairs, otherwise=None) -> Column:
-    """CASE over (condition, value) pairs, first true condition wins."""
-    column = None
-    for condition, value in pairs:
-        column = F.when(condition, value) if column is None else column.when(condition, value)
-    return column if otherwise is None else column.otherwise(otherwise)
-
-
 def confidence_factor(confidence: Column, config: RiskConfig = DEFAULT_RISK) -> Column:
     steps = [(confidence >= low, F.lit(factor)) for low, factor in config.confidence_steps]
     return case_when(steps, F.lit(config.confidence_floor))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from attestry.plans import sql_risk
+from attestry.plans import sql_identity, sql_risk
 from attestry.plans.fixtures import as_sql
 from attestry.plans.queries import QUERIES
 
-_SQL = [sql_risk.SQL]
+_SQL = [sql_risk.SQL, sql_identity.SQL]
 
 
 def queries() -> dict:

@@ -242,7 +242,7 @@ FIXTURES = {
 
 
 def names_in(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z_]+)\}", text)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from attestry.operators import risk
+from attestry.operators import registry, risk, standardize
 from attestry.plans.fixtures import table
+from attestry.sources.tables import spread
 
 
 def over(build, *inputs, **options):
@@ -15,7 +16,31 @@ def over(build, *inputs, **options):
     return query
 
 
+def over_spread(build, *inputs, **options):
+    """As ``over`` for row-wise work that is heavy on expressions: the inputs use all cores."""
+
+    def query(spark, sf_dir):
+        return build(*[spread(table(spark, sf_dir, name)) for name in inputs], **options)
+
+    return query
+
+
+REGISTRY_INPUTS = ("submissions", "registry", "watchlist")
+# keys of the sample queries only; a deployment passes its own
+SAMPLE_SECRET, SAMPLE_CIPHER_KEY = b"sample lookup secret", bytes(range(32))
+
 QUERIES = {
+    "standardize": over_spread(standardize.standardize_submissions, "submissions"),
+    "standardization_profile": over_spread(standardize.standardization_profile, "submissions"),
+    "identity_collisions": over_spread(standardize.identity_collisions, "submissions"),
+    "registry_lookup": over(registry.registry_lookup, *REGISTRY_INPUTS),
+    "registry_not_found": over(registry.registry_not_found, *REGISTRY_INPUTS),
+    "registry_ambiguous": over(registry.registry_ambiguous, *REGISTRY_INPUTS),
+    "field_comparison": over(registry.field_comparison, *REGISTRY_INPUTS),
+    "registry_outcome": over(registry.registry_outcome, *REGISTRY_INPUTS),
+    "protected_registry": over(
+        registry.protected_roundtrip, "registry", secret=SAMPLE_SECRET, cipher_key=SAMPLE_CIPHER_KEY
+    ),
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),
