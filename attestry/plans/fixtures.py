@@ -46,12 +46,8 @@ def _day(k: str, start: str, step: int, span: int, shift: str = "0") -> str:
 
 def _weighted(chars: list[str]) -> str:
     """7-3-1 weighted sum modulo ten over character expressions (digit, letter or filler)."""
-    terms = []
-    for i, c in enumerate(chars):
-        value = (
-            f"(CASE WHEN {c} = '<' THEN 0 WHEN {c} >= 'A' THEN ascii({c}) - 55 ELSE ascii({c}) - 48 END)"
-        )
-        terms.append(f"{(7, 3, 1)[i % 3]} * {value}")
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = [f"{(7, 3, 1)[i % 3]} * greatest(instr('{alphabet}', {c}) - 1, 0)" for i, c in enumerate(chars)]
     return f"CAST(({' + '.join(terms)}) % 10 AS STRING)"
 
 
@@ -127,6 +123,9 @@ SELECT 'VER-' || CAST(o AS STRING) AS verification_id, 'CASE-' || CAST(k AS STRI
   CASE o % 5 WHEN 0 THEN 'm' WHEN 1 THEN 'Single entry' WHEN 2 THEN '2' WHEN 3 THEN 'multiple' ELSE 'x9' END
     AS entries,
   CASE WHEN o % 9 = 0 THEN NULL WHEN o % 10 = 0 THEN 'P12' ELSE substr(num, 1, 8) END AS passport_number,
+  CASE o % 7 WHEN 0 THEN expiry WHEN 1 THEN 'soon' WHEN 2 THEN '2019-05-05' END AS transport_validity,
+  CASE o % 12 WHEN 0 THEN 'line2:pad_to_44_safe' WHEN 1 THEN 'line1:insert:pos8,line2:pad_to_44_safe' END
+    AS mrz_corrections,
   mrz_line1, mrz_line2
 FROM {mrz}
 """
@@ -137,7 +136,7 @@ SELECT *, 'P<' || nation || rpad(family || '<<' || given, 39, '<') AS mrz_line1,
   CASE WHEN o % 41 = 0 THEN substr(head || dob7 || sex || exp7 || rest, 1, 42)
        ELSE head || dob7 || sex || exp7 || rest END || CASE WHEN o % 9 = 0 THEN '0' ELSE c_all END AS mrz_line2
 FROM (
-  SELECT *, {_weighted(_chars('head', 0, 10) + _chars('dob7', 0, 7) + _chars('exp7', 0, 7) + _chars('rest', 0, 15))}
+  SELECT *, {_weighted(_chars('head', 0, 10) + _chars('dob7', 0, 7) + _chars('exp7', 0, 7))}
     AS c_all
   FROM (
     SELECT *,
@@ -230,7 +229,42 @@ FROM (
 ) AS e
 """
 
+TEXT_ROUTING = """
+SELECT doc_id, declared_type,
+  CASE mark % 9 WHEN 0 THEN 'Entry Visa no 1. ' WHEN 1 THEN 'Republic of India passport ' WHEN 2 THEN 'DL No TN05 LMV COV '
+    WHEN 3 THEN 'Aadhaar 2345 6789 0123 ' WHEN 4 THEN 'Income Tax Department ' WHEN 5 THEN 'Election Commission ABC1234567 '
+    WHEN 6 THEN 'Permit No BP-2026 cites passport ' WHEN 7 THEN 'Consular visa ' ELSE '' END || text AS text
+FROM (
+  SELECT doc_id, doc_id AS mark, CASE doc_id % 7 WHEN 0 THEN 'visa' WHEN 1 THEN 'passport' WHEN 2 THEN 'drivinglicense'
+    WHEN 3 THEN 'uid' WHEN 4 THEN 'pan' WHEN 5 THEN 'epic' ELSE 'borderPermit' END AS declared_type, text
+  FROM {documents}
+  UNION ALL
+  SELECT 0 - page_id - 1, page_id, CASE WHEN page_id % 2 = 0 THEN 'passport' ELSE 'visa' END, html FROM {pages}
+) AS d
+"""
+
+QUALITY_METRICS = """
+SELECT p_partkey AS capture_id, 200 + p_partkey * 37 % 900 AS width, 180 + p_partkey * 53 % 700 AS height,
+  p_size * 3.5 AS blur, p_retailprice / 8 AS brightness, p_size * 1.25 AS contrast,
+  (p_partkey * 7 % 100) / CAST(250 AS DOUBLE) AS glare_ratio, p_partkey % 4 = 0 AS glare_cluster
+FROM {part}
+"""
+
+FORENSIC_VOTES = """
+SELECT l_orderkey AS doc_id,
+  CASE l_linenumber % 5 WHEN 0 THEN 'ela' WHEN 1 THEN 'compression' WHEN 2 THEN 'photo_boundary' WHEN 3 THEN 'metadata'
+    ELSE 'copy_move' END AS technique,
+  CASE WHEN l_returnflag = 'R' THEN 'suspicious' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'suspicious'
+    WHEN l_quantity > 45 THEN 'unavailable' ELSE 'normal' END AS status,
+  CASE WHEN l_quantity > 35 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS severity,
+  round(l_quantity / 50, 2) AS confidence
+FROM {lineitem}
+"""
+
 FIXTURES = {
+    "text_routing": TEXT_ROUTING,
+    "quality_metrics": QUALITY_METRICS,
+    "forensic_votes": FORENSIC_VOTES,
     "submission_keys": SUBMISSION_KEYS,
     "mrz": MRZ,
     "submissions": SUBMISSIONS,

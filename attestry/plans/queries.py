@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.operators import registry, risk, standardize
+from attestry.operators import registry, risk, standardize, validate
 from attestry.plans.fixtures import table
 from attestry.sources.tables import spread
 
@@ -41,6 +41,17 @@ QUERIES = {
     "protected_registry": over(
         registry.protected_roundtrip, "registry", secret=SAMPLE_SECRET, cipher_key=SAMPLE_CIPHER_KEY
     ),
+    "licence_rules": over_spread(validate.licence_rules, "submissions"),
+    "visa_rules": over_spread(validate.visa_rules, "submissions"),
+    "permit_rules": over_spread(validate.permit_rules, "submissions"),
+    "identity_card_rules": over_spread(validate.identity_card_rules, "submissions"),
+    "mrz_audit": over_spread(validate.mrz_audit, "submissions"),
+    "check_digit_audit": over_spread(validate.check_digit_audit, "submissions"),
+    "verhoeff_audit": over_spread(validate.verhoeff_audit, "submissions"),
+    "validity_window": over_spread(validate.validity_window, "submissions"),
+    "text_routing_matrix": over_spread(validate.text_routing_matrix, "text_routing"),
+    "quality_score": over(validate.quality_score, "quality_metrics"),
+    "forensic_vote": over(validate.forensic_vote, "forensic_votes"),
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),
