@@ -350,3 +350,40 @@ COMPARISON_METHODS = {
     "issuing_authority": "case_insensitive",
     "blood_group": "case_insensitive",
 }
+
+# ---------------------------------------------------------------------------------------
+# Relationships between the documents of one case
+
+# Source > target : source field = target field, mode, relationship, confidence, group.
+RELATIONSHIPS = """
+visa > passport : passport_number = document_number STRICT IDENTIFIER_BINDING 0.99 DOCUMENT_NUMBER_BINDING
+visa > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 -
+visa > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 -
+visa > passport : nationality = nationality NORMALIZED_CODE NATIONALITY_FIELD_CONSISTENCY 0.98 -
+driving_license > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 -
+driving_license > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 DOB_CONSISTENCY
+national_id,aadhaar,voter_id,pan_card > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 NID_PASSPORT_NAME_CONSISTENCY
+national_id,aadhaar,voter_id,pan_card > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 NID_PASSPORT_DOB_CONSISTENCY
+national_id,aadhaar,voter_id,pan_card > driving_license : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 -
+national_id,aadhaar,voter_id,pan_card > driving_license : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 NID_DL_DOB_CONSISTENCY
+border_permit > passport : passport_number = document_number STRICT IDENTIFIER_BINDING 0.99 BORDER_PERMIT_PASSPORT_BINDING
+border_permit > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 BORDER_PERMIT_PASSPORT_BINDING
+border_permit > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 BORDER_PERMIT_DOB_CONSISTENCY
+national_id,aadhaar > border_permit : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 BORDER_PERMIT_PASSPORT_BINDING
+national_id,aadhaar > border_permit : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 BORDER_PERMIT_DOB_CONSISTENCY
+"""
+CASE_TYPES = "passport visa driving_license national_id aadhaar voter_id pan_card border_permit".split()
+
+
+def relationships() -> list[tuple]:
+    """(source, target, source_field, target_field, mode, relationship, confidence, group, position)."""
+    rows, positions = [], {}
+    for line in RELATIONSHIPS.strip().split("\n"):
+        pair, rule = (part.strip() for part in line.split(":"))
+        sources, target = (part.strip() for part in pair.split(">"))
+        left, _, right, mode, kind, confidence, group = rule.split()
+        for source in sources.split(","):
+            position = positions[source, target] = positions.get((source, target), 0) + 1
+            group_or_none = None if group == "-" else group
+            rows.append((source, target, left, right, mode, kind, float(confidence), group_or_none, position))
+    return rows

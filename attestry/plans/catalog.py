@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from attestry.plans import sql_identity, sql_risk, sql_validate
+from attestry.plans import sql_case, sql_identity, sql_risk, sql_validate
 from attestry.plans.fixtures import as_sql
 from attestry.plans.queries import QUERIES
 
-_SQL = [sql_risk.SQL, sql_identity.SQL, sql_validate.SQL]
+_SQL = [sql_risk.SQL, sql_identity.SQL, sql_validate.SQL, sql_case.SQL]
 
 
 def queries() -> dict:

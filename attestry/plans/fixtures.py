@@ -261,7 +261,31 @@ SELECT l_orderkey AS doc_id,
 FROM {lineitem}
 """
 
+CASE_DOCUMENTS = f"""
+SELECT k AS case_id, 'DOC-' || CAST(o AS STRING) AS document_id, uploaded_at, status,
+  CASE o % 7 WHEN 0 THEN 'passport' WHEN 1 THEN 'visa' WHEN 2 THEN 'drivingLicense' WHEN 3 THEN 'aadhaar'
+    WHEN 4 THEN 'borderPermit' WHEN 5 THEN 'voterId' ELSE 'pan' END AS document_type,
+  CASE WHEN o % 7 = 0 THEN passport ELSE 'N' || CAST(o AS STRING) END AS document_number,
+  CASE WHEN o % 23 = 0 THEN NULL WHEN o % 19 = 0 THEN 'X' || passport WHEN o % 2 = 0 THEN lower(passport)
+    ELSE substr(passport, 1, 4) || '-' || substr(passport, 5) END AS passport_number,
+  CASE WHEN o % 31 = 0 THEN ' ' WHEN o % 13 = 0 THEN given || ' OTHER' WHEN o % 11 = 0 THEN given || ' Q ' || family
+    WHEN o % 3 = 0 THEN family || '<<' || given ELSE given || ' ' || family END AS name,
+  CASE WHEN o % 37 = 0 THEN NULL WHEN o % 29 = 0 THEN substr(dob, 1, 4) WHEN o % 41 = 0 THEN 'n/a'
+    WHEN o % 3 = 0 THEN substr(dob, 9, 2) || '/' || substr(dob, 6, 2) || '/' || substr(dob, 1, 4) ELSE dob END
+    AS date_of_birth,
+  CASE WHEN o % 43 = 0 THEN 'XXA' WHEN o % 5 = 0 THEN nation || '<' ELSE nation END AS nationality
+FROM (
+  SELECT o_orderkey AS o, o_custkey AS k, o_orderdate AS uploaded_at,
+    CASE WHEN o_orderstatus = 'P' THEN 'REMOVED' ELSE 'ACTIVE' END AS status,
+    chr(CAST(65 + o_custkey % 26 AS INT)) || {_digits('o_custkey * 7919 % 10000000', 7)} AS passport,
+    {_k(FAMILY, 'o_custkey')} AS family, {_k(GIVEN, 'o_custkey')} AS given, {_k(NATION, 'o_custkey')} AS nation,
+    {_day('o_custkey', '1950-01-01', 37, 20000, 'CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END')} AS dob
+  FROM {{orders}}
+) AS d
+"""
+
 FIXTURES = {
+    "case_documents": CASE_DOCUMENTS,
     "text_routing": TEXT_ROUTING,
     "quality_metrics": QUALITY_METRICS,
     "forensic_votes": FORENSIC_VOTES,

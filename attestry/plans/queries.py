@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.operators import registry, risk, standardize, validate
+from attestry.operators import conflicts, crossdoc, registry, risk, standardize, validate
 from attestry.plans.fixtures import table
 from attestry.sources.tables import spread
 
@@ -52,6 +52,13 @@ QUERIES = {
     "text_routing_matrix": over_spread(validate.text_routing_matrix, "text_routing"),
     "quality_score": over(validate.quality_score, "quality_metrics"),
     "forensic_vote": over(validate.forensic_vote, "forensic_votes"),
+    "active_revisions": over(crossdoc.active_revisions, "case_documents"),
+    "cross_document": over(crossdoc.cross_document, "case_documents"),
+    "reference_check": over(crossdoc.reference_check, "case_documents"),
+    "removed_evidence_purge": over(crossdoc.removed_evidence_purge, "case_documents"),
+    "case_risk": over(crossdoc.case_risk, "case_documents", "evidence"),
+    "conflicts": over(conflicts.conflicts, "evidence"),
+    "contradictions": over(conflicts.contradictions, "evidence"),
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),
