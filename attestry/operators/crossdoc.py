@@ -216,7 +216,7 @@ def case_completeness(documents: DataFrame, evidence: DataFrame) -> DataFrame:
     )
     active = active_documents(documents).select("case_id", "document_id").join(known, "document_id", "left")
     means = active.groupBy("case_id").agg(
-        F.round(F.avg(F.coalesce("part", F.lit(0.0))), 2).alias("mean"), F.count("*").alias("documents_considered")
+        risk.rounded(F.avg(F.coalesce("part", F.lit(0.0))), 2).alias("mean"), F.count("*").alias("documents_considered")
     )
     cases = documents.select("case_id").distinct()
     return cases.join(means, "case_id", "left").select(

@@ -284,7 +284,45 @@ FROM (
 ) AS d
 """
 
+MODULE_RESULTS = """
+SELECT o_orderkey AS case_id, o % 29 <> 0 AS has_m1, o % 31 <> 0 AS has_m2, o % 23 <> 0 AS has_m3, o % 19 <> 0 AS has_m4,
+  o % 37 <> 0 AS has_m5, o % 3 <> 0 AS has_m7,
+  CASE WHEN o % 17 = 0 THEN 'failed' ELSE 'completed' END AS m1_status,
+  CASE WHEN o % 41 = 0 THEN NULL ELSE (40 + k % 60) / CAST(100 AS DOUBLE) END AS m1_confidence, o % 13 = 0 AS m1_low_regions,
+  o % 5 <> 0 AS m1_mrz_detected, o % 4 <> 0 AS m1_mrz_applicable,
+  CASE o % 6 WHEN 0 THEN 'name' WHEN 1 THEN 'name;date_of_birth' WHEN 2 THEN '' END AS m1_missing,
+  CASE o % 11 WHEN 0 THEN 'mrz_structure:failed' WHEN 1 THEN 'dob_checksum:unknown;composite_checksum:failed'
+    WHEN 2 THEN 'identifier_checksum:warning:FAIL;identifier_format:unknown' WHEN 3 THEN 'expiry_date:failed:EXPIRED'
+    WHEN 4 THEN 'passport_number_binding:failed;viz_mrz_name:failed' WHEN 5 THEN 'required_fields:failed' ELSE '' END
+    AS m2_failed,
+  CASE o % 9 WHEN 0 THEN 'high_forensic_concern' WHEN 1 THEN 'suspicious' WHEN 2 THEN 'insufficient_data' WHEN 3 THEN NULL
+    ELSE 'clean' END AS m3_overall,
+  CASE o % 7 WHEN 0 THEN 'ela:suspicious:high:0.8;metadata:suspicious:low:0.55;copy_move:normal:high:0.9'
+    WHEN 1 THEN 'copy_move:suspicious:severe:0.7' WHEN 2 THEN 'photo_boundary:suspicious:medium:0.66' ELSE '' END AS m3_signals,
+  o % 43 = 0 AS m3_model_hit, CASE WHEN o % 2 = 0 THEN 0.91 END AS m3_model_confidence,
+  o % 47 <> 0 AS m4_document_face, o % 53 <> 0 AS m4_live_face,
+  CASE WHEN k % 3 = 0 THEN 'poor' ELSE 'acceptable' END AS m4_document_quality,
+  CASE WHEN k % 5 = 0 THEN 'poor' ELSE 'acceptable' END AS m4_live_quality,
+  CASE o % 8 WHEN 0 THEN 'suspected_spoof' WHEN 1 THEN 'inconclusive' WHEN 2 THEN 'live' ELSE 'pass' END AS m4_pad_status,
+  CASE WHEN o % 4 = 0 THEN 0.83 END AS m4_pad_score,
+  CASE WHEN o % 10 = 0 THEN 'texture_analysis;specular_glare' ELSE '' END AS m4_secondary_flags,
+  CASE o % 6 WHEN 0 THEN 'no_match' WHEN 1 THEN 'inconclusive' WHEN 2 THEN NULL ELSE 'match' END AS m4_match,
+  CASE WHEN o % 6 <> 2 THEN (k % 100) / CAST(100 AS DOUBLE) END AS m4_similarity,
+  CASE o % 13 WHEN 0 THEN 'REVOKED' WHEN 1 THEN 'SUSPENDED' WHEN 2 THEN 'INVALID' WHEN 3 THEN 'MISMATCH' WHEN 4 THEN 'EXPIRED'
+    WHEN 5 THEN 'NOT_FOUND' WHEN 6 THEN 'AMBIGUOUS' WHEN 7 THEN 'TIMEOUT' WHEN 8 THEN 'LIVE_PROVIDER_NOT_CONFIGURED'
+    WHEN 9 THEN 'PROVIDER_ERROR' ELSE 'MATCHED' END AS m5_status,
+  o % 2 = 0 AS m5_sandbox, CASE WHEN o % 4 = 0 THEN 'name' ELSE 'document_number;date_of_birth;name;nationality' END AS m5_mismatched,
+  CASE WHEN o % 59 = 0 THEN false ELSE true END AS m7_applicable,
+  CASE o % 5 WHEN 0 THEN 'NOT_DETECTED' WHEN 1 THEN 'DETECTED_NOT_DECODABLE' ELSE 'DECODED' END AS m7_detection,
+  CASE o % 4 WHEN 0 THEN 'CRYPTO_VERIFICATION_PASSED' WHEN 1 THEN 'CRYPTO_VERIFICATION_FAILED'
+    WHEN 2 THEN 'CRYPTO_VERIFICATION_NOT_CONFIGURED' END AS m7_crypto_status,
+  CASE o % 6 WHEN 1 THEN 'license_number:QR_FIELD_MISMATCH;name:QR_FIELD_MATCH' WHEN 2 THEN 'dob:QR_FIELD_MISMATCH;cov:QR_FIELD_MISSING'
+    ELSE 'name:QR_FIELD_MISMATCH;dob:QR_FIELD_MATCH' END AS m7_checks
+FROM (SELECT o_orderkey, o_orderkey AS o, o_custkey AS k FROM {orders}) AS x
+"""
+
 FIXTURES = {
+    "module_results": MODULE_RESULTS,
     "case_documents": CASE_DOCUMENTS,
     "text_routing": TEXT_ROUTING,
     "quality_metrics": QUALITY_METRICS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.operators import conflicts, crossdoc, registry, risk, standardize, validate
+from attestry.operators import conflicts, crossdoc, evidence, registry, risk, standardize, validate
 from attestry.plans.fixtures import table
 from attestry.sources.tables import spread
 
@@ -59,6 +59,9 @@ QUERIES = {
     "case_risk": over(crossdoc.case_risk, "case_documents", "evidence"),
     "conflicts": over(conflicts.conflicts, "evidence"),
     "contradictions": over(conflicts.contradictions, "evidence"),
+    "evidence_union": over_spread(evidence.evidence_union, "module_results"),
+    "evidence_from_registry": over(evidence.evidence_from_registry, *REGISTRY_INPUTS),
+    "evidence_from_validation": over_spread(evidence.evidence_from_validation, "submissions"),
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),

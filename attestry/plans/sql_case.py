@@ -159,7 +159,7 @@ doc_complete AS (
   FROM doc_modules GROUP BY k
 ),
 means AS (
-  SELECT case_id, round(avg(coalesce(part, 0)), 2) AS mean, count(*) AS n
+  SELECT case_id, round(CAST(avg(coalesce(part, 0)) AS DECIMAL(20, 8)), 2)::DOUBLE AS mean, count(*) AS n
   FROM active a LEFT JOIN doc_complete d ON d.document_id = a.document_id GROUP BY case_id
 ),
 cases AS (SELECT DISTINCT case_id FROM typed),
