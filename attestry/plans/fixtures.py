@@ -321,7 +321,25 @@ SELECT o_orderkey AS case_id, o % 29 <> 0 AS has_m1, o % 31 <> 0 AS has_m2, o %
 FROM (SELECT o_orderkey, o_orderkey AS o, o_custkey AS k FROM {orders}) AS x
 """
 
+LEDGER_EVENTS = """
+SELECT user_id AS target_id, event_id, event_type, CAST(CAST(ts AS DATE) AS STRING) AS recorded_at, props AS payload,
+  CASE event_type WHEN 'purchase' THEN 'ADMIT' WHEN 'signup' THEN 'REFER_TO_SECONDARY' WHEN 'view' THEN 'REFUSE_ENTRY'
+    WHEN 'click' THEN 'REQUEST_ADDITIONAL_DOCS' ELSE 'CLEAR_ADMIT' END AS decision
+FROM {events}
+"""
+
+STAGE_EVENTS = """
+SELECT user_id AS verification_id, event_id, ts AS started_at, value * 100 AS duration_ms,
+  CASE event_id % 12 WHEN 0 THEN 'INITIALIZED' WHEN 1 THEN 'INGESTION' WHEN 2 THEN 'OCR' WHEN 3 THEN 'VALIDATION'
+    WHEN 4 THEN 'FORENSICS' WHEN 5 THEN 'BIOMETRICS' WHEN 6 THEN 'REGISTRY' WHEN 7 THEN 'CROSS_DOCUMENT'
+    WHEN 8 THEN 'EVIDENCE' WHEN 9 THEN 'RISK' WHEN 10 THEN 'ANCHORING' ELSE 'COMPLETED' END AS stage,
+  CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_id % 13 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status
+FROM {events}
+"""
+
 FIXTURES = {
+    "ledger_events": LEDGER_EVENTS,
+    "stage_events": STAGE_EVENTS,
     "module_results": MODULE_RESULTS,
     "case_documents": CASE_DOCUMENTS,
     "text_routing": TEXT_ROUTING,

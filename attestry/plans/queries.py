@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.operators import conflicts, crossdoc, evidence, registry, risk, standardize, validate
+from attestry.operators import conflicts, crossdoc, evidence, ledger, registry, risk, standardize, validate
 from attestry.plans.fixtures import table
 from attestry.sources.tables import spread
 
@@ -62,6 +62,13 @@ QUERIES = {
     "evidence_union": over_spread(evidence.evidence_union, "module_results"),
     "evidence_from_registry": over(evidence.evidence_from_registry, *REGISTRY_INPUTS),
     "evidence_from_validation": over_spread(evidence.evidence_from_validation, "submissions"),
+    "ledger_build": over(ledger.ledger_build, "ledger_events"),
+    "ledger_heads": over(ledger.ledger_head_report, "ledger_events"),
+    "ledger_verify": over(ledger.ledger_verify_tampered, "ledger_events"),
+    "integrity_report": over(ledger.integrity_of_events, "ledger_events"),
+    "evidence_package_hash": over(ledger.evidence_package_hash, "evidence"),
+    "risk_snapshot": over(ledger.risk_snapshot, "evidence"),
+    "officer_decisions": over(ledger.officer_decisions, "ledger_events"),
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),
