@@ -200,3 +200,14 @@ def vocabulary_violations(evidence: DataFrame) -> DataFrame:
     ]
     bad = F.filter(F.array(*checks), lambda v: v.isNotNull())
     return evidence.select(F.explode(bad).alias("v")).groupBy("v.field", "v.value").count()
+
+
+def dedup_exact(documents: DataFrame, type_column: str, content_column: str, order_column: str) -> DataFrame:
+    """First document per declared type and content hash, with the number of identical copies.
+
+    Only ids and hashes are aggregated, and copies collapse before the shuffle.
+    """
+    key = F.concat_ws(":", F.lower(text.stripped(F.col(type_column))), F.sha2(content_column, 256))
+    return documents.groupBy(key.alias("content_key")).agg(
+        F.min(order_column).alias("first_id"), F.count("*").alias("copies")
+    )

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry import dims
+from attestry.operators.telemetry import STAGES
 from attestry.sources.tables import GIVEN_TABLES, read_table
 
 
@@ -328,16 +329,70 @@ SELECT user_id AS target_id, event_id, event_type, CAST(CAST(ts AS DATE) AS STRI
 FROM {events}
 """
 
-STAGE_EVENTS = """
+_STAGE_CASE = " ".join(f"WHEN {i} THEN '{stage}'" for i, stage in enumerate(STAGES))
+STAGE_EVENTS = f"""
 SELECT user_id AS verification_id, event_id, ts AS started_at, value * 100 AS duration_ms,
-  CASE event_id % 12 WHEN 0 THEN 'INITIALIZED' WHEN 1 THEN 'INGESTION' WHEN 2 THEN 'OCR' WHEN 3 THEN 'VALIDATION'
-    WHEN 4 THEN 'FORENSICS' WHEN 5 THEN 'BIOMETRICS' WHEN 6 THEN 'REGISTRY' WHEN 7 THEN 'CROSS_DOCUMENT'
-    WHEN 8 THEN 'EVIDENCE' WHEN 9 THEN 'RISK' WHEN 10 THEN 'ANCHORING' ELSE 'COMPLETED' END AS stage,
-  CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_id % 13 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status
-FROM {events}
+  CASE event_id % 12 {_STAGE_CASE} END AS stage,
+  CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'skipped' ELSE 'completed' END AS status
+FROM {{events}}
+"""
+
+# braces are written chr(123) and chr(125): the texts are templates
+_HOLDER = f"""
+SELECT e AS doc_id, e, kind, value, lic, nm, CAST(DATE '1960-01-01' + CAST(u * 37 % 12000 AS INT) AS STRING) AS born,
+  CAST(DATE '2015-01-01' + CAST(u * 11 % 2000 AS INT) AS STRING) AS since,
+  CAST(DATE '2025-01-01' + CAST(u * 13 % 2000 AS INT) AS STRING) AS till
+FROM (
+  SELECT event_id AS e, user_id AS u, event_type AS kind, value,
+    'TN05' || CAST(1990 + user_id % 30 AS STRING) || {_digits('user_id * 7919 % 10000000', 7)} AS lic,
+    {_k(GIVEN, 'user_id')} || ' ' || {_k(FAMILY, 'user_id')} AS nm
+  FROM {{events}}
+) AS x
+"""
+
+PAYLOADS = """
+SELECT doc_id, CASE e % 6
+    WHEN 0 THEN chr(123) || '"dl_no": "' || lic || '", "holder_name": "' || nm || '", "DOB": "' || born || '", "sig": "x1"' || chr(125)
+    WHEN 1 THEN 'DL No: ' || lic || '|Name: ' || lower(nm) || '|birth date: ' || born || '|valid-to=' || till
+    WHEN 2 THEN lic || '|' || nm || '|' || born || '|' || since || '|' || till || '|LMV,MCWG|12 Long Street Name'
+    WHEN 3 THEN '<card lic_no="' || lic || '"><name>' || nm || '</name><dob>' || born || '</dob></card>'
+    WHEN 4 THEN 'dl: ' || lic ELSE CASE WHEN e % 4 = 1 THEN ' ' ELSE 'scan me' END END AS payload
+FROM {holders} WHERE value > 5
+"""
+
+PRINTED_FIELDS = """
+SELECT doc_id, CASE WHEN e % 11 = 0 THEN lic || '9' ELSE substr(lic, 1, 4) || '-' || substr(lic, 5) END AS license_number,
+  CASE WHEN e % 13 = 0 THEN NULL WHEN e % 17 = 0 THEN nm || ' X' ELSE '  ' || lower(nm) END AS name,
+  CASE WHEN e % 3 = 0 THEN substr(born, 9, 2) || '.' || substr(born, 6, 2) || '.' || substr(born, 1, 4) ELSE born END AS dob,
+  CASE WHEN e % 4 = 0 THEN since END AS valid_from, CASE WHEN e % 4 = 1 THEN replace(till, '-', '/') END AS valid_to,
+  CASE WHEN e % 5 = 2 THEN 'mcwg; lmv' WHEN e % 5 = 3 THEN 'LMV' END AS cov
+FROM {holders} WHERE kind <> 'error'
+"""
+
+OCR_TOKENS = """
+SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 10000000 + l_suppkey AS token_id,
+  l_linenumber % 3 = 0 AS is_label,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'LABEL ' || CAST(l_suppkey % 2 AS STRING) ELSE 'V' || CAST(l_partkey % 3 AS STRING) END AS text,
+  round(l_quantity / 50, 2) AS conf, l_partkey * 13 % 200 AS x0, l_partkey * 13 % 200 + 40 + l_suppkey % 60 AS x1,
+  l_suppkey * 7 % 240 AS y0, l_suppkey * 7 % 240 + 18 AS y1
+FROM {lineitem}
+"""
+
+# each vector against its three successors; the last ones have no partner
+FACE_PAIRS = """
+SELECT vec_id AS document_id, vec_id + step AS live_id, 1 + vec_id % 10 / CAST(20 AS DOUBLE) AS document_ratio,
+  CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(1.2 AS DOUBLE) END AS live_ratio
+FROM (
+  SELECT vec_id, 1 AS step FROM {embeddings} UNION ALL SELECT vec_id, 2 FROM {embeddings} UNION ALL SELECT vec_id, 10 FROM {embeddings}
+) AS e
 """
 
 FIXTURES = {
+    "holders": _HOLDER,
+    "payloads": PAYLOADS,
+    "printed_fields": PRINTED_FIELDS,
+    "ocr_tokens": OCR_TOKENS,
+    "face_pairs": FACE_PAIRS,
     "ledger_events": LEDGER_EVENTS,
     "stage_events": STAGE_EVENTS,
     "module_results": MODULE_RESULTS,

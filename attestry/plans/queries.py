@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from attestry.operators import conflicts, crossdoc, evidence, ledger, registry, risk, standardize, validate
+from attestry.operators import (
+    conflicts,
+    crossdoc,
+    evidence,
+    faces,
+    ledger,
+    pairing,
+    payloads,
+    registry,
+    risk,
+    standardize,
+    telemetry,
+    validate,
+)
 from attestry.plans.fixtures import table
 from attestry.sources.tables import spread
 
@@ -69,6 +82,22 @@ QUERIES = {
     "evidence_package_hash": over(ledger.evidence_package_hash, "evidence"),
     "risk_snapshot": over(ledger.risk_snapshot, "evidence"),
     "officer_decisions": over(ledger.officer_decisions, "ledger_events"),
+    "viz_mrz_crosscheck": over_spread(pairing.viz_mrz_crosscheck, "submissions"),
+    "payload_fields": over_spread(payloads.payload_fields, "payloads"),
+    "payload_crosscheck": over(payloads.payload_crosscheck, "payloads", "printed_fields"),
+    "label_value_pairs": over(pairing.label_value_pairs, "ocr_tokens"),
+    "field_candidates": over(pairing.field_candidates, "ocr_tokens"),
+    "pattern_signals": over_spread(pairing.pattern_signals, "text_routing"),
+    "face_verify": over_spread(faces.face_verify, "face_pairs", "embeddings"),
+    "face_verify_elevated": over(faces.face_verify_elevated, "face_pairs", "embeddings", "evidence"),
+    "face_verify_fused": over_spread(faces.face_verify_fused, "face_pairs", "embeddings"),
+    "stage_latency": over(telemetry.stage_latency, "stage_events"),
+    "stage_order": over(telemetry.stage_order, "stage_events"),
+    "exact_dedup": over(
+        standardize.dedup_exact, "documents", type_column="source", content_column="text", order_column="doc_id"
+    ),
+    "mask_identifiers": over_spread(standardize.mask_document_text, "documents"),
+    "vocabulary_violations": over(standardize.vocabulary_violations, "evidence"),
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),
