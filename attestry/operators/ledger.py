@@ -55,15 +55,17 @@ def ledger_events(events: DataFrame) -> DataFrame:
     return events.select("target_id", "event_id", "event_type", "recorded_at", F.sha2("payload", 256).alias("evidence_hash"))
 
 
-def ledger_build(events: DataFrame, segment_blocks: int = SEGMENT_BLOCKS, hot_rows: int | None = None) -> DataFrame:
-    """Blocks of every target in order of event_id, each bound to the block before it."""
-    numbered = ordinal(ledger_events(events), ["target_id"], [F.asc("event_id")], "block_index", hot_rows)
+def chain_blocks(numbered: DataFrame, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
+    """Hashes numbered events. ``last_hash`` continues a segment that earlier blocks began."""
     blocks = numbered.withColumn("segment", F.floor((F.col("block_index") - 1) / segment_blocks)).withColumn("content", _content())
     fields = ["block_index", "event_id", "event_type", "recorded_at", "evidence_hash", "content"]
-    segments = blocks.groupBy("target_id", "segment").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("blocks"))
-    start = F.array(segment_start(F.col("target_id"), F.col("segment")))
+    segments = blocks.groupBy("target_id", "segment").agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("blocks"), F.max("last_hash").alias("last_hash")
+    )
+    fresh = F.get("blocks", F.lit(0))["block_index"] == F.col("segment") * segment_blocks + 1
+    start = F.when(fresh, segment_start(F.col("target_id"), F.col("segment"))).otherwise(F.col("last_hash"))
     hashes = F.aggregate(
-        "blocks", start, lambda acc, b: F.concat(acc, F.array(link(F.element_at(acc, -1), b["content"])))
+        "blocks", F.array(start), lambda acc, b: F.concat(acc, F.array(link(F.element_at(acc, -1), b["content"])))
     )
     chained = segments.withColumn("hashes", hashes)
     rows = chained.select("target_id", "segment", "hashes", F.posexplode("blocks").alias("i", "b"))
@@ -73,6 +75,33 @@ def ledger_build(events: DataFrame, segment_blocks: int = SEGMENT_BLOCKS, hot_ro
     )
 
 
+def ledger_build(
+    events: DataFrame,
+    segment_blocks: int = SEGMENT_BLOCKS,
+    hot_rows: int | None = None,
+    heads: DataFrame | None = None,
+) -> DataFrame:
+    """Blocks of every target in order of event_id, each bound to the block before it.
+
+    ``heads`` (target_id, last_index, last_hash) lets new events extend an existing ledger.
+    """
+    numbered = ordinal(ledger_events(events), ["target_id"], [F.asc("event_id")], "block_index", hot_rows)
+    if heads is None:
+        numbered = numbered.withColumn("last_hash", F.lit(None).cast("string"))
+    else:
+        numbered = numbered.join(heads, "target_id", "left").withColumn(
+            "block_index", F.col("block_index") + F.coalesce("last_index", F.lit(0))
+        )
+    return chain_blocks(numbered, segment_blocks)
+
+
+def block_heads(blocks: DataFrame) -> DataFrame:
+    """Last index and hash per target."""
+    return blocks.groupBy("target_id").agg(
+        F.max("block_index").alias("last_index"), F.max_by("block_hash", "block_index").alias("last_hash")
+    )
+
+
 def fold_tree(leaves: DataFrame, keys: list[str], levels_for: int, width: int = SEGMENT_BLOCKS) -> DataFrame:
     """One hash per key over its ``leaf`` values in order of the dense, zero-based ``position``.
 

@@ -14,4 +14,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: as_sql(text) for part in _SQL for name, text in part.items() if name in QUERIES}
+    texts = {name: as_sql(text) for part in _SQL for name, text in part.items() if name in QUERIES}
+    # a stream over all available input ends in the result of its batch form
+    for streamed, batch in (("registry_stream", "registry_outcome"), ("ledger_stream", "ledger_build"), ("case_stream", "case_risk")):
+        texts[streamed] = texts[batch]
+    return texts

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attestry import dims
 from attestry.operators.telemetry import STAGES
 from attestry.sources.tables import GIVEN_TABLES, read_table
+from attestry.streaming.jobs import read_stream
 
 
 def _letters(expr: str, width: int) -> str:
@@ -387,7 +388,21 @@ FROM (
 ) AS e
 """
 
+MODULE_UPDATES = """
+SELECT user_id AS verification_id, ts, value AS result,
+  CASE event_type WHEN 'purchase' THEN 'M1' WHEN 'signup' THEN 'M2' WHEN 'view' THEN 'M3' WHEN 'click' THEN 'M4' ELSE 'M5' END AS module
+FROM {events}
+"""
+
+LOOKUPS = """
+SELECT event_id, ts, 'passport' AS document_type, CAST(user_id AS STRING) AS query_hash, 'sandbox' AS provider,
+  CASE WHEN event_type = 'error' THEN 'TIMEOUT' ELSE 'MATCHED' END AS outcome
+FROM {events}
+"""
+
 FIXTURES = {
+    "module_updates": MODULE_UPDATES,
+    "lookups": LOOKUPS,
     "holders": _HOLDER,
     "payloads": PAYLOADS,
     "printed_fields": PRINTED_FIELDS,
@@ -422,6 +437,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names_in(text)})
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table over a given table that is read as a file stream."""
+    if name in GIVEN_TABLES:
+        return read_stream(spark, sf_dir, name)
+    text = FIXTURES[name]
+    return spark.sql(text, **{n: stream(spark, sf_dir, n) for n in names_in(text)})
+
+
 def as_sql(text: str) -> str:
     """The text with every derived table written out, for engines that know only the given ones."""
     for name in names_in(text):

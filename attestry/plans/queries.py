@@ -16,8 +16,9 @@ from attestry.operators import (
     telemetry,
     validate,
 )
-from attestry.plans.fixtures import table
+from attestry.plans.fixtures import stream, table
 from attestry.sources.tables import spread
+from attestry.streaming import jobs
 
 
 def over(build, *inputs, **options):
@@ -38,6 +39,30 @@ def over_spread(build, *inputs, **options):
     return query
 
 
+def streamed(build, name, label):
+    """A streaming query over all available input; the result is what its file sink holds."""
+
+    def query(spark, sf_dir):
+        return jobs.run_to_files(build(stream(spark, sf_dir, name)), jobs.new_folder(spark, label))
+
+    return query
+
+
+def registry_stream(spark, sf_dir):
+    static = [table(spark, sf_dir, n) for n in ("registry", "watchlist")]
+    return jobs.registry_stream(stream(spark, sf_dir, "submissions"), *static, jobs.new_folder(spark, "registry"))
+
+
+def ledger_stream(spark, sf_dir):
+    return jobs.ledger_stream(stream(spark, sf_dir, "ledger_events"), jobs.new_folder(spark, "ledger"))
+
+
+def case_stream(spark, sf_dir):
+    documents, evidence_rows = table(spark, sf_dir, "case_documents"), table(spark, sf_dir, "evidence")
+    arriving = stream(spark, sf_dir, "case_documents")
+    return jobs.case_stream(arriving, lambda: documents, evidence_rows, jobs.new_folder(spark, "cases"))
+
+
 REGISTRY_INPUTS = ("submissions", "registry", "watchlist")
 # keys of the sample queries only; a deployment passes its own
 SAMPLE_SECRET, SAMPLE_CIPHER_KEY = b"sample lookup secret", bytes(range(32))
@@ -98,6 +123,13 @@ QUERIES = {
     ),
     "mask_identifiers": over_spread(standardize.mask_document_text, "documents"),
     "vocabulary_violations": over(standardize.vocabulary_violations, "evidence"),
+    "session_assembly": over(jobs.assemble_sessions, "module_updates"),
+    "session_stream": streamed(lambda df: jobs.assemble_sessions(df, jobs.LATE_BY), "module_updates", "sessions"),
+    "registry_dedup_stream": streamed(jobs.fresh_lookups, "lookups", "lookups"),
+    "latency_stream": streamed(jobs.latency_windows, "stage_events", "latency"),
+    "registry_stream": registry_stream,
+    "ledger_stream": ledger_stream,
+    "case_stream": case_stream,
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),

@@ -250,4 +250,16 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '\d([ \-]?\d){11,18}\b')) AS IN
         f"SELECT '{c}' AS field, {c} AS value, count(*) AS count FROM e WHERE {c} NOT IN {in_list(allowed)} GROUP BY {c}"
         for c, allowed in VOCABULARIES.items()
     ),
+    "session_assembly": """
+WITH e AS (
+  SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS fresh FROM {module_updates} AS m0
+  WINDOW w AS (PARTITION BY verification_id ORDER BY ts)
+),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY verification_id ORDER BY ts) AS session FROM e)
+SELECT verification_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at,
+  strftime(max(ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS expires_at,
+  max_by(result, ts) FILTER (module = 'M1') AS m1, max_by(result, ts) FILTER (module = 'M2') AS m2,
+  max_by(result, ts) FILTER (module = 'M3') AS m3, max_by(result, ts) FILTER (module = 'M4') AS m4,
+  max_by(result, ts) FILTER (module = 'M5') AS m5, count(*) AS updates
+FROM s GROUP BY verification_id, session""",
 }
