@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestry import dims
 from attestry.operators.telemetry import STAGES
-from attestry.sources.tables import GIVEN_TABLES, read_table
+from attestry.sources.tables import GIVEN_TABLES, read_table, spread
 from attestry.streaming.jobs import read_stream
 
 
@@ -395,7 +395,7 @@ FROM {events}
 """
 
 LOOKUPS = """
-SELECT event_id, ts, 'passport' AS document_type, CAST(user_id AS STRING) AS query_hash, 'sandbox' AS provider,
+SELECT event_id, ts, 'passport' AS document_type, CAST(user_id % 20 AS STRING) AS query_hash, 'sandbox' AS provider,
   CASE WHEN event_type = 'error' THEN 'TIMEOUT' ELSE 'MATCHED' END AS outcome
 FROM {events}
 """
@@ -432,7 +432,7 @@ def names_in(text: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a lazy DataFrame."""
     if name in GIVEN_TABLES:
-        return read_table(spark, sf_dir, name)
+        return spread(read_table(spark, sf_dir, name))
     text = FIXTURES[name]
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names_in(text)})
 

@@ -17,7 +17,6 @@ from attestry.operators import (
     validate,
 )
 from attestry.plans.fixtures import stream, table
-from attestry.sources.tables import spread
 from attestry.streaming import jobs
 
 
@@ -30,15 +29,6 @@ def over(build, *inputs, **options):
     return query
 
 
-def over_spread(build, *inputs, **options):
-    """As ``over`` for row-wise work that is heavy on expressions: the inputs use all cores."""
-
-    def query(spark, sf_dir):
-        return build(*[spread(table(spark, sf_dir, name)) for name in inputs], **options)
-
-    return query
-
-
 def streamed(build, name, label):
     """A streaming query over all available input; the result is what its file sink holds."""
 
@@ -68,9 +58,9 @@ REGISTRY_INPUTS = ("submissions", "registry", "watchlist")
 SAMPLE_SECRET, SAMPLE_CIPHER_KEY = b"sample lookup secret", bytes(range(32))
 
 QUERIES = {
-    "standardize": over_spread(standardize.standardize_submissions, "submissions"),
-    "standardization_profile": over_spread(standardize.standardization_profile, "submissions"),
-    "identity_collisions": over_spread(standardize.identity_collisions, "submissions"),
+    "standardize": over(standardize.standardize_submissions, "submissions"),
+    "standardization_profile": over(standardize.standardization_profile, "submissions"),
+    "identity_collisions": over(standardize.identity_collisions, "submissions"),
     "registry_lookup": over(registry.registry_lookup, *REGISTRY_INPUTS),
     "registry_not_found": over(registry.registry_not_found, *REGISTRY_INPUTS),
     "registry_ambiguous": over(registry.registry_ambiguous, *REGISTRY_INPUTS),
@@ -79,15 +69,15 @@ QUERIES = {
     "protected_registry": over(
         registry.protected_roundtrip, "registry", secret=SAMPLE_SECRET, cipher_key=SAMPLE_CIPHER_KEY
     ),
-    "licence_rules": over_spread(validate.licence_rules, "submissions"),
-    "visa_rules": over_spread(validate.visa_rules, "submissions"),
-    "permit_rules": over_spread(validate.permit_rules, "submissions"),
-    "identity_card_rules": over_spread(validate.identity_card_rules, "submissions"),
-    "mrz_audit": over_spread(validate.mrz_audit, "submissions"),
-    "check_digit_audit": over_spread(validate.check_digit_audit, "submissions"),
-    "verhoeff_audit": over_spread(validate.verhoeff_audit, "submissions"),
-    "validity_window": over_spread(validate.validity_window, "submissions"),
-    "text_routing_matrix": over_spread(validate.text_routing_matrix, "text_routing"),
+    "licence_rules": over(validate.licence_rules, "submissions"),
+    "visa_rules": over(validate.visa_rules, "submissions"),
+    "permit_rules": over(validate.permit_rules, "submissions"),
+    "identity_card_rules": over(validate.identity_card_rules, "submissions"),
+    "mrz_audit": over(validate.mrz_audit, "submissions"),
+    "check_digit_audit": over(validate.check_digit_audit, "submissions"),
+    "verhoeff_audit": over(validate.verhoeff_audit, "submissions"),
+    "validity_window": over(validate.validity_window, "submissions"),
+    "text_routing_matrix": over(validate.text_routing_matrix, "text_routing"),
     "quality_score": over(validate.quality_score, "quality_metrics"),
     "forensic_vote": over(validate.forensic_vote, "forensic_votes"),
     "active_revisions": over(crossdoc.active_revisions, "case_documents"),
@@ -97,9 +87,9 @@ QUERIES = {
     "case_risk": over(crossdoc.case_risk, "case_documents", "evidence"),
     "conflicts": over(conflicts.conflicts, "evidence"),
     "contradictions": over(conflicts.contradictions, "evidence"),
-    "evidence_union": over_spread(evidence.evidence_union, "module_results"),
+    "evidence_union": over(evidence.evidence_union, "module_results"),
     "evidence_from_registry": over(evidence.evidence_from_registry, *REGISTRY_INPUTS),
-    "evidence_from_validation": over_spread(evidence.evidence_from_validation, "submissions"),
+    "evidence_from_validation": over(evidence.evidence_from_validation, "submissions"),
     "ledger_build": over(ledger.ledger_build, "ledger_events"),
     "ledger_heads": over(ledger.ledger_head_report, "ledger_events"),
     "ledger_verify": over(ledger.ledger_verify_tampered, "ledger_events"),
@@ -107,25 +97,26 @@ QUERIES = {
     "evidence_package_hash": over(ledger.evidence_package_hash, "evidence"),
     "risk_snapshot": over(ledger.risk_snapshot, "evidence"),
     "officer_decisions": over(ledger.officer_decisions, "ledger_events"),
-    "viz_mrz_crosscheck": over_spread(pairing.viz_mrz_crosscheck, "submissions"),
-    "payload_fields": over_spread(payloads.payload_fields, "payloads"),
+    "viz_mrz_crosscheck": over(pairing.viz_mrz_crosscheck, "submissions"),
+    "payload_fields": over(payloads.payload_fields, "payloads"),
     "payload_crosscheck": over(payloads.payload_crosscheck, "payloads", "printed_fields"),
     "label_value_pairs": over(pairing.label_value_pairs, "ocr_tokens"),
     "field_candidates": over(pairing.field_candidates, "ocr_tokens"),
-    "pattern_signals": over_spread(pairing.pattern_signals, "text_routing"),
-    "face_verify": over_spread(faces.face_verify, "face_pairs", "embeddings"),
+    "pattern_signals": over(pairing.pattern_signals, "text_routing"),
+    "face_verify": over(faces.face_verify, "face_pairs", "embeddings"),
     "face_verify_elevated": over(faces.face_verify_elevated, "face_pairs", "embeddings", "evidence"),
-    "face_verify_fused": over_spread(faces.face_verify_fused, "face_pairs", "embeddings"),
+    "face_verify_fused": over(faces.face_verify_fused, "face_pairs", "embeddings"),
     "stage_latency": over(telemetry.stage_latency, "stage_events"),
     "stage_order": over(telemetry.stage_order, "stage_events"),
     "exact_dedup": over(
         standardize.dedup_exact, "documents", type_column="source", content_column="text", order_column="doc_id"
     ),
-    "mask_identifiers": over_spread(standardize.mask_document_text, "documents"),
+    "mask_identifiers": over(standardize.mask_document_text, "documents"),
     "vocabulary_violations": over(standardize.vocabulary_violations, "evidence"),
     "session_assembly": over(jobs.assemble_sessions, "module_updates"),
     "session_stream": streamed(lambda df: jobs.assemble_sessions(df, jobs.LATE_BY), "module_updates", "sessions"),
-    "registry_dedup_stream": streamed(jobs.fresh_lookups, "lookups", "lookups"),
+    "registry_dedup": over(jobs.fresh_lookups, "lookups"),
+    "registry_dedup_stream": streamed(lambda df: jobs.fresh_lookups(df, jobs.LATE_BY), "lookups", "lookups"),
     "latency_stream": streamed(jobs.latency_windows, "stage_events", "latency"),
     "registry_stream": registry_stream,
     "ledger_stream": ledger_stream,

@@ -262,4 +262,8 @@ SELECT verification_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at,
   max_by(result, ts) FILTER (module = 'M3') AS m3, max_by(result, ts) FILTER (module = 'M4') AS m4,
   max_by(result, ts) FILTER (module = 'M5') AS m5, count(*) AS updates
 FROM s GROUP BY verification_id, session""",
+    "registry_dedup": """
+SELECT document_type, query_hash, provider, strftime(time_bucket(INTERVAL 300 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS period,
+  min_by(event_id, (ts, event_id)) AS event_id, min_by(outcome, (ts, event_id)) AS outcome, count(*) AS served
+FROM {lookups} AS l0 WHERE outcome NOT IN ('UNAVAILABLE', 'TIMEOUT', 'PROVIDER_ERROR', 'RATE_LIMITED', 'ERROR') GROUP BY document_type, query_hash, provider, time_bucket(INTERVAL 300 SECOND, ts)""",
 }

@@ -95,13 +95,21 @@ def late_results(results: DataFrame, horizon: DataFrame) -> DataFrame:
 # Lookups
 
 
-def fresh_lookups(lookups: DataFrame) -> DataFrame:
-    """First answer per document type, number and provider within the freshness period.
+def fresh_lookups(lookups: DataFrame, late_by: str | None = None) -> DataFrame:
+    """First answer per document type, number and provider in each freshness period.
 
+    Periods are aligned, so no reused answer is older than FRESH_FOR and the result does not
+    depend on how the input is cut into batches. Repeats collapse before the shuffle.
     Transient outcomes are no answers: they neither pass nor keep a later answer from passing.
     """
     answered = lookups.filter(~F.col("outcome").isin(*TRANSIENT))
-    return watermarked(answered, "ts", FRESH_FOR).dropDuplicatesWithinWatermark(["document_type", "query_hash", "provider"])
+    rows = watermarked(answered, "ts", late_by) if late_by else answered
+    grouped = rows.groupBy("document_type", "query_hash", "provider", F.window("ts", FRESH_FOR).alias("w"))
+    first = F.min_by(F.struct("event_id", "outcome"), F.struct("ts", "event_id"))
+    return grouped.agg(first.alias("a"), F.count("*").alias("served")).select(
+        "document_type", "query_hash", "provider", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("period"),
+        "a.event_id", "a.outcome", "served",
+    )
 
 
 def registry_stream(submissions: DataFrame, official: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
