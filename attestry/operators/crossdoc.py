@@ -18,6 +18,7 @@ from attestry.functions.text import case_when
 from attestry.operators import risk
 from attestry.operators.conflicts import case_flags, conflict_count
 from attestry.operators.ranking import first_row
+from attestry.session import checkpointed
 
 IDENTITY = ["document_number", "passport_number", "name", "date_of_birth", "nationality"]
 INACTIVE = ("REMOVED", "SUPERSEDED")
@@ -168,9 +169,9 @@ def removed_evidence_purge(documents: DataFrame) -> DataFrame:
     )
 
 
-def cross_document_evidence(documents: DataFrame) -> DataFrame:
+def cross_document_evidence(relations: DataFrame) -> DataFrame:
     """Evidence rows for mismatches and partial matches."""
-    rows = relationships(documents).filter(F.col("status").isin("MISMATCH", "PARTIAL_MATCH"))
+    rows = relations.filter(F.col("status").isin("MISMATCH", "PARTIAL_MATCH"))
     return rows.select(
         "case_id",
         F.struct(
@@ -193,7 +194,7 @@ def dedup_binding(evidence: DataFrame) -> DataFrame:
     return evidence.filter(~bound).unionByName(first)
 
 
-def case_evidence(documents: DataFrame, evidence: DataFrame) -> DataFrame:
+def case_evidence(documents: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataFrame:
     """Evidence of every active document plus the cross-document rows, keyed by case.
 
     ``evidence.case_id`` is the key inside ``DOC-<key>`` of the document it was raised for.
@@ -206,12 +207,12 @@ def case_evidence(documents: DataFrame, evidence: DataFrame) -> DataFrame:
     columns = (
         "case_id item_seq module signal category status severity confidence quality available correlation_group is_positive"
     ).split()
-    return own.select(*columns).unionByName(cross_document_evidence(documents).select(*columns))
+    return own.select(*columns).unionByName(cross_document_evidence(relations).select(*columns))
 
 
 def case_completeness(documents: DataFrame, evidence: DataFrame) -> DataFrame:
     """Mean completeness of the active documents of a case, 1.0 when none is active."""
-    known = risk.case_rollup(evidence).select(
+    known = risk.case_counts(evidence).select(
         F.concat(F.lit("DOC-"), F.col("case_id").cast("string")).alias("document_id"), risk.completeness().alias("part")
     )
     active = active_documents(documents).select("case_id", "document_id").join(known, "document_id", "left")
@@ -226,11 +227,16 @@ def case_completeness(documents: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def case_risk(documents: DataFrame, evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
-    """Unified risk per case: no overrides and never INCONCLUSIVE."""
-    merged = dedup_binding(case_evidence(documents, evidence))
+    """Unified risk per case: no overrides and never INCONCLUSIVE.
+
+    The relationships and the merged evidence feed several aggregations each, so both are
+    written once instead of being joined anew for every use.
+    """
+    relations = checkpointed(relationships(documents))
+    merged = checkpointed(dedup_binding(case_evidence(documents, evidence, relations)))
     scores = risk.risk_score(merged, config).select("case_id", "risk_score")
     conflicts = case_flags(merged).select("case_id", conflict_count().alias("conflicts"))
-    adverse = relationships(documents).groupBy("case_id").agg(
+    adverse = relations.groupBy("case_id").agg(
         F.count_if((F.col("status") == "MISMATCH") & F.col("severity").isin("HIGH", "CRITICAL")).alias("mismatches")
     )
     rows = (

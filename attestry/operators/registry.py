@@ -212,17 +212,22 @@ def field_results() -> Column:
     entries = []
     for field, method in dims.COMPARISON_METHODS.items():
         d, r = doc[field], reg[field]
+        is_critical = critical(field)
+        # fields outside the policy of the row's type are never compared
         entries.append(
-            F.struct(
-                F.lit(field).alias("field"),
-                critical(field).alias("is_critical"),
-                F.when(d.isNull() | r.isNull(), "none").otherwise(method).alias("comparison_method"),
-                normal(field, d).alias("document_value"),
-                normal(field, r).alias("registry_value"),
-                _presence(d, r, compare.get(field, plain)(d, r)).alias("status"),
+            F.when(
+                is_critical.isNotNull(),
+                F.struct(
+                    F.lit(field).alias("field"),
+                    is_critical.alias("is_critical"),
+                    F.when(d.isNull() | r.isNull(), "none").otherwise(method).alias("comparison_method"),
+                    normal(field, d).alias("document_value"),
+                    normal(field, r).alias("registry_value"),
+                    _presence(d, r, compare.get(field, plain)(d, r)).alias("status"),
+                ),
             )
         )
-    return F.filter(F.array(*entries), lambda e: e["is_critical"].isNotNull())
+    return F.array_compact(F.array(*entries))
 
 
 def compared(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:

@@ -78,10 +78,39 @@ def _raw(category: str) -> str:
     return "raw_" + category.lower()
 
 
+def _counts() -> list[Column]:
+    """Module states and evidence counts of a case; ``item`` marks the rows that are evidence."""
+
+    def count(condition):
+        return F.count(F.when(condition & F.col("item").isNotNull(), 1))
+
+    states = []
+    for m in [*dims.MODULES, dims.OPTIONAL_MODULE]:
+        states += [
+            count((F.col("module") == m) & F.col("available")).alias(f"{m}_seen"),
+            count((F.col("module") == m) & ~F.col("available")).alias(f"{m}_lost"),
+        ]
+    return [
+        *states,
+        F.count("item").alias("total_evaluated"),
+        count(F.col("available")).alias("available_count"),
+        count(~F.col("available")).alias("unavailable_count"),
+        count(F.col("available") & (F.col("severity") != "NONE")).alias("adverse_count"),
+        count(F.col("available") & F.col("is_positive")).alias("positive_count"),
+        count(F.col("uncertain")).alias("uncertainty_count"),
+    ]
+
+
+def case_counts(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
+    """Counts per case alone: one scan, one pre-aggregated shuffle."""
+    rows = evidence.withColumns({"item": F.lit(1), "uncertain": is_uncertain(config)})
+    return rows.groupBy("case_id").agg(*_counts())
+
+
 def case_rollup(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
     """One row per case: raw category sums, override target, counts, module states.
 
-    Everything later queries need comes out of this one aggregation.
+    Everything the scoring queries need comes out of this one aggregation.
     """
     items = score_items(evidence, config)
     available, signal = F.col("available"), F.col("signal")
@@ -104,29 +133,10 @@ def case_rollup(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataF
     )
     rows = whole.unionByName(lead, allowMissingColumns=True)
 
-    def count(condition):
-        return F.count(F.when(condition & F.col("item").isNotNull(), 1))
-
     sums = [
         F.sum(F.when(F.col("category") == c, F.col("points")).otherwise(0.0)).alias(_raw(c)) for c in config.caps
     ]
-    states = []
-    for m in [*dims.MODULES, dims.OPTIONAL_MODULE]:
-        states += [
-            count((F.col("module") == m) & F.col("available")).alias(f"{m}_seen"),
-            count((F.col("module") == m) & ~F.col("available")).alias(f"{m}_lost"),
-        ]
-    return rows.groupBy("case_id").agg(
-        *sums,
-        *states,
-        F.max("target").alias("override_target"),
-        F.count("item").alias("total_evaluated"),
-        count(F.col("available")).alias("available_count"),
-        count(~F.col("available")).alias("unavailable_count"),
-        count(F.col("available") & (F.col("severity") != "NONE")).alias("adverse_count"),
-        count(F.col("available") & F.col("is_positive")).alias("positive_count"),
-        count(F.col("uncertain")).alias("uncertainty_count"),
-    )
+    return rows.groupBy("case_id").agg(*sums, F.max("target").alias("override_target"), *_counts())
 
 
 def _capped(category: str, cap: float) -> Column:
@@ -236,7 +246,7 @@ def module_completeness(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK)
             for m in modules
         ]
     )
-    rows = case_rollup(evidence, config).select(
+    rows = case_counts(evidence, config).select(
         "case_id", completeness().alias("completeness"), F.explode(cells).alias("m")
     )
     expected = F.col("m.module").isin(dims.MODULES) | (F.col("m.status") != "not_run")
@@ -244,7 +254,7 @@ def module_completeness(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK)
 
 
 def evidence_summary(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
-    return case_rollup(evidence, config).select(
+    return case_counts(evidence, config).select(
         "case_id", "total_evaluated", "available_count", "unavailable_count", "adverse_count", "positive_count",
         "uncertainty_count",
     )
