@@ -98,7 +98,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     staged = staged.withColumns(
         {
             "_json": F.when(v.startswith("{") & v.endswith("}"), _json_pairs(v)),
-            "_xml": F.when(v.rlike(r"(?s)^<(\w+)[^>]*>.*</\1>$"), _xml_pairs(v)),
+            "_xml": F.when(v.rlike(r"(?s)^<([\w:.-]+)[^>]*>.*</\1>$"), _xml_pairs(v)),
             "_kv": F.when(v.rlike("[:=]"), _key_value_pairs(v)),
             "_pos": F.when(v.rlike("[|;]"), _positional_pairs(v)),
         }

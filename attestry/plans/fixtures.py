@@ -208,7 +208,7 @@ SELECT case_id, item_seq, module, signal, category, status, severity, confidence
   correlation_group, severity = 'NONE' AND status IN ('MATCH', 'PASS') AS is_positive, observed_at
 FROM (
   SELECT l_orderkey AS case_id,
-    CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 10000000 + l_suppkey AS item_seq,
+    CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS item_seq,
     CASE s.category WHEN 'FORENSIC_ANOMALY' THEN 'M3' WHEN 'BIOMETRIC_CONSISTENCY' THEN 'M4'
       WHEN 'PRESENTATION_ATTACK' THEN 'M4' WHEN 'REGISTRY_STATUS' THEN 'M5' WHEN 'MACHINE_READABLE' THEN 'M7'
       WHEN 'VERIFICATION_UNCERTAINTY' THEN 'M1' ELSE 'M2' END AS module,
@@ -371,7 +371,7 @@ FROM {holders} WHERE kind <> 'error'
 """
 
 OCR_TOKENS = """
-SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 10000000 + l_suppkey AS token_id,
+SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS token_id,
   l_linenumber % 3 = 0 AS is_label,
   CASE WHEN l_linenumber % 3 = 0 THEN 'LABEL ' || CAST(l_suppkey % 2 AS STRING) ELSE 'V' || CAST(l_partkey % 3 AS STRING) END AS text,
   round(l_quantity / 50, 2) AS conf, l_partkey * 13 % 200 AS x0, l_partkey * 13 % 200 + 40 + l_suppkey % 60 AS x1,
