@@ -26,8 +26,8 @@ def _qr_field() -> Column:
     return case_when([(signal.contains("dob"), "dob"), (signal.contains("docnumber"), "document_number")], "data_field")
 
 
-def case_flags(evidence: DataFrame) -> DataFrame:
-    """One row per case with the facts the conflict patterns are made of and the patterns c01-c06."""
+def facts() -> dict[str, Column]:
+    """Aggregates of one case's evidence that the conflict patterns are made of."""
     module, signal, status = F.col("module"), F.col("signal"), F.col("status")
 
     def sig(m: str, *signals: str) -> Column:
@@ -36,7 +36,7 @@ def case_flags(evidence: DataFrame) -> DataFrame:
     def st(m: str, *statuses: str) -> Column:
         return _seen((module == m) & status.isin(*statuses))
 
-    facts = {
+    return {
         "m2": _seen(module == "M2"),
         "m4": _seen(module == "M4"),
         "m5": _seen(module == "M5"),
@@ -53,11 +53,19 @@ def case_flags(evidence: DataFrame) -> DataFrame:
         "high_concern": sig("M3", "forensic_high_concern"),
         "forensic": sig("M3", "forensic_high_concern", "forensic_suspicious"),
         "qr": _seen(_qr_mismatch()),
+        "qr_items": F.count(F.when(F.col("available") & _qr_mismatch(), 1)),
         "qr_dob": _seen(_qr_mismatch() & (_qr_field() == "dob")),
         "dob_item": F.min(F.when(F.col("available") & signal.contains("dob_mismatch"), F.col("item_seq"))),
     }
-    rows = evidence.groupBy("case_id").agg(*[c.alias(n) for n, c in facts.items()])
-    f = {n: F.col(n) for n in facts}
+
+
+def with_patterns(rows: DataFrame) -> DataFrame:
+    """Adds the patterns c01-c06 to rows that hold ``facts``."""
+    names = (
+        "m2 m4 m5 match_pass face_adverse attack blocked blocked_or_unknown registry_adverse registry_match "
+        "registry_mismatch number_failure number_adverse high_concern forensic qr"
+    ).split()
+    f = {n: F.col(n) for n in names}
     adverse = f["number_adverse"].cast("int") + f["forensic"].cast("int") + f["blocked_or_unknown"].cast("int")
     return rows.withColumns(
         {
@@ -71,10 +79,21 @@ def case_flags(evidence: DataFrame) -> DataFrame:
     )
 
 
+def case_flags(evidence: DataFrame) -> DataFrame:
+    """One row per case with the facts and the patterns."""
+    return with_patterns(evidence.groupBy("case_id").agg(*[c.alias(n) for n, c in facts().items()]))
+
+
 def conflict_count() -> Column:
     return sum((F.col(f"c0{i}").cast("int") for i in range(1, 7)), F.lit(0))
 
 
+def contradiction_count() -> Column:
+    """Payload mismatches, the mirrored patterns and the birth date row."""
+    dob = F.col("dob_item").isNotNull() & ~F.col("qr_dob")
+    return F.col("qr_items") + sum((c.cast("long") for c in (F.col("c01"), F.col("c03"), F.col("c04"), dob)), F.lit(0))
+
+
 def conflicts(evidence: DataFrame) -> DataFrame:
     """One row per active pattern with its severity and the modules involved."""
     involved = F.concat_ws(

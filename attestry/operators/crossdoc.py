@@ -17,6 +17,7 @@ from attestry.functions import dates, text
 from attestry.functions.text import case_when
 from attestry.operators import risk
 from attestry.operators.conflicts import case_flags, conflict_count
+from attestry.operators.evidence import case_package_items
 from attestry.operators.ranking import first_row
 from attestry.session import checkpointed
 
@@ -252,3 +253,8 @@ def case_risk(documents: DataFrame, evidence: DataFrame, config: RiskConfig = DE
         "case_id", "risk_score", "risk_level", risk.recommendation(F.col("risk_level")).alias("officer_recommendation"),
         "documents_considered", "verification_completeness", (found > 0).alias("conflict_detected"),
     )
+
+
+def case_package(documents: DataFrame) -> DataFrame:
+    """Ledger items of every case: document intake and relationships."""
+    return case_package_items(active_documents(documents), relationships(documents))

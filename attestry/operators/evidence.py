@@ -360,10 +360,6 @@ FORENSIC_PACKAGE = {
     "pass": "VALID:INFO", "clean": "VALID:INFO", "suspicious": "SUSPICIOUS:HIGH", "warning": "WARNING:MEDIUM",
     "tampered": "SUSPICIOUS:HIGH", "insufficient": "UNAVAILABLE:INFO",
 }
-VALIDATION_PACKAGE = {
-    "valid": "VALID:INFO", "passed": "VALID:INFO", "warning": "WARNING:MEDIUM", "failed": "SUSPICIOUS:HIGH",
-    "critical": "SUSPICIOUS:HIGH",
-}
 
 
 def package_status(mapping: dict[str, str], value: Column, default: str = "INFO:INFO") -> Column:
@@ -372,6 +368,48 @@ def package_status(mapping: dict[str, str], value: Column, default: str = "INFO:
     return F.struct(pair[0].alias("status"), pair[1].alias("severity"))
 
 
+def module_package(results: DataFrame) -> DataFrame:
+    """One ledger item per module that ran, in the coarser vocabulary."""
+    read = F.col("m1_status") != "failed"
+    matched = F.coalesce("m4_match", F.lit("pass")).isin("pass", "match", "matched")
+    forensic = package_status(FORENSIC_PACKAGE, F.col("m3_overall"))
+    official = package_status(REGISTRY_PACKAGE, F.col("m5_status"))
+
+    def entry(module, signal, status, severity, confidence):
+        return F.struct(
+            F.lit(module).alias("module"), signal.alias("signal_type"), status.alias("status"), severity.alias("severity"),
+            confidence.cast("double").alias("confidence"),
+        )
+
+    rows = items(
+        (
+            F.col("has_m1"),
+            entry(
+                "OCR", F.lit("ocr_text_extraction"), F.when(read, "VALID").otherwise("WARNING"),
+                F.when(read, "INFO").otherwise("LOW"), F.coalesce("m1_confidence", F.lit(0.95)),
+            ),
+        ),
+        (
+            F.col("has_m3"),
+            entry("FORENSICS", F.lit("forensic_tampering_analysis"), forensic["status"], forensic["severity"], F.lit(0.90)),
+        ),
+        (
+            F.col("has_m4"),
+            entry(
+                "BIOMETRICS", F.lit("face_verification"), F.when(matched, "VALID").otherwise("MISMATCH"),
+                F.when(matched, "INFO").otherwise("CRITICAL"), F.coalesce("m4_similarity", F.lit(0.92)),
+            ),
+        ),
+        (
+            F.col("has_m5"),
+            entry(
+                "REGISTRY", F.concat(F.lit("registry_"), F.lower("m5_status")), official["status"], official["severity"], F.lit(1.0)
+            ),
+        ),
+    )
+    return results.select("case_id", F.explode(rows).alias("i")).select("case_id", "i.*")
+
+
 def case_package_items(documents: DataFrame, relations: DataFrame) -> DataFrame:
     """Ledger items of a case: one intake row per active document, one row per relationship."""
     intake = documents.select(

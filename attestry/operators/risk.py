@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from attestry import dims
 from attestry.dims import DEFAULT_RISK, RiskConfig
 from attestry.functions.text import case_when
+from attestry.operators import conflicts
 from attestry.operators.ranking import first_row, ordinal, top_rows
 
 GROUP = ["case_id", "category", "correlation_group"]
@@ -254,9 +255,13 @@ def module_completeness(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK)
 
 
 def evidence_summary(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
-    return case_counts(evidence, config).select(
+    """Counts of evidence, conflicts and contradictions per case from one aggregation."""
+    rows = evidence.withColumns({"item": F.lit(1), "uncertain": is_uncertain(config)})
+    facts = [c.alias(n) for n, c in conflicts.facts().items()]
+    return conflicts.with_patterns(rows.groupBy("case_id").agg(*_counts(), *facts)).select(
         "case_id", "total_evaluated", "available_count", "unavailable_count", "adverse_count", "positive_count",
-        "uncertainty_count",
+        "uncertainty_count", conflicts.conflict_count().cast("long").alias("conflict_count"),
+        conflicts.contradiction_count().alias("contradiction_count"),
     )
 
 

@@ -88,6 +88,8 @@ QUERIES = {
     "conflicts": over(conflicts.conflicts, "evidence"),
     "contradictions": over(conflicts.contradictions, "evidence"),
     "evidence_union": over(evidence.evidence_union, "module_results"),
+    "module_package": over(evidence.module_package, "module_results"),
+    "case_package": over(crossdoc.case_package, "case_documents"),
     "evidence_from_registry": over(evidence.evidence_from_registry, *REGISTRY_INPUTS),
     "evidence_from_validation": over(evidence.evidence_from_validation, "submissions"),
     "ledger_build": over(ledger.ledger_build, "ledger_events"),

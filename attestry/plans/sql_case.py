@@ -171,4 +171,43 @@ rows AS (
 )
 SELECT *, {_LEVEL.format('risk_score')} AS risk_level, CASE {_LEVEL.format('risk_score')} {_ADVICE} END AS officer_recommendation
 FROM rows""",
+    "evidence_summary": SCORED + "," + flags("evidence") + """,
+contra AS (
+  SELECT case_id FROM qr UNION ALL SELECT case_id FROM found WHERE conflict_id IN ('C-01', 'C-03', 'C-04')
+  UNION ALL SELECT case_id FROM f WHERE dob_item IS NOT NULL AND case_id NOT IN (SELECT case_id FROM qr WHERE qf = 'dob')
+),
+counted AS (
+  SELECT case_id, count(*) AS total_evaluated, count(*) FILTER (available) AS available_count,
+    count(*) FILTER (NOT available) AS unavailable_count,
+    count(*) FILTER (available AND severity <> 'NONE') AS adverse_count,
+    count(*) FILTER (available AND is_positive) AS positive_count, count(*) FILTER (uncertain) AS uncertainty_count
+  FROM scored GROUP BY case_id
+)
+SELECT c.*, (SELECT count(*) FROM found x WHERE x.case_id = c.case_id) AS conflict_count,
+  (SELECT count(*) FROM contra x WHERE x.case_id = c.case_id) AS contradiction_count FROM counted c""",
+    "case_package": RELATED + """
+SELECT case_id, document_id, document_type, 'CASE' AS module, 'document_intake' AS signal_type, 'VALID' AS status, 'INFO' AS severity,
+  CAST(1.0 AS DOUBLE) AS confidence, 'INT-' || document_id AS evidence_id FROM active
+UNION ALL
+SELECT case_id, source_id, st, 'CROSS_DOCUMENT', 'cross_doc_consistency',
+  CASE status WHEN 'MATCHED' THEN 'VALID' WHEN 'PARTIAL_MATCH' THEN 'WARNING' WHEN 'MISMATCH' THEN 'MISMATCH' ELSE 'INFO' END,
+  CASE status WHEN 'PARTIAL_MATCH' THEN 'MEDIUM' WHEN 'MISMATCH' THEN 'HIGH' ELSE 'INFO' END, CAST(conf AS DOUBLE),
+  'XDC-' || source_id || '-' || target_id || '-' || lpad(CAST(pos AS VARCHAR), 3, '0') FROM rel""",
+    "module_package": """
+WITH m AS (SELECT * FROM {module_results} AS m0)
+SELECT case_id, 'OCR' AS module, 'ocr_text_extraction' AS signal_type, CASE WHEN m1_status <> 'failed' THEN 'VALID' ELSE 'WARNING' END AS status,
+  CASE WHEN m1_status <> 'failed' THEN 'INFO' ELSE 'LOW' END AS severity, coalesce(m1_confidence, 0.95) AS confidence FROM m WHERE has_m1
+UNION ALL
+SELECT case_id, 'FORENSICS', 'forensic_tampering_analysis',
+  CASE m3_overall WHEN 'clean' THEN 'VALID' WHEN 'suspicious' THEN 'SUSPICIOUS' ELSE 'INFO' END,
+  CASE m3_overall WHEN 'suspicious' THEN 'HIGH' ELSE 'INFO' END, 0.90 FROM m WHERE has_m3
+UNION ALL
+SELECT case_id, 'BIOMETRICS', 'face_verification', CASE WHEN coalesce(m4_match, 'pass') IN ('match', 'pass') THEN 'VALID' ELSE 'MISMATCH' END,
+  CASE WHEN coalesce(m4_match, 'pass') IN ('match', 'pass') THEN 'INFO' ELSE 'CRITICAL' END, coalesce(m4_similarity, 0.92) FROM m WHERE has_m4
+UNION ALL
+SELECT case_id, 'REGISTRY', 'registry_' || lower(m5_status),
+  CASE m5_status WHEN 'MATCHED' THEN 'VALID' WHEN 'NOT_FOUND' THEN 'WARNING' WHEN 'EXPIRED' THEN 'WARNING' WHEN 'REVOKED' THEN 'SUSPICIOUS'
+    WHEN 'SUSPENDED' THEN 'SUSPICIOUS' WHEN 'MISMATCH' THEN 'MISMATCH' WHEN 'TIMEOUT' THEN 'UNAVAILABLE' ELSE 'INFO' END,
+  CASE m5_status WHEN 'NOT_FOUND' THEN 'MEDIUM' WHEN 'EXPIRED' THEN 'MEDIUM' WHEN 'REVOKED' THEN 'CRITICAL' WHEN 'SUSPENDED' THEN 'HIGH'
+    WHEN 'MISMATCH' THEN 'HIGH' WHEN 'TIMEOUT' THEN 'LOW' ELSE 'INFO' END, 1.0 FROM m WHERE has_m5""",
 }

@@ -123,12 +123,6 @@ SELECT case_id, 'LIMITATION', module, signal, item_seq,
   CASE WHEN module IN ('M1', 'M2') THEN 'HIGH' WHEN module IN ('M4', 'M5') THEN 'MEDIUM' ELSE 'LOW' END
 FROM evidence WHERE NOT available OR status IN ('UNAVAILABLE', 'NOT_RUN', 'INCONCLUSIVE')
 QUALIFY row_number() OVER (PARTITION BY case_id, module, signal ORDER BY item_seq) = 1""",
-    "evidence_summary": SCORED + """
-SELECT case_id, count(*) AS total_evaluated, count(*) FILTER (available) AS available_count,
-  count(*) FILTER (NOT available) AS unavailable_count,
-  count(*) FILTER (available AND severity <> 'NONE') AS adverse_count,
-  count(*) FILTER (available AND is_positive) AS positive_count,
-  count(*) FILTER (uncertain) AS uncertainty_count FROM scored GROUP BY case_id""",
     "module_completeness": SCORED + """
 SELECT s.case_id, module, status, seen AS evidence_count, completeness
 FROM states s JOIN complete c ON c.case_id = s.case_id""",

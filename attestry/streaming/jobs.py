@@ -86,9 +86,9 @@ def assemble_sessions(results: DataFrame, late_by: str | None = None) -> DataFra
     )
 
 
-def late_results(results: DataFrame, horizon: DataFrame) -> DataFrame:
-    """Rows older than the horizon (one row: the closing time of the run); kept beside the sessions."""
-    return results.join(F.broadcast(horizon), F.col("ts") < F.col("closed_before")).drop("closed_before")
+def late_results(results: DataFrame, closed_before: str) -> DataFrame:
+    """Rows older than the time up to which sessions are closed; kept beside the sessions."""
+    return results.filter(F.col("ts") < F.lit(closed_before).cast("timestamp"))
 
 
 # ---------------------------------------------------------------------------------------
