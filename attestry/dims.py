@@ -200,8 +200,10 @@ DEFAULT_RISK = RiskConfig()
 
 
 def points_frame(spark: SparkSession) -> DataFrame:
-    rows = [(signal, severity, points) for signal, _, severity, points in signal_points()]
-    return spark.createDataFrame(rows, "signal string, severity string, points double")
+    """The listed cells as an in-memory relation, whose size the planner knows."""
+    cells = ", ".join(f"('{signal}', '{severity}', {points}D)" for signal, _, severity, points in signal_points())
+    return spark.sql(f"SELECT * FROM VALUES {cells} AS p(signal, severity, points)")
+
 
 # ---------------------------------------------------------------------------------------
 # Identity vocabularies
