@@ -132,9 +132,9 @@ _FIELD_ORDER = "CASE field " + " ".join(
 ) + " END"
 # Outcome, signal, status, severity, confidence with the sandbox factor, group.
 _OUTCOMES = """('MATCHED', 'registry_matched', 'MATCH', 'NONE', 0.7, NULL), ('REVOKED', 'registry_revoked', 'REVOKED', 'CRITICAL', 0.97, 'REGISTRY_STATUS_SIGNALS'),
-('SUSPENDED', 'registry_suspended', 'SUSPENDED', 'CRITICAL', 0.97, 'REGISTRY_STATUS_SIGNALS'), ('INVALID', 'registry_invalid', 'FAIL', 'CRITICAL', 0.97 * 0.7, NULL),
-('MISMATCH', 'registry_mismatch', 'MISMATCH', 'HIGH', 0.95 * 0.7, NULL), ('EXPIRED', 'registry_expired', 'EXPIRED', 'HIGH', 0.97 * 0.7, NULL),
-('NOT_FOUND', 'registry_not_found', 'NOT_FOUND', 'MEDIUM', 0.80 * 0.7, NULL), ('INCONCLUSIVE', 'registry_ambiguous', 'INCONCLUSIVE', 'MEDIUM', 0.75 * 0.7, NULL)"""
+('SUSPENDED', 'registry_suspended', 'SUSPENDED', 'CRITICAL', 0.97, 'REGISTRY_STATUS_SIGNALS'), ('INVALID', 'registry_invalid', 'FAIL', 'CRITICAL', 0.97::DOUBLE * 0.7::DOUBLE, NULL),
+('MISMATCH', 'registry_mismatch', 'MISMATCH', 'HIGH', 0.95::DOUBLE * 0.7::DOUBLE, NULL), ('EXPIRED', 'registry_expired', 'EXPIRED', 'HIGH', 0.97::DOUBLE * 0.7::DOUBLE, NULL),
+('NOT_FOUND', 'registry_not_found', 'NOT_FOUND', 'MEDIUM', 0.80::DOUBLE * 0.7::DOUBLE, NULL), ('INCONCLUSIVE', 'registry_ambiguous', 'INCONCLUSIVE', 'MEDIUM', 0.75::DOUBLE * 0.7::DOUBLE, NULL)"""
 
 _MAP = ", ".join(
     f"('{n}', '{c}', '{s}', '{k}', '{st}', '{sv}', {cf}, {'NULL' if g is None else repr(g)})" for n, c, s, k, st, sv, cf, g in CHECK_SIGNALS
@@ -148,7 +148,7 @@ SELECT verification_id, 'M5' AS module, signal, 'REGISTRY_STATUS' AS category, s
   true AS available, grp AS correlation_group, registry_status = 'MATCHED' AS is_positive, CAST(NULL AS VARCHAR) AS field
 FROM outcomes JOIN codes ON outcome = registry_status
 UNION ALL
-SELECT f.verification_id, 'M5', 'registry_field_mismatch', 'REGISTRY_STATUS', 'MISMATCH', 'HIGH', CAST(0.95 * 0.7 AS DOUBLE), true,
+SELECT f.verification_id, 'M5', 'registry_field_mismatch', 'REGISTRY_STATUS', 'MISMATCH', 'HIGH', 0.95::DOUBLE * 0.7::DOUBLE, true,
   'REGISTRY_FIELD_MISMATCHES', false, field
 FROM fields f JOIN outcomes o ON o.verification_id = f.verification_id AND o.registry_status = 'MISMATCH'
 WHERE is_critical AND f.status = 'MISMATCH'

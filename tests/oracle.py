@@ -25,7 +25,7 @@ def connect(folder: str):
 
 def cell(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 4) + 0.0
+        return None if math.isnan(value) else value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(cell(v) for v in value)
     return value
