@@ -151,8 +151,14 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", ambiguous_gap:
     return LanguageModel(languages, code, weights, ambiguous_gap)
 
 
-def predict(docs: DataFrame, model: LanguageModel, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row with ``lang_pred``, ``score`` and ``ambiguous``."""
+def predict(
+    docs: DataFrame,
+    model: LanguageModel,
+    columns: list[str],
+    text: str = "text",
+    names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"),
+) -> DataFrame:
+    """``columns`` of every row with the language, the score and whether it is ambiguous, under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, independent of the input
 
     def compute():
@@ -162,4 +168,5 @@ def predict(docs: DataFrame, model: LanguageModel, columns: list[str], text: str
 
         return of_texts
 
-    return map_texts(docs, columns, "lang_pred string, score double, ambiguous boolean", compute, text)
+    fields = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"
+    return map_texts(docs, columns, fields, compute, text)

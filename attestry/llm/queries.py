@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
-from attestry.llm import exact_dedup, language_id, simhash
-from attestry.llm.common import documents
 from pyspark.sql import functions as F
 
+from attestry.llm import decontaminate, exact_dedup, language_id, pieces, simhash, token_count
+from attestry.llm.common import documents, given_table
+
 
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicate_components(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark, sf_dir):
+    found = decontaminate.scan(documents(spark, sf_dir), given_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        decontaminate.contaminated().alias("contaminated"),
+        F.size("overlaps").alias("n_items"),
+        F.coalesce(F.array_max("overlaps.share"), F.lit(0.0)).alias("best_share"),
+        "overlaps",
+    )
+
+
+def op7_sentencepiece(spark, sf_dir):
+    vocabulary = pieces.load_vocabulary()
+    coded = pieces.encode(documents(spark, sf_dir), ["doc_id", "text"], vocabulary)
+    spelt = pieces.decode(coded, ["doc_id", "text", "ids"], vocabulary, name="decoded")
+    return spelt.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op8_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
     model = language_id.fit(docs.filter("NOT held_out"))
@@ -21,7 +45,21 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.groups_per_row(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op8_language_id, op9_exact_dedup)}
+def op10_token_counts(spark, sf_dir):
+    return token_count.token_counts(documents(spark, sf_dir), ["doc_id"], pieces.load_vocabulary())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_simhash_near_dedup,
+        op6_decontamination,
+        op7_sentencepiece,
+        op8_language_id,
+        op9_exact_dedup,
+        op10_token_counts,
+    )
+}
 
 SQL = {
     "op9_exact_dedup": """
