@@ -4,8 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, exact_dedup, language_id, pieces, simhash, token_count
+from attestry.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    license_scan,
+    pieces,
+    simhash,
+    token_count,
+    toxicity,
+    url_filter,
+)
 from attestry.llm.common import documents, given_table
+from attestry.llm.licence_templates import TEMPLATES
+
+
+def crc_of_id():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    remainder = F.pmod(crc_of_id(), F.lit(4))
+    # remainders 0, 1 and 3 are the parts of the three fits; 2 is held out
+    part = F.when(remainder == 3, 2).otherwise(remainder).cast("int")
+    seen = docs.filter(remainder != 2)
+    labelled = toxicity.labelled_rows(seen, given_table(spark, sf_dir, "labels")).withColumn("part", part)
+    scored = toxicity.fit(labelled, "part").score(docs.withColumn("held_out", remainder == 2), ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op3_url_filter(spark, sf_dir):
+    outcomes = url_filter.page_outcomes(given_table(spark, sf_dir, "labels"))
+    return url_filter.judge(given_table(spark, sf_dir, "pages"), outcomes)
+
+
+def op4_license_scan(spark, sf_dir):
+    found = license_scan.scan(documents(spark, sf_dir), ["doc_id"], TEMPLATES)
+    return found.select(
+        "doc_id",
+        F.size("licences").alias("n_matches"),
+        F.array_sort(F.array_distinct("licences.licence")).alias("names"),
+        "licences",
+    )
 
 
 def op5_simhash_near_dedup(spark, sf_dir):
@@ -36,7 +77,7 @@ def op7_sentencepiece(spark, sf_dir):
 
 
 def op8_language_id(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+    docs = documents(spark, sf_dir).withColumn("held_out", F.pmod(crc_of_id(), F.lit(5)) == 0)
     model = language_id.fit(docs.filter("NOT held_out"))
     return language_id.predict(docs, model, ["doc_id", "held_out"])
 
@@ -52,6 +93,9 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
+        op3_url_filter,
+        op4_license_scan,
         op5_simhash_near_dedup,
         op6_decontamination,
         op7_sentencepiece,
@@ -62,6 +106,65 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_url_filter": """
+        WITH parsed AS (
+            SELECT page_id,
+                translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+                  FROM pages)
+        ),
+        outcomes AS (
+            SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1
+                WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id
+        ),
+        counts AS (
+            SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM parsed LEFT JOIN outcomes ON doc_id = page_id GROUP BY host
+        ),
+        hosts AS (
+            SELECT *,
+                CASE WHEN digits THEN host WHEN deep THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+                CASE WHEN digits THEN '' WHEN deep THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix
+            FROM (SELECT *, regexp_full_match(host, '[0-9.:\\[\\]]+') AS digits,
+                    len(parts) >= 3 AND length(parts[-1]) = 2
+                    AND parts[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AS deep
+                  FROM (SELECT *, string_split(host, '.') AS parts FROM counts))
+        ),
+        overall AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS rate, sum(n) AS labelled FROM hosts),
+        s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS parent FROM hosts, overall GROUP BY suffix),
+        ks AS (SELECT 1.0 / least(greatest(rho, 0.001), 0.5) - 1.0 AS k FROM (
+            SELECT CASE WHEN coalesce(sum(n), 0) <= count(*) OR sum(n * parent * (1 - parent)) <= 0 THEN 0.001
+                ELSE (sum(n * (bad / n - parent) * (bad / n - parent)) / sum(n * parent * (1 - parent)) - count(*) / sum(n))
+                    / (1 - count(*) / sum(n)) END AS rho FROM s0 WHERE n > 0)),
+        s1 AS (SELECT suffix, (bad + k * parent) / (n + k) AS rate FROM s0, ks),
+        d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS parent FROM hosts JOIN s1 USING (suffix)
+               GROUP BY domain, suffix),
+        kd AS (SELECT 1.0 / least(greatest(rho, 0.001), 0.5) - 1.0 AS k FROM (
+            SELECT CASE WHEN coalesce(sum(n), 0) <= count(*) OR sum(n * parent * (1 - parent)) <= 0 THEN 0.001
+                ELSE (sum(n * (bad / n - parent) * (bad / n - parent)) / sum(n * parent * (1 - parent)) - count(*) / sum(n))
+                    / (1 - count(*) / sum(n)) END AS rho FROM d0 WHERE n > 0)),
+        d1 AS (SELECT domain, (bad + k * parent) / (n + k) AS parent FROM d0, kd),
+        h0 AS (SELECT host, n, bad, parent FROM hosts JOIN d1 USING (domain)),
+        kh AS (SELECT 1.0 / least(greatest(rho, 0.001), 0.5) - 1.0 AS k FROM (
+            SELECT CASE WHEN coalesce(sum(n), 0) <= count(*) OR sum(n * parent * (1 - parent)) <= 0 THEN 0.001
+                ELSE (sum(n * (bad / n - parent) * (bad / n - parent)) / sum(n * parent * (1 - parent)) - count(*) / sum(n))
+                    / (1 - count(*) / sum(n)) END AS rho FROM h0 WHERE n > 0)),
+        h1 AS (SELECT host, (bad + k * parent) / (n + k) AS rate, n + k AS weight FROM h0, kh),
+        matched AS (
+            SELECT *, CASE
+                WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+            FROM parsed
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN labelled > 0 AND h1.rate - 1.64 * sqrt(h1.rate * (1 - h1.rate) / (weight + 1)) > 0.3 THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM matched JOIN h1 USING (host), overall
+    """,
     "op9_exact_dedup": """
         WITH rows AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         groups AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY text_sha256)
