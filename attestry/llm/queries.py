@@ -11,6 +11,7 @@ from attestry.llm import (
     license_scan,
     pieces,
     simhash,
+    suffix_dedup,
     token_count,
     toxicity,
     url_filter,
@@ -34,6 +35,10 @@ def op1_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+
+
 def op3_url_filter(spark, sf_dir):
     outcomes = url_filter.page_outcomes(given_table(spark, sf_dir, "labels"))
     return url_filter.judge(given_table(spark, sf_dir, "pages"), outcomes)
@@ -94,6 +99,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op2_suffix_dedup,
         op3_url_filter,
         op4_license_scan,
         op5_simhash_near_dedup,
