@@ -10,113 +10,104 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Points a signal adds at CRITICAL, HIGH, MEDIUM, LOW ("-" = not listed),
-# under the category that signal normally belongs to.
-SIGNAL_POINTS = """
-[DOCUMENT_STRUCTURE]
-mrz_unavailable 10 8 5 2
-mrz_structure_invalid - 9 5 2
-critical_field_unavailable - 6 3 1.5
-[DOCUMENT_CONSISTENCY]
-viz_mrz_document_number_mismatch 20 18 10 -
-viz_mrz_dob_mismatch - 15 8 -
-viz_mrz_name_mismatch - 10 5 -
-viz_mrz_consistency_failed - 12 6 2
-document_number_binding_mismatch 20 18 10 -
-document_expired - 8 4 -
-visa_expired - 8 4 -
-license_expired - 8 4 -
-license_format_warning - - 5 2
-license_registry_revoked 22 - - -
-driving_license_passport_dob_mismatch - 20 10 -
-driving_license_passport_name_mismatch - 15 8 -
-national_id_identifier_invalid - 12 6 2
-national_id_identifier_warning - - 5 2
-national_id_registry_revoked 22 - - -
-national_id_passport_dob_mismatch - 20 10 -
-national_id_passport_name_mismatch - 15 8 -
-national_id_dl_dob_mismatch - 20 10 -
-national_id_dl_name_mismatch - 15 8 -
-cross_document_mismatch 20 18 10 -
-visa_passport_number_mismatch 20 18 10 -
-cross_doc_identifier_binding_mismatch 35 32 16 -
-passport_visa_identifier_mismatch 35 32 16 -
-cross_doc_person_attribute_consistency_mismatch 25 20 10 4
-cross_doc_person_name_consistency_mismatch - 15 8 3
-cross_doc_person_name_consistency_partial_match - - - 2
-cross_doc_nationality_field_consistency_mismatch - 12 6 -
-date_range_invalid 18 14 8 3
-passport_reference_invalid - 10 5 -
-document_format_invalid - 10 5 -
-visa_registry_revoked 22 - - -
-border_permit_expired - 10 5 -
-border_permit_not_yet_valid - - 6 2
-border_permit_registry_revoked 22 - - -
-border_permit_registry_suspended 18 16 - -
-border_permit_registry_mismatch 20 18 - -
-border_permit_passport_number_mismatch 35 32 16 -
-border_permit_identifier_invalid - 10 5 -
-border_permit_date_invalid - 12 6 -
-[DOCUMENT_INTEGRITY]
-document_number_checksum_fail - 14 8 3
-dob_checksum_fail - 12 6 2
-expiry_checksum_fail - 10 5 2
-composite_checksum_fail - 14 8 3
-identifier_checksum_fail - 14 8 3
-identifier_format_invalid - - 6 2
-qr_consistency_failed - 12 6 -
-[FORENSIC_ANOMALY]
-forensic_high_concern 20 16 8 -
-forensic_suspicious - 12 7 3
-forensic_ela_anomaly - 10 6 2
-forensic_compression_anomaly - 8 4 1.5
-forensic_photo_boundary_anomaly - 10 6 2
-forensic_metadata_anomaly - 8 4 1.5
-[BIOMETRIC_CONSISTENCY]
-face_match_pass - - - -
-face_mismatch_high_quality 20 17 9 -
-face_mismatch_poor_quality - 10 6 3
-face_detection_failed - - 6 3
-face_inconclusive - - 5 2
-[PRESENTATION_ATTACK]
-presentation_attack_detected 20 17 - -
-pad_inconclusive - - 5 2
-secondary_pad_anomaly - 8 4 1.5
-[REGISTRY_STATUS]
-registry_matched - - - -
-registry_revoked 55 - - -
-registry_mismatch 20 18 - -
-registry_not_found - 10 6 3
-registry_expired - 10 5 -
-registry_suspended 50 16 - -
-registry_invalid 20 - - -
-registry_ambiguous - 8 4 -
-registry_field_mismatch - 12 6 -
-[MACHINE_READABLE]
-qr_ocr_mismatch 20 18 10 -
-qr_ocr_docnumber_mismatch 20 18 10 -
-qr_ocr_dob_mismatch - 18 10 -
-qr_ocr_name_mismatch - 12 6 -
-qr_crypto_invalid 25 20 - -
-qr_crypto_verified - - - -
-qr_crypto_unavailable - - - 0
-qr_undecodable - - 5 2
-qr_not_detected - - - 0
-qr_payload_corrupted - 12 6 -
-qr_ocr_matched - - - -
-machine_readable_unavailable - - - 0
-cross_source_contradiction 20 15 8 -
-neural_tampering_detected 25 20 10 -
-face_anti_spoof_failed 30 25 - -
-face_mismatch - 20 10 -
-[VERIFICATION_UNCERTAINTY]
-module_not_run - - - 3
-module_unavailable - - - 3
-module_timeout - - - 2
-module_error - - 4 2
-ocr_low_confidence - - 5 2.5
-registry_provider_unavailable - - - 2
-"""
+# Signal, the category of its evidence, and the points it adds at CRITICAL, HIGH, MEDIUM, LOW
+# (None: not listed).
+SIGNAL_POINTS = (
+    ("mrz_unavailable", "DOCUMENT_STRUCTURE", 10.0, 8.0, 5.0, 2.0),
+    ("mrz_structure_invalid", "DOCUMENT_STRUCTURE", None, 9.0, 5.0, 2.0),
+    ("critical_field_unavailable", "DOCUMENT_STRUCTURE", None, 6.0, 3.0, 1.5),
+    ("viz_mrz_document_number_mismatch", "DOCUMENT_CONSISTENCY", 20.0, 18.0, 10.0, None),
+    ("viz_mrz_dob_mismatch", "DOCUMENT_CONSISTENCY", None, 15.0, 8.0, None),
+    ("viz_mrz_name_mismatch", "DOCUMENT_CONSISTENCY", None, 10.0, 5.0, None),
+    ("viz_mrz_consistency_failed", "DOCUMENT_CONSISTENCY", None, 12.0, 6.0, 2.0),
+    ("document_number_binding_mismatch", "DOCUMENT_CONSISTENCY", 20.0, 18.0, 10.0, None),
+    ("document_expired", "DOCUMENT_CONSISTENCY", None, 8.0, 4.0, None),
+    ("visa_expired", "DOCUMENT_CONSISTENCY", None, 8.0, 4.0, None),
+    ("license_expired", "DOCUMENT_CONSISTENCY", None, 8.0, 4.0, None),
+    ("license_format_warning", "DOCUMENT_CONSISTENCY", None, None, 5.0, 2.0),
+    ("license_registry_revoked", "DOCUMENT_CONSISTENCY", 22.0, None, None, None),
+    ("driving_license_passport_dob_mismatch", "DOCUMENT_CONSISTENCY", None, 20.0, 10.0, None),
+    ("driving_license_passport_name_mismatch", "DOCUMENT_CONSISTENCY", None, 15.0, 8.0, None),
+    ("national_id_identifier_invalid", "DOCUMENT_CONSISTENCY", None, 12.0, 6.0, 2.0),
+    ("national_id_identifier_warning", "DOCUMENT_CONSISTENCY", None, None, 5.0, 2.0),
+    ("national_id_registry_revoked", "DOCUMENT_CONSISTENCY", 22.0, None, None, None),
+    ("national_id_passport_dob_mismatch", "DOCUMENT_CONSISTENCY", None, 20.0, 10.0, None),
+    ("national_id_passport_name_mismatch", "DOCUMENT_CONSISTENCY", None, 15.0, 8.0, None),
+    ("national_id_dl_dob_mismatch", "DOCUMENT_CONSISTENCY", None, 20.0, 10.0, None),
+    ("national_id_dl_name_mismatch", "DOCUMENT_CONSISTENCY", None, 15.0, 8.0, None),
+    ("cross_document_mismatch", "DOCUMENT_CONSISTENCY", 20.0, 18.0, 10.0, None),
+    ("visa_passport_number_mismatch", "DOCUMENT_CONSISTENCY", 20.0, 18.0, 10.0, None),
+    ("cross_doc_identifier_binding_mismatch", "DOCUMENT_CONSISTENCY", 35.0, 32.0, 16.0, None),
+    ("passport_visa_identifier_mismatch", "DOCUMENT_CONSISTENCY", 35.0, 32.0, 16.0, None),
+    ("cross_doc_person_attribute_consistency_mismatch", "DOCUMENT_CONSISTENCY", 25.0, 20.0, 10.0, 4.0),
+    ("cross_doc_person_name_consistency_mismatch", "DOCUMENT_CONSISTENCY", None, 15.0, 8.0, 3.0),
+    ("cross_doc_person_name_consistency_partial_match", "DOCUMENT_CONSISTENCY", None, None, None, 2.0),
+    ("cross_doc_nationality_field_consistency_mismatch", "DOCUMENT_CONSISTENCY", None, 12.0, 6.0, None),
+    ("date_range_invalid", "DOCUMENT_INTEGRITY", 18.0, 14.0, 8.0, 3.0),
+    ("passport_reference_invalid", "DOCUMENT_STRUCTURE", None, 10.0, 5.0, None),
+    ("document_format_invalid", "DOCUMENT_STRUCTURE", None, 10.0, 5.0, None),
+    ("visa_registry_revoked", "DOCUMENT_CONSISTENCY", 22.0, None, None, None),
+    ("border_permit_expired", "DOCUMENT_CONSISTENCY", None, 10.0, 5.0, None),
+    ("border_permit_not_yet_valid", "DOCUMENT_CONSISTENCY", None, None, 6.0, 2.0),
+    ("border_permit_registry_revoked", "DOCUMENT_CONSISTENCY", 22.0, None, None, None),
+    ("border_permit_registry_suspended", "DOCUMENT_CONSISTENCY", 18.0, 16.0, None, None),
+    ("border_permit_registry_mismatch", "DOCUMENT_CONSISTENCY", 20.0, 18.0, None, None),
+    ("border_permit_passport_number_mismatch", "DOCUMENT_CONSISTENCY", 35.0, 32.0, 16.0, None),
+    ("border_permit_identifier_invalid", "DOCUMENT_CONSISTENCY", None, 10.0, 5.0, None),
+    ("border_permit_date_invalid", "DOCUMENT_CONSISTENCY", None, 12.0, 6.0, None),
+    ("document_number_checksum_fail", "DOCUMENT_INTEGRITY", None, 14.0, 8.0, 3.0),
+    ("dob_checksum_fail", "DOCUMENT_INTEGRITY", None, 12.0, 6.0, 2.0),
+    ("expiry_checksum_fail", "DOCUMENT_INTEGRITY", None, 10.0, 5.0, 2.0),
+    ("composite_checksum_fail", "DOCUMENT_INTEGRITY", None, 14.0, 8.0, 3.0),
+    ("identifier_checksum_fail", "DOCUMENT_INTEGRITY", None, 14.0, 8.0, 3.0),
+    ("identifier_format_invalid", "DOCUMENT_STRUCTURE", None, None, 6.0, 2.0),
+    ("qr_consistency_failed", "DOCUMENT_CONSISTENCY", None, 12.0, 6.0, None),
+    ("forensic_high_concern", "FORENSIC_ANOMALY", 20.0, 16.0, 8.0, None),
+    ("forensic_suspicious", "FORENSIC_ANOMALY", None, 12.0, 7.0, 3.0),
+    ("forensic_ela_anomaly", "FORENSIC_ANOMALY", None, 10.0, 6.0, 2.0),
+    ("forensic_compression_anomaly", "FORENSIC_ANOMALY", None, 8.0, 4.0, 1.5),
+    ("forensic_photo_boundary_anomaly", "FORENSIC_ANOMALY", None, 10.0, 6.0, 2.0),
+    ("forensic_metadata_anomaly", "FORENSIC_ANOMALY", None, 8.0, 4.0, 1.5),
+    ("face_match_pass", "BIOMETRIC_CONSISTENCY", None, None, None, None),
+    ("face_mismatch_high_quality", "BIOMETRIC_CONSISTENCY", 20.0, 17.0, 9.0, None),
+    ("face_mismatch_poor_quality", "BIOMETRIC_CONSISTENCY", None, 10.0, 6.0, 3.0),
+    ("face_detection_failed", "BIOMETRIC_CONSISTENCY", None, None, 6.0, 3.0),
+    ("face_inconclusive", "BIOMETRIC_CONSISTENCY", None, None, 5.0, 2.0),
+    ("presentation_attack_detected", "PRESENTATION_ATTACK", 20.0, 17.0, None, None),
+    ("pad_inconclusive", "PRESENTATION_ATTACK", None, None, 5.0, 2.0),
+    ("secondary_pad_anomaly", "PRESENTATION_ATTACK", None, 8.0, 4.0, 1.5),
+    ("registry_matched", "REGISTRY_STATUS", None, None, None, None),
+    ("registry_revoked", "REGISTRY_STATUS", 55.0, None, None, None),
+    ("registry_mismatch", "REGISTRY_STATUS", 20.0, 18.0, None, None),
+    ("registry_not_found", "REGISTRY_STATUS", None, 10.0, 6.0, 3.0),
+    ("registry_expired", "REGISTRY_STATUS", None, 10.0, 5.0, None),
+    ("registry_suspended", "REGISTRY_STATUS", 50.0, 16.0, None, None),
+    ("registry_invalid", "REGISTRY_STATUS", 20.0, None, None, None),
+    ("registry_ambiguous", "REGISTRY_STATUS", None, 8.0, 4.0, None),
+    ("registry_field_mismatch", "REGISTRY_STATUS", None, 12.0, 6.0, None),
+    ("qr_ocr_mismatch", "MACHINE_READABLE", 20.0, 18.0, 10.0, None),
+    ("qr_ocr_docnumber_mismatch", "MACHINE_READABLE", 20.0, 18.0, 10.0, None),
+    ("qr_ocr_dob_mismatch", "MACHINE_READABLE", None, 18.0, 10.0, None),
+    ("qr_ocr_name_mismatch", "MACHINE_READABLE", None, 12.0, 6.0, None),
+    ("qr_crypto_invalid", "MACHINE_READABLE", 25.0, 20.0, None, None),
+    ("qr_crypto_verified", "MACHINE_READABLE", None, None, None, None),
+    ("qr_crypto_unavailable", "MACHINE_READABLE", None, None, None, 0.0),
+    ("qr_undecodable", "MACHINE_READABLE", None, None, 5.0, 2.0),
+    ("qr_not_detected", "MACHINE_READABLE", None, None, None, 0.0),
+    ("qr_payload_corrupted", "MACHINE_READABLE", None, 12.0, 6.0, None),
+    ("qr_ocr_matched", "MACHINE_READABLE", None, None, None, None),
+    ("machine_readable_unavailable", "MACHINE_READABLE", None, None, None, 0.0),
+    ("cross_source_contradiction", "MACHINE_READABLE", 20.0, 15.0, 8.0, None),
+    ("neural_tampering_detected", "FORENSIC_ANOMALY", 25.0, 20.0, 10.0, None),
+    ("face_anti_spoof_failed", "PRESENTATION_ATTACK", 30.0, 25.0, None, None),
+    ("face_mismatch", "BIOMETRIC_CONSISTENCY", None, 20.0, 10.0, None),
+    ("module_not_run", "VERIFICATION_UNCERTAINTY", None, None, None, 3.0),
+    ("module_unavailable", "VERIFICATION_UNCERTAINTY", None, None, None, 3.0),
+    ("module_timeout", "VERIFICATION_UNCERTAINTY", None, None, None, 2.0),
+    ("module_error", "VERIFICATION_UNCERTAINTY", None, None, 4.0, 2.0),
+    ("ocr_low_confidence", "VERIFICATION_UNCERTAINTY", None, None, 5.0, 2.5),
+    ("registry_provider_unavailable", "VERIFICATION_UNCERTAINTY", None, None, None, 2.0),
+)
 
 # Points for a signal or severity that has no cell above.
 DEFAULT_POINTS = {"CRITICAL": 10.0, "HIGH": 7.0, "MEDIUM": 4.0, "LOW": 1.5}
@@ -155,27 +146,15 @@ OPTIONAL_MODULE = "M7"
 
 def signal_points() -> list[tuple[str, str, str, float]]:
     """(signal, category, severity, points) for every listed cell."""
-    cells, category = [], None
-    for line in SIGNAL_POINTS.split("\n"):
-        if line.startswith("["):
-            category = line.strip("[]")
-        elif line:
-            signal, *points = line.split()
-            for severity, value in zip(DEFAULT_POINTS, points):
-                if value != "-":
-                    cells.append((signal, category, severity, float(value)))
+    cells = []
+    for signal, category, *points in SIGNAL_POINTS:
+        cells += [(signal, category, s, v) for s, v in zip(("CRITICAL", "HIGH", "MEDIUM", "LOW"), points, strict=True) if v is not None]
     return cells
 
 
 def signal_categories() -> list[tuple[str, str]]:
     """(signal, category) in alphabetical order of the signal."""
-    pairs, category = [], None
-    for line in SIGNAL_POINTS.split("\n"):
-        if line.startswith("["):
-            category = line.strip("[]")
-        elif line:
-            pairs.append((line.split()[0], category))
-    return sorted(pairs)
+    return sorted((signal, category) for signal, category, *_ in SIGNAL_POINTS)
 
 
 @dataclass(frozen=True)
@@ -220,50 +199,49 @@ TYPE_ALIASES = {
 }
 
 # State codes and names; LEGACY_STATES are no longer issued.
-STATES = """
-AN Andaman and Nicobar Islands
-AP Andhra Pradesh
-AR Arunachal Pradesh
-AS Assam
-BR Bihar
-CH Chandigarh
-CG Chhattisgarh
-DD Daman and Diu
-DH Dadra and Nagar Haveli and Daman and Diu
-DL Delhi
-DN Dadra and Nagar Haveli
-GA Goa
-GJ Gujarat
-HR Haryana
-HP Himachal Pradesh
-JK Jammu and Kashmir
-JH Jharkhand
-KA Karnataka
-KL Kerala
-LA Ladakh
-LD Lakshadweep
-MP Madhya Pradesh
-MH Maharashtra
-MN Manipur
-ML Meghalaya
-MZ Mizoram
-NL Nagaland
-OD Odisha
-OR Odisha
-PY Puducherry
-PB Punjab
-RJ Rajasthan
-SK Sikkim
-TN Tamil Nadu
-TS Telangana
-TG Telangana
-TR Tripura
-UP Uttar Pradesh
-UK Uttarakhand
-UA Uttarakhand
-WB West Bengal
-"""
-STATE_NAMES = dict(line.split(" ", 1) for line in STATES.strip().split("\n"))
+STATE_NAMES = {
+    "AN": "Andaman and Nicobar Islands",
+    "AP": "Andhra Pradesh",
+    "AR": "Arunachal Pradesh",
+    "AS": "Assam",
+    "BR": "Bihar",
+    "CH": "Chandigarh",
+    "CG": "Chhattisgarh",
+    "DD": "Daman and Diu",
+    "DH": "Dadra and Nagar Haveli and Daman and Diu",
+    "DL": "Delhi",
+    "DN": "Dadra and Nagar Haveli",
+    "GA": "Goa",
+    "GJ": "Gujarat",
+    "HR": "Haryana",
+    "HP": "Himachal Pradesh",
+    "JK": "Jammu and Kashmir",
+    "JH": "Jharkhand",
+    "KA": "Karnataka",
+    "KL": "Kerala",
+    "LA": "Ladakh",
+    "LD": "Lakshadweep",
+    "MP": "Madhya Pradesh",
+    "MH": "Maharashtra",
+    "MN": "Manipur",
+    "ML": "Meghalaya",
+    "MZ": "Mizoram",
+    "NL": "Nagaland",
+    "OD": "Odisha",
+    "OR": "Odisha",
+    "PY": "Puducherry",
+    "PB": "Punjab",
+    "RJ": "Rajasthan",
+    "SK": "Sikkim",
+    "TN": "Tamil Nadu",
+    "TS": "Telangana",
+    "TG": "Telangana",
+    "TR": "Tripura",
+    "UP": "Uttar Pradesh",
+    "UK": "Uttarakhand",
+    "UA": "Uttarakhand",
+    "WB": "West Bengal",
+}
 LEGACY_STATES = ("DD", "DN", "OR", "UA")
 # Codes that stand for each other when two documents are compared.
 STATE_PAIRS = ("OR=OD", "UA=UK", "TG=TS", "DD=DH", "DN=DH")
@@ -356,36 +334,46 @@ COMPARISON_METHODS = {
 # ---------------------------------------------------------------------------------------
 # Relationships between the documents of one case
 
-# Source > target : source field = target field, mode, relationship, confidence, group.
-RELATIONSHIPS = """
-visa > passport : passport_number = document_number STRICT IDENTIFIER_BINDING 0.99 DOCUMENT_NUMBER_BINDING
-visa > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 -
-visa > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 -
-visa > passport : nationality = nationality NORMALIZED_CODE NATIONALITY_FIELD_CONSISTENCY 0.98 -
-driving_license > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 -
-driving_license > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 DOB_CONSISTENCY
-national_id,aadhaar,voter_id,pan_card > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 NID_PASSPORT_NAME_CONSISTENCY
-national_id,aadhaar,voter_id,pan_card > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 NID_PASSPORT_DOB_CONSISTENCY
-national_id,aadhaar,voter_id,pan_card > driving_license : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 -
-national_id,aadhaar,voter_id,pan_card > driving_license : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 NID_DL_DOB_CONSISTENCY
-border_permit > passport : passport_number = document_number STRICT IDENTIFIER_BINDING 0.99 BORDER_PERMIT_PASSPORT_BINDING
-border_permit > passport : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 BORDER_PERMIT_PASSPORT_BINDING
-border_permit > passport : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 BORDER_PERMIT_DOB_CONSISTENCY
-national_id,aadhaar > border_permit : name = name NORMALIZED_TOKEN_SET PERSON_NAME_CONSISTENCY 0.95 BORDER_PERMIT_PASSPORT_BINDING
-national_id,aadhaar > border_permit : date_of_birth = date_of_birth NORMALIZED_DATE PERSON_ATTRIBUTE_CONSISTENCY 0.98 BORDER_PERMIT_DOB_CONSISTENCY
-"""
+# Source type, target type, source field, target field, comparison, relationship, confidence,
+# correlation group.
+RELATIONSHIPS = (
+    ("visa", "passport", "passport_number", "document_number", "STRICT", "IDENTIFIER_BINDING", 0.99, "DOCUMENT_NUMBER_BINDING"),
+    ("visa", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, None),
+    ("visa", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, None),
+    ("visa", "passport", "nationality", "nationality", "NORMALIZED_CODE", "NATIONALITY_FIELD_CONSISTENCY", 0.98, None),
+    ("driving_license", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, None),
+    ("driving_license", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "DOB_CONSISTENCY"),
+    ("national_id", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "NID_PASSPORT_NAME_CONSISTENCY"),
+    ("aadhaar", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "NID_PASSPORT_NAME_CONSISTENCY"),
+    ("voter_id", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "NID_PASSPORT_NAME_CONSISTENCY"),
+    ("pan_card", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "NID_PASSPORT_NAME_CONSISTENCY"),
+    ("national_id", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_PASSPORT_DOB_CONSISTENCY"),
+    ("aadhaar", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_PASSPORT_DOB_CONSISTENCY"),
+    ("voter_id", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_PASSPORT_DOB_CONSISTENCY"),
+    ("pan_card", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_PASSPORT_DOB_CONSISTENCY"),
+    ("national_id", "driving_license", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, None),
+    ("aadhaar", "driving_license", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, None),
+    ("voter_id", "driving_license", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, None),
+    ("pan_card", "driving_license", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, None),
+    ("national_id", "driving_license", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_DL_DOB_CONSISTENCY"),
+    ("aadhaar", "driving_license", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_DL_DOB_CONSISTENCY"),
+    ("voter_id", "driving_license", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_DL_DOB_CONSISTENCY"),
+    ("pan_card", "driving_license", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "NID_DL_DOB_CONSISTENCY"),
+    ("border_permit", "passport", "passport_number", "document_number", "STRICT", "IDENTIFIER_BINDING", 0.99, "BORDER_PERMIT_PASSPORT_BINDING"),
+    ("border_permit", "passport", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "BORDER_PERMIT_PASSPORT_BINDING"),
+    ("border_permit", "passport", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "BORDER_PERMIT_DOB_CONSISTENCY"),
+    ("national_id", "border_permit", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "BORDER_PERMIT_PASSPORT_BINDING"),
+    ("aadhaar", "border_permit", "name", "name", "NORMALIZED_TOKEN_SET", "PERSON_NAME_CONSISTENCY", 0.95, "BORDER_PERMIT_PASSPORT_BINDING"),
+    ("national_id", "border_permit", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "BORDER_PERMIT_DOB_CONSISTENCY"),
+    ("aadhaar", "border_permit", "date_of_birth", "date_of_birth", "NORMALIZED_DATE", "PERSON_ATTRIBUTE_CONSISTENCY", 0.98, "BORDER_PERMIT_DOB_CONSISTENCY"),
+)
 CASE_TYPES = "passport visa driving_license national_id aadhaar voter_id pan_card border_permit".split()
 
 
 def relationships() -> list[tuple]:
-    """(source, target, source_field, target_field, mode, relationship, confidence, group, position)."""
+    """The rows of RELATIONSHIPS, each with its position among those of its pair of types."""
     rows, positions = [], {}
-    for line in RELATIONSHIPS.strip().split("\n"):
-        pair, rule = (part.strip() for part in line.split(":"))
-        sources, target = (part.strip() for part in pair.split(">"))
-        left, _, right, mode, kind, confidence, group = rule.split()
-        for source in sources.split(","):
-            position = positions[source, target] = positions.get((source, target), 0) + 1
-            group_or_none = None if group == "-" else group
-            rows.append((source, target, left, right, mode, kind, float(confidence), group_or_none, position))
+    for source, target, *rule in RELATIONSHIPS:
+        position = positions[source, target] = positions.get((source, target), 0) + 1
+        rows.append((source, target, *rule, position))
     return rows

@@ -26,16 +26,24 @@ INACTIVE = ("REMOVED", "SUPERSEDED")
 
 
 def active_documents(documents: DataFrame) -> DataFrame:
-    """Latest active document per case and type with its revision number."""
-    kept = documents.filter(~F.col("status").isin(*INACTIVE)).withColumn(
-        "document_type", text.document_type(F.col("document_type"))
-    )
-    order = F.struct("uploaded_at", "document_id")
+    """Latest active document per case and type with its revision number.
+
+    The stored ``document_revision`` counts where the table has one; else superseded documents of the case and type
+    count as earlier revisions, removed ones do not. NULL status is active.
+    """
+    kept = documents.withColumn("status", F.coalesce("status", F.lit("ACTIVE"))).filter("status <> 'REMOVED'")
+    kept = kept.withColumn("document_type", text.document_type(F.col("document_type")))
+    active = F.col("status") != "SUPERSEDED"
+    stored = F.col("document_revision") if "document_revision" in documents.columns else F.lit(None)
+    document = F.struct("document_id", "uploaded_at", *IDENTITY, stored.cast("long").alias("stored"))
+    order = F.when(active, F.struct("uploaded_at", "document_id"))
     latest = kept.groupBy("case_id", "document_type").agg(
-        F.max_by(F.struct("document_id", "uploaded_at", *IDENTITY), order).alias("d"),
-        F.count("*").alias("document_revision"),
+        F.max_by(F.when(active, document), order).alias("d"), F.count("*").alias("revisions")
+    )
+    return latest.filter("d IS NOT NULL").select(
+        "case_id", "document_type", F.coalesce("d.stored", "revisions").alias("document_revision"),
+        "d.document_id", "d.uploaded_at", *[f"d.{c}" for c in IDENTITY],
     )
-    return latest.select("case_id", "document_type", "document_revision", "d.*")
 
 
 def active_revisions(documents: DataFrame) -> DataFrame:

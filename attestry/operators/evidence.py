@@ -134,15 +134,15 @@ def forensic_items() -> Column:
     overall = F.col("m3_overall")
 
     def signal(e: Column) -> Column:
-        kind, severity = e[0], e[2]
+        kind, severity = e[0], F.get(e, F.lit(2))
         level = F.coalesce(text.lookup({"low": "LOW", "medium": "MEDIUM", "high": "HIGH"}, severity), F.lit("MEDIUM"))
         return item(
             "M3", F.coalesce(text.lookup(FORENSIC_SIGNALS, kind), F.lit("forensic_suspicious")), "FORENSIC_ANOMALY",
-            "SUSPICIOUS", level, e[3].cast("double"),
+            "SUSPICIOUS", level, F.coalesce(F.get(e, F.lit(3)).try_cast("double"), F.lit(0.7)),
             F.when(kind.isin("ela", "compression", "metadata"), "FORENSIC_IMAGE_SIGNALS"),
         )
 
-    signals = F.transform(F.filter(entries("m3_signals"), lambda e: e[1] == "suspicious"), signal)
+    signals = F.transform(F.filter(entries("m3_signals"), lambda e: F.get(e, F.lit(1)) == "suspicious"), signal)
     whole = items(
         (overall == "high_forensic_concern", item("M3", "forensic_high_concern", "FORENSIC_ANOMALY", "SUSPICIOUS", "HIGH", 0.80)),
         (overall == "suspicious", item("M3", "forensic_suspicious", "FORENSIC_ANOMALY", "SUSPICIOUS", "MEDIUM", 0.75)),
@@ -217,10 +217,11 @@ OUTAGES = {
 
 
 def registry_items(status: Column, sandbox: Column, mismatched: Column) -> Column:
-    """Evidence of one registry outcome; ``mismatched`` lists critical fields that differ.
+    """Evidence of one registry outcome; ``mismatched`` lists critical fields that differ, one row each.
 
-    At most three field rows per outcome are emitted, as a rule of the score.
+    An outcome that is not known counts as an unavailable source.
     """
+    status = F.coalesce(status, F.lit("UNAVAILABLE"))
     factor = F.when(sandbox, SANDBOX_FACTOR).otherwise(1.0)
     place = "REGISTRY_STATUS"
     outage = F.array(
@@ -232,7 +233,7 @@ def registry_items(status: Column, sandbox: Column, mismatched: Column) -> Colum
         )
     )
     fields = F.transform(
-        F.slice(mismatched, 1, 3),
+        mismatched,
         lambda f: item("M5", "registry_field_mismatch", place, "MISMATCH", "HIGH", 0.95 * factor, "REGISTRY_FIELD_MISMATCHES", field=f),
     )
     overall = items(
@@ -281,7 +282,8 @@ def payload_items() -> Column:
             F.when(birth, "DOB_CONSISTENCY").otherwise("MACHINE_READABLE_SIGNALS"), field=e[0],
         )
         match = item("M7", "qr_ocr_matched", place, "MATCH", "NONE", 0.95, positive=True, field=e[0])
-        return F.when(e[1] == "QR_FIELD_MATCH", match).when(e[1] == "QR_FIELD_MISMATCH", mismatch)
+        said = F.get(e, F.lit(1))
+        return F.when(said == "QR_FIELD_MATCH", match).when(said == "QR_FIELD_MISMATCH", mismatch)
 
     fields = F.array_compact(F.transform(entries("m7_checks"), checked))
     found = F.coalesce("m7_detection", F.lit("NOT_DETECTED"))

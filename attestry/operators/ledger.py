@@ -10,8 +10,6 @@ Hashed text joins a fixed column order with ``|``; NULL is empty and ``|`` and `
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +19,8 @@ from attestry.operators import risk
 from attestry.operators.ranking import ordinal
 
 SEGMENT_BLOCKS = 64
+# 64 ** 5: a thousand million leaves per key
+TREE_LEVELS = 5
 ZERO_HASH = "0" * 64
 RECORD_VERSION, SYSTEM_VERSION = "1.0.0", "1.0.0"
 
@@ -78,14 +78,13 @@ def chain_blocks(numbered: DataFrame, segment_blocks: int = SEGMENT_BLOCKS) -> D
 def ledger_build(
     events: DataFrame,
     segment_blocks: int = SEGMENT_BLOCKS,
-    hot_rows: int | None = None,
     heads: DataFrame | None = None,
 ) -> DataFrame:
     """Blocks of every target in order of event_id, each bound to the block before it.
 
     ``heads`` (target_id, last_index, last_hash) lets new events extend an existing ledger.
     """
-    numbered = ordinal(ledger_events(events), ["target_id"], [F.asc("event_id")], "block_index", hot_rows)
+    numbered = ordinal(ledger_events(events), ["target_id"], [F.asc("event_id")], "block_index")
     if heads is None:
         numbered = numbered.withColumn("last_hash", F.lit(None).cast("string"))
     else:
@@ -102,13 +101,13 @@ def block_heads(blocks: DataFrame) -> DataFrame:
     )
 
 
-def fold_tree(leaves: DataFrame, keys: list[str], levels_for: int, width: int = SEGMENT_BLOCKS) -> DataFrame:
+def fold_tree(leaves: DataFrame, keys: list[str], width: int = SEGMENT_BLOCKS, levels: int = TREE_LEVELS) -> DataFrame:
     """One hash per key over its ``leaf`` values in order of the dense, zero-based ``position``.
 
-    ``levels_for`` is the largest number of leaves of any key. A key whose nodes are down to
-    one keeps that node, so a key's hash depends on its own leaves only.
+    The number of levels is fixed and holds ``width ** levels`` leaves per key; more of them end the job with an
+    error instead of a hash of a part. A key whose nodes are down to one keeps that node, so further levels change
+    nothing and a key's hash depends on its own leaves only.
     """
-    levels = max(1, math.ceil(math.log(max(levels_for, 2), width)))
     nodes = leaves
     for level in range(levels):
         group = F.floor(F.col("position") / width)
@@ -120,61 +119,92 @@ def fold_tree(leaves: DataFrame, keys: list[str], levels_for: int, width: int =
         nodes = grouped.select(
             *keys, F.col("_group").alias("position"), F.when(alone, F.col("_nodes")[0]["leaf"]).otherwise(joined).alias("leaf")
         )
-    return nodes.select(*keys, F.col("leaf").alias("tree_hash"))
-
-
-def _largest(df: DataFrame, column: str) -> int:
-    """Largest value of a dense position: one number for the driver, whatever the data size."""
-    return int(df.agg(F.max(column)).first()[0] or 0)
+    whole = F.when(F.col("position") == 0, F.col("leaf")).otherwise(F.raise_error(F.lit("a key has more leaves than the tree holds")))
+    return nodes.select(*keys, whole.alias("tree_hash"))
 
 
 def ledger_heads(blocks: DataFrame) -> DataFrame:
     """One anchor per target over the last hashes of its segments."""
     heads = blocks.groupBy("target_id", "segment").agg(F.max_by("block_hash", "block_index").alias("leaf"))
     leaves = heads.withColumnRenamed("segment", "position")
-    return fold_tree(leaves, ["target_id"], _largest(leaves, "position") + 1).withColumnRenamed("tree_hash", "head_hash")
+    return fold_tree(leaves, ["target_id"]).withColumnRenamed("tree_hash", "head_hash")
 
 
 def ledger_head_report(events: DataFrame, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
     return ledger_heads(ledger_build(events, segment_blocks))
 
 
-def verify_blocks(blocks: DataFrame) -> DataFrame:
+def verify_blocks(blocks: DataFrame, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
     """Each block with ``cause``: NULL, BROKEN_LINK or TAMPERED_CONTENT.
 
-    The window is one segment of one target, so it never holds more than a segment.
+    A block's link is broken if its previous hash or its index does not follow the block before it. The window is
+    one segment of one target, so it never holds more than a segment; the first block of a later segment is joined
+    to the last index of the segment before, so a missing segment or the missing end of one shows too.
     """
     order = Window.partitionBy("target_id", "segment").orderBy("block_index")
     expected = F.coalesce(F.lag("block_hash").over(order), segment_start(F.col("target_id"), F.col("segment")))
+    ends = blocks.groupBy("target_id", (F.col("segment") + 1).alias("segment")).agg(F.max("block_index").alias("_end"))
+    first = F.col("block_index") == F.min("block_index").over(Window.partitionBy("target_id", "segment"))
+    before = F.when(F.col("segment") > 0, F.col("_end")).otherwise(0)
+    follows = F.when(first, F.coalesce(before, F.lit(-1))).otherwise(F.lag("block_index").over(order)) + 1
+    right_place = F.col("segment") == F.floor((F.col("block_index") - 1) / segment_blocks)
+    blocks = blocks.join(ends, ["target_id", "segment"], "left")
     cause = case_when(
         [
-            (F.col("previous_hash") != expected, "BROKEN_LINK"),
+            ((F.col("previous_hash") != expected) | (F.col("block_index") != follows) | ~right_place, "BROKEN_LINK"),
             (link(F.col("previous_hash"), _content()) != F.col("block_hash"), "TAMPERED_CONTENT"),
         ]
     )
-    return blocks.withColumn("cause", cause)
+    return blocks.withColumn("cause", cause).drop("_end")
+
+
+def anchors(blocks: DataFrame) -> DataFrame:
+    """What a target's owner keeps apart from the ledger: last index and head hash per target."""
+    last = blocks.groupBy("target_id").agg(F.max("block_index").alias("last_index"))
+    return last.join(ledger_heads(blocks), "target_id")
+
 
+def ledger_verify(blocks: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Per target: blocks verified and the first bad block with its cause.
 
-def ledger_verify(blocks: DataFrame) -> DataFrame:
-    """Per target: blocks verified and the first bad block with its cause."""
-    rows = verify_blocks(blocks).groupBy("target_id").agg(
+    ``kept`` are stored ``anchors``: a ledger that ends before the stored index misses blocks from there on
+    (MISSING_BLOCKS), one that ends elsewhere or has another head is a HEAD_MISMATCH without a place. Without
+    them blocks cut off at the end cannot be seen.
+    """
+    found = verify_blocks(blocks).groupBy("target_id").agg(
         F.count("*").alias("events_verified"),
         F.min_by("cause", F.when(F.col("cause").isNotNull(), F.col("block_index"))).alias("first_cause"),
         F.min(F.when(F.col("cause").isNotNull(), F.col("block_index"))).alias("first_bad_block"),
     )
-    return rows.select("target_id", "events_verified", F.col("first_bad_block").isNull().alias("chain_valid"), "first_bad_block", "first_cause")
+    if kept is not None:
+        now = anchors(blocks).select("target_id", F.col("last_index").alias("_last"), F.col("head_hash").alias("_head"))
+        found = kept.join(found, "target_id", "full").join(now, "target_id", "left")
+        last = F.coalesce("_last", F.lit(0))
+        cut = F.col("first_cause").isNull() & (last < F.col("last_index"))
+        other = F.col("first_cause").isNull() & ~F.coalesce((F.col("_head") == F.col("head_hash")) & (last == F.col("last_index")), F.lit(False))
+        found = found.select(
+            "target_id", F.coalesce("events_verified", F.lit(0).cast("long")).alias("events_verified"),
+            F.when(cut, last + 1).otherwise(F.col("first_bad_block")).alias("first_bad_block"),
+            F.when(cut, "MISSING_BLOCKS").when(other, "HEAD_MISMATCH").otherwise(F.col("first_cause")).alias("first_cause"),
+        )
+    return found.select("target_id", "events_verified", F.col("first_cause").isNull().alias("chain_valid"), "first_bad_block", "first_cause")
 
 
 def tampered(blocks: DataFrame) -> DataFrame:
-    """A copy with altered content and broken links, for exercising verification."""
-    e = F.col("event_id")
-    return blocks.withColumn(
+    """A copy with altered content, broken links and missing blocks, for exercising verification.
+
+    Blocks vanish inside a chain, at its start, at its end, and as a whole.
+    """
+    e, target, index = F.col("event_id"), F.col("target_id"), F.col("block_index")
+    gone = (e % 1201 == 0) | ((target % 53 == 5) & (index <= 2)) | ((target % 59 == 7) & (index > 4)) | (target % 211 == 11)
+    return blocks.filter(~gone).withColumn(
         "event_type", F.when(e % 997 == 0, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))
     ).withColumn("previous_hash", F.when(e % 1499 == 0, ZERO_HASH).otherwise(F.col("previous_hash")))
 
 
 def ledger_verify_tampered(events: DataFrame) -> DataFrame:
-    return ledger_verify(tampered(ledger_build(events)))
+    blocks = ledger_build(events)
+    return ledger_verify(tampered(blocks), anchors(blocks))
 
 
 def latest_anchor(blocks: DataFrame) -> DataFrame:
@@ -183,16 +213,17 @@ def latest_anchor(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("target_id").agg(F.max_by("evidence_hash", anchored).alias("anchored_evidence_hash"))
 
 
-def integrity_report(blocks: DataFrame, current: DataFrame) -> DataFrame:
+def integrity_report(blocks: DataFrame, current: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Chain state and whether the current evidence still has the anchored hash.
 
-    ``current`` holds target_id and evidence_hash of the evidence as it is now.
+    ``current`` holds target_id and evidence_hash of the evidence as it is now, ``kept`` the stored ``anchors``.
+    A target without an anchored hash has evidence_match NULL.
     """
-    rows = ledger_verify(blocks).join(latest_anchor(blocks), "target_id").join(
+    rows = ledger_verify(blocks, kept).join(latest_anchor(blocks), "target_id", "left").join(
         current.select("target_id", F.col("evidence_hash").alias("calculated_evidence_hash")), "target_id", "left"
     )
-    differs = F.coalesce(F.col("calculated_evidence_hash") != F.col("anchored_evidence_hash"), F.lit(False))
-    broken = ~F.col("chain_valid") | differs
+    differs = F.col("calculated_evidence_hash") != F.col("anchored_evidence_hash")
+    broken = ~F.col("chain_valid") | F.coalesce(differs, F.lit(False))
     return rows.select(
         "target_id", "events_verified", "chain_valid", (~differs).alias("evidence_match"),
         F.when(broken, "INTEGRITY_FAILURE").otherwise("VALID").alias("integrity_status"),
@@ -201,33 +232,31 @@ def integrity_report(blocks: DataFrame, current: DataFrame) -> DataFrame:
 
 def integrity_of_events(events: DataFrame) -> DataFrame:
     """Report over a tampered copy, with the evidence of some targets changed after anchoring."""
-    blocks = tampered(ledger_build(events))
+    whole = ledger_build(events)
+    blocks = tampered(whole)
     last = events.groupBy("target_id").agg(F.max_by("payload", "event_id").alias("payload"))
     changed = F.when(F.col("target_id") % 10 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
-    return integrity_report(blocks, last.select("target_id", F.sha2(changed, 256).alias("evidence_hash")))
+    current = last.select("target_id", F.sha2(changed, 256).alias("evidence_hash"))
+    return integrity_report(blocks, current, anchors(whole))
 
 
-def evidence_package_hash(evidence: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def evidence_package_hash(evidence: DataFrame) -> DataFrame:
     """Canonical hash of all evidence of a case, in order of emission; volatile columns stay out."""
     line = canonical(
         "item_seq", "case_id", "module", "signal", "category", "status", "severity", digits(F.col("confidence"), 4), "correlation_group"
     )
-    rows = ordinal(evidence, ["case_id"], [F.asc("item_seq")], "_n", hot_rows, evidence.select("case_id"))
+    rows = ordinal(evidence, ["case_id"], [F.asc("item_seq")], "_n")
     leaves = rows.select("case_id", (F.col("_n") - 1).alias("position"), line.alias("leaf"))
-    return fold_tree(leaves, ["case_id"], _largest_group(evidence)).withColumnRenamed("tree_hash", "evidence_hash")
-
-
-def _largest_group(evidence: DataFrame) -> int:
-    return _largest(evidence.groupBy("case_id").count(), "count")
+    return fold_tree(leaves, ["case_id"]).withColumnRenamed("tree_hash", "evidence_hash")
 
 
-def risk_snapshot(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, hot_rows: int | None = None) -> DataFrame:
+def risk_snapshot(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
     """Reproducibility hash of an assessment: result and evidence sorted by module and signal."""
     line = canonical("module", "signal", "status", "severity", digits(F.col("confidence"), 4))
     order = [F.asc("module"), F.asc("signal"), F.asc("item_seq")]
-    rows = ordinal(evidence, ["case_id"], order, "_n", hot_rows, evidence.select("case_id"))
+    rows = ordinal(evidence, ["case_id"], order, "_n")
     leaves = rows.select("case_id", (F.col("_n") - 1).alias("position"), line.alias("leaf"))
-    hashes = fold_tree(leaves, ["case_id"], _largest_group(evidence))
+    hashes = fold_tree(leaves, ["case_id"])
     result = risk.risk_override(evidence, config).select("case_id", "risk_score", "risk_level")
     snapshot = F.sha2(canonical("case_id", F.lit(config.version), "risk_score", "risk_level", "tree_hash"), 256)
     return result.join(hashes, "case_id").select("case_id", "risk_score", "risk_level", snapshot.alias("snapshot_hash"))

@@ -70,7 +70,7 @@ def _positional_pairs(value: Column) -> Column:
     separator = F.when(value.contains("|"), r"\|").otherwise(";")
     slots = F.transform(F.split(value, separator), text.stripped)
     number = text.without(F.upper(F.get(slots, F.lit(0))), text.SPACES + "-_/")
-    rest = F.slice(slots, 3, 1000)
+    rest = F.slice(slots, 3, F.greatest(F.size(slots), F.lit(1)))
     date = r"^\d{2}[-/.]\d{2}[-/.]\d{4}$|^\d{4}[-/.]\d{2}[-/.]\d{2}$"
     dates = F.filter(rest, lambda t: t.rlike(date))
     others = F.filter(rest, lambda t: ~t.rlike(date))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from attestry.session import checkpointed
 
-# A key with more rows than this is ranked over many tasks instead of in one window.
-HOT_KEY_ROWS = 5_000_000
-
-
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key with their rank.
 
@@ -27,42 +23,23 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return top_rows(df, keys, order, 1, "_first").drop("_first")
 
 
-def ordinal(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    hot_rows: int | None = None,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """``row_number()`` over every row of every key, exact for hot keys too.
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``row_number()`` over every row of every key, for keys of any size.
 
-    Cold keys use a plain window. Rows of hot keys (found by a pre-aggregated count of
-    ``sizes``, by default ``df`` itself) are range-sorted on key and order, so one key
-    spans many partitions; the position in the sorted data minus the key's start plus
-    the rows of earlier partitions is the row number. The sorted rows are checkpointed
-    so that a lost executor cannot change positions between the two uses.
+    ``order`` must be unique within a key. The rows are range-sorted on key and order, so one key spans as many
+    tasks as it needs; the position in the sorted data minus the key's start in that part, plus the key's rows in
+    earlier parts, is the row number. The sorted rows are checkpointed so that a lost executor cannot change
+    positions between the two uses.
     """
     keys = list(keys)
-    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-    counts = (sizes if sizes is not None else df).groupBy(*keys).count()
-    hot = checkpointed(counts.filter(F.col("count") > limit).drop("count"))
-    if hot.isEmpty():
-        return df.withColumn(name, number)
-
-    cold = df.join(hot, keys, "left_anti").withColumn(name, number)
     placed = checkpointed(
-        df.join(hot, keys, "left_semi")
-        .orderBy(*keys, *order)
-        .withColumn("_pos", F.monotonically_increasing_id())
+        df.orderBy(*keys, *order).withColumn("_pos", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_pos", 33))
     spans = placed.groupBy(*keys, "_part").agg(F.min("_pos").alias("_start"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    ranked = (
+    return (
         placed.join(spans, [*keys, "_part"])
         .withColumn(name, F.col("_before") + F.col("_pos") - F.col("_start") + 1)
         .select(*df.columns, name)
     )
-    return cold.unionByName(ranked)

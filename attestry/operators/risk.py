@@ -328,13 +328,13 @@ def top_contributors(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, k:
     )
 
 
-def risk_reasons(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, hot_rows: int | None = None) -> DataFrame:
+def risk_reasons(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
     """Every contributing item of a case, strongest first, with its ``R-<module>-NNN`` id."""
     items = score_items(evidence, config)
     rows = effects(items, config).filter((F.col("effect") > 0) & (F.col("severity") != "NONE"))
     rows = _with_order(rows, _group_starts(items))
     rows = ordinal(
-        rows, ["case_id"], contribution_order(), "position", hot_rows, evidence.select("case_id")
+        rows, ["case_id"], contribution_order(), "position"
     )
     number = F.lpad(
         F.col("position").cast("string"), F.greatest(F.length(F.col("position").cast("string")), F.lit(3)), F.lit("0")

@@ -179,13 +179,22 @@ def identity_collisions(df: DataFrame) -> DataFrame:
     )
 
 
+# a noncharacter, which texts for interchange never hold
+APART = "\uffff"
+
+
 def mask_document_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Masks every long digit run of free text, keeping the last four digits."""
-    run = r"(\d(?:[ \-]?\d){7,14})([ \-]?)(\d{4})\b"
+    """Masks every digit run of free text with twelve digits or more, keeping the last four digits.
+
+    Single blanks or hyphens may stand between digits. Runs have no upper length; so that the pattern needs no
+    repeated group over a whole run, doubled separators are kept apart by a character that no text has.
+    """
+    apart = F.regexp_replace(text_column, r"(?<=[ \-])(?=[ \-])", APART)
+    masked = F.regexp_replace(apart, r"\d(?:[ \-]?\d){7}[\d \-]*(\d{4})\b", "XXXX XXXX $1")
     return df.select(
         id_column,
-        F.regexp_count(text_column, F.lit(r"\d(?:[ \-]?\d){11,18}\b")).alias("identifiers"),
-        F.regexp_replace(text_column, run, "XXXX XXXX $3").alias("masked_text"),
+        F.regexp_count(apart, F.lit(r"\d(?:[ \-]?\d){11}(?:[\d \-]*\d)?\b")).alias("identifiers"),
+        F.replace(masked, F.lit(APART), F.lit("")).alias("masked_text"),
     )
 
 

@@ -56,7 +56,7 @@ def stage_latency(events: DataFrame) -> DataFrame:
     )
 
 
-def stage_order(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def stage_order(events: DataFrame) -> DataFrame:
     """Each step of a verification against the step before it.
 
     The previous step is found by an equi-join on consecutive step numbers, which spreads a
@@ -64,7 +64,7 @@ def stage_order(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     position = case_when([(F.col("stage") == s, i) for i, s in enumerate(STAGES)])
     steps = ordinal(
-        events.withColumn("position", position), ["verification_id"], [F.asc("started_at"), F.asc("event_id")], "step", hot_rows
+        events.withColumn("position", position), ["verification_id"], [F.asc("started_at"), F.asc("event_id")], "step"
     ).select("verification_id", "step", "event_id", "stage", "status", "position")
     before = steps.select("verification_id", (F.col("step") + 1).alias("step"), F.col("position").alias("previous"))
     rows = steps.join(before, ["verification_id", "step"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestry import dims
 from attestry.operators.telemetry import STAGES
-from attestry.sources.tables import GIVEN_TABLES, read_table, spread
+from attestry.sources.tables import GIVEN_TABLES, read_table
 from attestry.streaming.jobs import read_stream
 
 
@@ -278,7 +278,7 @@ SELECT k AS case_id, 'DOC-' || CAST(o AS STRING) AS document_id, uploaded_at, st
   CASE WHEN o % 43 = 0 THEN 'XXA' WHEN o % 5 = 0 THEN nation || '<' ELSE nation END AS nationality
 FROM (
   SELECT o_orderkey AS o, o_custkey AS k, o_orderdate AS uploaded_at,
-    CASE WHEN o_orderstatus = 'P' THEN 'REMOVED' ELSE 'ACTIVE' END AS status,
+    CASE WHEN o_orderstatus = 'P' THEN 'REMOVED' WHEN o_orderkey % 5 = 2 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status,
     chr(CAST(65 + o_custkey % 26 AS INT)) || {_digits('o_custkey * 7919 % 10000000', 7)} AS passport,
     {_k(FAMILY, 'o_custkey')} AS family, {_k(GIVEN, 'o_custkey')} AS given, {_k(NATION, 'o_custkey')} AS nation,
     {_day('o_custkey', '1950-01-01', 37, 20000, 'CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END')} AS dob
@@ -300,7 +300,7 @@ SELECT o_orderkey AS case_id, o % 29 <> 0 AS has_m1, o % 31 <> 0 AS has_m2, o %
   CASE o % 9 WHEN 0 THEN 'high_forensic_concern' WHEN 1 THEN 'suspicious' WHEN 2 THEN 'insufficient_data' WHEN 3 THEN NULL
     ELSE 'clean' END AS m3_overall,
   CASE o % 7 WHEN 0 THEN 'ela:suspicious:high:0.8;metadata:suspicious:low:0.55;copy_move:normal:high:0.9'
-    WHEN 1 THEN 'copy_move:suspicious:severe:0.7' WHEN 2 THEN 'photo_boundary:suspicious:medium:0.66' ELSE '' END AS m3_signals,
+    WHEN 1 THEN 'copy_move:suspicious:severe:0.7' WHEN 2 THEN 'photo_boundary:suspicious:medium:0.66' WHEN 3 THEN 'ela:suspicious;metadata;compression:suspicious:low:n/a' ELSE '' END AS m3_signals,
   o % 43 = 0 AS m3_model_hit, CASE WHEN o % 2 = 0 THEN 0.91 END AS m3_model_confidence,
   o % 47 <> 0 AS m4_document_face, o % 53 <> 0 AS m4_live_face,
   CASE WHEN k % 3 = 0 THEN 'poor' ELSE 'acceptable' END AS m4_document_quality,
@@ -312,7 +312,7 @@ SELECT o_orderkey AS case_id, o % 29 <> 0 AS has_m1, o % 31 <> 0 AS has_m2, o %
   CASE WHEN o % 6 <> 2 THEN (k % 100) / CAST(100 AS DOUBLE) END AS m4_similarity,
   CASE o % 13 WHEN 0 THEN 'REVOKED' WHEN 1 THEN 'SUSPENDED' WHEN 2 THEN 'INVALID' WHEN 3 THEN 'MISMATCH' WHEN 4 THEN 'EXPIRED'
     WHEN 5 THEN 'NOT_FOUND' WHEN 6 THEN 'AMBIGUOUS' WHEN 7 THEN 'TIMEOUT' WHEN 8 THEN 'LIVE_PROVIDER_NOT_CONFIGURED'
-    WHEN 9 THEN 'PROVIDER_ERROR' ELSE 'MATCHED' END AS m5_status,
+    WHEN 9 THEN 'PROVIDER_ERROR' WHEN 10 THEN NULL ELSE 'MATCHED' END AS m5_status,
   o % 2 = 0 AS m5_sandbox, CASE WHEN o % 4 = 0 THEN 'name' ELSE 'document_number;date_of_birth;name;nationality' END AS m5_mismatched,
   CASE WHEN o % 59 = 0 THEN false ELSE true END AS m7_applicable,
   CASE o % 5 WHEN 0 THEN 'NOT_DETECTED' WHEN 1 THEN 'DETECTED_NOT_DECODABLE' ELSE 'DECODED' END AS m7_detection,
@@ -352,22 +352,22 @@ FROM (
 """
 
 PAYLOADS = """
-SELECT doc_id, CASE e % 6
+SELECT doc_id, CASE WHEN value <= 5 THEN NULL ELSE CASE e % 6
     WHEN 0 THEN chr(123) || '"dl_no": "' || lic || '", "holder_name": "' || nm || '", "DOB": "' || born || '", "sig": "x1"' || chr(125)
     WHEN 1 THEN 'DL No: ' || lic || '|Name: ' || lower(nm) || '|birth date: ' || born || '|valid-to=' || till
     WHEN 2 THEN lic || '|' || nm || '|' || born || '|' || since || '|' || till || '|LMV,MCWG|12 Long Street Name'
     WHEN 3 THEN '<card lic_no="' || lic || '"><name>' || nm || '</name><dob>' || born || '</dob></card>'
-    WHEN 4 THEN 'dl: ' || lic ELSE CASE WHEN e % 4 = 1 THEN ' ' ELSE 'scan me' END END AS payload
-FROM {holders} WHERE value > 5
+    WHEN 4 THEN 'dl: ' || lic ELSE CASE WHEN e % 4 = 1 THEN ' ' ELSE 'scan me' END END END AS payload
+FROM {holders}
 """
 
 PRINTED_FIELDS = """
-SELECT doc_id, CASE WHEN e % 11 = 0 THEN lic || '9' ELSE substr(lic, 1, 4) || '-' || substr(lic, 5) END AS license_number,
-  CASE WHEN e % 13 = 0 THEN NULL WHEN e % 17 = 0 THEN nm || ' X' ELSE '  ' || lower(nm) END AS name,
-  CASE WHEN e % 3 = 0 THEN substr(born, 9, 2) || '.' || substr(born, 6, 2) || '.' || substr(born, 1, 4) ELSE born END AS dob,
-  CASE WHEN e % 4 = 0 THEN since END AS valid_from, CASE WHEN e % 4 = 1 THEN replace(till, '-', '/') END AS valid_to,
-  CASE WHEN e % 5 = 2 THEN 'mcwg; lmv' WHEN e % 5 = 3 THEN 'LMV' END AS cov
-FROM {holders} WHERE kind <> 'error'
+SELECT doc_id, CASE WHEN kind = 'error' THEN NULL WHEN e % 11 = 0 THEN lic || '9' ELSE substr(lic, 1, 4) || '-' || substr(lic, 5) END AS license_number,
+  CASE WHEN kind = 'error' OR e % 13 = 0 THEN NULL WHEN e % 17 = 0 THEN nm || ' X' ELSE '  ' || lower(nm) END AS name,
+  CASE WHEN kind = 'error' THEN NULL WHEN e % 3 = 0 THEN substr(born, 9, 2) || '.' || substr(born, 6, 2) || '.' || substr(born, 1, 4) ELSE born END AS dob,
+  CASE WHEN kind <> 'error' AND e % 4 = 0 THEN since END AS valid_from, CASE WHEN kind <> 'error' AND e % 4 = 1 THEN replace(till, '-', '/') END AS valid_to,
+  CASE WHEN kind = 'error' THEN NULL WHEN e % 5 = 2 THEN 'mcwg; lmv' WHEN e % 5 = 3 THEN 'LMV' END AS cov
+FROM {holders}
 """
 
 OCR_TOKENS = """
@@ -432,7 +432,7 @@ def names_in(text: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a lazy DataFrame."""
     if name in GIVEN_TABLES:
-        return spread(read_table(spark, sf_dir, name))
+        return read_table(spark, sf_dir, name)
     text = FIXTURES[name]
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names_in(text)})
 

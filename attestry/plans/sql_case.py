@@ -67,7 +67,8 @@ def relations(filter_status: str) -> str:
     return f"""
 typed AS (SELECT * REPLACE ({DOCUMENT_TYPE.format('document_type')} AS document_type) FROM {{case_documents}} AS c0),
 active AS (
-  SELECT *, count(*) OVER (PARTITION BY case_id, document_type) AS document_revision FROM typed WHERE {filter_status}
+  SELECT * FROM (SELECT *, count(*) FILTER (status <> 'REMOVED') OVER (PARTITION BY case_id, document_type) AS document_revision FROM typed) AS t0
+  WHERE {filter_status}
   QUALIFY row_number() OVER (PARTITION BY case_id, document_type ORDER BY uploaded_at DESC, document_id DESC) = 1
 ),
 defs(st, tt, sf, tf, mode, kind, conf, grp, pos) AS (VALUES {_DEFS}),
@@ -147,8 +148,8 @@ SELECT v.case_id, v.document_id, CASE WHEN coalesce(v.passport_number, '') = ''
 FROM active v LEFT JOIN active p ON p.case_id = v.case_id AND p.document_type = 'passport' WHERE v.document_type = 'visa'""",
     "removed_evidence_purge": "WITH " + relations("true") + """
 SELECT case_id, source_id, target_id, kind AS relationship_type, status FROM rel
-WHERE source_id NOT IN (SELECT document_id FROM typed WHERE status = 'REMOVED')
-  AND target_id NOT IN (SELECT document_id FROM typed WHERE status = 'REMOVED')""",
+WHERE source_id NOT IN (SELECT document_id FROM typed WHERE status <> 'ACTIVE')
+  AND target_id NOT IN (SELECT document_id FROM typed WHERE status <> 'ACTIVE')""",
     "case_risk": CASE_SCORED + "," + flags("evidence") + f""",
 doc_modules AS (
   SELECT case_id AS k, module, bool_or(available) AS seen, bool_or(NOT available) AS lost FROM {{evidence}} AS e1 GROUP BY case_id, module

@@ -52,7 +52,7 @@ ROWS = [
         "LOW", 1, available=False),
     row("310 + i", "M3", _M3 + " AND p[2] = 'suspicious'",
         "=coalesce((SELECT max(b) FROM (VALUES " + pairs(FORENSIC_SIGNALS) + ") v(a, b) WHERE a = p[1]), 'forensic_suspicious')",
-        "FORENSIC_ANOMALY", "SUSPICIOUS", "=CASE WHEN p[3] IN ('low', 'medium', 'high') THEN upper(p[3]) ELSE 'MEDIUM' END", "p[4]",
+        "FORENSIC_ANOMALY", "SUSPICIOUS", "=CASE WHEN p[3] IN ('low', 'medium', 'high') THEN upper(p[3]) ELSE 'MEDIUM' END", "coalesce(TRY_CAST(p[4] AS DOUBLE), 0.7)",
         "=CASE WHEN p[1] IN ('ela', 'compression', 'metadata') THEN 'FORENSIC_IMAGE_SIGNALS' END", source="signals"),
     row(390, "M3", _M3 + " AND m3_overall = 'high_forensic_concern'", "forensic_high_concern", "FORENSIC_ANOMALY", "SUSPICIOUS", "HIGH", 0.8),
     row(391, "M3", _M3 + " AND m3_overall = 'suspicious'", "forensic_suspicious", "FORENSIC_ANOMALY", "SUSPICIOUS", "MEDIUM", 0.75),
@@ -76,6 +76,7 @@ ROWS = [
     row(409, "M4", _M4 + " AND coalesce(m4_match, 'unavailable') IN ('inconclusive', 'unavailable')", "face_inconclusive",
         "BIOMETRIC_CONSISTENCY", "INCONCLUSIVE", "LOW", 0.7),
     row(500, "M5", "NOT has_m5", "registry_provider_unavailable", _UNCERTAIN, "UNAVAILABLE", "LOW", 1, available=False),
+    row(505, "M5", _M5 + " AND m5_status IS NULL", "registry_provider_unavailable", _UNCERTAIN, "UNAVAILABLE", "LOW", 1, available=False),
     row(501, "M5", _M5 + " AND m5_status = 'TIMEOUT'", "module_timeout", _UNCERTAIN, "TIMEOUT", "LOW", 1, available=False),
     row(502, "M5", _M5 + " AND m5_status = 'PROVIDER_ERROR'", "module_error", _UNCERTAIN, "UNAVAILABLE", "LOW", 1, available=False),
     row(503, "M5", _M5 + " AND m5_status = 'LIVE_PROVIDER_NOT_CONFIGURED'", "registry_provider_unavailable", _UNCERTAIN, "UNAVAILABLE", "NONE", 1,
@@ -85,7 +86,7 @@ ROWS = [
     row(506, "M5", _M5 + " AND m5_status = 'SUSPENDED'", "registry_suspended", "REGISTRY_STATUS", "SUSPENDED", "CRITICAL", 0.97, "REGISTRY_STATUS_SIGNALS"),
     row(507, "M5", _M5 + " AND m5_status = 'INVALID'", "registry_invalid", "REGISTRY_STATUS", "FAIL", "CRITICAL", f"0.97::DOUBLE * {_SB}"),
     row(508, "M5", _M5 + " AND m5_status = 'MISMATCH'", "registry_mismatch", "REGISTRY_STATUS", "MISMATCH", "HIGH", f"0.95::DOUBLE * {_SB}"),
-    row("510 + i", "M5", _M5 + " AND m5_status = 'MISMATCH' AND i <= 3", "registry_field_mismatch", "REGISTRY_STATUS", "MISMATCH", "HIGH",
+    row("510 + i", "M5", _M5 + " AND m5_status = 'MISMATCH'", "registry_field_mismatch", "REGISTRY_STATUS", "MISMATCH", "HIGH",
         f"0.95::DOUBLE * {_SB}", "REGISTRY_FIELD_MISMATCHES", field="=f", source="differing"),
     row(520, "M5", _M5 + " AND m5_status = 'EXPIRED'", "registry_expired", "REGISTRY_STATUS", "EXPIRED", "HIGH", f"0.97::DOUBLE * {_SB}"),
     row(521, "M5", _M5 + " AND m5_status = 'NOT_FOUND'", "registry_not_found", "REGISTRY_STATUS", "NOT_FOUND", "MEDIUM", f"0.80::DOUBLE * {_SB}"),
@@ -127,9 +128,6 @@ UNION = "WITH mr AS (SELECT * FROM {module_results} AS m0), " + ", ".join(
 SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY place) - 1 AS item_seq, module, signal, category, status, severity,
   confidence, CAST(1.0 AS DOUBLE) AS quality, available, correlation_group, is_positive, field FROM every"""
 
-_FIELD_ORDER = "CASE field " + " ".join(
-    f"WHEN '{f}' THEN {i}" for i, f in enumerate("document_number date_of_birth expiry_date valid_from name nationality".split())
-) + " END"
 # Outcome, signal, status, severity, confidence with the sandbox factor, group.
 _OUTCOMES = """('MATCHED', 'registry_matched', 'MATCH', 'NONE', 0.7, NULL), ('REVOKED', 'registry_revoked', 'REVOKED', 'CRITICAL', 0.97, 'REGISTRY_STATUS_SIGNALS'),
 ('SUSPENDED', 'registry_suspended', 'SUSPENDED', 'CRITICAL', 0.97, 'REGISTRY_STATUS_SIGNALS'), ('INVALID', 'registry_invalid', 'FAIL', 'CRITICAL', 0.97::DOUBLE * 0.7::DOUBLE, NULL),
@@ -151,8 +149,7 @@ UNION ALL
 SELECT f.verification_id, 'M5', 'registry_field_mismatch', 'REGISTRY_STATUS', 'MISMATCH', 'HIGH', 0.95::DOUBLE * 0.7::DOUBLE, true,
   'REGISTRY_FIELD_MISMATCHES', false, field
 FROM fields f JOIN outcomes o ON o.verification_id = f.verification_id AND o.registry_status = 'MISMATCH'
-WHERE is_critical AND f.status = 'MISMATCH'
-QUALIFY row_number() OVER (PARTITION BY f.verification_id ORDER BY {_FIELD_ORDER}) <= 3""",
+WHERE is_critical AND f.status = 'MISMATCH'""",
     "evidence_from_validation": LICENCES
     + "," + VISA_RULES.replace(TYPED, "typed2 AS (" + TYPED.split("AS (", 1)[1] + "").lstrip(",").replace("FROM typed ", "FROM typed2 ")
     + "," + PERMIT_RULES.replace(TYPED + ",", "").replace("FROM typed ", "FROM typed2 ")

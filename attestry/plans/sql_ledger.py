@@ -27,14 +27,26 @@ blocks AS (
     p.payload
   FROM placed p JOIN chain c ON c.target_id = p.target_id AND c.segment = p.segment AND c.pos = p.pos
 ),
+kept AS (SELECT target_id, max(block_index) AS last_index FROM blocks GROUP BY target_id),
+left_over AS (
+  SELECT * FROM blocks
+  WHERE NOT (event_id % 1201 = 0 OR (target_id % 53 = 5 AND block_index <= 2) OR (target_id % 59 = 7 AND block_index > 4) OR target_id % 211 = 11)
+),
 bad AS (
-  SELECT target_id, block_index, CASE WHEN event_id % 1499 = 0 AND previous_hash <> '{ZERO_HASH}' THEN 'BROKEN_LINK'
-    ELSE 'TAMPERED_CONTENT' END AS cause FROM blocks WHERE event_id % 997 = 0 OR event_id % 1499 = 0
+  SELECT target_id, block_index, CASE WHEN block_index <> before + 1 OR (event_id % 1499 = 0 AND previous_hash <> '{ZERO_HASH}') THEN 'BROKEN_LINK'
+    WHEN event_id % 997 = 0 THEN 'TAMPERED_CONTENT' END AS cause
+  FROM (SELECT *, coalesce(lag(block_index) OVER (PARTITION BY target_id ORDER BY block_index), 0) AS before FROM left_over) AS b0
+),
+first_bad AS (
+  SELECT target_id, min(block_index) AS block_index, min_by(cause, block_index) AS cause FROM bad WHERE cause IS NOT NULL GROUP BY target_id
 ),
 verified AS (
-  SELECT b.target_id, count(*) AS events_verified, any_value(f.block_index) AS first_bad_block, any_value(f.cause) AS first_cause
-  FROM blocks b LEFT JOIN (SELECT target_id, min(block_index) AS block_index, min_by(cause, block_index) AS cause FROM bad GROUP BY target_id) f
-    ON f.target_id = b.target_id GROUP BY b.target_id
+  SELECT k.target_id, coalesce(n, 0) AS events_verified,
+    coalesce(f.block_index, CASE WHEN coalesce(last, 0) < last_index THEN coalesce(last, 0) + 1 END) AS first_bad_block,
+    coalesce(f.cause, CASE WHEN coalesce(last, 0) < last_index THEN 'MISSING_BLOCKS' END) AS first_cause
+  FROM kept k
+  LEFT JOIN (SELECT target_id, count(*) AS n, max(block_index) AS last FROM left_over GROUP BY target_id) l ON l.target_id = k.target_id
+  LEFT JOIN first_bad f ON f.target_id = k.target_id
 )
 """
 
@@ -58,10 +70,15 @@ groups AS (SELECT target_id, segment // {SEGMENT_BLOCKS} AS g, sha256(string_agg
 SELECT target_id, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, chr(10) ORDER BY g)) END AS head_hash
 FROM groups GROUP BY target_id""",
     "ledger_verify": CHAIN + """
-SELECT target_id, events_verified, first_bad_block IS NULL AS chain_valid, first_bad_block, first_cause FROM verified""",
+SELECT target_id, events_verified, first_cause IS NULL AS chain_valid, first_bad_block, first_cause FROM verified""",
     "integrity_report": CHAIN + """
-SELECT target_id, events_verified, first_bad_block IS NULL AS chain_valid, target_id % 10 <> 0 AS evidence_match,
-  CASE WHEN first_bad_block IS NULL AND target_id % 10 <> 0 THEN 'VALID' ELSE 'INTEGRITY_FAILURE' END AS integrity_status FROM verified""",
+SELECT target_id, events_verified, first_cause IS NULL AS chain_valid, NOT differs AS evidence_match,
+  CASE WHEN first_cause IS NULL AND NOT coalesce(differs, false) THEN 'VALID' ELSE 'INTEGRITY_FAILURE' END AS integrity_status
+FROM verified LEFT JOIN (
+  SELECT l.target_id, max_by(l.evidence_hash, l.block_index) <> any_value(c.evidence_hash) AS differs FROM left_over l JOIN (
+    SELECT target_id, sha256(max_by(payload, event_id) || CASE WHEN target_id % 10 = 0 THEN ' ' ELSE '' END) AS evidence_hash
+    FROM {ledger_events} AS l1 GROUP BY target_id) c ON c.target_id = l.target_id
+  GROUP BY l.target_id) d USING (target_id)""",
     "evidence_package_hash": _LINES.format(
         "item_seq || '|' || case_id || '|' || module || '|' || signal || '|' || category || '|' || status || '|' || severity || '|' || "
         "printf('%.4f', confidence) || '|' || coalesce(correlation_group, '')",

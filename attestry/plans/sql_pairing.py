@@ -65,7 +65,7 @@ SELECT *, CASE WHEN match THEN 'match' WHEN NOT match THEN 'mismatch' ELSE 'unkn
 _JSON, _KV, _XML = "payload LIKE '{%'", "payload LIKE 'DL No%'", "payload LIKE '<%'"
 _POS, _ONE = "payload LIKE 'TN%|%'", "payload LIKE 'dl: %'"
 PARSED = rf"""
-WITH raw AS (SELECT * FROM {{payloads}} AS p0),
+WITH raw AS (SELECT * REPLACE (coalesce(payload, '') AS payload) FROM {{payloads}} AS p0),
 parsed AS (
   SELECT doc_id, CASE WHEN trim(payload) = '' THEN 'CORRUPTED' WHEN {_JSON} THEN 'JSON' WHEN {_XML} THEN 'XML'
       WHEN {_KV} OR {_ONE} THEN 'DELIMITED_KEY_VALUE' WHEN {_POS} THEN 'POSITIONAL_DELIMITED' ELSE 'PLAIN_TEXT' END AS payload_type,
@@ -244,8 +244,8 @@ SELECT verification_id, step, event_id, stage, status, CASE WHEN status = 'faile
     "exact_dedup": """
 SELECT lower(trim(source)) || ':' || sha256(text) AS content_key, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1""",
     "mask_identifiers": r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '\d([ \-]?\d){11,18}\b')) AS INTEGER) AS identifiers,
-  regexp_replace(text, '(\d([ \-]?\d){7,14})([ \-]?)(\d{4})\b', 'XXXX XXXX \4', 'g') AS masked_text FROM documents""",
+SELECT doc_id, CAST(len(regexp_extract_all(text, '\d([ \-]?\d){11,}\b')) AS INTEGER) AS identifiers,
+  regexp_replace(text, '(\d([ \-]?\d){7,})([ \-]?)(\d{4})\b', 'XXXX XXXX \4', 'g') AS masked_text FROM documents""",
     "vocabulary_violations": "WITH e AS (SELECT * FROM {evidence} AS e0)" + " UNION ALL ".join(
         f"SELECT '{c}' AS field, {c} AS value, count(*) AS count FROM e WHERE {c} NOT IN {in_list(allowed)} GROUP BY {c}"
         for c, allowed in VOCABULARIES.items()
@@ -258,9 +258,9 @@ WITH e AS (
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY verification_id ORDER BY ts) AS session FROM e)
 SELECT verification_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at,
   strftime(max(ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS expires_at,
-  max_by(result, ts) FILTER (module = 'M1') AS m1, max_by(result, ts) FILTER (module = 'M2') AS m2,
-  max_by(result, ts) FILTER (module = 'M3') AS m3, max_by(result, ts) FILTER (module = 'M4') AS m4,
-  max_by(result, ts) FILTER (module = 'M5') AS m5, count(*) AS updates
+  max_by(result, (ts, result)) FILTER (module = 'M1') AS m1, max_by(result, (ts, result)) FILTER (module = 'M2') AS m2,
+  max_by(result, (ts, result)) FILTER (module = 'M3') AS m3, max_by(result, (ts, result)) FILTER (module = 'M4') AS m4,
+  max_by(result, (ts, result)) FILTER (module = 'M5') AS m5, count(*) AS updates
 FROM s GROUP BY verification_id, session""",
     "registry_dedup": """
 SELECT document_type, query_hash, provider, strftime(time_bucket(INTERVAL 300 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS period,

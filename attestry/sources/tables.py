@@ -23,12 +23,3 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def load_case_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Case documents from parquet or JSON, never inferring the schema."""
     return spark.read.schema(CASE_DOCUMENTS_SCHEMA).format(fmt).load(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Lets all cores work on an input with fewer splits than cores, such as one small file.
-
-    Inputs of cluster size have more splits than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

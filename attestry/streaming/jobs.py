@@ -78,7 +78,9 @@ def assemble_sessions(results: DataFrame, late_by: str | None = None) -> DataFra
     Works on batch and streaming input; a stream needs ``late_by`` to close its sessions.
     """
     rows = watermarked(results, "ts", late_by) if late_by else results
-    latest = [F.max_by(F.when(F.col("module") == m, F.col("result")), F.when(F.col("module") == m, F.col("ts"))).alias(m.lower()) for m in MODULES]
+    # of equal times the later event decides, or the larger result where events have no id
+    tie = [c for c in ("event_id", "result") if c in results.columns]
+    latest = [F.max_by(F.col("result"), F.when(F.col("module") == m, F.struct("ts", *tie))).alias(m.lower()) for m in MODULES]
     grouped = rows.groupBy("verification_id", F.session_window("ts", SESSION_GAP).alias("session"))
     return grouped.agg(*latest, F.count("*").alias("updates")).select(
         "verification_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss").alias("started_at"),
@@ -147,32 +149,24 @@ def latency_windows(events: DataFrame, length: str = "1 hour", slide: str | None
 def ledger_stream(events: DataFrame, folder: str) -> DataFrame:
     """Extends the ledger batch by batch; events without target or type go to ``dead_letter``.
 
-    Each batch reads the heads left by the batch before it and writes the heads it leaves, so
-    the cost of a batch does not grow with the length of the ledger. Events already anchored
-    in an earlier batch are dropped by target and event id.
+    Each batch reads the heads left by the batch before it and writes the heads it leaves, so the cost of a batch
+    does not grow with the length of the ledger. Repeats of an event are dropped by target and event id from the
+    stream's state, whichever batch they come in; an event that arrives late is appended in order of arrival, and
+    within a batch events are appended in order of their ids.
     """
     spark = events.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         usable = F.col("target_id").isNotNull() & F.col("event_type").isNotNull()
         _write_batch(batch.filter(~usable), f"{folder}/dead_letter", batch_id)
-        events = batch.filter(usable).dropDuplicates(["target_id", "event_id"])
-        heads = None
-        if batch_id > 0:
-            heads = spark.read.parquet(f"{folder}/heads/batch_id={batch_id - 1}")
-            events = events.join(heads.select("target_id", "last_event_id"), "target_id", "left")
-            events = events.filter(F.col("event_id") > F.coalesce("last_event_id", F.lit(-1))).drop("last_event_id")
-        previous = heads.drop("last_event_id") if heads is not None else None
-        _write_batch(ledger.ledger_build(events, heads=previous), f"{folder}/blocks", batch_id)
-        written = spark.read.parquet(f"{folder}/blocks/batch_id={batch_id}")
-        latest = ledger.block_heads(written).join(
-            written.groupBy("target_id").agg(F.max("event_id").alias("last_event_id")), "target_id"
-        )
+        heads = spark.read.parquet(f"{folder}/heads/batch_id={batch_id - 1}") if batch_id > 0 else None
+        _write_batch(ledger.ledger_build(batch.filter(usable), heads=heads), f"{folder}/blocks", batch_id)
+        latest = ledger.block_heads(spark.read.parquet(f"{folder}/blocks/batch_id={batch_id}"))
         if heads is not None:
             latest = latest.unionByName(heads.join(latest, "target_id", "left_anti"))
         _write_batch(latest, f"{folder}/heads", batch_id)
 
-    run_batches(events, folder, handle)
+    run_batches(events.dropDuplicates(["target_id", "event_id"]), folder, handle)
     return spark.read.parquet(f"{folder}/blocks").drop("batch_id")
 
 

@@ -1,10 +1,11 @@
-"""Hot-key paths give the same rows as plain windows; scores keep their invariants."""
+"""Distributed ranks equal plain windows, nothing is cut, and scores keep their invariants."""
 
+import pytest
 from conftest import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestry.operators import ledger, risk
+from attestry.operators import crossdoc, evidence, ledger, payloads, risk, standardize
 from attestry.operators.ranking import ordinal, top_rows
 from attestry.plans.fixtures import table
 
@@ -27,22 +28,79 @@ def test_ordinal_of_hot_keys(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), (F.col("id") % 2).alias("v"), "id")
     order = [F.desc("v"), F.asc("id")]
     plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("long"))
-    hot = ordinal(df, ["k"], order, "n", hot_rows=100)
+    hot = ordinal(df, ["k"], order, "n")
     assert hot.exceptAll(plain).isEmpty() and plain.exceptAll(hot).isEmpty()
 
 
-def test_hot_reasons_equal_cold_reasons(spark):
-    evidence = table(spark, SMALL, "evidence").withColumn("item_seq", F.xxhash64("case_id", "item_seq"))
-    evidence = evidence.withColumn("case_id", F.when(F.col("case_id") % 3 == 0, 0).otherwise(F.col("case_id")))
-    cold, hot = risk.risk_reasons(evidence), risk.risk_reasons(evidence, hot_rows=50)
-    assert cold.exceptAll(hot).isEmpty() and hot.exceptAll(cold).isEmpty()
-
-
-def test_hot_ledger_equals_cold_ledger(spark):
-    events = table(spark, SMALL, "ledger_events").withColumn("target_id", F.col("target_id") % 4)
-    cold, hot = ledger.ledger_build(events), ledger.ledger_build(events, hot_rows=10)
-    assert cold.exceptAll(hot).isEmpty() and hot.exceptAll(cold).isEmpty()
-    assert ledger.ledger_verify(cold).filter(~F.col("chain_valid")).isEmpty()
+def long_ledger(spark):
+    """One target with 200 blocks in four segments, and its stored anchors."""
+    events = spark.range(1, 201).selectExpr("1 AS target_id", "id AS event_id", "'view' AS event_type", "'2024-01-01' AS recorded_at", "concat('p', id) AS payload")
+    blocks = ledger.ledger_build(events).cache()
+    return blocks, ledger.anchors(blocks).cache()
+
+
+def test_missing_blocks_are_found(spark):
+    blocks, kept = long_ledger(spark)
+    index = F.col("block_index")
+
+    def verdict(left, stored):
+        row = ledger.ledger_verify(left, stored).first()
+        return row.chain_valid, row.first_bad_block, row.first_cause
+
+    assert verdict(blocks, kept) == (True, None, None) and verdict(blocks, None) == (True, None, None)
+    for stored in (kept, None):
+        assert verdict(blocks.filter(index != 64), stored) == (False, 65, "BROKEN_LINK")
+        assert verdict(blocks.filter(~index.between(65, 128)), stored) == (False, 129, "BROKEN_LINK")
+        assert verdict(blocks.filter(index != 1), stored) == (False, 2, "BROKEN_LINK")
+        assert verdict(blocks.filter(index > 64), stored) == (False, 65, "BROKEN_LINK")
+    assert verdict(blocks.filter(index <= 150), kept) == (False, 151, "MISSING_BLOCKS")
+    assert verdict(blocks.limit(0), kept) == (False, 1, "MISSING_BLOCKS")
+    renumbered = blocks.withColumn("segment", F.when(F.col("segment") == 3, 2).otherwise(F.col("segment")))
+    assert not verdict(renumbered, kept)[0]
+    forged = kept.withColumn("head_hash", F.lit("0"))
+    assert verdict(blocks, forged) == (False, None, "HEAD_MISMATCH")
+
+
+def test_digit_runs_of_any_length_are_masked(spark):
+    texts = ["1" * 25, "1234 5678 9012", "1-2" * 4000 + "9999", "12345678901", "1234  5678  9012", "a 123456789012 b 2345-6789-0123", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: (r.identifiers, r.masked_text) for r in standardize.mask_document_text(df).collect()}
+    assert got[0] == (1, "XXXX XXXX 1111") and got[1] == (1, "XXXX XXXX 9012") and got[2] == (1, "XXXX XXXX 9999")
+    assert got[3] == (0, texts[3]) and got[4] == (0, texts[4]) and got[5] == (2, "a XXXX XXXX 9012 b XXXX XXXX 0123")
+    assert got[6] == (None, None)
+
+
+def test_payload_slots_beyond_a_thousand_count(spark):
+    text = "TN0519900000001|A NAME" + "|" * 1500 + "1990-01-01|LMV"
+    df = spark.createDataFrame([(1, text), (2, "TN0519900000001|A")], "doc_id int, payload string")
+    row = payloads.parse_payloads(df).filter("doc_id = 1").first()
+    assert (row.dob, row.cov) == ("1990-01-01", "LMV")
+
+
+def test_short_and_unreadable_module_entries(spark):
+    base = table(spark, SMALL, "module_results").limit(1)
+    rows = base.withColumns({
+        "has_m3": F.lit(True), "m3_overall": F.lit("clean"), "m3_signals": F.lit("ela:suspicious;metadata;copy_move:suspicious:low:x"),
+        "has_m5": F.lit(True), "m5_status": F.lit(None).cast("string"), "has_m7": F.lit(True), "m7_applicable": F.lit(True),
+        "m7_detection": F.lit("DECODED"), "m7_checks": F.lit("name;dob:"), "m2_failed": F.lit("identifier_checksum"), "has_m2": F.lit(True),
+    })
+    got = {(r.module, r.signal): r for r in evidence.evidence_union(rows).collect()}
+    assert got["M3", "forensic_ela_anomaly"].confidence == 0.7 and got["M3", "forensic_ela_anomaly"].severity == "MEDIUM"
+    assert got["M3", "forensic_suspicious"].severity == "LOW"
+    assert not got["M5", "registry_provider_unavailable"].available
+    every = rows.withColumns({"m5_status": F.lit("MISMATCH"), "m5_mismatched": F.lit("a;b;c;d;e")})
+    assert evidence.evidence_union(every).filter("signal = 'registry_field_mismatch'").count() == 5
+
+
+def test_superseded_documents_count_as_revisions(spark):
+    rows = [("c", "D1", 1, "SUPERSEDED"), ("c", "D2", 2, "ACTIVE"), ("d", "D3", 1, "SUPERSEDED"), ("d", "D4", 2, "REMOVED"), ("e", "D5", 1, "REMOVED"), ("e", "D6", 2, None)]
+    df = spark.createDataFrame(rows, "case_id string, document_id string, uploaded_at int, status string").withColumns(
+        {"document_type": F.lit("passport")} | {c: F.lit("x") for c in crossdoc.IDENTITY}
+    )
+    got = {r.case_id: (r.document_id, r.document_revision) for r in crossdoc.active_revisions(df).collect()}
+    assert got == {"c": ("D2", 2), "e": ("D6", 1)}
+    stored = df.withColumn("document_revision", F.lit(7))
+    assert {r.document_revision for r in crossdoc.active_revisions(stored).collect()} == {7}
 
 
 def test_top_rows_limits_before_the_shuffle(spark):
@@ -54,11 +112,13 @@ def test_top_rows_limits_before_the_shuffle(spark):
 def test_tree_hash_depends_only_on_own_leaves(spark):
     leaves = spark.range(40).select(F.lit("a").alias("k"), F.col("id").alias("position"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"))
     single = spark.createDataFrame([("b", 0, "x")], "k string, position long, leaf string")
-    together = {r.k: r.tree_hash for r in ledger.fold_tree(leaves.unionByName(single), ["k"], 40, width=3).collect()}
-    alone = ledger.fold_tree(single, ["k"], 1, width=3).first().tree_hash
+    together = {r.k: r.tree_hash for r in ledger.fold_tree(leaves.unionByName(single), ["k"], width=3).collect()}
+    alone = ledger.fold_tree(single, ["k"], width=3).first().tree_hash
     assert together["b"] == alone and together["a"] != alone
-    shorter = ledger.fold_tree(leaves.filter("position < 39"), ["k"], 39, width=3).first().tree_hash
+    shorter = ledger.fold_tree(leaves.filter("position < 39"), ["k"], width=3).first().tree_hash
     assert shorter != together["a"]
+    with pytest.raises(Exception, match="more leaves"):
+        ledger.fold_tree(leaves, ["k"], width=3, levels=2).collect()
 
 
 def test_revoked_scores_55_and_is_raised_to_85(spark):

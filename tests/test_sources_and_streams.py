@@ -78,6 +78,27 @@ def test_ledger_stream_over_several_batches(spark, tmp_path):
     assert ledger.ledger_verify(blocks).filter(~F.col("chain_valid")).isEmpty()
 
 
+def test_ledger_stream_keeps_late_events(spark, tmp_path):
+    """Lower ids that arrive later are appended, repeats are not, and unusable events go to the dead letters."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "work")
+    schema = "target_id long, event_id long, event_type string, recorded_at string, payload string"
+    for ids in ([1, 2, 5], [3, 4, 6, 5], [6, 1, 0]):
+        rows = [(1, i, "view", "2024-01-01", f"p{i}") for i in ids] + [(None, 90 + ids[0], "view", "2024-01-01", "x")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        blocks = jobs.ledger_stream(spark.readStream.schema(schema).parquet(source), folder)
+    order = [r.event_id for r in blocks.orderBy("block_index").collect()]
+    assert order == [1, 2, 5, 3, 4, 6, 0]
+    assert ledger.ledger_verify(blocks).first().chain_valid
+    assert spark.read.parquet(f"{folder}/dead_letter").count() == 3
+
+
+def test_session_ties_do_not_depend_on_order(spark):
+    rows = [("v", "2024-01-01 00:00:00", "M1", 2.0), ("v", "2024-01-01 00:00:00", "M1", 1.0), ("v", "2024-01-01 00:00:00", "M2", 5.0)]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "verification_id string, ts string, module string, result double").withColumn("ts", F.to_timestamp("ts"))
+        assert jobs.assemble_sessions(df).first().m1 == 2.0
+
+
 def test_session_stream_agrees_with_batch(spark):
     batch = jobs.assemble_sessions(table(spark, SMALL, "module_updates"))
     import __spark_entry__ as entry
