@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text
 from attestry.functions.text import case_when
-from attestry.operators import registry, validate
+from attestry.operators import passport, registry, validate
 
 SANDBOX_FACTOR = 0.70  # confidence of registry findings from a sandbox source
 
@@ -337,14 +337,15 @@ def evidence_from_registry(submissions: DataFrame, official: DataFrame, watchlis
 def evidence_from_validation(submissions: DataFrame) -> DataFrame:
     """Evidence of the validation jobs of all document types."""
     jobs = [
-        validate.licence_checks, validate.visa_checks, validate.permit_checks, validate.national_id_checks,
+        passport.passport_checks, validate.licence_checks, validate.visa_checks, validate.permit_checks, validate.national_id_checks,
         validate.pan_checks, validate.voter_checks,
     ]
     frames = [job(submissions) for job in jobs]
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame)
-    emitted = rows.select("verification_id", F.explode(validation_items(F.col("checks"))).alias("i"))
+    # the outer form repeats no expression in a filter; documents without an item drop out afterwards
+    emitted = rows.select("verification_id", F.explode_outer(validation_items(F.col("checks"))).alias("i")).filter("i IS NOT NULL")
     return emitted.select("verification_id", "i.*").drop("quality", "field")
 
 

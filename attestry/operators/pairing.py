@@ -13,8 +13,8 @@ MAX_GAP, MIN_OVERLAP = 60, -20  # pixels below a label, horizontal overlap
 LOW_CONFIDENCE = 0.65
 
 
-def viz_mrz_crosscheck(submissions: DataFrame, reference: str = dates.REFERENCE_DATE) -> DataFrame:
-    """Printed values against the machine readable zone; NULL ``match`` means one side is unread."""
+def viz_mrz_cells(submissions: DataFrame, reference: str = dates.REFERENCE_DATE) -> tuple[DataFrame, Column]:
+    """The rows and an array over them: per field whether both zones agree, NULL if one side is unread."""
     df = submissions.withColumns({"l1": mrz_line(F.col("mrz_line1")), "l2": mrz_line(F.col("mrz_line2"))})
     l1, l2 = F.col("l1"), F.col("l2")
     mrz = {
@@ -64,7 +64,13 @@ def viz_mrz_crosscheck(submissions: DataFrame, reference: str = dates.REFERENCE_
         else:
             same = a == b
         cells.append(F.struct(F.lit(f).alias("field"), F.when(~unread, same).alias("match")))
-    rows = df.select("verification_id", F.explode(F.array(*cells)).alias("c")).select("verification_id", "c.*")
+    return df, F.array(*cells)
+
+
+def viz_mrz_crosscheck(submissions: DataFrame, reference: str = dates.REFERENCE_DATE) -> DataFrame:
+    """Printed values against the machine readable zone, one row per field."""
+    df, cells = viz_mrz_cells(submissions, reference)
+    rows = df.select("verification_id", F.explode(cells).alias("c")).select("verification_id", "c.*")
     status = case_when([(F.col("match"), "match"), (~F.col("match"), "mismatch")], "unknown")
     return rows.withColumn("status", status)
 

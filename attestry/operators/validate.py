@@ -14,6 +14,7 @@ from attestry.functions import checks, dates, text
 from attestry.functions.dates import REFERENCE_DATE
 from attestry.functions.text import case_when, is_blank
 
+KEYS = ["verification_id", "document_type"]
 Case = tuple  # (condition, status, valid, severity, reason)
 
 
@@ -32,6 +33,16 @@ def check(name: str, cases: list[Case], default: tuple) -> Column:
     return case_when([(condition, verdict(*rest)) for condition, *rest in cases], verdict(*default))
 
 
+def computed_once(df: DataFrame, keys: list[str], inputs: dict[str, Column]) -> DataFrame:
+    """``keys`` and the named inputs, evaluated once per row.
+
+    Projections above would otherwise copy each input's expression into every check that reads it. The generator
+    over an array of one struct yields one row per row and keeps them apart.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in inputs.items()]))).alias("_in")
+    return df.select(*keys, packed).select(*keys, "_in.*")
+
+
 def _any(array: Column, *severities: str) -> Column:
     return F.exists(array, lambda c: F.coalesce(c["severity"].isin(*severities), F.lit(False)))
 
@@ -41,7 +52,8 @@ def overall_status(array: Column, failing: tuple, warning: tuple) -> Column:
 
 
 def _long(df: DataFrame) -> DataFrame:
-    rows = df.select("verification_id", "document_type", "overall", F.explode("checks").alias("c"))
+    # the outer form, because a plain explode adds a filter that repeats the whole array expression
+    rows = df.select("verification_id", "document_type", "overall", F.explode_outer("checks").alias("c"))
     return rows.select("verification_id", "document_type", "c.*", "overall")
 
 
@@ -69,22 +81,22 @@ def _missing(*columns: str) -> Column:
 
 def licence_checks(submissions: DataFrame, reference: str = REFERENCE_DATE) -> DataFrame:
     ref = F.lit(reference).cast("date")
-    df = _dated(_typed(submissions, "driving_license"), dates.licence_date).withColumns(
-        {
-            "items": text.vehicle_class_items(F.col("vehicle_classes")),
-            "norm": text.licence_number(F.col("document_number")),
-            "clean": text.stripped(F.col("document_number")),
-            "transport_until": dates.licence_date(F.col("transport_validity")).cast("date"),
-        }
-    )
-    df = df.withColumns(
-        {
-            "known": text.vehicle_classes(F.col("items")),
-            "unknown": text.unknown_vehicle_classes(F.col("items")),
-            "code": F.upper(F.substring(F.coalesce("norm", "clean"), 1, 2)),
-            "age": F.datediff(F.coalesce("issued", ref), F.col("born")) / 365.25,
-        }
-    )
+    df = _dated(_typed(submissions, "driving_license"), dates.licence_date)
+    printed = ["name", "document_number", "date_of_birth", "vehicle_classes", "transport_validity"]
+    read = {c: F.col(c) for c in (*printed, "born", "issued", "expires")} | {
+        "items": text.vehicle_class_items(F.col("vehicle_classes")),
+        "norm": text.licence_number(F.col("document_number")),
+        "clean": text.stripped(F.col("document_number")),
+        "transport_until": dates.licence_date(F.col("transport_validity")).cast("date"),
+    }
+    df = computed_once(df, KEYS, read)
+    facts = {c: F.col(c) for c in read} | {
+        "known": text.vehicle_classes(F.col("items")),
+        "unknown": text.unknown_vehicle_classes(F.col("items")),
+        "code": F.upper(F.substring(F.coalesce("norm", "clean"), 1, 2)),
+        "age": F.datediff(F.coalesce("issued", ref), F.col("born")) / 365.25,
+    }
+    df = computed_once(df, KEYS, facts)
     norm, code, age = F.col("norm"), F.col("code"), F.col("age")
     born, issued, expires, until = (F.col(c) for c in ("born", "issued", "expires", "transport_until"))
     no_number = is_blank(F.col("document_number"))
@@ -176,7 +188,7 @@ def licence_checks(submissions: DataFrame, reference: str = REFERENCE_DATE) -> D
             ("passed", True),
         ),
     ]
-    df = df.withColumn("checks", F.array(*rules))
+    df = computed_once(df, KEYS, {"checks": F.array(*rules)})
     array = F.col("checks")
     broken = F.exists(array, lambda c: c["check_name"].isin("required_fields", "license_number_format") & ~c["valid"])
     overall = case_when(
@@ -244,7 +256,7 @@ def visa_checks(submissions: DataFrame, reference: str = REFERENCE_DATE) -> Data
             "field_consistency", [(F.col("name").rlike("[0-9]"), "warning", False, "warning", "DIGIT_IN_NAME")], ("passed", True)
         ),
     ]
-    df = df.withColumn("checks", F.array(*rules))
+    df = computed_once(df, KEYS, {"checks": F.array(*rules)})
     overall = overall_status(F.col("checks"), ("critical",), ("warning",))
     return df.select("verification_id", "document_type", "checks", overall.alias("overall"))
 
@@ -296,7 +308,7 @@ def permit_checks(submissions: DataFrame, reference: str = REFERENCE_DATE) -> Da
             ("warning", False, "warning", "PASSPORT_SYNTAX_WARNING"),
         ),
     ]
-    df = df.withColumn("checks", F.array(*rules))
+    df = computed_once(df, KEYS, {"checks": F.array(*rules)})
     overall = overall_status(F.col("checks"), ("critical", "high"), ("warning", "medium"))
     return df.select("verification_id", "document_type", "checks", overall.alias("overall"))
 
@@ -350,7 +362,7 @@ def national_id_checks(submissions: DataFrame, reference: str = REFERENCE_DATE)
             ("passed", True),
         ),
     ]
-    df = df.withColumn("checks", F.array(*rules))
+    df = computed_once(df, KEYS, {"checks": F.array(*rules)})
     overall = overall_status(F.col("checks"), ("critical",), ("high", "warning"))
     return df.select("verification_id", "document_type", "checks", overall.alias("overall"))
 
@@ -383,7 +395,7 @@ def _card_checks(submissions, kind, number, no_date: tuple, no_year: tuple, refe
             ("passed", True),
         ),
     ]
-    df = df.withColumn("checks", F.array(*rules))
+    df = computed_once(df, KEYS, {"checks": F.array(*rules)})
     array = F.col("checks")
     broken = F.exists(array, lambda c: c["check_name"].isin("required_fields", "identifier_format") & ~c["valid"])
     overall = case_when(

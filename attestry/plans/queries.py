@@ -9,6 +9,7 @@ from attestry.operators import (
     faces,
     ledger,
     pairing,
+    passport,
     payloads,
     registry,
     risk,
@@ -70,6 +71,7 @@ QUERIES = {
         registry.protected_roundtrip, "registry", secret=SAMPLE_SECRET, cipher_key=SAMPLE_CIPHER_KEY
     ),
     "licence_rules": over(validate.licence_rules, "submissions"),
+    "passport_rules": over(passport.passport_rules, "submissions"),
     "visa_rules": over(validate.visa_rules, "submissions"),
     "permit_rules": over(validate.permit_rules, "submissions"),
     "identity_card_rules": over(validate.identity_card_rules, "submissions"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from attestry.operators.evidence import CHECK_SIGNALS, FORENSIC_SIGNALS
 from attestry.plans.sql_identity import LOOKUP, pairs
+from attestry.plans.sql_passport import PASSPORTS
 from attestry.plans.sql_validate import CARD_RULES, LICENCES, PERMIT_RULES, TYPED, VISA_RULES
 
 _UNCERTAIN = "VERIFICATION_UNCERTAINTY"
@@ -155,8 +156,9 @@ WHERE is_critical AND f.status = 'MISMATCH'""",
     + "," + PERMIT_RULES.replace(TYPED + ",", "").replace("FROM typed ", "FROM typed2 ")
     + "," + CARD_RULES.replace(TYPED + ",", "").replace("FROM typed ", "FROM typed2 ")
     + f""",
-every AS (SELECT * FROM driving_license_long UNION ALL SELECT * FROM visa_long UNION ALL SELECT * FROM border_permit_long
-  UNION ALL SELECT * FROM aadhaar_long UNION ALL SELECT * FROM pan_card_long UNION ALL SELECT * FROM voter_id_long),
+every AS (SELECT * FROM ({PASSPORTS} SELECT verification_id, check_name, status, valid, severity, reason FROM passport_long) AS p0
+  UNION ALL BY NAME SELECT verification_id, check_name, status, valid, severity, reason FROM driving_license_long UNION ALL BY NAME SELECT verification_id, check_name, status, valid, severity, reason FROM visa_long UNION ALL BY NAME SELECT verification_id, check_name, status, valid, severity, reason FROM border_permit_long
+  UNION ALL BY NAME SELECT verification_id, check_name, status, valid, severity, reason FROM aadhaar_long UNION ALL BY NAME SELECT verification_id, check_name, status, valid, severity, reason FROM pan_card_long UNION ALL BY NAME SELECT verification_id, check_name, status, valid, severity, reason FROM voter_id_long),
 rules(name, cond, signal, category, st, sv, confidence, grp) AS (VALUES {_MAP})
 SELECT DISTINCT verification_id, 'M2' AS module, signal, category, st AS status, sv AS severity, CAST(confidence AS DOUBLE) AS confidence,
   true AS available, grp AS correlation_group, false AS is_positive, name
