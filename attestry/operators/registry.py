@@ -235,11 +235,15 @@ def compared(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame)
     return found.withColumn("field_results", F.when(F.col("record").isNotNull(), field_results()))
 
 
-def field_comparison(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:
+def field_comparison(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame, secret: str) -> DataFrame:
+    """One row per compared field; the compared values leave as keyed hashes under ``secret``."""
+    # the outer form repeats no expression in a filter; rows without a record drop out afterwards
     rows = compared(submissions, registry, watchlist).select(
-        "verification_id", "document_type", F.explode("field_results").alias("f")
+        "verification_id", "document_type", F.explode_outer("field_results").alias("f")
     )
-    return rows.select("verification_id", "document_type", "f.*")
+    rows = rows.filter("f IS NOT NULL").select("verification_id", "document_type", "f.*")
+    hashes = [text.keyed_hash(F.col(f"{side}_value"), secret).alias(f"{side}_hash") for side in ("document", "registry")]
+    return rows.select("*", *hashes).drop("document_value", "registry_value")
 
 
 def outcome(results: Column, record: Column, kind: Column) -> Column:
@@ -333,5 +337,7 @@ def reveal_registry(protected: DataFrame, cipher_key: bytes) -> DataFrame:
 
 
 def protected_roundtrip(records: DataFrame, secret: bytes, cipher_key: bytes) -> DataFrame:
+    """Records protected and revealed again: blind index, masked number and which fields can be read."""
     revealed = reveal_registry(protect_registry(records, secret, cipher_key), cipher_key)
-    return revealed.select("record_id", "document_type", "blind_index", "document_number", "name", "date_of_birth")
+    readable = [F.col(c).isNotNull().alias(f"has_{c}") for c in ("name", "date_of_birth")]
+    return revealed.select("record_id", "document_type", "blind_index", text.masked(F.col("document_number")).alias("number"), *readable)

@@ -142,9 +142,10 @@ def standardization_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def identity_collisions(df: DataFrame) -> DataFrame:
+def identity_collisions(df: DataFrame, secret: str) -> DataFrame:
     """Numbers claimed under several names or birth dates, and people holding several numbers.
 
+    The number or person leaves as a keyed hash under ``secret``.
     Repeated claims collapse before the shuffle; each distinct claim then counts once under
     its number and once under its person.
     """
@@ -176,6 +177,7 @@ def identity_collisions(df: DataFrame) -> DataFrame:
             F.countDistinct("number").alias("numbers"),
         )
         .filter((F.col("names") > 1) | (F.col("birth_dates") > 1) | (F.col("numbers") > 1))
+        .withColumn("collision_key", text.keyed_hash(F.col("collision_key"), secret))
     )
 
 

@@ -61,11 +61,11 @@ SAMPLE_SECRET, SAMPLE_CIPHER_KEY = b"sample lookup secret", bytes(range(32))
 QUERIES = {
     "standardize": over(standardize.standardize_submissions, "submissions"),
     "standardization_profile": over(standardize.standardization_profile, "submissions"),
-    "identity_collisions": over(standardize.identity_collisions, "submissions"),
+    "identity_collisions": over(standardize.identity_collisions, "submissions", secret=SAMPLE_SECRET.decode()),
     "registry_lookup": over(registry.registry_lookup, *REGISTRY_INPUTS),
     "registry_not_found": over(registry.registry_not_found, *REGISTRY_INPUTS),
     "registry_ambiguous": over(registry.registry_ambiguous, *REGISTRY_INPUTS),
-    "field_comparison": over(registry.field_comparison, *REGISTRY_INPUTS),
+    "field_comparison": over(registry.field_comparison, *REGISTRY_INPUTS, secret=SAMPLE_SECRET.decode()),
     "registry_outcome": over(registry.registry_outcome, *REGISTRY_INPUTS),
     "protected_registry": over(
         registry.protected_roundtrip, "registry", secret=SAMPLE_SECRET, cipher_key=SAMPLE_CIPHER_KEY

@@ -362,6 +362,16 @@ outcomes AS (
 )
 """
 
+def _hmac(kind: str) -> str:
+    """HMAC-SHA256 from two plain hashes over bytes; the key is the secret and the type, shorter than a block."""
+    key = (b"sample lookup secret" + kind.encode()).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ mask for b in key).hex() for mask in (0x36, 0x5C))
+    number = "hex(encode(regexp_replace(upper(document_number), '[\\s\\-_/.]', '', 'g')))"
+    return f"WHEN '{kind}' THEN sha256(unhex('{outer}' || sha256(unhex('{inner}' || {number}))))"
+
+
+_HMAC = " ".join(_hmac(k) for k in ["passport", "visa", "driving_license", "pan_card", "border_permit", "aadhaar", "voter_id"])
+
 SQL = {
     "standardize": STANDARD + "SELECT * FROM standard",
     "standardization_profile": STANDARD
@@ -375,13 +385,14 @@ SELECT *, round(row_count / sum(row_count) OVER (PARTITION BY document_type, fie
     "identity_collisions": STANDARD
     + f""",
 keyed AS (SELECT *, array_to_string({tokens('name')}, ' ') AS person_key FROM standard)
+SELECT * REPLACE (sha256('sample lookup secret|' || collision_key) AS collision_key) FROM (
 SELECT 'NUMBER' AS kind, document_type || ':' || document_number AS collision_key,
   count(DISTINCT person_key) AS names, count(DISTINCT date_of_birth) AS birth_dates, CAST(1 AS BIGINT) AS numbers
 FROM keyed WHERE document_number IS NOT NULL GROUP BY ALL HAVING names > 1 OR birth_dates > 1
 UNION ALL
 SELECT 'PERSON', document_type || ':' || person_key || ':' || date_of_birth, 1, 1, count(DISTINCT document_number) AS c
 FROM keyed WHERE document_number IS NOT NULL AND person_key <> '' AND date_of_birth IS NOT NULL
-GROUP BY ALL HAVING c > 1""",
+GROUP BY ALL HAVING c > 1) AS k""",
     "registry_lookup": LOOKUP + """
 SELECT verification_id, kind AS document_type, origin, CAST(record_id AS BIGINT) AS record_id, cand AS candidate,
   registry_document_status, watchlist_reason FROM best""",
@@ -392,7 +403,13 @@ FROM subs WHERE verification_id NOT IN (SELECT verification_id FROM best)""",
     "registry_ambiguous": LOOKUP + """
 SELECT verification_id, kind AS document_type, origin, n AS match_count FROM best WHERE n > 1""",
     "field_comparison": LOOKUP + """
-SELECT verification_id, document_type, field, is_critical, comparison_method, document_value, registry_value, status
+SELECT verification_id, document_type, field, is_critical, comparison_method, sha256('sample lookup secret|' || document_value) AS document_hash,
+  sha256('sample lookup secret|' || registry_value) AS registry_hash, status
 FROM fields""",
+    "protected_registry": f"""
+SELECT record_id, document_type, CASE document_type {_HMAC} END AS blind_index,
+  CASE WHEN coalesce(document_number, '') = '' THEN '' ELSE 'XXXX XXXX ' || right(regexp_replace(document_number, '[\\s\\-]', '', 'g'), 4) END AS number,
+  name IS NOT NULL AS has_name, date_of_birth IS NOT NULL AS has_date_of_birth
+FROM {{registry}} AS r0""",
     "registry_outcome": LOOKUP + "SELECT * FROM outcomes",
 }
