@@ -206,11 +206,10 @@ def dedup_binding(evidence: DataFrame) -> DataFrame:
 def case_evidence(documents: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataFrame:
     """Evidence of every active document plus the cross-document rows, keyed by case.
 
-    ``evidence.case_id`` is the key inside ``DOC-<key>`` of the document it was raised for.
+    ``evidence`` names the document it was raised for in ``document_id``.
     """
     active = active_documents(documents).select("case_id", "document_id")
-    own = evidence.withColumn("document_id", F.concat(F.lit("DOC-"), F.col("case_id").cast("string"))).drop("case_id")
-    own = own.join(active, "document_id").withColumn(
+    own = evidence.join(active, "document_id").withColumn(
         "item_seq", F.struct(F.lit(0).alias("source"), F.col("document_id").alias("document"), F.col("item_seq").alias("seq"))
     )
     columns = (
@@ -221,9 +220,8 @@ def case_evidence(documents: DataFrame, evidence: DataFrame, relations: DataFram
 
 def case_completeness(documents: DataFrame, evidence: DataFrame) -> DataFrame:
     """Mean completeness of the active documents of a case, 1.0 when none is active."""
-    known = risk.case_counts(evidence).select(
-        F.concat(F.lit("DOC-"), F.col("case_id").cast("string")).alias("document_id"), risk.completeness().alias("part")
-    )
+    counts = risk.case_counts(evidence.withColumnRenamed("document_id", "case_id"))
+    known = counts.select(F.col("case_id").alias("document_id"), risk.completeness().alias("part"))
     active = active_documents(documents).select("case_id", "document_id").join(known, "document_id", "left")
     means = active.groupBy("case_id").agg(
         risk.rounded(F.avg(F.coalesce("part", F.lit(0.0))), 2).alias("mean"), F.count("*").alias("documents_considered")

@@ -200,7 +200,13 @@ def mask_document_text(df: DataFrame, id_column: str = "doc_id", text_column: st
     )
 
 
-VOCABULARIES = {"status": dims.EVIDENCE_STATUSES, "severity": dims.SEVERITIES, "category": list(dims.CATEGORY_CAPS)}
+VOCABULARIES = {
+    "status": dims.EVIDENCE_STATUSES,
+    "severity": dims.SEVERITIES,
+    "category": list(dims.CATEGORY_CAPS),
+    "module": [*dims.MODULES, dims.OPTIONAL_MODULE],
+    "signal": [signal for signal, _ in dims.signal_categories()],
+}
 
 
 def vocabulary_violations(evidence: DataFrame) -> DataFrame:

@@ -231,6 +231,22 @@ FROM (
 ) AS e
 """
 
+# the evidence of one verification is that of one document of a case
+DOCUMENT_EVIDENCE = """
+SELECT 'DOC-' || CAST(case_id AS STRING) AS document_id, item_seq, module, signal, category, status, severity, confidence, quality,
+  available, correlation_group, is_positive FROM {evidence}
+"""
+
+# evidence as another system may deliver it: some values are outside the closed vocabularies
+FOREIGN_EVIDENCE = """
+SELECT item_seq, CASE WHEN item_seq % 101 = 0 THEN 'UNKNOWN' WHEN item_seq % 103 = 0 THEN NULL ELSE status END AS status,
+  CASE WHEN item_seq % 107 = 0 THEN 'SEVERE' WHEN item_seq % 109 = 0 THEN 'high' ELSE severity END AS severity,
+  CASE WHEN item_seq % 113 = 0 THEN 'OTHER' ELSE category END AS category,
+  CASE WHEN item_seq % 127 = 0 THEN 'M9' WHEN item_seq % 131 = 0 THEN 'm1' ELSE module END AS module,
+  CASE WHEN item_seq % 137 = 0 THEN 'unlisted' ELSE signal END AS signal
+FROM {evidence}
+"""
+
 TEXT_ROUTING = """
 SELECT doc_id, declared_type,
   CASE mark % 9 WHEN 0 THEN 'Entry Visa no 1. ' WHEN 1 THEN 'Republic of India passport ' WHEN 2 THEN 'DL No TN05 LMV COV '
@@ -422,6 +438,8 @@ FIXTURES = {
     "registry": REGISTRY,
     "watchlist": WATCHLIST,
     "evidence": EVIDENCE,
+    "document_evidence": DOCUMENT_EVIDENCE,
+    "foreign_evidence": FOREIGN_EVIDENCE,
 }
 
 

@@ -49,7 +49,7 @@ def ledger_stream(spark, sf_dir):
 
 
 def case_stream(spark, sf_dir):
-    documents, evidence_rows = table(spark, sf_dir, "case_documents"), table(spark, sf_dir, "evidence")
+    documents, evidence_rows = table(spark, sf_dir, "case_documents"), table(spark, sf_dir, "document_evidence")
     arriving = stream(spark, sf_dir, "case_documents")
     return jobs.case_stream(arriving, lambda: documents, evidence_rows, jobs.new_folder(spark, "cases"))
 
@@ -86,7 +86,7 @@ QUERIES = {
     "cross_document": over(crossdoc.cross_document, "case_documents"),
     "reference_check": over(crossdoc.reference_check, "case_documents"),
     "removed_evidence_purge": over(crossdoc.removed_evidence_purge, "case_documents"),
-    "case_risk": over(crossdoc.case_risk, "case_documents", "evidence"),
+    "case_risk": over(crossdoc.case_risk, "case_documents", "document_evidence"),
     "conflicts": over(conflicts.conflicts, "evidence"),
     "contradictions": over(conflicts.contradictions, "evidence"),
     "evidence_union": over(evidence.evidence_union, "module_results"),
@@ -116,7 +116,7 @@ QUERIES = {
         standardize.dedup_exact, "documents", type_column="source", content_column="text", order_column="doc_id"
     ),
     "mask_identifiers": over(standardize.mask_document_text, "documents"),
-    "vocabulary_violations": over(standardize.vocabulary_violations, "evidence"),
+    "vocabulary_violations": over(standardize.vocabulary_violations, "foreign_evidence"),
     "session_assembly": over(jobs.assemble_sessions, "module_updates"),
     "session_stream": streamed(lambda df: jobs.assemble_sessions(df, jobs.LATE_BY), "module_updates", "sessions"),
     "registry_dedup": over(jobs.fresh_lookups, "lookups"),

@@ -246,7 +246,7 @@ SELECT lower(trim(source)) || ':' || sha256(text) AS content_key, min(doc_id) AS
     "mask_identifiers": r"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '\d([ \-]?\d){11,}\b')) AS INTEGER) AS identifiers,
   regexp_replace(text, '(\d([ \-]?\d){7,})([ \-]?)(\d{4})\b', 'XXXX XXXX \4', 'g') AS masked_text FROM documents""",
-    "vocabulary_violations": "WITH e AS (SELECT * FROM {evidence} AS e0)" + " UNION ALL ".join(
+    "vocabulary_violations": "WITH e AS (SELECT * FROM {foreign_evidence} AS e0)" + " UNION ALL ".join(
         f"SELECT '{c}' AS field, {c} AS value, count(*) AS count FROM e WHERE {c} NOT IN {in_list(allowed)} GROUP BY {c}"
         for c, allowed in VOCABULARIES.items()
     ),

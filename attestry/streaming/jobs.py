@@ -88,11 +88,6 @@ def assemble_sessions(results: DataFrame, late_by: str | None = None) -> DataFra
     )
 
 
-def late_results(results: DataFrame, closed_before: str) -> DataFrame:
-    """Rows older than the time up to which sessions are closed; kept beside the sessions."""
-    return results.filter(F.col("ts") < F.lit(closed_before).cast("timestamp"))
-
-
 # ---------------------------------------------------------------------------------------
 # Lookups
 
