@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import checkpointed, join_on_hot_key, keep_one_row
+from attestry.llm.common import checkpointed, join_on_hot_key, keep_one_row, ship_package
 
 DIGEST = 32
 # distinct digests per shard; about 60 bytes each in a task
@@ -177,6 +177,7 @@ def merge_groups(incoming: DataFrame, index: DataFrame, shards: int) -> DataFram
 
 def dedup_groups(rows: DataFrame, is_history: Column, id_column: str) -> tuple[DataFrame, int]:
     """Groups over all ``rows`` (with a ``digest``): history rows build the index, the others are looked up."""
+    ship_package(rows.sparkSession)
     sides = rows.withColumn("__old", is_history)
     old = checkpointed(group_digests(sides.filter("__old"), id_column))
     new = group_digests(sides.filter("NOT __old"), id_column)

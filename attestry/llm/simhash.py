@@ -54,13 +54,13 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row and ``fp``, the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, columns: list[str], text: str = "text", name: str = "fp") -> DataFrame:
+    """``columns`` of every row and ``name``, the fingerprint's bits as a signed long."""
 
     def compute():
         return lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))]
 
-    return map_texts(docs, columns, "fp long", compute, text)
+    return map_texts(docs, columns, f"`{name}` long", compute, text)
 
 
 def ring_keys(distinct: DataFrame) -> DataFrame:
@@ -196,8 +196,14 @@ def one_per_component(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     found, total = clusters(rows, id_column)
     decided = join_on_hot_key(rows, found, "fp", "size", total)
     kept = decided.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
-    # identifiers that stay are distinct, so this join has no hot key
-    stay = kept.groupBy(id_column).agg(F.max("repeats").alias("__repeats"), F.first("root").alias("__root"))
-    stay = stay.withColumnRenamed(id_column, "__stay")
-    joined = docs.join(stay, docs[id_column].eqNullSafe(stay["__stay"]))
-    return keep_one_row(joined.drop("__stay"), "__root", "__repeats").select(*docs.columns)
+    # identifiers that stay are distinct apart from repeated ones, so this join has no hot key
+    again = rows.groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("__rows"))
+    stay = kept.groupBy(F.col(id_column).alias("__stay"), F.col("fp").alias("__fp")).agg(
+        F.max("repeats").alias("__repeats"), F.first("root").alias("__root")
+    )
+    stay = stay.join(again, F.col("__stay").eqNullSafe(F.col("__id"))).drop("__id")
+    joined = docs.join(stay, docs[id_column].eqNullSafe(stay["__stay"])).drop("__stay")
+    # where several rows share an identifier, the fingerprint tells which of them stays
+    same = fingerprints(joined.filter("__rows > 1"), joined.columns, text, "__now").filter("__now = __fp")
+    chosen = joined.filter("__rows = 1").unionByName(same.select(*joined.columns))
+    return keep_one_row(chosen.drop("__fp", "__rows"), "__root", "__repeats").select(*docs.columns)
