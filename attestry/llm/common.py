@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +19,26 @@ __all__ = ["checkpointed", "join_on_hot_key", "keep_one_row", "documents", "map_
 
 # A key can only be hot if it holds at least one row in this many, so there are never more hot keys than this.
 HOT_SHARE = 1000
+# Text that a task works on at once; a longer text is worked on alone, whole.
+BATCH_BYTES = 1 << 20
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_attestry_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        # the driver serves this file to executors as long as the context lives
+        path = f"{tempfile.mkdtemp(prefix='spark-')}/attestry_package.zip"
+        with zipfile.ZipFile(path, "w") as packed:
+            for file in sorted(root.rglob("*.py")):
+                packed.write(file, file.relative_to(root.parent))
+        context.addPyFile(path)
+        context._attestry_shipped = True
 
 
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,30 +58,33 @@ def map_texts(
     ``compute()`` is called once per task and returns the function from the texts of a batch
     (None for null) to one Arrow array per new field, so models are set up once.
     """
+    ship_package(df.sparkSession)
     fields = T.StructType.fromDDL(new_fields).fields
     schema = T.StructType([*[df.schema[c] for c in columns], *fields])
     names = [*columns, *[f.name for f in fields]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_texts = compute()
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            made = of_texts(texts)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], *made], names=names)
+        for whole in batches:
+            sizes = pc.binary_length(whole.column(len(columns))).fill_null(0).to_pylist()
+            for low, high in slices(sizes, BATCH_BYTES):
+                batch = whole.slice(low, high - low)
+                made = of_texts(batch.column(len(columns)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], *made], names=names)
 
     return df.select(*columns, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def slices(texts: list, chars: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``chars`` characters together; every text is in one range, whole."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of about ``most`` bytes together; every row is in one range, whole."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= most:
             yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
