@@ -29,6 +29,15 @@ def stored_array(size: int, dtype) -> np.ndarray:
         return np.memmap(file, dtype=dtype, mode="r+", shape=(size,))
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable sorting order of small non-negative keys: key and place in one number sort faster than an argsort."""
+    if keys.dtype.itemsize <= 2:
+        return np.argsort(keys, kind="stable")
+    packed = (keys.astype(np.int64) << 32) | np.arange(len(keys), dtype=np.int64)
+    packed.sort()
+    return packed & 0xFFFFFFFF
+
+
 class BucketQueue:
     """A priority queue of suffixes: first by bucket, then by arrival. Sizes of all buckets are known before."""
 
@@ -41,6 +50,8 @@ class BucketQueue:
 
     def push(self, bucket: np.ndarray, suffix: np.ndarray, prefix: np.ndarray | None = None) -> None:
         """Appends suffixes, given in bucket order and within a bucket in arrival order."""
+        if not len(bucket):
+            return
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         count = np.diff(np.concatenate([first, [len(bucket)]]))
         at = self.head[bucket] + np.arange(len(bucket)) - np.repeat(first, count)
@@ -61,13 +72,18 @@ def induce(chars: np.ndarray, target: np.ndarray, seeds: np.ndarray, alphabet: i
     seed_start = np.concatenate([[0], np.cumsum(np.bincount(chars[seeds], minlength=alphabet))])
     entries = queue.start + seed_start
 
-    def put(sources: np.ndarray) -> None:
+    turns = np.concatenate([[True], chars[1:] != chars[:-1]])
+    run_start = np.maximum.accumulate(np.where(turns, np.arange(len(chars)), 0))
+
+    def put(sources: np.ndarray, fed: int = -1) -> None:
         left = sources - 1
         left = left[left >= 0]
         left = left[target[left]]
+        bucket = chars[left]
+        if fed >= 0:  # done along the runs
+            left, bucket = left[bucket != fed], bucket[bucket != fed]
         if len(left):
-            bucket = chars[left]
-            order = np.argsort(bucket, kind="stable")
+            order = stable_order(bucket)
             queue.push(bucket[order], left[order])
 
     low = 0
@@ -80,15 +96,20 @@ def induce(chars: np.ndarray, target: np.ndarray, seeds: np.ndarray, alphabet: i
             both = np.concatenate([mine, given])
             key = chars[both].astype(np.int64) * 2
             key[len(mine) :] += 1
-            put(both[np.argsort(key, kind="stable")])
+            put(both[stable_order(key)])
             low = high
             continue
-        taken, end = int(queue.start[low]), int(queue.start[low + 1])
-        while taken < end:  # the bucket feeds itself
-            ready = int(queue.head[low])
-            put(np.array(queue.suffix[taken:ready]))
-            taken = ready
-        put(seeds[seed_start[low] : seed_start[low + 1]])
+        # the bucket feeds itself along runs of its character: from each suffix that came from elsewhere to the left,
+        # first all one step away, then all two steps away, and so on
+        came = np.array(queue.suffix[queue.start[low] : queue.head[low]])
+        steps = came - run_start[came]
+        suffix = np.repeat(came, steps)
+        away = np.arange(1, len(suffix) + 1) - np.repeat(np.cumsum(steps) - steps, steps)
+        order = stable_order(away)
+        fed = (suffix - away)[order]
+        queue.push(np.full(len(fed), low), fed)
+        put(np.concatenate([came, fed]), low)
+        put(seeds[seed_start[low] : seed_start[low + 1]], low)
         low += 1
     return queue
 
@@ -107,7 +128,7 @@ def induce_with_prefixes(
         feeds = np.flatnonzero(left >= 0)
         feeds = feeds[target[left[feeds]]]
         fed = chars[left[feeds]]
-        order = np.argsort(fed, kind="stable")
+        order = stable_order(fed)
         feeds, fed = feeds[order], fed[order]
         first = np.flatnonzero(np.concatenate([[True], fed[1:] != fed[:-1]])) if len(fed) else np.zeros(0, np.int64)
         bounds, made = np.append(first, len(fed)), np.zeros(len(fed), dtype=np.int64)
@@ -163,7 +184,7 @@ def starred(fall: np.ndarray) -> np.ndarray:
 
 def sort_starred(chars: np.ndarray, fall: np.ndarray, stars: np.ndarray, alphabet: int, apart: np.ndarray) -> np.ndarray:
     """The S* suffixes in order. ``apart`` marks separators: each differs from every other, ordered by place."""
-    rough = stars[np.argsort(chars[stars], kind="stable")]
+    rough = stars[stable_order(chars[stars])]
     large = induce(chars, fall, rough, alphabet)
     descending = induce(alphabet - 1 - chars, ~fall & ~apart, np.asarray(large.suffix)[::-1], alphabet)
     order = np.asarray(descending.suffix)[::-1]
@@ -206,7 +227,36 @@ def suffix_order(names: np.ndarray, alphabet: int) -> np.ndarray:
     small = np.asarray(induce(alphabet - 1 - chars, ~fall & ~apart, large[::-1], alphabet).suffix)[::-1]
     every = np.concatenate([large, small])
     kind = np.repeat([0, 1], [len(large), len(small)])
-    return every[np.argsort(chars[every] * 2 + kind, kind="stable")]
+    return every[stable_order(chars[every] * 2 + kind)]
+
+
+def comparer(chars: np.ndarray, apart: np.ndarray, length: int):
+    """Common prefixes of pairs of suffixes, followed up to ``length``, four characters at a time."""
+    size = len(chars)
+    words, clean = np.zeros(size, dtype=np.uint64), np.ones(size, dtype=bool)
+    for lane in range(4):
+        words[: size - lane] |= chars[lane:].astype(np.uint64) << np.uint64(16 * lane)
+        clean[: size - lane] &= ~apart[lane:]
+    clean[size - 3 :] = False
+
+    def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found, open_, rest = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), []
+        for depth in range(0, length, 4):
+            x, y = a[open_] + depth, b[open_] + depth
+            equal = (words[x] == words[y]) & clean[x]
+            rest.append(open_[~equal])
+            open_ = open_[equal]
+            if not len(open_):
+                break
+            found[open_] = depth + 4
+        open_ = np.concatenate(rest) if rest else open_
+        for _ in range(3):
+            x, y = a[open_] + found[open_], b[open_] + found[open_]
+            open_ = open_[(chars[x] == chars[y]) & ~apart[x]]
+            found[open_] += 1
+        return np.minimum(found, length)
+
+    return compare
 
 
 def long_repeats(segments: list[bytes], length: int) -> np.ndarray:
@@ -223,16 +273,7 @@ def long_repeats(segments: list[bytes], length: int) -> np.ndarray:
     fall, alphabet = falling(chars), 257
     stars = starred(fall)
 
-    def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        found, open_ = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
-        for depth in range(length):
-            x, y = chars[a[open_] + depth], chars[b[open_] + depth]
-            open_ = open_[(x == y) & (x > 0)]
-            if not len(open_):
-                break
-            found[open_] = depth + 1
-        return found
-
+    compare = comparer(chars, apart, length)
     seeds = sort_starred(chars, fall, stars, alphabet, apart)
     seed_prefix = np.concatenate([[0], compare(seeds[:-1], seeds[1:])])
     large = induce_with_prefixes(chars, fall, seeds, seed_prefix, alphabet, compare)

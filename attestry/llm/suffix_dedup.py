@@ -161,7 +161,7 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, whole, copies, hot, body) of the wanted segments of each text."""
+    """(gram, whole, copies, body) of the wanted segments of each text."""
 
     def run(batches):
         for whole in batches:
@@ -172,11 +172,11 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                 take = lambda k: [s[k] for s in row["wanted"]]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(take("gram"), pa.int64()), pa.array(take("whole"), pa.int64()), pa.array(take("copies"), pa.int64()),
-                     pa.array(take("hot"), pa.bool_()), pa.array(bodies, pa.binary())],
-                    names=["gram", "whole", "copies", "hot", "body"],
+                     pa.array(bodies, pa.binary())],
+                    names=["gram", "whole", "copies", "body"],
                 )
 
-    return texts.select("text", "wanted").mapInArrow(run, "gram long, whole long, copies long, hot boolean, body binary")
+    return texts.select("text", "wanted").mapInArrow(run, "gram long, whole long, copies long, body binary")
 
 
 def _hot_windows(cut: DataFrame, length: int) -> DataFrame:
@@ -193,8 +193,7 @@ def _hot_windows(cut: DataFrame, length: int) -> DataFrame:
                     names=["gram", "whole", "copies", "low", "window"],
                 )
 
-    windows = cut.filter("hot").drop("hot").dropDuplicates(["gram", "whole"])
-    windows = windows.mapInArrow(run, "gram long, whole long, copies long, low int, window binary")
+    windows = cut.dropDuplicates(["gram", "whole"]).mapInArrow(run, "gram long, whole long, copies long, low int, window binary")
     repeated = windows.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
     return windows.join(repeated, "window").select("gram", "whole", "low", (F.col("low") + 1).cast("int").alias("high"))
 
@@ -231,21 +230,22 @@ def repeated_bytes(
     size = wanted.agg(F.sum(F.col("at.last") - F.col("at.first") + length)).first()[0] or 0
     shards = max(64, -(-size // SHARD_BYTES))
 
-    per_text = wanted.groupBy(F.col("at.digest").alias("digest"), F.col("at.one").alias("one")).agg(
-        F.collect_list(F.struct("gram", "whole", "copies", "hot", "at.first", "at.last")).alias("wanted")
-    )
     keyed = docs.select(
         F.col(id_column).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).withColumn("__digest", F.unhex(F.sha2("text", 256)))
-    sources = keyed.join(
-        per_text, (F.col("__digest") == per_text["digest"]) & F.col("__id").eqNullSafe(per_text["one"])
-    )
-    cut = _cut(sources, length)
-    dealt = cut.filter("NOT hot").withColumn("shard", F.pmod("gram", F.lit(shards)).cast("int"))
+
+    def cut(kinds: DataFrame) -> DataFrame:
+        per_text = kinds.groupBy(F.col("at.digest").alias("digest"), F.col("at.one").alias("one")).agg(
+            F.collect_list(F.struct("gram", "whole", "copies", "at.first", "at.last")).alias("wanted")
+        )
+        found = keyed.join(per_text, (F.col("__digest") == per_text["digest"]) & F.col("__id").eqNullSafe(per_text["one"]))
+        return _cut(found, length)
+
+    dealt = cut(wanted.filter("NOT hot")).withColumn("shard", F.pmod("gram", F.lit(shards)).cast("int"))
     sorted_ = dealt.groupBy("shard").applyInArrow(
         lambda table: _shard_windows(table, length), "gram long, whole long, low int, high int"
     )
-    flagged = sorted_.unionByName(_hot_windows(cut, length))
+    flagged = sorted_.unionByName(_hot_windows(cut(wanted.filter("hot")), length))
     per_kind = flagged.groupBy("gram", "whole").agg(F.collect_list(F.struct("low", "high")).alias("windows"))
     per_kind = _stored(per_kind.join(wanted.select("gram", "whole", "places"), ["gram", "whole"]), "flagged")
 
