@@ -25,23 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attestry.llm.common import map_texts, slices
+from attestry.llm.common import map_texts
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # stands for U+2581 of the text itself: a lone surrogate, which no text from a table holds and no piece has
 LITERAL_MARK = "\udc81"
 WORDS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-# words whose result a task remembers; when full the memory is emptied and words are encoded again
-MEMORY = 300_000
-SLICE_CHARS = 4_000_000
+# words per generation that a task remembers (about 25 MB), twice; forgotten words are encoded again
+MEMORY = 100_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     pieces: dict[str, tuple[int, int]]  # piece -> (id, score)
     byte_ids: tuple[int, ...]
-    outputs: tuple[bytes | None, ...]  # what an id decodes to; None for control pieces
+    outputs: tuple[bytes, ...]  # what an id decodes to; nothing for control pieces
     longest: int
     fallback: int  # score of a character without a piece
 
@@ -58,7 +57,7 @@ def load_vocabulary(path: str = MODEL_FILE) -> Vocabulary:
             byte_ids[int(piece[3:5], 16)] = i
             outputs.append(bytes([int(piece[3:5], 16)]))
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-            outputs.append(None)
+            outputs.append(b"")
         else:
             pieces[piece] = (i, -round(1e6 * math.log(len(pieces) + 2)))
             outputs.append(piece.replace(MARK, " ").encode())
@@ -73,6 +72,12 @@ def marked_words(text: str) -> list[str]:
     return WORDS.findall(MARK + text.replace(MARK, LITERAL_MARK).replace(" ", MARK))
 
 
+def piece_tails(vocabulary: Vocabulary) -> dict[str, tuple[int, int] | None]:
+    """Every ending of a piece: its id and score if it is a piece itself. No piece ends in what is not listed."""
+    tails: dict[str, tuple[int, int] | None] = {piece[i:]: None for piece in vocabulary.pieces for i in range(1, len(piece))}
+    return tails | vocabulary.pieces
+
+
 def shared_prefix(a: str, b: str) -> int:
     size = min(len(a), len(b))
     if a[:size] == b[:size]:
@@ -91,11 +96,13 @@ class SharedPrefixViterbi:
     """Encodes distinct marked words; keeps their ids as int32 bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        # words of the texts since the last change of generation, and those of the generation before
+        self.vocabulary, self.known, self.older = vocabulary, {}, {}
+        self.tails = piece_tails(vocabulary)
 
     def learn(self, words: Iterable[str]) -> None:
         """Depth-first over the trie of the sorted words: scores up to the fork stay, the rest is computed."""
-        longest, fallback, piece = self.vocabulary.longest, self.vocabulary.fallback, self.vocabulary.pieces.get
+        fallback, tail = self.vocabulary.fallback, self.tails.get
         best, last = [0], [(0, 0)]  # per prefix length: best score, and (length, id) of the last piece
         before = ""
         for word in sorted(words):
@@ -103,10 +110,13 @@ class SharedPrefixViterbi:
             del best[fork + 1 :], last[fork + 1 :]
             for end in range(fork + 1, len(word) + 1):
                 top, how = best[end - 1] + fallback, (1, -1)
-                for start in range(max(0, end - longest), end):  # the longest piece first, so it wins ties
-                    found = piece(word[start:end])
-                    if found is not None and best[start] + found[1] > top:
-                        top, how = best[start] + found[1], (end - start, found[0])
+                for start in range(end - 1, -1, -1):  # longer pieces later, so they win ties
+                    found = tail(word[start:end], 0)
+                    if found:
+                        if best[start] + found[1] >= top:
+                            top, how = best[start] + found[1], (end - start, found[0])
+                    elif found == 0:
+                        break
                 best.append(top)
                 last.append(how)
             self.known[word] = self._path(word, last)
@@ -126,6 +136,21 @@ class SharedPrefixViterbi:
         return array("i", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        words = [marked_words(t or "") for t in texts]
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        new = set().union(*words) - self.known.keys()
+        met = new & self.older.keys()
+        self.known.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        self.learn(new - met)
+        get = self.known.__getitem__
+        return [
+            None if text is None else np.frombuffer(b"".join(map(get, parts)), dtype=np.int32)
+            for text, parts in zip(texts, words, strict=True)
+        ]
+
+
+def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         out: list[np.ndarray | None] = []
         for low, high in slices(texts, SLICE_CHARS):
             words = [marked_words(t or "") for t in texts[low:high]]
@@ -158,8 +183,27 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()), mask=mask)
 
 
-def decode_ids(ids: Iterable[int], outputs: tuple[bytes | None, ...]) -> str:
-    joined = b"".join([outputs[i] or b"" for i in ids])
+def encode_and_decode(
+    docs: DataFrame, columns: list[str], vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded", text: str = "text"
+) -> DataFrame:
+    """``columns`` of every row, the piece ids and the text they spell, in one pass and so one Python worker a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the model's pieces, whatever the input
+
+    def compute():
+        coder = SharedPrefixViterbi(shared.value)
+
+        def of_texts(texts):
+            rows = coder.encode(texts)
+            spelt = [None if r is None else decode_ids(r.tolist(), shared.value.outputs) for r in rows]
+            return [_lists(rows), pa.array(spelt, pa.string())]
+
+        return of_texts
+
+    return map_texts(docs, columns, f"`{ids}` array<int>, `{decoded}` string", compute, text)
+
+
+def decode_ids(ids: Iterable[int], outputs: tuple[bytes, ...]) -> str:
+    joined = b"".join(map(outputs.__getitem__, ids))
     return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
 
 
@@ -174,7 +218,9 @@ def decode(rows: DataFrame, columns: list[str], vocabulary: Vocabulary, ids: str
         outputs = shared.value.outputs
         for batch in batches:
             lists = batch.column(len(columns))
-            texts = [None if not x.is_valid else decode_ids(x.values.to_pylist(), outputs) for x in lists]
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            there = lists.is_valid().to_pylist()
+            texts = [decode_ids(values[a:b].tolist(), outputs) if t else None for t, a, b in zip(there, ends, ends[1:], strict=False)]
             kept = [batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=[*columns, name])
 

@@ -71,8 +71,7 @@ def op6_decontamination(spark, sf_dir):
 
 def op7_sentencepiece(spark, sf_dir):
     vocabulary = pieces.load_vocabulary()
-    coded = pieces.encode(documents(spark, sf_dir), ["doc_id", "text"], vocabulary)
-    spelt = pieces.decode(coded, ["doc_id", "text", "ids"], vocabulary, name="decoded")
+    spelt = pieces.encode_and_decode(documents(spark, sf_dir), ["doc_id", "text"], vocabulary)
     return spelt.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"),

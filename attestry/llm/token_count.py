@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attestry.llm.common import map_texts, slices
-from attestry.llm.pieces import LITERAL_MARK, MARK, SLICE_CHARS, Vocabulary, marked_words
+from attestry.llm.common import map_texts
+from attestry.llm.pieces import LITERAL_MARK, MARK, Vocabulary, marked_words, piece_tails
 
 # nodes a task keeps (about 150 MB); a full trie is dropped and grown again, which changes no count
 TRIE_NODES = 700_000
@@ -25,7 +25,7 @@ TRIE_NODES = 700_000
 
 class CountingTrie:
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.tails = vocabulary, piece_tails(vocabulary)
         self._clear()
 
     def _clear(self) -> None:
@@ -43,15 +43,18 @@ class CountingTrie:
             path.append(node)
         known = len(path) - 1
         score, tokens = self.score, self.tokens
-        longest, fallback, piece = self.vocabulary.longest, self.vocabulary.fallback, self.vocabulary.pieces.get
+        fallback, tail = self.vocabulary.fallback, self.tails.get
         for end in range(known + 1, len(word) + 1):
             char, up = word[end - 1], path[end - 1]
-            # a character by its bytes, unless a piece does better; the longest piece first, so it wins ties
+            # a character by its bytes, unless a piece does better; longer pieces later, so they win ties
             top, count = score[up] + fallback, 0
-            for start in range(max(0, end - longest), end):
-                found = piece(word[start:end])
-                if found is not None and score[path[start]] + found[1] > top:
-                    top, count = score[path[start]] + found[1], tokens[path[start]] + 1
+            for start in range(end - 1, -1, -1):
+                found = tail(word[start:end], 0)
+                if found:
+                    if score[path[start]] + found[1] >= top:
+                        top, count = score[path[start]] + found[1], tokens[path[start]] + 1
+                elif found == 0:
+                    break
             if not count:
                 count = tokens[up] + len((MARK if char == LITERAL_MARK else char).encode("utf-8"))
             child[up, char] = len(score)
@@ -66,16 +69,12 @@ class CountingTrie:
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and pre-tokens per text."""
-        tokens, words = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        for low, high in slices(texts, SLICE_CHARS):
-            parts = [marked_words(t or "") for t in texts[low:high]]
-            if len(self.score) > TRIE_NODES:
-                self._clear()
-            self.learn(set().union(*parts) - self.counts.keys())
-            get = self.counts.__getitem__
-            tokens[low:high] = [sum(map(get, p)) for p in parts]
-            words[low:high] = [len(p) for p in parts]
-        return tokens, words
+        parts = [marked_words(t or "") for t in texts]
+        if len(self.score) > TRIE_NODES:
+            self._clear()
+        self.learn(set().union(*parts) - self.counts.keys())
+        get = self.counts.__getitem__
+        return np.array([sum(map(get, p)) for p in parts], np.int64), np.array([len(p) for p in parts], np.int64)
 
 
 def token_counts(docs: DataFrame, columns: list[str], vocabulary: Vocabulary, text: str = "text") -> DataFrame:
