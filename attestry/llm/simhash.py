@@ -16,7 +16,7 @@ all are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,9 +159,10 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(stream, "a long, b long")
 
 
-def clusters(rows: DataFrame, id_column: str) -> tuple[DataFrame, int]:
+def clusters(rows: DataFrame, id_column: str, link: Callable[[DataFrame], DataFrame] = links) -> tuple[DataFrame, int]:
     """(fp, component_id, repeats, size) per distinct fingerprint of ``rows`` (identifier, fp).
 
+    ``link`` gives the links (a, b) among the distinct fingerprints.
     ``repeats`` is how many rows carry the component's identifier, ``size`` the rows of this fingerprint.
     """
     smallest = F.struct(F.col(id_column).isNull(), F.col(id_column))
@@ -169,7 +170,7 @@ def clusters(rows: DataFrame, id_column: str) -> tuple[DataFrame, int]:
         rows.groupBy("fp", id_column).agg(F.count("*").alias("n"))
         .groupBy("fp").agg(F.min(id_column).alias("least"), F.min_by("n", smallest).alias("n"), F.sum("n").alias("size"))
     )
-    roots = components(links(per_fp.select("fp")))
+    roots = components(link(per_fp.select("fp")))
     rooted = per_fp.join(roots, per_fp["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = rooted.drop("node")
     least_first = F.struct(F.col("least").isNull(), F.col("least"))
@@ -190,10 +191,20 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text:
     )
 
 
-def one_per_component(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per component stays: the smallest identifier."""
-    rows = checkpointed(fingerprints(docs, [id_column], text))
-    found, total = clusters(rows, id_column)
+def one_per_component(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    rows: DataFrame | None = None,
+    mark: Callable[..., DataFrame] = fingerprints,
+    link: Callable[[DataFrame], DataFrame] = links,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one per component stays: the smallest identifier.
+
+    ``mark`` gives the fingerprints, ``rows`` are those of all ``docs`` if they exist already.
+    """
+    rows = checkpointed(mark(docs, [id_column], text)) if rows is None else rows
+    found, total = clusters(rows, id_column, link)
     decided = join_on_hot_key(rows, found, "fp", "size", total)
     kept = decided.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
     # identifiers that stay are distinct apart from repeated ones, so this join has no hot key
@@ -204,6 +215,6 @@ def one_per_component(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     stay = stay.join(again, F.col("__stay").eqNullSafe(F.col("__id"))).drop("__id")
     joined = docs.join(stay, docs[id_column].eqNullSafe(stay["__stay"])).drop("__stay")
     # where several rows share an identifier, the fingerprint tells which of them stays
-    same = fingerprints(joined.filter("__rows > 1"), joined.columns, text, "__now").filter("__now = __fp")
+    same = mark(joined.filter("__rows > 1"), joined.columns, text, "__now").filter("__now = __fp")
     chosen = joined.filter("__rows = 1").unionByName(same.select(*joined.columns))
     return keep_one_row(chosen.drop("__fp", "__rows"), "__root", "__repeats").select(*docs.columns)

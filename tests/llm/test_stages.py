@@ -1,0 +1,80 @@
+"""Stages of the pipeline against plain rules."""
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+import numpy as np
+
+from attestry.llm import exact_dedup, similar
+from attestry.llm.common import documents
+
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+def word_shingles(text, size=5):
+    words = (text or "").lower().split()
+    size = min(size, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def brute_stay(rows):
+    """Smallest identifiers of the groups that pairs at similarity 0.8 or more connect."""
+    sets = {i: word_shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {top(i) for i in sets}
+
+
+def test_near_stage_reaches_similarity_of_four_fifths(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for group in range(12):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        rows.append((100 * group, " ".join(base)))
+        for copy in range(1, 8):
+            changed = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) * copy // 160)):
+                changed[at] = word()
+            rows.append((100 * group + copy, " ".join(changed)))
+    rows += [(5000, None), (5001, " \n"), (5002, "one"), (5003, "One"), (5004, "one two"), (5005, "A b c d e f"), (5006, "a b c d e x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_stay(rows)
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SMALL).collect()} == want
+    assert 12 + 5 < len(want) < len(rows)
+
+
+def test_near_stage_of_given_documents(spark):
+    docs = exact_dedup.unique_rows(documents(spark, MIDDLE))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_stay(rows)
+    kept = [r.doc_id for r in corpus_pipeline.near_stage(spark, docs, MIDDLE).collect()]
+    assert sorted(kept) == sorted(want) and len(want) < len(rows)
+
+
+def test_forest_connects_what_is_near():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 50, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        gone = rng.random(50) < rng.choice([0.05, 0.1, 0.3])
+        sets.append(np.unique(np.concatenate([base[~gone], rng.integers(0, 1 << 40, gone.sum() // 2, dtype=np.uint64)])))
+    edges = list(similar.forest(sets))
+    near = lambda a, b: 5 * len(both := np.intersect1d(a, b)) >= 4 * (len(a) + len(b) - len(both))
+    assert all(near(sets[a], sets[b]) for a, b in edges)
+    root = list(range(40))
+    for a, b in edges:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(edges) == 40 - len(set(root))
+    assert all(root[a] == root[b] for a, b in combinations(range(40), 2) if near(sets[a], sets[b]))
