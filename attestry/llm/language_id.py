@@ -7,6 +7,12 @@ has the least logistic loss against those margins. When the two best losses are
 
 Defined results: null text or text without a letter -> ``und``, score 0, ambiguous. Repeated rows are scored
 one by one. Without any labelled row every text is ``und``. With one learned language that language is taken.
+
+The classifiers only say which learned language is nearest, so keys, base64 and languages never learned get one too.
+Whether a text is in the language found is decided apart, by how usual its three-byte n-grams are there: the mean of
+their log frequencies is set against mean and spread over the labelled rows of that language. A text is foreign
+when it lies more than ``FOREIGN + FOREIGN_SHORT / sqrt(n)`` spreads below, with n its number of n-grams. Texts that
+are ``und`` are foreign.
 """
 
 from __future__ import annotations
@@ -25,6 +31,9 @@ UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
 WIDTH = BUCKETS * len(ORDERS)
+# spreads below the mean; none of the labelled rows of sf0.1 and check_s, junk among them, is below the bound
+FOREIGN, FOREIGN_SHORT = 2.5, 6.0
+TYPICAL = slice(WIDTH - BUCKETS, WIDTH)  # n-grams of the largest order
 # mixing factors of the n-gram positions; any odd numbers do
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 # ASCII that is not a letter carries no language: it becomes one separator
@@ -81,11 +90,13 @@ class LanguageModel:
     code: np.ndarray
     weights: np.ndarray  # float32, WIDTH x bits
     ambiguous_gap: float
+    usual: np.ndarray  # languages x BUCKETS, log frequency of each n-gram in spreads from the language's mean
 
-    def scores(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score in 0..1 and ambiguity per text."""
+    def scores(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score in 0..1, ambiguity and whether it is foreign to that language, per text."""
         found = [UNDETERMINED] * len(texts)
         score, unsure = np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        foreign = np.ones(len(texts), dtype=bool)
         usable = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for part in range(0, len(usable), 256):
             rows = usable[part : part + 256]
@@ -102,7 +113,11 @@ class LanguageModel:
                 found[i] = self.languages[order[k, 0]]
             score[rows] = share
             unsure[rows] = gap < self.ambiguous_gap
-        return found, score, unsure
+            parts, best = grams[:, TYPICAL], order[:, 0]
+            count = np.maximum(parts.sum(axis=1), 1.0)
+            mean = (parts * self.usual[best]).sum(axis=1) / count
+            foreign[rows] = mean < -(FOREIGN + FOREIGN_SHORT / np.sqrt(count))
+        return found, score, unsure, foreign
 
 
 def gram_totals(rows: DataFrame, label: str, text: str) -> DataFrame:
@@ -138,7 +153,7 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", ambiguous_gap:
         totals.setdefault(lang, np.zeros(WIDTH))[bucket] = total
     languages = sorted(totals)
     if not languages:
-        return LanguageModel([], np.ones((0, 1)), np.zeros((WIDTH, 1), dtype=np.float32), ambiguous_gap)
+        return LanguageModel([], np.ones((0, 1)), np.zeros((WIDTH, 1), dtype=np.float32), ambiguous_gap, np.zeros((0, BUCKETS)))
     code = codewords(len(languages))
     # every language weighs the same, however many rows it has
     share = np.stack([totals[x] / max(totals[x].sum(), 1.0) for x in languages])
@@ -148,7 +163,13 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", ambiguous_gap:
         on, off = code[:, bit] > 0, code[:, bit] < 0
         if on.any() and off.any():
             weights[:, bit] = np.log(share[on].mean(axis=0) + smooth) - np.log(share[off].mean(axis=0) + smooth)
-    return LanguageModel(languages, code, weights, ambiguous_gap)
+    common = share[:, TYPICAL] / np.maximum(share[:, TYPICAL].sum(axis=1, keepdims=True), smooth)
+    logs = np.log(common + smooth)
+    mean = (common * logs).sum(axis=1, keepdims=True)
+    spread = np.sqrt((common * (logs - mean) ** 2).sum(axis=1, keepdims=True))
+    # a language learned from a few equal n-grams has hardly a spread of its own
+    usual = ((logs - mean) / np.maximum(spread, 1.0)).astype(np.float32)
+    return LanguageModel(languages, code, weights, ambiguous_gap, usual)
 
 
 def predict(
@@ -156,17 +177,22 @@ def predict(
     model: LanguageModel,
     columns: list[str],
     text: str = "text",
-    names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"),
+    names: tuple[str, ...] = ("lang_pred", "score", "ambiguous"),
 ) -> DataFrame:
-    """``columns`` of every row with the language, the score and whether it is ambiguous, under ``names``."""
+    """``columns`` of every row with the language, the score and whether it is ambiguous, under ``names``.
+
+    A fourth name adds whether the text is foreign to the language found.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, independent of the input
 
     def compute():
         def of_texts(texts):
-            found, score, unsure = shared.value.scores(texts)
-            return [pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
+            found, score, unsure, foreign = shared.value.scores(texts)
+            made = [pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(unsure), pa.array(foreign)]
+            return made[: len(names)]
 
         return of_texts
 
-    fields = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"
+    kinds = ("string", "double", "boolean", "boolean")
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, kinds, strict=False))
     return map_texts(docs, columns, fields, compute, text)
