@@ -3,12 +3,15 @@
 A spaced seed is a fixed mask over ten consecutive tokens that hashes the tokens under its ones and ignores the
 others, so a replaced token does not break a hit as long as one mask skips it. Seeds of all benchmark positions
 are matched with seeds of all document positions; each hit names an item and a diagonal (document position minus
-item position). Along the diagonal the best segment is found with +1 per equal and -4 per differing token, so at
-least four fifths of its tokens are equal. A document is contaminated by an item when the equal tokens of all its
-segments cover at least ``min_share`` of the item.
+item position). Along the diagonal the maximal segments are found with +1 per equal and -4 per differing token, so at
+least four fifths of the tokens of each are equal; the best one counts, and all others with MIN_TOKENS equal tokens
+or more, since those apart by a replaced stretch are parts of one copy. A document is contaminated by an item when
+the equal tokens of all its segments cover at least ``min_share`` of the item, or when one segment has LONG equal
+tokens or more, whatever its share of the item.
 
 The benchmark is handed to the tasks in blocks of bounded size, each one pass over the documents; usually there
-is one block. Items of five to nine tokens have no full seed and are matched whole; shorter items match nothing.
+is one block. Items of five to nine tokens have no full seed; they are matched whole with masks of their own length
+that skip one position each, so one replaced token is borne. Shorter items match nothing.
 
 Defined results: null or empty texts contain nothing; repeated rows are judged one by one; an empty benchmark
 leaves every document clean. Null items are ignored; a null item_id is reported as null.
@@ -31,6 +34,7 @@ MASKS = ("1101101011", "1110010111", "1011101101", "1111000111")
 SPAN = 10
 MIN_TOKENS = 5
 MISMATCH = 4
+LONG = 13
 # benchmark tokens per block: about 8 bytes each and 16 more per mask in a task
 BLOCK_TOKENS = 2_000_000
 FACTORS = np.random.default_rng(5).integers(1 << 62, (1 << 63) - 1, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,42 +62,61 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def short_seeds(tokens: np.ndarray, length: int) -> list[np.ndarray]:
+    """Per skipped position one hash per window of ``length`` tokens."""
+    count = len(tokens) - length + 1
+    if count <= 0:
+        return [np.zeros(0, dtype=np.uint64)] * length
+    with np.errstate(over="ignore"):
+        parts = [tokens[i : i + count] * FACTORS[i] for i in range(length)]
+        whole = np.sum(parts, axis=0, dtype=np.uint64)
+        return [whole - part for part in parts]
+
+
+class Table:
+    """Sorted seed hashes with item and position, and a filter of the leading bits that occur."""
+
+    def __init__(self, seeds: list[tuple[int, np.ndarray]]):
+        hashes = np.concatenate([h for _, h in seeds])
+        item = np.concatenate([np.full(len(h), k) for k, h in seeds])
+        at = np.concatenate([np.arange(len(h)) for _, h in seeds])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.at = hashes[order], item[order], at[order]
+        # 64 cells a seed or more, up to FILTER_BITS
+        self.shift = np.uint64(64 - min(FILTER_BITS, len(hashes).bit_length() + 6))
+        self.present = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.present[(hashes >> self.shift).astype(np.int64)] = True
+
+    def hits(self, seeds: np.ndarray) -> np.ndarray:
+        """Distinct rows (item, diagonal)."""
+        place = np.flatnonzero(self.present[(seeds >> self.shift).astype(np.int64)])
+        low = np.searchsorted(self.hashes, seeds[place], "left")
+        many = np.searchsorted(self.hashes, seeds[place], "right") - low
+        place, low, many = place[many > 0], low[many > 0], many[many > 0]
+        if not len(place):
+            return np.zeros((0, 2), dtype=np.int64)
+        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.unique(np.stack([self.item[entry], np.repeat(place, many) - self.at[entry]], axis=1), axis=0)
+
+
 class Block:
     """Seed tables of some benchmark items: per mask sorted hashes with item and position."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.tokens = [t for _, t in items]
-        short = sorted({len(t) for t in self.tokens if len(t) < SPAN})
-        self.tables = []
-        for mask in [*MASKS, *["1" * n for n in short]]:
-            # a contiguous mask shorter than the span stands for whole items of its length
-            use = [(k, seed_hashes(t, mask)) for k, t in enumerate(self.tokens) if (len(t) >= SPAN) == (len(mask) == SPAN)]
-            use = [(k, h) for k, h in use if len(h) and (len(mask) == SPAN or len(self.tokens[k]) == len(mask))]
-            if not use:
-                continue
-            hashes = np.concatenate([h for _, h in use])
-            item = np.concatenate([np.full(len(h), k) for k, h in use])
-            at = np.concatenate([np.arange(len(h)) for _, h in use])
-            order = np.argsort(hashes, kind="stable")
-            present = np.zeros(1 << FILTER_BITS, dtype=bool)
-            present[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.tables.append((mask, hashes[order], item[order], at[order], present))
+        whole = [(k, t) for k, t in enumerate(self.tokens) if len(t) >= SPAN]
+        self.tables = [(mask, Table([(k, seed_hashes(t, mask)) for k, t in whole])) for mask in MASKS if whole]
+        self.short = []
+        for length in sorted({len(t) for t in self.tokens if len(t) < SPAN}):
+            seeds = [(k, short_seeds(t, length)) for k, t in enumerate(self.tokens) if len(t) == length]
+            self.short.append((length, [Table([(k, h[skip]) for k, h in seeds]) for skip in range(length)]))
 
     def diagonals(self, tokens: np.ndarray) -> np.ndarray:
         """Distinct rows (item, diagonal) of all hits."""
-        found = []
-        for mask, hashes, item, at, present in self.tables:
-            seeds = seed_hashes(tokens, mask)
-            place = np.flatnonzero(present[(seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            if not len(place):
-                continue
-            low = np.searchsorted(hashes, seeds[place], "left")
-            many = np.searchsorted(hashes, seeds[place], "right") - low
-            place, low, many = place[many > 0], low[many > 0], many[many > 0]
-            if len(place):
-                entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found.append(np.unique(np.stack([item[entry], np.repeat(place, many) - at[entry]], axis=1), axis=0))
+        found = [table.hits(seed_hashes(tokens, mask)) for mask, table in self.tables]
+        for length, tables in self.short:
+            found += [t.hits(h) for t, h in zip(tables, short_seeds(tokens, length), strict=True)]
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
     def overlaps(self, tokens: np.ndarray, min_share: float) -> list[tuple[object, int, int, float]]:
@@ -103,21 +126,50 @@ class Block:
             item = self.tokens[k]
             low, high = max(0, diagonal), min(len(tokens), diagonal + len(item))
             equal = tokens[low:high] == item[low - diagonal : high - diagonal]
-            start, end = best_segment(equal)
-            if start == end:
+            if len(item) < SPAN:
+                # a short item is in place as a whole, with one replaced token at most
+                found = [(0, len(item))] if len(equal) == len(item) and equal.sum() >= len(item) - 1 else []
+            else:
+                best = best_segment(equal)
+                found = [x for x in segments(equal) if equal[x[0] : x[1]].sum() >= MIN_TOKENS]
+                found += [best] if best not in found and best[0] < best[1] else []
+            if not found:
                 continue
-            state = covered.setdefault(int(k), [np.zeros(len(item), dtype=bool), len(tokens), 0])
+            state = covered.setdefault(int(k), [np.zeros(len(item), dtype=bool), len(tokens), 0, False])
             shift = low - diagonal
-            state[0][shift + start : shift + end] |= equal[start:end]
-            state[1], state[2] = min(state[1], low + start), max(state[2], low + end)
+            for start, end in found:
+                state[0][shift + start : shift + end] |= equal[start:end]
+                state[1], state[2] = min(state[1], low + start), max(state[2], low + end)
+                state[3] |= bool(equal[start:end].sum() >= LONG)
         out = []
-        for k, (seen, start, end) in sorted(covered.items()):
+        for k, (seen, start, end, long) in sorted(covered.items()):
             share = float(seen.sum()) / len(seen)
-            if share >= min_share:
+            if share >= min_share or long:
                 out.append((self.ids[k], int(start), int(end), share))
         return out
 
 
+def segments(equal: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of all maximal segments by the sum of +1 per equal and -MISMATCH per differing token, apart from each other."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]]))).tolist()
+    held: list[tuple[int, int, int, int]] = []  # start, end, sum before, sum at the end
+    total = last = 0
+    for start, end in zip(edges[::2], edges[1::2], strict=True):
+        before = total - MISMATCH * (start - last)
+        total, last = before + end - start, end
+        left, upto = before, len(held)
+        # joined with an earlier one that begins no higher if no end between lies as high; of equal sums the longer
+        while True:
+            j = upto - 1
+            while j >= 0 and held[j][2] > left:
+                j -= 1
+            if j < 0 or held[j][3] >= total:
+                break
+            start, left, upto = held[j][0], held[j][2], j
+        held[upto:] = [(start, end, left, total)]
+    return [(start, end) for start, end, _, _ in held]
+
+
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
     """Bounds of the segment with the largest sum of +1 per equal and -MISMATCH per differing token."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])

@@ -6,7 +6,7 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 
-from attestry.llm import exact_dedup, similar
+from attestry.llm import decontaminate, exact_dedup, similar
 from attestry.llm.common import documents
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -91,3 +91,41 @@ def test_language_stage_rejects_junk_and_keeps_clean_documents(spark):
     docs = clean.unionByName(planted, allowMissingColumns=True)
     kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, MIDDLE).collect()}
     assert kept == {r.doc_id for r in clean.select("doc_id").collect()}
+
+
+def test_decontamination_of_split_partial_and_short_copies(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    item, short, five = some(50), some(8), some(5)
+    split = item[:24] + some(6) + item[30:]
+    swap = lambda t, at: [*t[:at], "other", *t[at + 1 :]]
+    texts = {
+        1: some(40) + split + some(40), 2: some(60) + item[20:33] + some(60), 3: some(60) + item[20:32] + some(60),
+        4: some(9) + swap(short, 3) + some(9), 5: swap(five, 2), 6: some(4) + swap(swap(short, 1), 5), 7: some(300), 8: short[:7],
+        9: some(5) + swap(short, 0), 10: swap(short, 7), 11: five + some(3), 12: item[:8] + some(30) + item[8:19],
+    }
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([item, short, five])], "item_id long, text string")
+    got = {r.doc_id: r.overlaps for r in decontaminate.scan(docs, bench, ["doc_id"]).collect()}
+    want = {1: [0], 2: [0], 3: [], 4: [1], 5: [2], 6: [], 7: [], 8: [], 9: [1], 10: [1], 11: [2], 12: []}
+    assert {k: [o.item_id for o in v] for k, v in got.items()} == want
+    assert got[1][0].share == 44 / 50 and (got[1][0].first_token, got[1][0].end_token) == (40, 90)
+    assert got[2][0].share == 13 / 50
+
+
+def test_segments_are_the_maximal_ones():
+    def brute(equal):
+        """The best segment, then those of what is left on both sides of it."""
+        start, end = decontaminate.best_segment(equal)
+        if start == end:
+            return []
+        after = [(a + end, b + end) for a, b in brute(equal[end:])]
+        return brute(equal[:start]) + [(start, end)] + after
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 70)) < rng.choice([0.5, 0.8, 0.95])
+        score = lambda x: sum(1 if e else -decontaminate.MISMATCH for e in equal[x[0] : x[1]])  # noqa: B023,E731
+        got, want = decontaminate.segments(equal), brute(equal)
+        assert sorted(map(score, got)) == sorted(map(score, want))
