@@ -9,6 +9,7 @@ from attestry.llm import (
     exact_dedup,
     language_id,
     license_scan,
+    merkle,
     pieces,
     simhash,
     suffix_dedup,
@@ -94,6 +95,19 @@ def op10_token_counts(spark, sf_dir):
     return token_count.token_counts(documents(spark, sf_dir), ["doc_id"], pieces.load_vocabulary())
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    # a null identifier has no remainder, so its row is not tampered with
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "source", merkle.row_hash([*fields, F.col("text")]).alias("leaf"), merkle.row_hash([*fields, text]).alias("tampered"))
+    proved = merkle.manifest(leaves, "doc_id", keep=["tampered"]).withColumn("folded_root", merkle.folded(F.col("tampered"), F.col("proof")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +121,7 @@ QUERIES = {
         op8_language_id,
         op9_exact_dedup,
         op10_token_counts,
+        op13_merkle_manifest,
     )
 }
 
