@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.llm import (
+    byte_pairs,
     decontaminate,
     exact_dedup,
     language_id,
@@ -95,6 +96,17 @@ def op10_token_counts(spark, sf_dir):
     return token_count.token_counts(documents(spark, sf_dir), ["doc_id"], pieces.load_vocabulary())
 
 
+def op11_byte_pairs(spark, sf_dir):
+    spelt = byte_pairs.encode_and_decode(documents(spark, sf_dir), ["doc_id"], byte_pairs.load_model())
+    ids = F.coalesce(F.col("ids").cast("array<string>"), F.array().cast("array<string>"))
+    return spelt.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark, sf_dir):
     docs = documents(spark, sf_dir)
     # a null identifier has no remainder, so its row is not tampered with
@@ -121,6 +133,7 @@ QUERIES = {
         op8_language_id,
         op9_exact_dedup,
         op10_token_counts,
+        op11_byte_pairs,
         op13_merkle_manifest,
     )
 }
