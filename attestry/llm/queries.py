@@ -13,6 +13,7 @@ from attestry.llm import (
     merkle,
     pieces,
     simhash,
+    spelling,
     suffix_dedup,
     token_count,
     toxicity,
@@ -107,6 +108,10 @@ def op11_byte_pairs(spark, sf_dir):
     )
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     docs = documents(spark, sf_dir)
     # a null identifier has no remainder, so its row is not tampered with
@@ -134,6 +139,7 @@ QUERIES = {
         op9_exact_dedup,
         op10_token_counts,
         op11_byte_pairs,
+        op12_spelling_variants,
         op13_merkle_manifest,
     )
 }
