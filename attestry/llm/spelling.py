@@ -1,6 +1,6 @@
 """Spelling variant grouping: words one edit apart, found by neighbourhoods over a reduced alphabet.
 
-The letters of a word are hashed to six symbols. All reduced words one edit away from a word's reduced form, and that form
+The letters of a word are hashed to four symbols, more where the vocabulary passes 2^25 words. All reduced words one edit away from a word's reduced form, and that form
 itself, are generated and joined with the reduced vocabulary; what meets is verified on the original strings. The join key
 also holds the half of the original word that the edit leaves alone, so few unrelated words meet even where very many
 words share a reduced form. Reduced words are polynomial hashes: an edit changes one in a few operations,
@@ -28,8 +28,8 @@ from attestry.llm.common import BATCH_BYTES, checkpointed, ship_package, slices
 
 RUNS = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# more symbols mean more keys a word and fewer words that meet by chance; six give some 100 keys a word
-SYMBOLS = 6
+# more symbols mean more keys a word (four: some 65) and fewer words that meet by chance
+FEWEST_SYMBOLS, BITS_PER_SYMBOL = 4, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -48,7 +48,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class ReducedWords:
     """A list of words as one flat array of letters and reduced symbols, with hashes of all their prefixes."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], symbols: int = FEWEST_SYMBOLS):
+        self.symbols = symbols
         letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         self.size = np.fromiter(map(len, words), np.int64, len(words))
         self.start = np.cumsum(self.size) - self.size
@@ -58,8 +59,8 @@ class ReducedWords:
         self.inverse = _powers(BASE_INVERSE, int(self.size.max(initial=0)) + 2)
         spread = _mixed(letters)
         # neighbouring code points fall to different symbols, which spreads the frequent letters about evenly
-        self.symbol = (letters % np.uint64(SYMBOLS)).astype(np.int64)
-        self.values = _mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64))
+        self.symbol = (letters % np.uint64(symbols)).astype(np.int64)
+        self.values = _mixed(np.arange(1, symbols + 1, dtype=np.uint64))
         self.codes = self._sums(self.values[self.symbol])
         self.whole = self._sums(spread)
         self.code = self._prefix(self.codes, self.size)
@@ -102,7 +103,7 @@ class ReducedWords:
         half = self.halves(0)[0][word]
         previous = np.concatenate([[-1], symbol[:-1]])
         previous[place == 0] = -1
-        for t in range(SYMBOLS):  # another symbol in place of one
+        for t in range(self.symbols):  # another symbol in place of one
             at = np.flatnonzero(symbol != t)
             code = total[at] - own[at] + self.values[t] * power[at]
             yield word[at], self.keys(code, word[at], 0, place[at] >= half[at])
@@ -118,7 +119,7 @@ class ReducedWords:
         ends = np.where(self.size > 0, symbol[self.start + self.size - 1] if len(symbol) else -1, -1)
         previous = np.concatenate([previous, ends])
         half = self.halves(1)[0][word]
-        for t in range(SYMBOLS):
+        for t in range(self.symbols):
             at = np.flatnonzero((previous != t) | (place == half))
             code = before[at] + self.values[t] * self.power[place[at]] + (self.code[word[at]] - before[at]) * BASE
             yield word[at], self.keys(code, word[at], 1, place[at] >= half[at])
@@ -141,7 +142,7 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", let
     return words.filter(F.length("word") >= letters).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= times)
 
 
-def _keyed(words: DataFrame, columns: list[str], whole: bool) -> DataFrame:
+def _keyed(words: DataFrame, columns: list[str], symbols: int, whole: bool) -> DataFrame:
     """``columns`` of ``words`` (the first is the word) once per key of its neighbourhood, or of its own reduced form."""
     ship_package(words.sparkSession)
     schema = words.select(*columns).schema.add("key", "long")
@@ -150,7 +151,7 @@ def _keyed(words: DataFrame, columns: list[str], whole: bool) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for low, high in slices(list(map(len, texts)), BATCH_BYTES):
-                reduced = ReducedWords(texts[low:high])
+                reduced = ReducedWords(texts[low:high], symbols)
                 for word, key in reduced.neighbourhood() if whole else reduced.own():
                     rows = batch.take(pa.array(word + low))
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key)], names=[*columns, "key"])
@@ -158,10 +159,10 @@ def _keyed(words: DataFrame, columns: list[str], whole: bool) -> DataFrame:
     return words.select(*columns).mapInArrow(run, schema)
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, symbols: int = FEWEST_SYMBOLS) -> DataFrame:
     """(word, near, near_n) of all words (word, n) that differ by one inserted, deleted or replaced letter, both ways round."""
-    around = _keyed(words, ["word"], True)
-    reduced = _keyed(words, ["word", "n"], False).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
+    around = _keyed(words, ["word"], symbols, True)
+    reduced = _keyed(words, ["word", "n"], symbols, False).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     met = around.join(reduced.hint("shuffle_hash"), "key").filter(F.levenshtein("word", "near", 1) == 1)
     # a pair may meet under several keys; dealt by word once, for this grouping and those to come
     return met.repartition("word").groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
@@ -170,15 +171,16 @@ def near_pairs(words: DataFrame) -> DataFrame:
 def variants(words: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every row of ``words`` (word, n); words are distinct."""
     words = checkpointed(words.select("word", "n"))
+    size, least, most = words.agg(F.count("*"), F.min("n"), F.max("n")).first()
+    symbols = max(FEWEST_SYMBOLS, size.bit_length() // BITS_PER_SYMBOL)
     best = F.min(F.struct((-F.col("near_n")).alias("rank"), F.col("near")))
-    near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+    near = near_pairs(words, symbols).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     found = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.rank") >= 2 * F.col("n"), F.col("best.near")).alias("form"),
         F.when(-F.col("best.rank") >= 2 * F.col("n"), -F.col("best.rank")).alias("form_n"),
     )
     found = checkpointed(found)
-    counts = words.agg(F.min("n"), F.max("n")).first()
-    steps = int(math.log2(counts[1] / counts[0])) if counts[0] else 0
+    steps = int(math.log2(most / least)) if size else 0
     ahead = found.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for _ in range(max(steps - 1, 0).bit_length()):  # each round doubles the steps taken
         onward = ahead.select(F.col("word").alias("root"), F.col("root").alias("further"))
