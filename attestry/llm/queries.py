@@ -210,4 +210,103 @@ SQL = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM rows JOIN groups USING (text_sha256)
     """,
+    "op12_spelling_variants": r"""
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce([i, -1, -1, -1, -1, -1, -1, -1, -1],
+            lambda a, s: xor(a >> 1, (a & 1) * 3988292384))) AS step
+    ),
+    runs AS (
+        SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents) WHERE length(run) >= 5 GROUP BY ALL
+    ),
+    bytes AS (SELECT run, n, length(run) AS size, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+    hashed AS (
+        SELECT run, n, size, xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+            lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1]))) AS h
+        FROM bytes, crc
+    ),
+    words AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word FROM hashed)
+        WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+    ),
+    shorter AS (
+        SELECT word, n, length(word) AS size, 0 AS place, word AS rest FROM words
+        UNION ALL
+        SELECT word, n, length(word), i, substr(word, 1, i - 1) || substr(word, i + 1)
+        FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM words)
+    ),
+    pairs AS (
+        SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.word <> b.word
+            AND ((a.place = b.place AND a.place > 0) OR (a.place = 0 AND b.size = a.size + 1) OR (b.place = 0 AND a.size = b.size + 1))
+    ),
+    best AS (SELECT word, count(*) AS n_near, min({'rank': -near_n, 'near': near}) AS b FROM pairs GROUP BY word),
+    formed AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.rank >= 2 * n THEN b.near END AS form,
+            CASE WHEN -b.rank >= 2 * n THEN -b.rank END AS form_n FROM words LEFT JOIN best USING (word)
+    ),
+    chain AS (
+        SELECT word, word AS at FROM formed
+        UNION ALL
+        SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+    )
+    SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c USING (word)
+    JOIN formed g ON g.word = c.at WHERE g.form IS NULL
+    """,
+    "op13_merkle_manifest": r"""
+    WITH RECURSIVE told AS (
+        SELECT *, CASE WHEN list_reduce(
+            list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, (a & 1) * 3988292384) END) % 2 = 1
+            THEN replace(text, chr(10), '') ELSE text END AS changed
+        FROM documents
+    ),
+    leaves AS (
+        SELECT doc_id, source, sha256(start || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(start || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered
+        FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS start FROM told)
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM leaves
+    ),
+    low AS (
+        SELECT source, 0 AS level, n, r AS i, leaf AS h FROM ranked
+        UNION ALL
+        SELECT source, level + 1, (n + 2) // 3, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY source, level, n, i // 3
+    ),
+    groups AS (
+        SELECT source, level AS height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM low WHERE n = 1
+    ),
+    top AS (
+        SELECT 0 AS level, n, r AS i, h FROM groups
+        UNION ALL
+        SELECT level + 1, (n + 2) // 3, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, n, i // 3
+    ),
+    steps AS (
+        SELECT source, r, level, string_agg(h, '' ORDER BY i) FILTER (i < own) AS b, string_agg(h, '' ORDER BY i) FILTER (i > own) AS a
+        FROM (SELECT l.source, l.r, x.level, x.i, x.h, l.r // CAST(power(3, x.level) AS BIGINT) AS own
+              FROM ranked l JOIN low x ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1
+                  AND x.i // 3 = l.r // CAST(power(3, x.level + 1) AS BIGINT))
+        GROUP BY ALL
+        UNION ALL
+        SELECT source, NULL, height + level, string_agg(h, '' ORDER BY i) FILTER (i < own), string_agg(h, '' ORDER BY i) FILTER (i > own)
+        FROM (SELECT g.source, g.height, x.level, x.i, x.h, g.r // CAST(power(3, x.level) AS BIGINT) AS own
+              FROM groups g JOIN top x ON x.n > 1 AND x.i // 3 = g.r // CAST(power(3, x.level + 1) AS BIGINT))
+        GROUP BY ALL
+    ),
+    fold AS (
+        SELECT source, r, 0 AS level, tampered AS h, '' AS passed FROM ranked
+        UNION ALL
+        SELECT f.source, f.r, f.level + 1, sha256(coalesce(s.b, '') || f.h || coalesce(s.a, '')), f.passed || coalesce(s.b, '') || coalesce(s.a, '')
+        FROM fold f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.level = f.level AND coalesce(s.r, f.r) = f.r
+    ),
+    heights AS (SELECT source, height + (SELECT max(level) FROM top) AS level, h AS subroot FROM groups)
+    SELECT l.doc_id, l.leaf, t.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(f.passed) AS proof_sha256, f.h AS folded_root,
+        f.h = (SELECT h FROM top WHERE n = 1) AS verified
+    FROM ranked l JOIN heights t ON t.source IS NOT DISTINCT FROM l.source
+    JOIN fold f ON f.source IS NOT DISTINCT FROM l.source AND f.r = l.r AND f.level = t.level
+    """,
 }
