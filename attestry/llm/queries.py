@@ -182,8 +182,8 @@ SQL = {
             SELECT CASE WHEN coalesce(sum(n), 0) <= count(*) OR sum(n * parent * (1 - parent)) <= 0 THEN 0.001
                 ELSE (sum(n * (bad / n - parent) * (bad / n - parent)) / sum(n * parent * (1 - parent)) - count(*) / sum(n))
                     / (1 - count(*) / sum(n)) END AS rho FROM d0 WHERE n > 0)),
-        d1 AS (SELECT domain, (bad + k * parent) / (n + k) AS parent FROM d0, kd),
-        h0 AS (SELECT host, n, bad, parent FROM hosts JOIN d1 USING (domain)),
+        d1 AS (SELECT domain, suffix, (bad + k * parent) / (n + k) AS parent FROM d0, kd),
+        h0 AS (SELECT host, n, bad, parent FROM hosts JOIN d1 USING (domain, suffix)),
         kh AS (SELECT 1.0 / least(greatest(rho, 0.001), 0.5) - 1.0 AS k FROM (
             SELECT CASE WHEN coalesce(sum(n), 0) <= count(*) OR sum(n * parent * (1 - parent)) <= 0 THEN 0.001
                 ELSE (sum(n * (bad / n - parent) * (bad / n - parent)) / sum(n * parent * (1 - parent)) - count(*) / sum(n))

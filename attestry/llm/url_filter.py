@@ -98,7 +98,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     suffixes = checkpointed(shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("parent", F.lit(overall))))
     domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", F.col("rate").alias("parent")), "suffix")
     domains = checkpointed(shrunk(domains))
-    named = hosts.join(domains.select("domain", F.col("rate").alias("parent")), "domain")
+    named = hosts.join(domains.select("domain", "suffix", F.col("rate").alias("parent")), ["domain", "suffix"])
     lower = F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
     return shrunk(named).select("host", "pages", "n", "bad", "rate", lower.alias("lower"))
 

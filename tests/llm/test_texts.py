@@ -222,6 +222,14 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), url_filter.page_outcomes(labels)).count() == 0
 
 
+def test_hosts_of_one_domain_with_and_without_a_suffix(spark):
+    """A numeric host is its own domain without a suffix; a name below it has the same domain with one."""
+    pages = spark.createDataFrame([(1, "http://3.4/"), (2, "http://x.3.4/"), (3, "http://a.b/"), (3, "http://a.b/")], "page_id long, url string")
+    for labels in ([(1, 0, 0), (2, 1, 0)], []):
+        outcomes = url_filter.page_outcomes(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert sorted(r.page_id for r in url_filter.judge(pages, outcomes).collect()) == [1, 2, 3, 3]
+
+
 def test_a_bad_host_is_blocked_and_an_unknown_one_follows_its_domain(spark):
     pages = [(i, f"http://h{i % 4}.{'bad' if i % 2 else 'good'}.example/{i}") for i in range(400)] + [(1000, "http://new.bad.example/")]
     frame = spark.createDataFrame(pages, "page_id long, url string")
