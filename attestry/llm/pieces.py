@@ -150,21 +150,6 @@ class SharedPrefixViterbi:
         ]
 
 
-def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        out: list[np.ndarray | None] = []
-        for low, high in slices(texts, SLICE_CHARS):
-            words = [marked_words(t or "") for t in texts[low:high]]
-            new = set().union(*words) - self.known.keys()
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = set().union(*words)
-            self.learn(new)
-            get = self.known.__getitem__
-            for text, parts in zip(texts[low:high], words, strict=True):
-                out.append(None if text is None else np.frombuffer(b"".join(map(get, parts)), dtype=np.int32))
-        return out
-
-
 def encode(docs: DataFrame, columns: list[str], vocabulary: Vocabulary, name: str = "ids", text: str = "text") -> DataFrame:
     """``columns`` of every row and an array column ``name`` of piece ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the model's pieces, whatever the input
