@@ -377,3 +377,6 @@ def relationships() -> list[tuple]:
         position = positions[source, target] = positions.get((source, target), 0) + 1
         rows.append((source, target, *rule, position))
     return rows
+
+# Registry outcomes that must be asked again and are never served from an earlier answer.
+TRANSIENT_OUTCOMES = ("UNAVAILABLE", "TIMEOUT", "PROVIDER_ERROR", "RATE_LIMITED", "ERROR")

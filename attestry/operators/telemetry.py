@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +58,23 @@ def stage_latency(events: DataFrame) -> DataFrame:
     )
 
 
-def stage_order(events: DataFrame) -> DataFrame:
+def stage_order(events: DataFrame, after: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Each step of a verification against the step before it.
 
     The previous step is found by an equi-join on consecutive step numbers, which spreads a
-    verification with very many steps over all tasks.
+    verification with very many steps over all tasks. ``after`` (verification_id, step, stage) holds the last steps
+    decided earlier, on which the steps of ``events`` follow; ``keep`` names further columns of the events.
     """
     position = case_when([(F.col("stage") == s, i) for i, s in enumerate(STAGES)])
     steps = ordinal(
         events.withColumn("position", position), ["verification_id"], [F.asc("started_at"), F.asc("event_id")], "step"
-    ).select("verification_id", "step", "event_id", "stage", "status", "position")
+    ).select("verification_id", "step", "event_id", "stage", "status", "position", *keep)
+    if after is not None:
+        ahead = after.select("verification_id", F.col("step").alias("ahead"))
+        steps = steps.join(ahead, "verification_id", "left").withColumn("step", F.col("step") + F.coalesce("ahead", F.lit(0))).drop("ahead")
     before = steps.select("verification_id", (F.col("step") + 1).alias("step"), F.col("position").alias("previous"))
+    if after is not None:
+        before = before.unionByName(after.select("verification_id", (F.col("step") + 1).alias("step"), position.alias("previous")))
     rows = steps.join(before, ["verification_id", "step"], "left")
     verdict = case_when(
         [
@@ -77,4 +85,49 @@ def stage_order(events: DataFrame) -> DataFrame:
         ],
         "ADVANCED",
     )
-    return rows.select("verification_id", "step", "event_id", "stage", "status", verdict.alias("progress"))
+    return rows.select("verification_id", "step", "event_id", "stage", "status", verdict.alias("progress"), *keep)
+
+
+# ---------------------------------------------------------------------------------------
+# Mergeable latency statistics
+
+# items a sketch keeps: its quantiles are exact for up to so many rows, beyond that within 0.1 % of the rank
+SKETCH_ITEMS = 4096
+
+
+def latency_panes(events: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Count, total and quantile sketch per stage and pane of time: partials that merge into any longer span."""
+    pane = F.window(F.col("started_at").cast("timestamp"), width)
+    return events.groupBy(pane.alias("w"), "stage").agg(
+        F.count("duration_ms").alias("runs"), F.sum("duration_ms").alias("total"), F.kll_sketch_agg_double("duration_ms", SKETCH_ITEMS).alias("sketch")
+    ).select(F.col("w.start").alias("pane"), "stage", "runs", "total", "sketch")
+
+
+def merge_panes(panes: DataFrame) -> DataFrame:
+    """Panes of equal time and stage put together; also rolls panes up once their ``pane`` is cut to a longer span."""
+    return panes.groupBy("pane", "stage").agg(
+        F.sum("runs").alias("runs"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", SKETCH_ITEMS).alias("sketch")
+    )
+
+
+def latency_windows(panes: DataFrame, length: str = "1 hour", slide: str | None = None, states: bool = False) -> DataFrame:
+    """Windows of ``length`` every ``slide`` from panes as wide as the slide: sketches merge, no row is read again.
+
+    With ``states`` a window is open if one of its panes is, else amended if one of its panes is, else closed.
+    """
+    window = F.window("pane", length, slide or length)
+    state = F.when(F.bool_or(F.col("state") == "open"), "open").when(F.bool_or(F.col("state") == "amended"), "amended").otherwise("closed")
+    rows = panes.groupBy(window.alias("w"), "stage").agg(
+        F.sum("runs").alias("runs"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", SKETCH_ITEMS).alias("sketch"),
+        *([state.alias("state")] if states else []),
+    )
+    quantile = lambda q: F.round(F.kll_sketch_get_quantile_double("sketch", F.lit(q)), 2)
+    return rows.select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "runs", F.round(F.col("total") / F.col("runs"), 2).alias("avg_ms"),
+        quantile(0.5).alias("p50_ms"), quantile(0.95).alias("p95_ms"), *(["state"] if states else []),
+    )
+
+
+def sliding_latency(events: DataFrame, length: str = "1 day", slide: str = "1 hour") -> DataFrame:
+    """Latency per stage in sliding windows; a row enters one pane and the panes' sketches enter the windows."""
+    return latency_windows(latency_panes(events, slide), length, slide)

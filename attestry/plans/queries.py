@@ -7,6 +7,7 @@ from attestry.operators import (
     crossdoc,
     evidence,
     faces,
+    freshness,
     ledger,
     pairing,
     passport,
@@ -18,7 +19,7 @@ from attestry.operators import (
     validate,
 )
 from attestry.plans.fixtures import stream, table
-from attestry.streaming import jobs
+from attestry.streaming import jobs, watermarks
 
 
 def over(build, *inputs, **options):
@@ -30,11 +31,11 @@ def over(build, *inputs, **options):
     return query
 
 
-def streamed(build, name, label):
-    """A streaming query over all available input; the result is what its file sink holds."""
+def streamed(run, name, **options):
+    """A streaming job over all available input: closed, open and late results."""
 
     def query(spark, sf_dir):
-        return jobs.run_to_files(build(stream(spark, sf_dir, name)), jobs.new_folder(spark, label))
+        return run(stream(spark, sf_dir, name), jobs.new_folder(spark, run.__name__), **options)
 
     return query
 
@@ -118,10 +119,13 @@ QUERIES = {
     "mask_identifiers": over(standardize.mask_document_text, "documents"),
     "vocabulary_violations": over(standardize.vocabulary_violations, "foreign_evidence"),
     "session_assembly": over(jobs.assemble_sessions, "module_updates"),
-    "session_stream": streamed(lambda df: jobs.assemble_sessions(df, jobs.LATE_BY), "module_updates", "sessions"),
+    "session_stream": streamed(watermarks.session_stream, "module_updates"),
     "registry_dedup": over(jobs.fresh_lookups, "lookups"),
-    "registry_dedup_stream": streamed(lambda df: jobs.fresh_lookups(df, jobs.LATE_BY), "lookups", "lookups"),
-    "latency_stream": streamed(jobs.latency_windows, "stage_events", "latency"),
+    "registry_fresh": over(freshness.fresh_lookups, "lookups"),
+    "registry_dedup_stream": streamed(watermarks.lookup_stream, "lookups"),
+    "latency_stream": streamed(watermarks.latency_stream, "stage_events"),
+    "latency_sliding": over(telemetry.sliding_latency, "stage_events"),
+    "stage_order_stream": streamed(watermarks.stage_order_stream, "stage_events"),
     "registry_stream": registry_stream,
     "ledger_stream": ledger_stream,
     "case_stream": case_stream,

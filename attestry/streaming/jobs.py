@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attestry.dims import TRANSIENT_OUTCOMES
 from attestry.operators import crossdoc, ledger, registry
 from attestry.session import shared_folder
 
 SESSION_GAP, LATE_BY = "15 minutes", "15 minutes"
 FRESH_FOR = "300 seconds"
 MODULES = ("M1", "M2", "M3", "M4", "M5")
-# Outcomes that must be asked again and are never served from an earlier answer.
-TRANSIENT = ("UNAVAILABLE", "TIMEOUT", "PROVIDER_ERROR", "RATE_LIMITED", "ERROR")
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,7 +63,7 @@ def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int
     return query
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
@@ -99,7 +98,7 @@ def fresh_lookups(lookups: DataFrame, late_by: str | None = None) -> DataFrame:
     depend on how the input is cut into batches. Repeats collapse before the shuffle.
     Transient outcomes are no answers: they neither pass nor keep a later answer from passing.
     """
-    answered = lookups.filter(~F.col("outcome").isin(*TRANSIENT))
+    answered = lookups.filter(~F.col("outcome").isin(*TRANSIENT_OUTCOMES))
     rows = watermarked(answered, "ts", late_by) if late_by else answered
     grouped = rows.groupBy("document_type", "query_hash", "provider", F.window("ts", FRESH_FOR).alias("w"))
     first = F.min_by(F.struct("event_id", "outcome"), F.struct("ts", "event_id"))
@@ -113,7 +112,7 @@ def registry_stream(submissions: DataFrame, official: DataFrame, watchlist: Data
     """Registry outcome of every incoming document against the static registry."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(registry.registry_outcome(batch, official, watchlist), f"{folder}/out", batch_id)
+        write_batch(registry.registry_outcome(batch, official, watchlist), f"{folder}/out", batch_id)
 
     run_batches(submissions, folder, handle)
     return submissions.sparkSession.read.parquet(f"{folder}/out").drop("batch_id")
@@ -153,13 +152,13 @@ def ledger_stream(events: DataFrame, folder: str) -> DataFrame:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         usable = F.col("target_id").isNotNull() & F.col("event_type").isNotNull()
-        _write_batch(batch.filter(~usable), f"{folder}/dead_letter", batch_id)
+        write_batch(batch.filter(~usable), f"{folder}/dead_letter", batch_id)
         heads = spark.read.parquet(f"{folder}/heads/batch_id={batch_id - 1}") if batch_id > 0 else None
-        _write_batch(ledger.ledger_build(batch.filter(usable), heads=heads), f"{folder}/blocks", batch_id)
+        write_batch(ledger.ledger_build(batch.filter(usable), heads=heads), f"{folder}/blocks", batch_id)
         latest = ledger.block_heads(spark.read.parquet(f"{folder}/blocks/batch_id={batch_id}"))
         if heads is not None:
             latest = latest.unionByName(heads.join(latest, "target_id", "left_anti"))
-        _write_batch(latest, f"{folder}/heads", batch_id)
+        write_batch(latest, f"{folder}/heads", batch_id)
 
     run_batches(events.dropDuplicates(["target_id", "event_id"]), folder, handle)
     return spark.read.parquet(f"{folder}/blocks").drop("batch_id")
@@ -174,7 +173,7 @@ def case_stream(documents: DataFrame, history: Callable[[], DataFrame], evidence
     def handle(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("case_id").distinct()
         current = history().join(touched, "case_id", "left_semi")
-        _write_batch(crossdoc.case_risk(current, evidence), f"{folder}/cases", batch_id)
+        write_batch(crossdoc.case_risk(current, evidence), f"{folder}/cases", batch_id)
 
     run_batches(documents, folder, handle)
     states = documents.sparkSession.read.parquet(f"{folder}/cases")
