@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.text import case_when
@@ -103,10 +103,10 @@ def latency_panes(events: DataFrame, width: str = "1 minute") -> DataFrame:
     ).select(F.col("w.start").alias("pane"), "stage", "runs", "total", "sketch")
 
 
-def merge_panes(panes: DataFrame) -> DataFrame:
+def merge_panes(panes: DataFrame, *more: Column) -> DataFrame:
     """Panes of equal time and stage put together; also rolls panes up once their ``pane`` is cut to a longer span."""
     return panes.groupBy("pane", "stage").agg(
-        F.sum("runs").alias("runs"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", SKETCH_ITEMS).alias("sketch")
+        F.sum("runs").alias("runs"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", SKETCH_ITEMS).alias("sketch"), *more
     )
 
 

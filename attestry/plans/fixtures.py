@@ -416,7 +416,19 @@ SELECT event_id, ts, 'passport' AS document_type, CAST(user_id % 20 AS STRING) A
 FROM {events}
 """
 
+# documents of a case since its last pause of more than an hour
+LIVE_DOCUMENTS = """
+SELECT * FROM (
+  SELECT *, max(CASE WHEN fresh THEN moment END) OVER (PARTITION BY case_id) AS since FROM (
+    SELECT *, coalesce(moment > lag(moment) OVER (PARTITION BY case_id ORDER BY moment) + INTERVAL 3600 SECOND, true) AS fresh FROM (
+      SELECT *, CAST(uploaded_at AS TIMESTAMP) AS moment FROM {case_documents} AS c0
+    ) AS c1
+  ) AS c2
+) AS c3 WHERE moment >= since
+"""
+
 FIXTURES = {
+    "live_documents": LIVE_DOCUMENTS,
     "module_updates": MODULE_UPDATES,
     "lookups": LOOKUPS,
     "holders": _HOLDER,

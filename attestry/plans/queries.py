@@ -19,7 +19,7 @@ from attestry.operators import (
     validate,
 )
 from attestry.plans.fixtures import stream, table
-from attestry.streaming import jobs, watermarks
+from attestry.streaming import cases, jobs, watermarks
 
 
 def over(build, *inputs, **options):
@@ -49,10 +49,14 @@ def ledger_stream(spark, sf_dir):
     return jobs.ledger_stream(stream(spark, sf_dir, "ledger_events"), jobs.new_folder(spark, "ledger"))
 
 
-def case_stream(spark, sf_dir):
-    documents, evidence_rows = table(spark, sf_dir, "case_documents"), table(spark, sf_dir, "document_evidence")
-    arriving = stream(spark, sf_dir, "case_documents")
-    return jobs.case_stream(arriving, lambda: documents, evidence_rows, jobs.new_folder(spark, "cases"))
+def case_stream(spark, sf_dir, expiry=None):
+    arriving, evidence_rows = stream(spark, sf_dir, "case_documents"), table(spark, sf_dir, "document_evidence")
+    found = cases.case_stream(arriving, evidence_rows, jobs.new_folder(spark, "cases"), expiry)
+    return found if expiry else found.drop("state")
+
+
+def case_stream_expiring(spark, sf_dir):
+    return case_stream(spark, sf_dir, cases.EXPIRY_SECONDS)
 
 
 REGISTRY_INPUTS = ("submissions", "registry", "watchlist")
@@ -129,6 +133,7 @@ QUERIES = {
     "registry_stream": registry_stream,
     "ledger_stream": ledger_stream,
     "case_stream": case_stream,
+    "case_stream_expiring": case_stream_expiring,
     "risk_score": over(risk.risk_score, "evidence"),
     "risk_category_breakdown": over(risk.category_breakdown, "evidence"),
     "risk_override": over(risk.risk_override, "evidence"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.plans import sql_pairing
+from attestry.plans import sql_case, sql_pairing
 
 _SESSIONS = """
 s0 AS (
@@ -65,6 +65,11 @@ FROM s GROUP BY verification_id, session""",
     "latency_sliding": _latency(
         "SELECT time_bucket(INTERVAL 1 HOUR, started_at) - i * INTERVAL 1 HOUR AS w, stage, duration_ms AS value FROM {stage_events} AS e0, range(24) AS r(i)", ""
     ),
+    "case_stream_expiring": f"""
+SELECT r.*, CASE WHEN l.newest + INTERVAL 3600 SECOND < (SELECT max(CAST(uploaded_at AS TIMESTAMP)) FROM {{case_documents}} AS d0) - INTERVAL 15 MINUTE
+  THEN 'expired' ELSE 'open' END AS state
+FROM ({sql_case.SQL['case_risk'].replace('{case_documents}', '{live_documents}')}) AS r
+JOIN (SELECT case_id, max(moment) AS newest FROM {{live_documents}} AS l0 GROUP BY case_id) AS l ON l.case_id = r.case_id""",
     "stage_order_stream": sql_pairing.SQL["stage_order"].replace(
         "END AS progress FROM s",
         "END AS progress, CASE WHEN started_at < (SELECT max(started_at) FROM s) - INTERVAL 15 MINUTE THEN 'closed' ELSE 'open' END AS state FROM s",

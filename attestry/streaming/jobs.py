@@ -1,8 +1,8 @@
 """Structured Streaming forms of the jobs.
 
-Windowed and de-duplicating jobs are native streaming queries. Jobs that look records up,
-extend the ledger or refresh cases apply the batch operators to each micro-batch; every batch
-writes to its own ``batch_id`` folder and replaces it on a retry, so a batch counts once.
+Jobs that look records up or extend the ledger apply the batch operators to each micro-batch; every batch
+writes to its own ``batch_id`` folder and replaces it on a retry, so a batch counts once. Jobs over event time are in
+``watermarks``, the case state is in ``cases``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attestry.dims import TRANSIENT_OUTCOMES
-from attestry.operators import crossdoc, ledger, registry
+from attestry.operators import ledger, registry
 from attestry.session import shared_folder
 
 SESSION_GAP, LATE_BY = "15 minutes", "15 minutes"
@@ -29,29 +29,10 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def watermarked(df: DataFrame, column: str, late_by: str) -> DataFrame:
-    """Watermark on a column that may have been stored without a time zone."""
-    return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late_by)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
-    """Processes all available input into parquet files and returns them."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
 def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
     query = (
         stream.writeStream.foreachBatch(handle)
@@ -71,16 +52,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 # Module results that arrive separately
 
 
-def assemble_sessions(results: DataFrame, late_by: str | None = None) -> DataFrame:
-    """Latest result per module of each verification session; an update extends the session.
-
-    Works on batch and streaming input; a stream needs ``late_by`` to close its sessions.
-    """
-    rows = watermarked(results, "ts", late_by) if late_by else results
+def assemble_sessions(results: DataFrame) -> DataFrame:
+    """Latest result per module of each verification session; an update extends the session."""
     # of equal times the later event decides, or the larger result where events have no id
     tie = [c for c in ("event_id", "result") if c in results.columns]
     latest = [F.max_by(F.col("result"), F.when(F.col("module") == m, F.struct("ts", *tie))).alias(m.lower()) for m in MODULES]
-    grouped = rows.groupBy("verification_id", F.session_window("ts", SESSION_GAP).alias("session"))
+    grouped = results.groupBy("verification_id", F.session_window("ts", SESSION_GAP).alias("session"))
     return grouped.agg(*latest, F.count("*").alias("updates")).select(
         "verification_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss").alias("started_at"),
         F.date_format("session.end", "yyyy-MM-dd HH:mm:ss").alias("expires_at"), *[m.lower() for m in MODULES], "updates",
@@ -91,7 +68,7 @@ def assemble_sessions(results: DataFrame, late_by: str | None = None) -> DataFra
 # Lookups
 
 
-def fresh_lookups(lookups: DataFrame, late_by: str | None = None) -> DataFrame:
+def fresh_lookups(lookups: DataFrame) -> DataFrame:
     """First answer per document type, number and provider in each freshness period.
 
     Periods are aligned, so no reused answer is older than FRESH_FOR and the result does not
@@ -99,8 +76,7 @@ def fresh_lookups(lookups: DataFrame, late_by: str | None = None) -> DataFrame:
     Transient outcomes are no answers: they neither pass nor keep a later answer from passing.
     """
     answered = lookups.filter(~F.col("outcome").isin(*TRANSIENT_OUTCOMES))
-    rows = watermarked(answered, "ts", late_by) if late_by else answered
-    grouped = rows.groupBy("document_type", "query_hash", "provider", F.window("ts", FRESH_FOR).alias("w"))
+    grouped = answered.groupBy("document_type", "query_hash", "provider", F.window("ts", FRESH_FOR).alias("w"))
     first = F.min_by(F.struct("event_id", "outcome"), F.struct("ts", "event_id"))
     return grouped.agg(first.alias("a"), F.count("*").alias("served")).select(
         "document_type", "query_hash", "provider", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("period"),
@@ -119,25 +95,7 @@ def registry_stream(submissions: DataFrame, official: DataFrame, watchlist: Data
 
 
 # ---------------------------------------------------------------------------------------
-# Latency
-
-
-def latency_windows(events: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Latency per stage in tumbling (or sliding) windows with approximate quantiles."""
-    rows = watermarked(events, "started_at", LATE_BY)
-    window = F.window("started_at", length, slide) if slide else F.window("started_at", length)
-    quantiles = F.percentile_approx("duration_ms", F.array(F.lit(0.5), F.lit(0.95)), F.lit(10000))
-    grouped = rows.groupBy(window.alias("w"), "stage").agg(
-        F.count("*").alias("runs"), F.round(F.avg("duration_ms"), 2).alias("avg_ms"), quantiles.alias("q")
-    )
-    return grouped.select(
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "runs", "avg_ms",
-        F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p95_ms"),
-    )
-
-
-# ---------------------------------------------------------------------------------------
-# Ledger and cases
+# Ledger
 
 
 def ledger_stream(events: DataFrame, folder: str) -> DataFrame:
@@ -162,20 +120,3 @@ def ledger_stream(events: DataFrame, folder: str) -> DataFrame:
 
     run_batches(events.dropDuplicates(["target_id", "event_id"]), folder, handle)
     return spark.read.parquet(f"{folder}/blocks").drop("batch_id")
-
-
-def case_stream(documents: DataFrame, history: Callable[[], DataFrame], evidence: DataFrame, folder: str) -> DataFrame:
-    """Recomputes the risk of the cases touched by each batch; the last state of a case wins.
-
-    ``history`` returns all documents stored so far, the batch included.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("case_id").distinct()
-        current = history().join(touched, "case_id", "left_semi")
-        write_batch(crossdoc.case_risk(current, evidence), f"{folder}/cases", batch_id)
-
-    run_batches(documents, folder, handle)
-    states = documents.sparkSession.read.parquet(f"{folder}/cases")
-    columns = [c for c in states.columns if c not in ("case_id", "batch_id")]
-    return states.groupBy("case_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("s")).select("case_id", "s.*")

@@ -13,8 +13,9 @@ of lookups, stage order) are decided once the watermark has passed; late rows ca
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.operators import freshness, telemetry
@@ -69,13 +70,17 @@ class WatermarkedRun:
         return self._part("state", self.last)
 
 
-def reconciled(closed: DataFrame, opened: DataFrame, late: DataFrame, keys: list[str], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Partials with their ``state``; those of keys with late rows are merged with them and called amended."""
-    both = closed.withColumn("state", F.lit("closed")).unionByName(opened.withColumn("state", F.lit("open")))
-    touched = late.select(*keys).distinct().withColumn("touched", F.lit(True))
-    named = both.join(touched, keys, "left")
-    amended = merge(named.filter("touched").drop("touched", "state").unionByName(late)).withColumn("state", F.lit("amended"))
-    return named.filter("touched IS NULL").drop("touched").unionByName(amended)
+def reconciled(closed: DataFrame, opened: DataFrame, late: DataFrame, keys: list[str], merge: Callable[..., DataFrame]) -> DataFrame:
+    """Partials with their ``state``: open if one of their parts is, else amended if late rows are in them, else closed.
+
+    Only partials whose keys have late rows are merged again.
+    """
+    both = closed.withColumn("rank", F.lit(0)).unionByName(opened.withColumn("rank", F.lit(2)))
+    named = both.join(late.select(*keys).distinct().withColumn("touched", F.lit(True)), keys, "left")
+    parts = named.filter("touched").drop("touched").unionByName(late.withColumn("rank", F.lit(1)))
+    every = named.filter("touched IS NULL").drop("touched").unionByName(merge(parts, F.max("rank").alias("rank")))
+    state = F.element_at(F.array(*[F.lit(x) for x in ("closed", "amended", "open")]), F.col("rank") + 1)
+    return every.withColumn("state", state).drop("rank")
 
 
 # ---------------------------------------------------------------------------------------
@@ -92,13 +97,13 @@ def session_parts(results: DataFrame) -> DataFrame:
     )
 
 
-def merge_sessions(parts: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
-    """Partial sessions that lie less than the gap apart become one; partials combine before the shuffle."""
+def merge_sessions(parts: DataFrame, *more: Column, gap: str = SESSION_GAP) -> DataFrame:
+    """Partial sessions that lie less than the gap apart become one, with ``more`` aggregates; they combine before the shuffle."""
     length = (F.unix_micros("last_at") - F.unix_micros("first_at") + micros(gap)).cast("decimal(24,6)") / SECOND
     window = F.session_window("first_at", F.make_interval(secs=length.cast("decimal(18,6)")))
     slots = [m.lower() for m in MODULES]
     return parts.groupBy("verification_id", window.alias("w")).agg(
-        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), *[F.max(m).alias(m) for m in slots], F.sum("updates").alias("updates")
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), *[F.max(m).alias(m) for m in slots], F.sum("updates").alias("updates"), *more
     ).drop("w")
 
 
@@ -107,13 +112,13 @@ def session_stream(results: DataFrame, folder: str, late_by: str = LATE_BY, gap:
 
     def advance(state, rows, mark):
         parts = session_parts(rows) if state is None else session_parts(rows).unionByName(state)
-        merged = checkpointed(merge_sessions(parts, gap))
+        merged = checkpointed(merge_sessions(parts, gap=gap))
         over = F.coalesce(F.unix_micros("last_at") + micros(gap) <= F.lit(mark), F.lit(False))
         return merged.filter(over), merged.filter(~over)
 
     run = WatermarkedRun(results, folder, "ts", late_by, advance)
     late = session_parts(run.late().filter("ts IS NOT NULL"))
-    every = reconciled(run.closed(), run.state(), late, ["verification_id"], lambda parts: merge_sessions(parts, gap))
+    every = reconciled(run.closed(), run.state(), late, ["verification_id"], partial(merge_sessions, gap=gap))
     end = F.timestamp_micros(F.unix_micros("last_at") + micros(gap))
     return every.select(
         "verification_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("expires_at"),
