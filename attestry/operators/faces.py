@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.text import case_when
+from attestry.operators.ranking import distinct_in_order
 from attestry.operators.risk import rounded
 
 THRESHOLD, ELEVATED_THRESHOLD, MARGIN = 0.40, 0.48, 0.06
@@ -71,23 +72,30 @@ def face_verify(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def elevated_documents(evidence: DataFrame) -> DataFrame:
-    """Documents whose validation or forensic evidence asks for the stricter threshold."""
+    """Documents whose validation or forensic evidence asks for the stricter threshold, with the distinct reasons.
+
+    Reasons name module and signal; validation comes before forensics, else they keep the order of the evidence.
+    """
     serious = F.col("module").isin("M2", "M3") & F.col("severity").isin("CRITICAL", "HIGH")
-    return evidence.filter(F.col("available") & (serious | (F.col("signal") == "forensic_high_concern"))).select(
-        F.col("case_id").alias("document_id")
-    ).distinct()
+    found = evidence.filter(F.col("available") & (serious | (F.col("signal") == "forensic_high_concern")))
+    module = case_when([(F.col("module") == "M2", "m2_validation"), (F.col("module") == "M3", "m3_forensics")], F.col("module"))
+    rank = case_when([(F.col("module") == "M2", 0), (F.col("module") == "M3", 1)], 2)
+    reasons = distinct_in_order(found, ["case_id"], F.concat(module, F.lit(": "), F.col("signal")), F.struct(rank, "item_seq"), "reasons")
+    # evidence without a readable reason still raises the threshold
+    return found.select("case_id").distinct().join(reasons, "case_id", "left").select(F.col("case_id").alias("document_id"), "reasons")
 
 
 def face_verify_elevated(pairs: DataFrame, embeddings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """As ``face_verify`` with the threshold raised for documents under suspicion."""
+    """As ``face_verify`` with the threshold raised for documents under suspicion, and the reasons for it."""
     flagged = elevated_documents(evidence).withColumn("elevated", F.lit(True))
     rows = _with_vectors(pairs, embeddings).join(flagged, "document_id", "left").withColumns(
         {
             "elevated": F.coalesce("elevated", F.lit(False)),
+            "reasons": F.coalesce(F.array_join("reasons", "; "), F.lit("")),
             "similarity": rounded(cosine(F.col("document_vector"), F.col("live_vector")), 4),
         }
     )
-    return decide(rows).select("document_id", "live_id", "elevated", "similarity", "threshold", "status", "confidence")
+    return decide(rows).select("document_id", "live_id", "elevated", "reasons", "similarity", "threshold", "status", "confidence")
 
 
 def face_verify_fused(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:

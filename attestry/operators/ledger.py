@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from attestry.dims import DEFAULT_RISK, RiskConfig
 from attestry.functions.text import case_when
 from attestry.operators import risk
+from attestry.session import checkpointed
 from attestry.operators.ranking import ordinal
 
 SEGMENT_BLOCKS = 64
@@ -203,7 +204,8 @@ def tampered(blocks: DataFrame) -> DataFrame:
 
 
 def ledger_verify_tampered(events: DataFrame) -> DataFrame:
-    blocks = ledger_build(events)
+    # blocks feed the copy, the links and the anchors: built once, read from the shared folder
+    blocks = checkpointed(ledger_build(events))
     return ledger_verify(tampered(blocks), anchors(blocks))
 
 
@@ -232,7 +234,7 @@ def integrity_report(blocks: DataFrame, current: DataFrame, kept: DataFrame | No
 
 def integrity_of_events(events: DataFrame) -> DataFrame:
     """Report over a tampered copy, with the evidence of some targets changed after anchoring."""
-    whole = ledger_build(events)
+    whole = checkpointed(ledger_build(events))
     blocks = tampered(whole)
     last = events.groupBy("target_id").agg(F.max_by("payload", "event_id").alias("payload"))
     changed = F.when(F.col("target_id") % 10 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import dates, text
 from attestry.functions.text import case_when
+from attestry.operators.risk import rounded
 from attestry.operators.validate import mrz_line
 
 MAX_GAP, MIN_OVERLAP = 60, -20  # pixels below a label, horizontal overlap
@@ -107,6 +108,69 @@ def label_value_pairs(tokens: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values, as shares of the page: reach to the right and below, slack of overlaps, tolerance of column centres.
+REACH_RIGHT, REACH_BELOW = 0.60, 0.25
+ROW_SLACK, COLUMN_SLACK, COLUMN_TOLERANCE = 0.01, 0.05, 0.15
+GRID = 8  # cells a page is cut into each way
+
+
+def _cells(low: Column, high: Column) -> Column:
+    """Grid cells that a span of the page touches; what lies off the page counts to its edge."""
+    cell = lambda v: F.least(F.greatest(F.floor(v * GRID), F.lit(0)), F.lit(GRID - 1)).cast("int")
+    return F.sequence(cell(low), cell(high))
+
+
+def label_value_nearest(tokens: DataFrame, valid: Column | None = None) -> DataFrame:
+    """The nearest token right of each label in its row or below it in its column, on pages of any size.
+
+    Boxes are shares of ``page_width`` and ``page_height``. A value lies right of a label if it begins within REACH_RIGHT of
+    its end and their rows overlap, below it if it begins within REACH_BELOW of its foot and their columns overlap or have
+    close centres. Distances count the way between the edges and half the way between the centres; at equal
+    distances the smaller token wins, and right before below. Labels are never values; ``valid`` is what a value has
+    to satisfy, so that the next nearest is taken where the nearest is none.
+
+    Tokens meet in cells of a grid over the page: a value stands in the cells its box covers, a label looks into those its
+    reach covers. Equal boxes are collapsed to their first token first, so a cell is bounded by the page's pixels.
+    """
+    box = ["doc_id", "x0", "x1", "y0", "y1", "page_width", "page_height"]
+    share = {"l": F.col("x0") / F.col("page_width"), "r": F.col("x1") / F.col("page_width"), "t": F.col("y0") / F.col("page_height"), "b": F.col("y1") / F.col("page_height")}
+    others = tokens.filter(~F.col("is_label"))
+    if valid is not None:
+        others = others.filter(F.coalesce(valid, F.lit(False)))
+    values = others.groupBy(*box).agg(F.min_by(F.struct("token_id", "text", "conf"), "token_id").alias("v")).select(
+        "doc_id", "v", *[c.alias(f"v{n}") for n, c in share.items()]
+    )
+    values = values.withColumn("gx", F.explode(_cells(F.col("vl"), F.col("vr")))).withColumn("gy", F.explode(_cells(F.col("vt"), F.col("vb"))))
+    labels = tokens.filter("is_label")
+    boxes = labels.select(*box).distinct().withColumns(share)
+    half = (F.col("r") - F.col("l")) / 2
+    right = (F.col("r"), F.col("r") + REACH_RIGHT, F.col("t") - ROW_SLACK, F.col("b") + ROW_SLACK)
+    below = (
+        F.col("l") - F.greatest(F.lit(COLUMN_SLACK), F.lit(COLUMN_TOLERANCE) - half), F.col("r") + F.greatest(F.lit(COLUMN_SLACK), F.lit(COLUMN_TOLERANCE) - half),
+        F.col("b"), F.col("b") + REACH_BELOW,
+    )
+    areas = F.array(*[F.struct(_cells(a, b).alias("xs"), _cells(c, d).alias("ys")) for a, b, c, d in (right, below)])
+    looked = boxes.withColumn("area", F.explode(areas)).withColumn("gx", F.explode("area.xs")).withColumn("gy", F.explode("area.ys"))
+    met = looked.drop("area").distinct().join(values, ["doc_id", "gx", "gy"])
+    middle = lambda a, b: F.abs((F.col(f"v{a}") + F.col(f"v{b}")) / 2 - (F.col(a) + F.col(b)) / 2)
+    overlap = lambda a, b: F.least(f"v{b}", b) - F.greatest(f"v{a}", a)
+    dx, dy = F.col("vl") - F.col("r"), F.col("vt") - F.col("b")
+    is_right = (dx >= 0) & (dx <= REACH_RIGHT) & (overlap("t", "b") > -ROW_SLACK)
+    is_below = (dy >= 0) & (dy <= REACH_BELOW) & ((overlap("l", "r") > -COLUMN_SLACK) | (middle("l", "r") <= COLUMN_TOLERANCE))
+    ways = F.array_compact(F.array(
+        F.when(is_right, F.struct((dx + middle("t", "b") * 0.5).alias("distance"), F.lit(0).alias("way"))),
+        F.when(is_below, F.struct((dy + middle("l", "r") * 0.5).alias("distance"), F.lit(1).alias("way"))),
+    ))
+    best = met.select(*box, "v", F.explode(ways).alias("w")).groupBy(*box).agg(
+        F.min(F.struct("w.distance", "v.token_id", "w.way", "v.text", "v.conf")).alias("b")
+    )
+    return labels.join(best, box).select(
+        "doc_id", F.col("token_id").alias("label_token"), F.col("text").alias("label"), F.col("b.token_id").alias("value_token"),
+        F.col("b.text").alias("value"), F.col("b.conf").alias("conf"), F.when(F.col("b.way") == 0, "LABEL_LEFT_VALUE").otherwise("LABEL_ABOVE_VALUE").alias("relationship"),
+        rounded(F.col("b.distance"), 4).alias("distance"),
+    )
+
+
 def field_candidates(tokens: DataFrame) -> DataFrame:
     """Resolution of the candidate values of every label text of a document."""
     pairs = label_value_pairs(tokens)

@@ -23,6 +23,17 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return top_rows(df, keys, order, 1, "_first").drop("_first")
 
 
+def distinct_in_order(df: DataFrame, keys: Sequence[str], value: Column, position: Column, name: str = "values") -> DataFrame:
+    """Per key the distinct values in order of their first position, as an array ``name``; null values are none.
+
+    The first position of each value combines before the shuffle, so a key's array holds its distinct values only,
+    however often a value stands in a hot key.
+    """
+    first = df.select(*keys, value.alias("_value"), position.alias("_at")).filter("_value IS NOT NULL").groupBy(*keys, "_value").agg(F.min("_at").alias("_at"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_value")))
+    return first.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.col("_all._value").alias(name))
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number()`` over every row of every key, for keys of any size.
 

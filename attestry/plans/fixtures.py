@@ -395,6 +395,12 @@ SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 +
 FROM {lineitem}
 """
 
+# pages of two sizes, with the labels' values to their right or below
+PAGE_TOKENS = """
+SELECT doc_id, token_id, is_label, text, conf, x0, x0 + (x1 - x0) / 2 AS x1, y0, y1, 640 - doc_id % 2 * 320 AS page_width, 260 + doc_id % 3 * 130 AS page_height
+FROM {ocr_tokens} AS t0
+"""
+
 # each vector against its three successors; the last ones have no partner
 FACE_PAIRS = """
 SELECT vec_id AS document_id, vec_id + step AS live_id, 1 + vec_id % 10 / CAST(20 AS DOUBLE) AS document_ratio,
@@ -435,6 +441,7 @@ FIXTURES = {
     "payloads": PAYLOADS,
     "printed_fields": PRINTED_FIELDS,
     "ocr_tokens": OCR_TOKENS,
+    "page_tokens": PAGE_TOKENS,
     "face_pairs": FACE_PAIRS,
     "ledger_events": LEDGER_EVENTS,
     "stage_events": STAGE_EVENTS,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from attestry.operators import (
     conflicts,
     crossdoc,
@@ -19,6 +21,8 @@ from attestry.operators import (
     validate,
 )
 from attestry.plans.fixtures import stream, table
+from attestry.session import checkpointed
+from attestry.sources import stores, tables
 from attestry.streaming import cases, jobs, watermarks
 
 
@@ -49,6 +53,11 @@ def ledger_stream(spark, sf_dir):
     return jobs.ledger_stream(stream(spark, sf_dir, "ledger_events"), jobs.new_folder(spark, "ledger"))
 
 
+def label_value_nearest(spark, sf_dir):
+    # a field whose values are written V0 or V2
+    return pairing.label_value_nearest(table(spark, sf_dir, "page_tokens"), F.col("text").rlike("^V[02]$"))
+
+
 def case_stream(spark, sf_dir, expiry=None):
     arriving, evidence_rows = stream(spark, sf_dir, "case_documents"), table(spark, sf_dir, "document_evidence")
     found = cases.case_stream(arriving, evidence_rows, jobs.new_folder(spark, "cases"), expiry)
@@ -59,6 +68,40 @@ def case_stream_expiring(spark, sf_dir):
     return case_stream(spark, sf_dir, cases.EXPIRY_SECONDS)
 
 
+def case_documents_reader(spark, sf_dir):
+    """Case documents stored as JSON and read with the given schema."""
+    path = jobs.new_folder(spark, "case-documents")
+    table(spark, sf_dir, "case_documents").write.json(path)
+    return tables.load_case_documents(spark, path, "json").select("case_id", "document_id", "document_type", "status")
+
+
+def ledger_store(spark, sf_dir):
+    """The ledger appended in two parts and read as a whole."""
+    path, blocks = jobs.new_folder(spark, "ledger-store"), checkpointed(ledger.ledger_build(table(spark, sf_dir, "ledger_events")))
+    for part in ("block_index <= 2", "block_index > 2"):
+        stores.append_ledger(blocks.filter(part), path)
+    return stores.read_ledger(spark, path).select("target_id", "block_index", "event_id", "block_hash")
+
+
+def _stored_registry(spark, sf_dir):
+    path = jobs.new_folder(spark, "registry-store")
+    stores.write_registry(table(spark, sf_dir, "registry"), path, SAMPLE_SECRET, SAMPLE_CIPHER_KEY)
+    return path
+
+
+def registry_type_scan(spark, sf_dir):
+    """Passport records of the protected store, decrypted."""
+    found = stores.scan_registry_by_type(spark, _stored_registry(spark, sf_dir), "passport", SAMPLE_CIPHER_KEY)
+    return found.select("record_id", "document_number", "name", "date_of_birth")
+
+
+def registry_purge(spark, sf_dir):
+    """What the protected store holds once all passports are purged."""
+    path = _stored_registry(spark, sf_dir)
+    stores.purge_registry_type(spark, [path], "passport")
+    return spark.read.parquet(path).groupBy("document_type").agg(F.count("*").alias("records"))
+
+
 REGISTRY_INPUTS = ("submissions", "registry", "watchlist")
 # keys of the sample queries only; a deployment passes its own
 SAMPLE_SECRET, SAMPLE_CIPHER_KEY = b"sample lookup secret", bytes(range(32))
@@ -110,6 +153,7 @@ QUERIES = {
     "payload_fields": over(payloads.payload_fields, "payloads"),
     "payload_crosscheck": over(payloads.payload_crosscheck, "payloads", "printed_fields"),
     "label_value_pairs": over(pairing.label_value_pairs, "ocr_tokens"),
+    "label_value_nearest": label_value_nearest,
     "field_candidates": over(pairing.field_candidates, "ocr_tokens"),
     "pattern_signals": over(pairing.pattern_signals, "text_routing"),
     "face_verify": over(faces.face_verify, "face_pairs", "embeddings"),
@@ -132,6 +176,10 @@ QUERIES = {
     "stage_order_stream": streamed(watermarks.stage_order_stream, "stage_events"),
     "registry_stream": registry_stream,
     "ledger_stream": ledger_stream,
+    "case_documents_reader": case_documents_reader,
+    "ledger_store": ledger_store,
+    "registry_type_scan": registry_type_scan,
+    "registry_purge": registry_purge,
     "case_stream": case_stream,
     "case_stream_expiring": case_stream_expiring,
     "risk_score": over(risk.risk_score, "evidence"),

@@ -177,6 +177,23 @@ per AS (
 )
 SELECT e.doc_id, overall_status, field, status FROM every e JOIN per p ON p.doc_id = e.doc_id""",
     "label_value_pairs": PAIRS + "SELECT * FROM paired",
+    "label_value_nearest": """
+WITH t AS (
+  SELECT *, x0 / page_width AS l, x1 / page_width AS r, y0 / page_height AS t, y1 / page_height AS b FROM {page_tokens} AS p0
+),
+pairs AS (
+  SELECT a.doc_id, a.token_id AS label_token, a.text AS label, v.token_id AS value_token, v.text AS value, v.conf,
+    CAST(v.l - a.r AS DOUBLE) AS dx, CAST(v.t - a.b AS DOUBLE) AS dy, abs((v.l + v.r) / 2 - (a.l + a.r) / 2) AS mx, abs((v.t + v.b) / 2 - (a.t + a.b) / 2) AS my,
+    least(v.r, a.r) - greatest(v.l, a.l) AS ox, least(v.b, a.b) - greatest(v.t, a.t) AS oy
+  FROM t a JOIN t v ON v.doc_id = a.doc_id AND a.is_label AND NOT v.is_label AND v.text IN ('V0', 'V2')
+),
+ways AS (
+  SELECT *, 'LABEL_LEFT_VALUE' AS relationship, 0 AS way, dx + my * 0.5::DOUBLE AS d FROM pairs WHERE dx >= 0 AND dx <= 0.6::DOUBLE AND oy > -0.01::DOUBLE
+  UNION ALL
+  SELECT *, 'LABEL_ABOVE_VALUE', 1, dy + mx * 0.5::DOUBLE FROM pairs WHERE dy >= 0 AND dy <= 0.25::DOUBLE AND (ox > -0.05::DOUBLE OR mx <= 0.15::DOUBLE)
+)
+SELECT doc_id, label_token, label, value_token, value, conf, relationship, round(round(d, 10), 4) AS distance FROM ways
+QUALIFY row_number() OVER (PARTITION BY doc_id, label_token ORDER BY d, value_token, way) = 1""",
     "field_candidates": PAIRS + """,
 found AS (
   SELECT doc_id, label, count(*) AS n, count(DISTINCT value) AS d,
@@ -206,11 +223,19 @@ SELECT document_id, live_id, similarity, t AS threshold, status, confidence FROM
   SELECT DISTINCT case_id FROM {{evidence}} AS e0 WHERE available AND ((module IN ('M2', 'M3') AND severity IN ('CRITICAL', 'HIGH'))
     OR signal = 'forensic_high_concern')
 ),
+reasons AS (
+  SELECT case_id, string_agg(reason, '; ' ORDER BY place) AS reasons FROM (
+    SELECT case_id, CASE module WHEN 'M2' THEN 'm2_validation: ' WHEN 'M3' THEN 'm3_forensics: ' ELSE module || ': ' END || signal AS reason,
+      min((CASE module WHEN 'M2' THEN 0 WHEN 'M3' THEN 1 ELSE 2 END, item_seq)) AS place
+    FROM {{evidence}} AS e0 WHERE available AND ((module IN ('M2', 'M3') AND severity IN ('CRITICAL', 'HIGH')) OR signal = 'forensic_high_concern')
+    GROUP BY ALL
+  ) GROUP BY case_id
+),
 measured AS (
   SELECT *, document_id IN (SELECT case_id FROM flagged) AS elevated,
     CASE WHEN document_id IN (SELECT case_id FROM flagged) THEN 0.48::DOUBLE ELSE 0.40::DOUBLE END AS t, {rounded(clipped('a', 'b'), 4)} AS similarity
   FROM pairs
-),""" + _DECIDE + "SELECT document_id, live_id, elevated, similarity, t AS threshold, status, confidence FROM decided",
+),""" + _DECIDE + "SELECT document_id, live_id, elevated, coalesce(r.reasons, '') AS reasons, similarity, t AS threshold, status, confidence FROM decided LEFT JOIN reasons r ON r.case_id = document_id",
     "face_verify_fused": FACES + f"""
 parts AS (
   SELECT *, {clipped('a', 'b')} AS w, {clipped('a[1:32]', 'b[1:32]')} AS r, {clipped('a[17:48]', 'b[17:48]')} AS c, {clipped('a[33:64]', 'b[33:64]')} AS i,

@@ -1,8 +1,8 @@
-"""SQL twins of the streaming jobs: the batch result and which part of it the final watermark has closed."""
+"""SQL twins of the streaming jobs (the batch result and which part of it the final watermark has closed) and of the stores."""
 
 from __future__ import annotations
 
-from attestry.plans import sql_case, sql_pairing
+from attestry.plans import sql_case, sql_ledger, sql_pairing
 
 _SESSIONS = """
 s0 AS (
@@ -48,6 +48,10 @@ FROM ranked GROUP BY w, stage"""
 
 
 SQL = {
+    "case_documents_reader": "SELECT CAST(case_id AS VARCHAR) AS case_id, document_id, document_type, status FROM {case_documents} AS c0",
+    "ledger_store": sql_ledger.CHAIN + "SELECT target_id, block_index, event_id, block_hash FROM blocks",
+    "registry_type_scan": "SELECT record_id, document_number, name, date_of_birth FROM {registry} AS r0 WHERE document_type = 'passport'",
+    "registry_purge": "SELECT document_type, count(*) AS records FROM {registry} AS r0 WHERE document_type <> 'passport' GROUP BY document_type",
     "session_stream": "WITH " + _SESSIONS + """
 SELECT verification_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at,
   strftime(max(ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS expires_at,

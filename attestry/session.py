@@ -14,6 +14,7 @@ def local_session(cpus: int | str = 8, app: str = "attestry", memory: str = "8g"
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.attestry.scan.partitions", str(cpus) if str(cpus).isdigit() else "0")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
