@@ -380,3 +380,54 @@ def relationships() -> list[tuple]:
 
 # Registry outcomes that must be asked again and are never served from an earlier answer.
 TRANSIENT_OUTCOMES = ("UNAVAILABLE", "TIMEOUT", "PROVIDER_ERROR", "RATE_LIMITED", "ERROR")
+
+# Rules of the document profiles (type, rule, field, argument, severity).
+PROFILE_RULES = (
+    ("aadhaar", "required", "document_number", None, "critical"),
+    ("aadhaar", "required", "name", None, "critical"),
+    ("aadhaar", "pattern", "document_number", "[2-9][0-9]{11}", "critical"),
+    ("aadhaar", "anchor", None, r"\bAADHAAR\b", None),
+    ("aadhaar", "identifier", None, r"\b[2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4}\b", None),
+    ("border_permit", "required", "document_number", None, "critical"),
+    ("border_permit", "required", "name", None, "critical"),
+    ("border_permit", "after", "expiry_date", "issue_date", "critical"),
+    ("border_permit", "identifier", None, r"\bBP-?[0-9]{4}\b", None),
+    ("driving_license", "required", "document_number", None, "critical"),
+    ("driving_license", "required", "name", None, "critical"),
+    ("driving_license", "required", "date_of_birth", None, "critical"),
+    ("driving_license", "pattern", "document_number", "[A-Z]{2}[0-9]{2}(?:19|20)[0-9]{2}[0-9]{7}", "critical"),
+    ("driving_license", "min_age", "date_of_birth", "18", "warning"),
+    ("driving_license", "max_age", "date_of_birth", "110", "warning"),
+    ("driving_license", "after", "expiry_date", "issue_date", "critical"),
+    ("driving_license", "anchor", None, r"\bDRIVING\s+LICEN[CS]E\b", None),
+    ("driving_license", "anchor", None, r"\bUNION\s+OF\s+INDIA\b", None),
+    ("driving_license", "anchor", None, r"\bDL\s*NO\b", None),
+    ("driving_license", "identifier", None, r"\b[A-Z]{2}[-\s]?[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{7}\b", None),
+    ("driving_license", "statutory", None, "SARATHI", None),
+    ("driving_license", "statutory", None, "TRANSPORT DEPARTMENT", None),
+    ("driving_license", "token", None, "COV", None),
+    ("driving_license", "token", None, "LMV", None),
+    ("driving_license", "token", None, "MCWG", None),
+    ("driving_license", "token", None, "VALIDITY", None),
+    ("driving_license", "aspect", None, "1.58~0.25", None),
+    ("pan_card", "required", "document_number", None, "critical"),
+    ("pan_card", "pattern", "document_number", "[A-Z]{5}[0-9]{4}[A-Z]", "critical"),
+    ("pan_card", "anchor", None, "INCOME TAX DEPARTMENT", None),
+    ("passport", "required", "document_number", None, "critical"),
+    ("passport", "required", "name", None, "critical"),
+    ("passport", "pattern", "document_number", "[A-Z][0-9]{7}", "critical"),
+    ("passport", "after", "expiry_date", "issue_date", "critical"),
+    ("passport", "not_future", "date_of_birth", None, "critical"),
+    ("passport", "anchor", None, "REPUBLIC OF INDIA", None),
+    ("passport", "identifier", None, r"\bP<[A-Z]{3}", None),
+    ("visa", "required", "document_number", None, "critical"),
+    ("visa", "required", "name", None, "critical"),
+    ("visa", "anchor", None, "ENTRY VISA", None),
+    ("visa", "anchor", None, "CONSULAR", None),
+    ("visa", "token", None, "VISA", None),
+    ("visa", "token", None, "ENTRY", None),
+    ("voter_id", "required", "document_number", None, "critical"),
+    ("voter_id", "pattern", "document_number", "[A-Z]{3}[0-9]{7}", "critical"),
+    ("voter_id", "anchor", None, "ELECTION COMMISSION", None),
+    ("voter_id", "identifier", None, r"\b[A-Z]{3}[0-9]{7}\b", None),
+)

@@ -261,6 +261,11 @@ FROM (
 ) AS d
 """
 
+PAGE_TEXTS = """
+SELECT doc_id, declared_type, text, CAST(300 + abs(doc_id) * 37 % 500 AS DOUBLE) AS width, CAST(250 + abs(doc_id) * 53 % 300 AS DOUBLE) AS height
+FROM {text_routing} AS r0
+"""
+
 QUALITY_METRICS = """
 SELECT p_partkey AS capture_id, 200 + p_partkey * 37 % 900 AS width, 180 + p_partkey * 53 % 700 AS height,
   p_size * 3.5 AS blur, p_retailprice / 8 AS brightness, p_size * 1.25 AS contrast,
@@ -448,6 +453,7 @@ FIXTURES = {
     "module_results": MODULE_RESULTS,
     "case_documents": CASE_DOCUMENTS,
     "text_routing": TEXT_ROUTING,
+    "page_texts": PAGE_TEXTS,
     "quality_metrics": QUALITY_METRICS,
     "forensic_votes": FORENSIC_VOTES,
     "submission_keys": SUBMISSION_KEYS,

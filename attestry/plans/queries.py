@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry import dims
 from attestry.operators import (
     conflicts,
     crossdoc,
@@ -14,6 +15,7 @@ from attestry.operators import (
     pairing,
     passport,
     payloads,
+    profiles,
     registry,
     risk,
     standardize,
@@ -155,6 +157,8 @@ QUERIES = {
     "label_value_pairs": over(pairing.label_value_pairs, "ocr_tokens"),
     "label_value_nearest": label_value_nearest,
     "field_candidates": over(pairing.field_candidates, "ocr_tokens"),
+    "profile_checks": over(profiles.profile_checks, "submissions", rules=dims.PROFILE_RULES),
+    "profile_signals": over(profiles.profile_signals, "page_texts", rules=dims.PROFILE_RULES),
     "pattern_signals": over(pairing.pattern_signals, "text_routing"),
     "face_verify": over(faces.face_verify, "face_pairs", "embeddings"),
     "face_verify_elevated": over(faces.face_verify_elevated, "face_pairs", "embeddings", "evidence"),
