@@ -7,7 +7,8 @@ the window's content alone. Windows of a text that share an anchor follow one an
 1. Per text: its SHA-256 and its segments (hash of the anchor's gram, hash of the segment, place). No text moves.
 2. Segments whose anchor gram occurs once in all texts can't repeat. The others are dealt to shards by the gram;
    equal segments go once, with their number, so large groups of copies shrink before anything is sorted.
-3. Each shard's segments are sorted by ``induced_sorting``; a window repeats if the common prefix with a neighbour
+3. Of each shard's segments, the windows that share the longer side of their gram with another segment
+   are sorted by ``induced_sorting``; a window repeats if the common prefix with a neighbour
    reaches ``length``, or if its segment occurs more than once.
 4. Found windows go back to their texts; the union of their bytes is removed.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +83,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:count], forward[width - 1 : width - 1 + count])
 
 
-def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, window after the last) per segment, in order."""
+def anchored_segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, window after the last, place of the gram) per segment, in order."""
     windows, width = len(data) - length + 1, length - GRAM + 1
     if windows <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     raw = np.frombuffer(data, dtype=np.uint8)
     anchors, grams = [], []
     for at in range(0, windows, _CHUNK):
@@ -99,7 +101,12 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         grams.append(hashes[place])
     anchor, gram = np.concatenate(anchors), np.concatenate(grams)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return gram[first], first, np.append(first[1:], windows)
+    return gram[first], first, np.append(first[1:], windows), anchor[first]
+
+
+def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, window after the last) per segment, in order."""
+    return anchored_segments(data, length)[:3]
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -110,7 +117,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _per_text(docs: DataFrame, id_column: str, text: str, length: int) -> DataFrame:
-    """Identifier, digest, n_bytes and the segments of every row."""
+    """Identifier, digest, n_bytes and the segments of every row: gram, whole, first window, way from it to the gram."""
 
     def compute():
         def of_texts(texts):
@@ -119,35 +126,59 @@ def _per_text(docs: DataFrame, id_column: str, text: str, length: int) -> DataFr
                 data = (t or "").encode("utf-8")
                 digests.append(hashlib.sha256(data).digest())
                 sizes.append(len(data))
-                gram, first, end = segments(data, length)
+                gram, first, end, anchor = anchored_segments(data, length)
                 whole = [xxhash.xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-                rows.append((gram.view(np.int64), np.array(whole, dtype=np.uint64).view(np.int64), first.astype(np.int32)))
+                rows.append((gram.view(np.int64), np.array(whole, dtype=np.uint64).view(np.int64), first.astype(np.int32), (anchor - first).astype(np.int32)))
             ends = pa.array(np.cumsum([0] + [len(r[0]) for r in rows]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, np.concatenate([r[k] for r in rows])) for k in range(3)]
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate([r[k] for r in rows])) for k in range(4)]
             return [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists]
 
         return of_texts
 
-    fields = "digest binary, n_bytes long, grams array<long>, wholes array<long>, firsts array<int>"
+    fields = "digest binary, n_bytes long, grams array<long>, wholes array<long>, firsts array<int>, ways array<int>"
     return map_texts(docs, [id_column], fields, compute, text)
 
 
+def _sides(bodies: list[bytes], grams: list[int], ways: list[int], copies: list[int], length: int) -> list[tuple[int, int]]:
+    """Windows (from, to) of each segment that may repeat in another one; none if from is not below to.
+
+    Equal windows hold the gram at one offset, so they share what lies on its longer side: at least half of the window
+    without the gram. A side is only worth sorting if another segment of the gram has the same bytes there.
+    """
+    side = (length - GRAM) // 2
+    left, right, found = Counter(), Counter(), []
+    for body, gram, way, n in zip(bodies, grams, ways, copies, strict=True):
+        windows = len(body) - length + 1
+        before = (gram, xxhash.xxh3_64_intdigest(body[way - side : way])) if way >= side else None
+        least = way - (length - GRAM - side)  # first window with enough of the right side
+        after = (gram, xxhash.xxh3_64_intdigest(body[way + GRAM : way + GRAM + side])) if windows - 1 >= least else None
+        left[before] += n
+        right[after] += n
+        found.append((windows, before, after, max(least, 0), min(way - side + 1, windows)))
+    out = []
+    for n, (windows, before, after, low, high) in zip(copies, found, strict=True):
+        by_left, by_right = before is not None and left[before] > n, after is not None and right[after] > n
+        out.append((0 if by_left else low, windows if by_right else high) if by_left or by_right else (0, 0))
+    return out
+
+
 def _shard_windows(table: pa.Table, length: int) -> pa.Table:
     """Flagged windows of a shard's segments as (gram, whole, from, to) with ``to`` exclusive."""
     # a repeated row may bring a segment twice
-    keys = list(zip(table.column("gram").to_pylist(), table.column("whole").to_pylist(), strict=True))
-    chosen = list({k: i for i, k in enumerate(keys)}.values())
-    bodies = [table.column("body")[i].as_py() for i in chosen]
-    flags = long_repeats(bodies, length) if len(bodies) > 1 or table.column("copies")[0].as_py() < 2 else None
+    columns = {c: table.column(c).to_pylist() for c in ("gram", "whole", "copies", "way", "body")}
+    chosen = list({k: i for i, k in enumerate(zip(columns["gram"], columns["whole"], strict=True))}.values())
+    grams, wholes, copies, ways, bodies = ([v[i] for i in chosen] for v in columns.values())
+    sides = _sides(bodies, grams, ways, copies, length)
+    parts = [b[low : high - 1 + length] for b, (low, high) in zip(bodies, sides, strict=True) if low < high]
+    flags = long_repeats(parts, length) if len(parts) > 1 else None
     out: list[tuple] = []
     at = 0
-    for i, body in zip(chosen, bodies, strict=True):
-        windows = len(body) - length + 1
-        mine = flags[at : at + windows] if flags is not None else np.zeros(windows, dtype=bool)
-        at += len(body) + 1
-        if table.column("copies")[i].as_py() > 1:
-            mine = np.ones(windows, dtype=bool)
-        out += [(*keys[i], a, b) for a, b in runs(mine)]
+    for gram, whole, n, body, (low, high) in zip(grams, wholes, copies, bodies, sides, strict=True):
+        if n > 1:
+            out.append((gram, whole, 0, len(body) - length + 1))
+        elif low < high and flags is not None:
+            out += [(gram, whole, low + a, low + b) for a, b in runs(flags[at : at + high - low])]
+        at += high - low + length if low < high else 0
     gram, whole, low, high = zip(*out, strict=True) if out else ((), (), (), ())
     return pa.table({
         "gram": pa.array(gram, pa.int64()), "whole": pa.array(whole, pa.int64()),
@@ -161,7 +192,7 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, whole, copies, body) of the wanted segments of each text."""
+    """(gram, whole, copies, way, body) of the wanted segments of each text."""
 
     def run(batches):
         for whole in batches:
@@ -172,11 +203,11 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                 take = lambda k: [s[k] for s in row["wanted"]]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(take("gram"), pa.int64()), pa.array(take("whole"), pa.int64()), pa.array(take("copies"), pa.int64()),
-                     pa.array(bodies, pa.binary())],
-                    names=["gram", "whole", "copies", "body"],
+                     pa.array(take("way"), pa.int32()), pa.array(bodies, pa.binary())],
+                    names=["gram", "whole", "copies", "way", "body"],
                 )
 
-    return texts.select("text", "wanted").mapInArrow(run, "gram long, whole long, copies long, body binary")
+    return texts.select("text", "wanted").mapInArrow(run, "gram long, whole long, copies long, way int, body binary")
 
 
 def _hot_windows(cut: DataFrame, length: int) -> DataFrame:
@@ -201,32 +232,34 @@ def _hot_windows(cut: DataFrame, length: int) -> DataFrame:
 def repeated_bytes(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, hot_segments: int = HOT_SEGMENTS
 ) -> DataFrame:
-    """One row per document: identifier, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans``."""
+    """One row per document: identifier, n_bytes, n_removed, n_spans, kept_sha256, the removed ``spans`` and whether it ``repeats``."""
     rows = _stored(_per_text(docs, id_column, text, length), "rows")
     texts = rows.groupBy("digest").agg(
         F.count("*").alias("copies"), F.min(id_column).alias("one"), F.first("n_bytes").alias("n_bytes"),
-        F.first(F.struct("grams", "wholes", "firsts")).alias("found"),
+        F.first(F.struct("grams", "wholes", "firsts", "ways")).alias("found"),
     )
+    texts = _stored(texts, "texts")
     following = F.expr("coalesce(try_element_at(found.firsts, place + 2), cast(n_bytes - {} as int))".format(length - 1)) - 1
-    placed = (
+    every = (
         texts.filter(F.size("found.grams") > 0)
         .select("*", F.posexplode("found.grams").alias("place", "gram"))
         .select(
-            "digest", "copies", "one", "gram",
-            F.col("found.wholes")[F.col("place")].alias("whole"),
+            "digest", "copies", "one", "gram", F.col("found.wholes")[F.col("place")].alias("whole"), F.col("found.ways")[F.col("place")].alias("way"),
             F.col("found.firsts")[F.col("place")].alias("first"), following.alias("last"),
         )
     )
-    placed = _stored(placed, "placed")
+    # a gram that occurs once has no repeats: only places of the others are stored
+    repeated = every.groupBy("gram").agg(F.sum("copies").alias("all")).filter("all > 1").select("gram")
+    placed = _stored(every.join(repeated, "gram", "left_semi"), "placed")
     kinds = placed.groupBy("gram", "whole").agg(
-        F.sum("copies").alias("copies"), F.count("*").alias("places"),
+        F.sum("copies").alias("copies"), F.count("*").alias("places"), F.first("way").alias("way"),
         F.min(F.struct("digest", "one", "first", "last")).alias("at"),
     )
-    kinds = _stored(kinds, "kinds")
-    grams = kinds.groupBy("gram").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds"))
-    grams = grams.filter("all > 1").select("gram", (F.col("kinds") > hot_segments).alias("hot"))
-    # hot grams have over ``hot_segments`` rows each, so this join may be uneven; adaptive execution splits it
-    wanted = _stored(kinds.join(grams, "gram"), "wanted")
+    # one row per gram with over ``hot_segments`` segments
+    hot = placed.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot_segments)
+    hot = placed.join(hot.select("gram"), "gram", "left_semi").select("gram", "whole").distinct().groupBy("gram").count()
+    hot = hot.filter(F.col("count") > hot_segments).select("gram", F.lit(True).alias("hot"))
+    wanted = _stored(kinds.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "wanted")
     size = wanted.agg(F.sum(F.col("at.last") - F.col("at.first") + length)).first()[0] or 0
     shards = max(64, -(-size // SHARD_BYTES))
 
@@ -236,7 +269,7 @@ def repeated_bytes(
 
     def cut(kinds: DataFrame) -> DataFrame:
         per_text = kinds.groupBy(F.col("at.digest").alias("digest"), F.col("at.one").alias("one")).agg(
-            F.collect_list(F.struct("gram", "whole", "copies", "at.first", "at.last")).alias("wanted")
+            F.collect_list(F.struct("gram", "whole", "copies", "way", "at.first", "at.last")).alias("wanted")
         )
         found = keyed.join(per_text, (F.col("__digest") == per_text["digest"]) & F.col("__id").eqNullSafe(per_text["one"]))
         return _cut(found, length)
@@ -274,7 +307,8 @@ def repeated_bytes(
         id_column, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.lower(F.hex("digest")).alias("kept_sha256"), F.expr(f"cast(array() as {SPANS})").alias("spans"),
     )
-    return with_spans.select(id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans").unionByName(without)
+    told = with_spans.select(id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans").unionByName(without)
+    return told.withColumn("repeats", F.col("n_removed") > 0)
 
 
 SPANS = "array<struct<low:int,high:int>>"
