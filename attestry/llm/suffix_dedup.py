@@ -249,7 +249,8 @@ def repeated_bytes(
         )
     )
     # a gram that occurs once has no repeats: only places of the others are stored
-    repeated = every.groupBy("gram").agg(F.sum("copies").alias("all")).filter("all > 1").select("gram")
+    # (stored, so that the join reads two plain shuffles, of which adaptive execution can split a hot gram)
+    repeated = _stored(every.groupBy("gram").agg(F.sum("copies").alias("all")).filter("all > 1").select("gram"), "repeated")
     placed = _stored(every.join(repeated, "gram", "left_semi"), "placed")
     kinds = placed.groupBy("gram", "whole").agg(
         F.sum("copies").alias("copies"), F.count("*").alias("places"), F.first("way").alias("way"),
@@ -257,7 +258,7 @@ def repeated_bytes(
     )
     # one row per gram with over ``hot_segments`` segments
     hot = placed.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot_segments)
-    hot = placed.join(hot.select("gram"), "gram", "left_semi").select("gram", "whole").distinct().groupBy("gram").count()
+    hot = placed.join(_stored(hot.select("gram"), "often"), "gram", "left_semi").select("gram", "whole").distinct().groupBy("gram").count()
     hot = hot.filter(F.col("count") > hot_segments).select("gram", F.lit(True).alias("hot"))
     wanted = _stored(kinds.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "wanted")
     size = wanted.agg(F.sum(F.col("at.last") - F.col("at.first") + length)).first()[0] or 0
