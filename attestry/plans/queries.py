@@ -11,6 +11,7 @@ from attestry.operators import (
     evidence,
     faces,
     freshness,
+    gallery,
     ledger,
     pairing,
     passport,
@@ -163,6 +164,7 @@ QUERIES = {
     "face_verify": over(faces.face_verify, "face_pairs", "embeddings"),
     "face_verify_elevated": over(faces.face_verify_elevated, "face_pairs", "embeddings", "evidence"),
     "face_verify_fused": over(faces.face_verify_fused, "face_pairs", "embeddings"),
+    "gallery_topk": over(gallery.gallery_topk, "embeddings"),
     "stage_latency": over(telemetry.stage_latency, "stage_events"),
     "stage_order": over(telemetry.stage_order, "stage_events"),
     "exact_dedup": over(

@@ -236,6 +236,15 @@ measured AS (
     CASE WHEN document_id IN (SELECT case_id FROM flagged) THEN 0.48::DOUBLE ELSE 0.40::DOUBLE END AS t, {rounded(clipped('a', 'b'), 4)} AS similarity
   FROM pairs
 ),""" + _DECIDE + "SELECT document_id, live_id, elevated, coalesce(r.reasons, '') AS reasons, similarity, t AS threshold, status, confidence FROM decided LEFT JOIN reasons r ON r.case_id = document_id",
+    "gallery_topk": f"""
+WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+measured AS (
+  SELECT q.vec_id AS query_id, g.vec_id, {rounded(clipped('q.v', 'g.v'), 4)} AS similarity
+  FROM vectors q JOIN vectors g ON q.vec_id <> g.vec_id WHERE q.vec_id % 100 = 0
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM measured)
+SELECT query_id, rank, vec_id, similarity, CASE WHEN similarity >= 0.40 THEN 'match' WHEN similarity >= 0.34 THEN 'inconclusive'
+  ELSE 'no_match' END AS status FROM ranked WHERE rank <= 5""",
     "face_verify_fused": FACES + f"""
 parts AS (
   SELECT *, {clipped('a', 'b')} AS w, {clipped('a[1:32]', 'b[1:32]')} AS r, {clipped('a[17:48]', 'b[17:48]')} AS c, {clipped('a[33:64]', 'b[33:64]')} AS i,
