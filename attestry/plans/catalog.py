@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from attestry.plans import sql_case, sql_evidence, sql_identity, sql_ledger, sql_pairing, sql_passport, sql_profiles, sql_risk, sql_streams, sql_validate
+from attestry.plans import sql_cards, sql_case, sql_evidence, sql_identity, sql_ledger, sql_pairing, sql_passport, sql_profiles, sql_risk, sql_streams, sql_validate
 from attestry.plans.fixtures import as_sql
 from attestry.plans.queries import QUERIES
 
-_SQL = [sql_risk.SQL, sql_identity.SQL, sql_validate.SQL, sql_case.SQL, sql_evidence.SQL, sql_ledger.SQL, sql_pairing.SQL, sql_passport.SQL, sql_streams.SQL, sql_profiles.SQL]
+_SQL = [sql_risk.SQL, sql_identity.SQL, sql_validate.SQL, sql_case.SQL, sql_evidence.SQL, sql_ledger.SQL, sql_pairing.SQL, sql_passport.SQL, sql_streams.SQL, sql_profiles.SQL, sql_cards.SQL]
 
 
 def queries() -> dict:

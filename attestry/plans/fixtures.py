@@ -406,6 +406,26 @@ SELECT doc_id, token_id, is_label, text, conf, x0, x0 + (x1 - x0) / 2 AS x1, y0,
 FROM {ocr_tokens} AS t0
 """
 
+# permits and national ids with payloads in every layout, some of other holders or unreadable
+CARD_DOCUMENTS = """
+SELECT verification_id, document_type, document_number, name, passport_number, CASE WHEN document_type = 'borderPermit' THEN CASE o % 8
+    WHEN 1 THEN chr(123) || '"permitNo": "' || dn || '", "holder_name": "' || nm || '", "passportNo": "' || pp || '", "validTo": "' || till || '"' || chr(125)
+    WHEN 2 THEN '<permit permit_number="' || dn || '" name="' || nm || '" dob="' || born || '"/>'
+    WHEN 3 THEN 'BP=' || dn || '|NAME=' || lower(nm) || '|PPT=' || lower(pp) WHEN 4 THEN 'permit: ' || dn || '9; holder: ' || nm || ' X'
+    WHEN 5 THEN 'scan me' WHEN 6 THEN ' ' WHEN 7 THEN chr(123) || '"permit_number": "", "docNumber": "' || dn || '", "name": "OTHER"' || chr(125) END
+  ELSE CASE o % 8
+    WHEN 1 THEN '<PrintLetterBarcodeData uid="' || dn || '" name="' || nm || '" yob="1990" gender="M" co="S/O A" pc="600001"/>'
+    WHEN 2 THEN chr(123) || '"uid": "' || dn || '", "name": "' || nm || '", "gender": "f"' || chr(125)
+    WHEN 3 THEN 'UID:' || dn || '|NAME:' || lower(nm) || '|GENDER:male' WHEN 4 THEN 'ID:' || dn || '9|NAME:' || nm || ' Y'
+    WHEN 5 THEN 'scan me' WHEN 6 THEN ' ' WHEN 7 THEN 'uid=' || dn END END AS payload
+FROM (
+  SELECT verification_id, document_type, document_number, name, passport_number, CAST(substr(verification_id, 5) AS BIGINT) AS o,
+    coalesce(document_number, '') AS dn, coalesce(replace(name, '<', ' '), '') AS nm, coalesce(passport_number, '') AS pp,
+    coalesce(date_of_birth, '') AS born, coalesce(expiry_date, '') AS till
+  FROM {submissions} AS s0 WHERE document_type IN ('borderPermit', 'national_id')
+) AS c0
+"""
+
 # each vector against its three successors; the last ones have no partner
 FACE_PAIRS = """
 SELECT vec_id AS document_id, vec_id + step AS live_id, 1 + vec_id % 10 / CAST(20 AS DOUBLE) AS document_ratio,
@@ -448,6 +468,7 @@ FIXTURES = {
     "ocr_tokens": OCR_TOKENS,
     "page_tokens": PAGE_TOKENS,
     "face_pairs": FACE_PAIRS,
+    "card_documents": CARD_DOCUMENTS,
     "ledger_events": LEDGER_EVENTS,
     "stage_events": STAGE_EVENTS,
     "module_results": MODULE_RESULTS,

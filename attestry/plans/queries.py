@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry import dims
 from attestry.operators import (
+    card_payloads,
     conflicts,
     crossdoc,
     evidence,
@@ -155,6 +156,9 @@ QUERIES = {
     "viz_mrz_crosscheck": over(pairing.viz_mrz_crosscheck, "submissions"),
     "payload_fields": over(payloads.payload_fields, "payloads"),
     "payload_crosscheck": over(payloads.payload_crosscheck, "payloads", "printed_fields"),
+    "card_payload_fields": over(card_payloads.card_payload_fields, "card_documents"),
+    "card_payload_crosscheck": over(card_payloads.card_payload_crosscheck, "card_documents"),
+    "payload_consistency": over(card_payloads.payload_consistency, "card_documents"),
     "label_value_pairs": over(pairing.label_value_pairs, "ocr_tokens"),
     "label_value_nearest": label_value_nearest,
     "field_candidates": over(pairing.field_candidates, "ocr_tokens"),
