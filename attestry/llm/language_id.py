@@ -3,7 +3,8 @@
 Every language gets a codeword of bits. For each bit a binary n-gram classifier is fitted: the log-ratio of
 smoothed n-gram frequencies of the languages with that bit set against the others, from counts over all
 training rows. A text gets one margin per bit, and the loss-weighted decoder takes the language whose codeword
-has the least logistic loss against those margins. When the two best losses are too close the result is flagged.
+has the least logistic loss against those margins, each bit's loss weighed by how often that classifier is right on
+labelled rows of the language. When the two best losses are too close the result is flagged.
 
 Defined results: null text or text without a letter -> ``und``, score 0, ambiguous. Repeated rows are scored
 one by one. Without any labelled row every text is ``und``. With one learned language that language is taken.
@@ -18,7 +19,7 @@ are ``und`` are foreign.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BUCKETS = 4096
 WIDTH = BUCKETS * len(ORDERS)
 # spreads below the mean; none of the labelled rows of sf0.1 and check_s, junk among them, is below the bound
 FOREIGN, FOREIGN_SHORT = 2.5, 6.0
+# labelled rows, about so many by hash, on which the classifiers of the bits are rated
+RATING_ROWS = 20_000
 TYPICAL = slice(WIDTH - BUCKETS, WIDTH)  # n-grams of the largest order
 # mixing factors of the n-gram positions; any odd numbers do
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -91,6 +94,10 @@ class LanguageModel:
     weights: np.ndarray  # float32, WIDTH x bits
     ambiguous_gap: float
     usual: np.ndarray  # languages x BUCKETS, log frequency of each n-gram in spreads from the language's mean
+    trust: np.ndarray  # languages x bits, weight of each bit's loss; a language's weights average 1
+
+    def margins(self, grams: np.ndarray) -> np.ndarray:
+        return (grams @ self.weights) / np.sqrt(grams.sum(axis=1, keepdims=True))
 
     def scores(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score in 0..1, ambiguity and whether it is foreign to that language, per text."""
@@ -101,8 +108,8 @@ class LanguageModel:
         for part in range(0, len(usable), 256):
             rows = usable[part : part + 256]
             grams = np.stack([gram_counts(texts[i]) for i in rows]).astype(np.float32)
-            margins = (grams @ self.weights) / np.sqrt(grams.sum(axis=1, keepdims=True))
-            losses = np.logaddexp(0.0, -margins[:, None, :] * self.code[None, :, :]).sum(axis=2)
+            margins = self.margins(grams)
+            losses = (np.logaddexp(0.0, -margins[:, None, :] * self.code[None, :, :]) * self.trust[None, :, :]).sum(axis=2)
             order = np.argsort(losses, axis=1, kind="stable")
             least = np.take_along_axis(losses, order[:, :1], axis=1)
             share = np.exp(least - losses)
@@ -143,6 +150,43 @@ def gram_totals(rows: DataFrame, label: str, text: str) -> DataFrame:
     return counted.groupBy("label", "bucket").agg(F.sum("total").alias("total"))
 
 
+def rated(model: LanguageModel, rows: DataFrame, label: str, text: str) -> LanguageModel:
+    """``model`` with its bits weighed by their accuracy on about RATING_ROWS labelled rows.
+
+    The sample is by hash of whole rows, so it is the same on a retry; languages x bits numbers reach the driver.
+    A language without a sampled row trusts all bits alike.
+    """
+    places = {lang: i for i, lang in enumerate(model.languages)}
+    labelled = rows.filter(F.col(label).isNotNull())
+    step = max(1, labelled.count() // RATING_ROWS)
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    sample = labelled.filter(F.pmod(F.xxhash64(*hashed), F.lit(step)) == 0)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        right = np.zeros(model_shape, dtype=np.int64)
+        seen = np.zeros(model_shape[0], dtype=np.int64)
+        for batch in batches:
+            for lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if has_letter(body) and lang in places:
+                    at = places[lang]
+                    grams = gram_counts(body).astype(np.float32)[None, :]
+                    right[at] += shared.value.margins(grams)[0] * shared.value.code[at] > 0
+                    seen[at] += 1
+        at = np.repeat(np.arange(model_shape[0]), model_shape[1])
+        bits = np.tile(np.arange(model_shape[1]), model_shape[0])
+        columns = [at.astype(np.int32), bits.astype(np.int32), right.ravel(), np.repeat(seen, model_shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "bit", "right", "seen"])
+
+    model_shape = model.code.shape
+    chosen = sample.select(F.col(label).cast("string"), F.col(text).cast("string"))
+    counted = chosen.mapInArrow(run, "place int, bit int, right long, seen long").groupBy("place", "bit")
+    trust = np.ones(model_shape)
+    for place, bit, right, seen in counted.agg(F.sum("right"), F.sum("seen")).collect():
+        trust[place, bit] = (right + 1.0) / (seen + 2.0)
+    return replace(model, trust=trust / trust.mean(axis=1, keepdims=True))
+
+
 def fit(rows: DataFrame, label: str = "lang", text: str = "text", ambiguous_gap: float = 0.05) -> LanguageModel:
     """Counts n-grams of all ``rows`` and derives the bit classifiers.
 
@@ -153,7 +197,9 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", ambiguous_gap:
         totals.setdefault(lang, np.zeros(WIDTH))[bucket] = total
     languages = sorted(totals)
     if not languages:
-        return LanguageModel([], np.ones((0, 1)), np.zeros((WIDTH, 1), dtype=np.float32), ambiguous_gap, np.zeros((0, BUCKETS)))
+        return LanguageModel(
+            [], np.ones((0, 1)), np.zeros((WIDTH, 1), dtype=np.float32), ambiguous_gap, np.zeros((0, BUCKETS)), np.ones((0, 1))
+        )
     code = codewords(len(languages))
     # every language weighs the same, however many rows it has
     share = np.stack([totals[x] / max(totals[x].sum(), 1.0) for x in languages])
@@ -169,7 +215,8 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", ambiguous_gap:
     spread = np.sqrt((common * (logs - mean) ** 2).sum(axis=1, keepdims=True))
     # a language learned from a few equal n-grams has hardly a spread of its own
     usual = ((logs - mean) / np.maximum(spread, 1.0)).astype(np.float32)
-    return LanguageModel(languages, code, weights, ambiguous_gap, usual)
+    model = LanguageModel(languages, code, weights, ambiguous_gap, usual, np.ones(code.shape))
+    return rated(model, rows, label, text)
 
 
 def predict(

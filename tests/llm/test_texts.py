@@ -2,6 +2,7 @@
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -237,3 +238,40 @@ def test_a_bad_host_is_blocked_and_an_unknown_one_follows_its_domain(spark):
     got = {r.page_id: r.verdict for r in url_filter.judge(frame, url_filter.page_outcomes(labels), rules=()).collect()}
     assert got[1] == "block" and got[0] == "allow" and got[1000] in ("block", "allow")
     assert np.mean([got[i] == "block" for i in range(1, 400, 2)]) == 1.0
+
+
+def test_language_decoding_against_loops(spark):
+    """Margins, losses and the decision again, one n-gram, bit and codeword at a time; then a code with one bad bit."""
+    docs = documents(spark, SMALL)
+    model = language_id.fit(docs)
+    assert np.allclose(model.trust.mean(axis=1), 1.0)
+    texts = [r.text for r in docs.limit(40).collect()] + ["É à", "a" * 5000, "ß1 2 3"]
+
+    def losses(m, text):
+        counts = language_id.gram_counts(text)
+        total = sum(int(c) for c in counts)
+        found = []
+        for row, trusted in zip(m.code, m.trust, strict=True):
+            loss = 0.0
+            for bit, sign in enumerate(row):
+                margin = sum(int(counts[b]) * float(m.weights[b, bit]) for b in np.flatnonzero(counts)) / total**0.5
+                loss += trusted[bit] * np.log1p(np.exp(-margin * sign)) if abs(margin) < 500 else trusted[bit] * max(0.0, -margin * sign)
+            found.append(loss)
+        return found
+
+    for text, lang, score in zip(texts, *model.scores(texts)[:2], strict=True):
+        brute = losses(model, text)
+        assert lang == model.languages[int(np.argmin(brute))]
+        assert score == pytest.approx(1 / sum(np.exp(min(brute) - b) for b in brute), rel=1e-3)
+
+    # a classifier that is always wrong gets hardly a say, so decoding stays as good as before
+    weights = model.weights.copy()
+    weights[:, 0] *= -1
+    broken = language_id.rated(replace(model, weights=weights), docs, "lang", "text")
+    assert broken.trust[:, 0].max() < 0.2 < broken.trust[:, 1:].min()
+    rows = [(r.text, r.lang) for r in docs.filter("lang IS NOT NULL").collect()]
+
+    def accuracy(m):
+        return sum(a == b for a, (_, b) in zip(m.scores([t for t, _ in rows])[0], rows, strict=True)) / len(rows)
+
+    assert accuracy(broken) >= accuracy(model) - 0.01
