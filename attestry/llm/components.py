@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import checkpointed
+from attestry.llm.common import checkpointed, join_on_hot_key
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -14,13 +14,17 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(links: DataFrame) -> DataFrame:
+def _to_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Links (u, v), with v linked to the ``m`` of u instead; ``least`` is (u, m, n), n the links u has."""
+    joined = join_on_hot_key(links, least, "u", "n", total)
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _star(links: DataFrame, total: int) -> DataFrame:
     """Links every neighbour v of u, and u itself, to the least of them. ``links`` are (u, v)."""
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = links.join(least, "u")
-    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
     own = least.select("u", F.col("m").alias("v"))
-    return moved.unionByName(own).filter("u <> v")
+    return _to_least(links, least, total).unionByName(own).filter("u <> v")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,8 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star links each node's larger neighbours to its least neighbour, small-star the smaller ones; the
     rounds needed grow with the logarithm of the longest path. The minimum is combined before the shuffle
-    and the join back is one that adaptive execution can split, so a node with very many links is no hot
-    task. Each round is checkpointed in the shared folder, so lineage stays short and survives lost executors.
+    and hubs, at most ``HOT_SHARE`` nodes, are broadcast with their minimum to join it back, so a node with
+    very many links is no hot task. Each round is checkpointed in the shared folder, so lineage stays short and survives lost executors.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -39,10 +43,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large-star: only neighbours above u move, so u keeps its place below them
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        above = F.count_if(F.expr("v > u")).alias("n")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), above).select("u", F.least("u", "m").alias("m"), "n")
+        large = checkpointed(_to_least(both.filter("v > u"), least, state[0]).distinct())
         # small-star: every link now points from the larger to the smaller node
-        now = checkpointed(_star(large.distinct()).distinct())
+        now = checkpointed(_star(large, large.count()).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     ).distinct()
