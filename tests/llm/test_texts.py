@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language_id, license_scan, pieces, queries, token_count, toxicity, url_filter
 from attestry.llm.common import documents
+from attestry.llm.licence_templates import TEMPLATES
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 ODD = [None, "", " ", "\n\n", "▁", "a", "  two  spaces ", "é漢字😀", "x" * 3000, "word " * 4000, "\tTab\x0bV\x0cF\r\n"]
@@ -144,6 +145,21 @@ def test_decontamination_in_blocks_and_against_plain_search(spark, monkeypatch):
     assert plain == whole and any(plain.values())
 
 
+def test_every_licence_names_itself_and_not_a_sibling():
+    known = license_scan.Templates(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        filled = f"Enä der dem. Copyright 2020 Ada.\n{text.replace('COPYRIGHT HOLDER', 'AUTHOR')}\nIechä ditz."
+        assert [m[0] for m in known.matches(filled)] == [name]
+
+
+def test_a_text_of_many_passages(spark):
+    three = [TEMPLATES[n] for n in ("BSD-3-Clause", "LGPL-3.0-header", "MIT-notice")]
+    found = license_scan.Templates(TEMPLATES).matches(" enä ditz. ".join(three * 100))
+    assert [m[0] for m in found] == ["BSD-3-Clause", "LGPL-3.0-header", "MIT-notice"] * 100
+    empty = license_scan.scan(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], TEMPLATES)
+    assert empty.count() == 0
+
+
 def test_licences(spark, odd):
     texts = {"A": "one two three four five six", "B": "seven eight nine"}
     templates = license_scan.Templates(texts)
