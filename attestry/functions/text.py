@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +51,27 @@ def ascii_width(value: Column) -> Column:
     return F.translate(value, _WIDE, _PLAIN)
 
 
+@lru_cache
+def _folds() -> dict[str, str]:
+    """Characters beyond ASCII that Unicode compatibility folding (NFKC) turns into ASCII text alone."""
+    folded = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, sys.maxunicode + 1))
+    return {c: t for c, t in folded if t.isascii()}
+
+
+def compatibility_folded(value: Column) -> Column:
+    """NFKC as far as its result is ASCII: ligatures, superscripts, roman and circled numerals, full width and the like.
+
+    Folding is per character, and what it turns into ASCII never joins with a neighbour; any other character beyond
+    ASCII stays, so a rule that accepts ASCII only decides as after the whole folding.
+    """
+    one = {c: t for c, t in _folds().items() if len(t) == 1}
+    more = "\x02".join(f"{c}\x01{t}" for c, t in _folds().items() if len(t) > 1)
+    short = F.translate(value, "".join(one), "".join(one.values()))
+    longer = F.str_to_map(F.lit(more), F.lit("\x02"), F.lit("\x01"))
+    spelt = F.array_join(F.transform(F.split(short, ""), lambda c: F.coalesce(longer[c], c)), "")
+    return F.when(short.rlike("[^\\x00-\\x7F]"), spelt).otherwise(short)
+
+
 def collapsed(value: Column) -> Column:
     return F.regexp_replace(stripped(value), r"\s+", " ")
 
@@ -110,7 +135,7 @@ def authority(value: Column) -> Column:
 
 def licence_number(value: Column) -> Column:
     """Licence number without separators; NULL for competing values or illegal characters."""
-    clean = stripped(ascii_width(value))
+    clean = stripped(compatibility_folded(value))
     bad = clean.rlike(r"(?i)[A-Za-z0-9]{9,}\s+(?:OR|AND|VS)\s+[A-Za-z0-9]{9,}") | clean.rlike(r"[^A-Za-z0-9\s\-_/.]")
     return F.when(~bad, blank_to_null(F.upper(without(clean, SPACES + "-_/."))))
 
