@@ -1,7 +1,7 @@
 """Case state on a stream: documents are added, replaced and removed, and a case expires an hour after its last document.
 
-The state is keyed by case and held by the state store: a map from document to its latest row, and the time of the case's
-last document. A batch touches the cases it has rows for and hands on their documents; their risk is then that of the batch
+The state is keyed by case and held by the state store: a list of the latest row of every document, and the times of the case's
+first and last document. A batch reads and writes it as a whole; rows are only rewritten where one is replaced. A batch touches the cases it has rows for and hands on their documents; their risk is then that of the batch
 operator over these documents alone. No batch reads the history of the stream.
 
 A document's later row replaces the earlier one, whichever arrives first. A row more than the expiry after the case's last
@@ -39,41 +39,66 @@ class CaseDocuments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.documents = handle.getMapState("documents", "document_id string", self.stored)
+        self.documents = handle.getListState("documents", self.stored)
         self.span = handle.getValueState("span", "first long, last long")
 
     def _row(self, key, values, state: str) -> Row:
         return Row(**{KEY: key[0], **dict(zip(self.fields, values, strict=True)), "state": state})
 
+    def _timer(self, last: int) -> int:
+        return (last + self.expiry) // 1000 + 1
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # a batch bounds the rows of a case that are sorted here
-        late, taken, first, last = [], [], None, None
-        if self.span.exists():
-            first, last = self.span.get()
+        # a batch bounds the rows of a case that are sorted here; every call of the state is a round trip, so there are few per case
+        late, taken = [], []
+        held = self.span.get()
+        before = first, last = held or (None, None)
         for row in sorted(rows, key=lambda r: (r["__at"] is None, r["__at"] or 0)):
             at = row["__at"]
             if at is None or (self.expiry is not None and first is not None and at + self.expiry < first):
                 late.append(row)
                 continue
             if self.expiry is not None and last is not None and at > last + self.expiry:
-                self.documents.clear()
+                held = None
                 late, taken, first, last = late + taken, [], None, None
             taken.append(row)
-            known = (row[DOCUMENT] or "",)
-            if not self.documents.containsKey(known) or self.documents.getValue(known)[0] <= at:
-                self.documents.updateValue(known, (at, *[row[f] for f in self.fields]))
             first = at if first is None else min(first, at)
             last = at if last is None else max(last, at)
         for row in late:
             yield self._row(key, [row[f] for f in self.fields], "late")
-        if last is None:
+        if not taken:
+            # a batch of late rows alone leaves the case as it is
+            if held is not None:
+                for stored in self.documents.get():
+                    yield self._row(key, stored[1:], "open")
             return
-        self.span.update((first, last))
-        if self.expiry is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + self.expiry) // 1000 + 1)
-        for stored in self.documents.values():
+        # rows are in order of time, so the last row of a document is its latest one
+        latest = {row[DOCUMENT] or "": (row["__at"], *[row[f] for f in self.fields]) for row in taken}
+        name, replaced = self.fields.index(DOCUMENT) + 1, False
+        if held is not None:
+            for stored in self.documents.get():
+                new = latest.get(stored[name] or "")
+                if new is not None and stored[0] <= new[0]:
+                    replaced = True
+                    continue
+                if new is not None:
+                    del latest[stored[name] or ""]
+                yield self._row(key, stored[1:], "open")
+        added = list(latest.values())
+        if replaced:
+            gone = set(latest)
+            self.documents.put([s for s in self.documents.get() if (s[name] or "") not in gone] + added)
+        elif held is None:
+            self.documents.put(added)
+        elif added:
+            self.documents.appendList(added)
+        if (first, last) != before:
+            self.span.update((first, last))
+        if self.expiry is not None and last != before[1]:
+            if before[1] is not None:
+                self.handle.deleteTimer(self._timer(before[1]))
+            self.handle.registerTimer(self._timer(last))
+        for stored in added:
             yield self._row(key, stored[1:], "open")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -121,6 +146,9 @@ def case_stream(
         write_batch(batch.filter("state = 'late'").drop("state"), f"{folder}/late", batch_id)
         write_batch(batch.filter("state = 'expired'").select(KEY), f"{folder}/expired", batch_id)
         current = batch.filter("state = 'open'").drop("state")
+        # a batch that only ends cases has no risk to compute; the first one always leaves the table's schema
+        if batch_id > 0 and current.isEmpty():
+            return
         named = current.select(DOCUMENT).distinct()
         write_batch(crossdoc.case_risk(current, evidence.join(named, DOCUMENT, "left_semi")), f"{folder}/cases", batch_id)
 

@@ -208,3 +208,13 @@ def test_cases_expire_and_documents_are_replaced_and_removed(spark, tmp_path):
     assert got["a"].documents_considered == 1 and got["a"].state == "open"
     late = spark.read.parquet(str(tmp_path / "work/late")).select("document_id").collect()
     assert sorted(r.document_id for r in late) == ["a-3", "d-1"]
+
+
+def test_a_batch_that_only_ends_cases_computes_no_risk(spark, tmp_path):
+    """The timers of the last rows fire in a batch of their own, which wrote an empty risk table at the cost of a whole one."""
+    evidence = table(spark, SMALL, "document_evidence")
+    batches = [[document("a", 1, "passport", "ACTIVE", 0), document("b", 1, "passport", "ACTIVE", 20_000)]]
+    got = {r.case_id: r.state for r in run_in_batches(spark, tmp_path, CASE, batches, lambda s, f: cases.case_stream(s, evidence, f)).collect()}
+    assert got == {"a": "expired", "b": "open"}
+    assert [p.name for p in (tmp_path / "work/cases").iterdir()] == ["batch_id=0"]
+    assert len(list((tmp_path / "work/expired").iterdir())) > 1
