@@ -24,12 +24,16 @@ def _holder(c: str) -> str:
     return rf"nullif(trim(regexp_replace(upper({strip(rf"regexp_replace({c}, '\s+', ' ', 'g')")}), '{label}', '')), '')"
 
 
+# a permit's delimited text holds at least one key with something behind its mark
+_PAIRED = r"(?i)[A-Z_]\s*[:=]\s*[^|;\n\r]"
+
 _CARDS = rf"""
 WITH raw AS (
   SELECT *, CASE document_type WHEN 'borderPermit' THEN 'border_permit' ELSE 'aadhaar' END AS kind, coalesce(trim(payload), '') AS p FROM {{card_documents}} AS d0
 ),
 cut AS (
-  SELECT *, CASE WHEN p IN ('', 'scan me') THEN NULL WHEN p LIKE '{{%' THEN 'JSON' WHEN p LIKE '<%' OR p LIKE 'uid=%' THEN 'XML' ELSE 'DELIMITED' END AS layout,
+  SELECT *, CASE WHEN p IN ('', 'scan me') THEN NULL WHEN p LIKE '{{%' THEN 'JSON' WHEN p LIKE '<%' OR p LIKE 'uid=%' THEN 'XML'
+      WHEN kind = 'border_permit' AND NOT regexp_matches(p, '{_PAIRED}') THEN NULL ELSE 'DELIMITED' END AS layout,
     {_after('"permitNo": "', '"docNumber": "', '"uid": "', 'permit_number="', ' uid="', '^BP=', '^permit: ', '^UID:', '^ID:', source='p')} AS n,
     {_after('"holder_name": "', '"name": "', ' name="', 'NAME=', 'holder: ', 'NAME:', source='p')} AS h,
     {_after('"passportNo": "', 'PPT=', source='p')} AS pp, {_after('"validTo": "', source='p')} AS till, {_after(' dob="', source='p')} AS born,

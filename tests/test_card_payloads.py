@@ -1,6 +1,18 @@
 """Payload layouts of permits and national ids on written-out documents."""
 
+import sys
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import oracle
+
 from attestry.operators import card_payloads, validate
+from attestry.plans import catalog
+from attestry.sources.tables import GIVEN_TABLES
 
 SCHEMA = "verification_id string, document_type string, document_number string, name string, passport_number string, payload string"
 
@@ -90,3 +102,18 @@ def test_payload_check_in_the_roll_up(spark):
     assert got["0"] == ("passed", "failed", "qr_consistency", "failed")
     assert got["1"] == ("passed", "passed", "qr_consistency", "not_applicable")
     assert got["2"][1:] == ("warning", "qr_consistency", "failed")
+
+
+@pytest.mark.parametrize("name", ["card_payload_fields", "card_payload_crosscheck", "payload_consistency"])
+def test_a_permit_whose_keys_hold_nothing_is_no_delimited_text(spark, tmp_path, name):
+    """Order 423243 has no number, name or passport number, so its payload reads BP=|NAME=|PPT=; the SQL called it decoded."""
+    day, columns = datetime(1996, 1, 2), "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    orders = [(o, 13, "O", 1.0, day, "5-LOW") for o in (423243, 423235, 3, 4)]
+    for t in GIVEN_TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    (tmp_path / "orders.parquet").unlink()
+    spark.createDataFrame(orders, columns).toPandas().to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    query, sql = catalog.queries()[name], catalog.oracle_sql()[name]
+    assert oracle.compare(spark, oracle.connect(str(tmp_path)), str(tmp_path), query, sql)[0] is None
+    if name == "payload_consistency":
+        assert {r.verification_id: r.status for r in query(spark, str(tmp_path)).collect()}["VER-423243"] == "warning"
