@@ -37,12 +37,16 @@ FROM placed GROUP BY document_type, query_hash, provider, opened
 """
 
 
-def _latency(windows: str, state: str) -> str:
+# the total as a whole and rounded in decimals, so that neither the order of the rows nor a binary fraction decides a half
+_EXACT_MEAN = "round(CAST(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS DECIMAL(20, 8)), 2)::DOUBLE"
+
+
+def _latency(windows: str, state: str, mean: str = "round(sum(value) / count(*), 2)") -> str:
     """Latency per window of ``windows`` (w, stage, value); a quantile is the first value that q of the rows reach."""
     return f"""
 WITH rows AS ({windows}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY w, stage ORDER BY value) AS r, count(*) OVER (PARTITION BY w, stage) AS n FROM rows)
-SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, stage, count(*) AS runs, round(sum(value) / count(*), 2) AS avg_ms,
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, stage, count(*) AS runs, {mean} AS avg_ms,
   round(min(value) FILTER (r >= 0.5 * n), 2) AS p50_ms, round(min(value) FILTER (r >= 0.95 * n), 2) AS p95_ms{state}
 FROM ranked GROUP BY w, stage"""
 
@@ -67,7 +71,7 @@ FROM s GROUP BY verification_id, session""",
         ", CASE WHEN w + INTERVAL 1 HOUR <= any_value(newest) - INTERVAL 15 MINUTE THEN 'closed' ELSE 'open' END AS state",
     ),
     "latency_sliding": _latency(
-        "SELECT time_bucket(INTERVAL 1 HOUR, started_at) - i * INTERVAL 1 HOUR AS w, stage, duration_ms AS value FROM {stage_events} AS e0, range(24) AS r(i)", ""
+        "SELECT time_bucket(INTERVAL 1 HOUR, started_at) - i * INTERVAL 1 HOUR AS w, stage, duration_ms AS value FROM {stage_events} AS e0, range(24) AS r(i)", "", _EXACT_MEAN
     ),
     "case_stream_expiring": f"""
 SELECT r.*, CASE WHEN l.newest + INTERVAL 3600 SECOND < (SELECT max(CAST(uploaded_at AS TIMESTAMP)) FROM {{case_documents}} AS d0) - INTERVAL 15 MINUTE

@@ -161,6 +161,21 @@ def test_rolled_up_quantiles_keep_their_rank_error(spark):
     assert (few.p50_ms, few.p95_ms) == (499.0, 949.0)
 
 
+def test_sliding_latency_is_exact_in_large_windows(spark):
+    """Many more rows than a sketch holds, exact halves in the mean, a stage without name, equal and negative values."""
+    n = 20_000
+    moment = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 7200).alias("started_at")
+    many = spark.range(n).select(F.lit("OCR").alias("stage"), moment, (F.col("id") * 7919 % n - 100).cast("double").alias("duration_ms"))
+    few = spark.range(200).select(F.lit(None).cast("string").alias("stage"), moment, F.when(F.col("id") == 0, 4742.0).otherwise(4741.105 - 0.897 / 199).alias("duration_ms"))
+    got = {(r.window_start, r.stage): r for r in telemetry.sliding_latency(many.unionByName(few), "2 hours", "1 hour").collect()}
+    whole = got["2024-01-01 00:00:00", "OCR"]
+    assert (whole.runs, whole.avg_ms, whole.p50_ms, whole.p95_ms) == (n, 9899.5, 9899.0, 18899.0)
+    second = sorted(i * 7919 % n - 100 for i in range(n) if i % 7200 >= 3600)
+    part = got["2024-01-01 01:00:00", "OCR"]
+    assert (part.runs, part.p50_ms, part.p95_ms) == (len(second), second[-(-len(second) // 2) - 1], second[-(-len(second) * 95 // 100) - 1])
+    assert len(got) == 5 and got["2024-01-01 00:00:00", None].runs == 200
+
+
 # ------------------------------------------------------------------ cases
 
 CASE = ("case_id string, document_id string, document_type string, status string, uploaded_at timestamp, document_number string, "
