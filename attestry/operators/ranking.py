@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from attestry.session import checkpointed
 
+# rows of one key that a task may sort; more are spread over tasks
+HOT_ROWS = 1_000_000
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key with their rank.
 
@@ -34,11 +38,32 @@ def distinct_in_order(df: DataFrame, keys: Sequence[str], value: Column, positio
     return first.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.col("_all._value").alias(name))
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def ordinal(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``row_number()`` over every row of every key, for keys of any size.
 
-    ``order`` must be unique within a key. The rows are range-sorted on key and order, so one key spans as many
-    tasks as it needs; the position in the sorted data minus the key's start in that part, plus the key's rows in
+    ``order`` must be unique within a key. Keys of up to ``hot_rows`` rows are numbered by a window, which takes one
+    shuffle and leaves the rows dealt by key; what a task then sorts of one key is bounded. Larger keys, of which there
+    are few, are spread. ``sizes`` may name a frame that is cheaper to count than ``df`` and holds no fewer rows of any key.
+    """
+    keys = list(keys)
+    counted = (df if sizes is None else sizes).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = checkpointed(counted.filter(F.col("_rows") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    numbered = lambda rows: rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    if hot.isEmpty():
+        return numbered(df)
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(hot[f"_hot_{k}"])
+    usual = df.join(F.broadcast(hot), same, "left_anti")
+    return numbered(usual).unionByName(spread_ordinal(df.join(F.broadcast(hot), same, "left_semi"), keys, order, name))
+
+
+def spread_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """The numbers of ``ordinal`` with every key spread over as many tasks as it needs.
+
+    The rows are range-sorted on key and order; the position in the sorted data minus the key's start in that part, plus the key's rows in
     earlier parts, is the row number. The sorted rows are checkpointed so that a lost executor cannot change
     positions between the two uses.
     """
@@ -49,8 +74,13 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: s
     spans = placed.groupBy(*keys, "_part").agg(F.min("_pos").alias("_start"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    # rows without a key are numbered like those of any key
+    spans = spans.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_in"), "_start", "_before")
+    same = F.col("_part") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     return (
-        placed.join(spans, [*keys, "_part"])
+        placed.join(spans, same)
         .withColumn(name, F.col("_before") + F.col("_pos") - F.col("_start") + 1)
         .select(*df.columns, name)
     )

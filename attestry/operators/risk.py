@@ -334,7 +334,7 @@ def risk_reasons(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> Data
     rows = effects(items, config).filter((F.col("effect") > 0) & (F.col("severity") != "NONE"))
     rows = _with_order(rows, _group_starts(items))
     rows = ordinal(
-        rows, ["case_id"], contribution_order(), "position"
+        rows, ["case_id"], contribution_order(), "position", sizes=evidence
     )
     number = F.lpad(
         F.col("position").cast("string"), F.greatest(F.length(F.col("position").cast("string")), F.lit(3)), F.lit("0")

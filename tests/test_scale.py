@@ -169,3 +169,16 @@ def test_tampering_is_located(spark):
 def test_separator_in_values_cannot_forge_a_line(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c")], "x string, y string")
     assert df.select(ledger.canonical("x", "y").alias("l")).distinct().count() == 2
+
+
+def test_ordinal_deals_usual_keys_once_and_spreads_hot_ones(spark):
+    """Usual keys took a range sort, a stored copy of all columns and a join; now one shuffle. Keys beyond the bound are still spread."""
+    n = 3000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") < 2000, 1).otherwise(F.col("id") % 50).alias("k"), (F.col("id") * 7 % n).alias("v"))
+    usual = ordinal(rows, ["k"], [F.asc("v")], "n")
+    assert usual._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    spread = ordinal(rows, ["k"], [F.asc("v")], "n", hot_rows=100)
+    counted = ordinal(rows, ["k"], [F.asc("v")], "n", sizes=rows.unionByName(rows), hot_rows=100)
+    want = sorted(map(str, usual.collect()))
+    assert sorted(map(str, spread.collect())) == want and sorted(map(str, counted.collect())) == want
+    assert spread.dtypes == usual.dtypes
