@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from attestry.dims import TRANSIENT_OUTCOMES
+from attestry.dims import COMPARISON_METHODS, TRANSIENT_OUTCOMES
 from attestry.operators import ledger, registry
 from attestry.session import shared_folder
 
@@ -85,7 +85,12 @@ def fresh_lookups(lookups: DataFrame) -> DataFrame:
 
 
 def registry_stream(submissions: DataFrame, official: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
-    """Registry outcome of every incoming document against the static registry."""
+    """Registry outcome of every incoming document against the static registry.
+
+    A micro-batch comes as rows already computed, so nothing is pruned inside it: only the columns that are compared enter.
+    """
+    used = {"verification_id", "document_type", "issue_date", *COMPARISON_METHODS}
+    submissions = submissions.select(*[c for c in submissions.columns if c in used])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(registry.registry_outcome(batch, official, watchlist), f"{folder}/out", batch_id)

@@ -4,7 +4,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from attestry.operators import ledger, registry
-from attestry.plans.fixtures import table
+from attestry.plans.fixtures import stream, table
 from attestry.sources import intake, stores, tables
 from attestry.streaming import jobs
 
@@ -106,3 +106,13 @@ def test_fresh_lookups(spark):
     )
     got = {(r.event_id, r.served) for r in jobs.fresh_lookups(df).collect()}
     assert got == {(2, 2), (4, 1)}
+
+
+def test_registry_stream_computes_compared_columns_only(spark, tmp_path):
+    """Every micro-batch computed all columns of the documents twice, those of the machine readable zone too."""
+    folder = "/root/testdata/sf0.001"
+    static = [table(spark, folder, n) for n in ("registry", "watchlist")]
+    unread = F.when(F.col("verification_id").isNotNull(), F.raise_error(F.lit("an unused column was computed"))).cast("string")
+    got = jobs.registry_stream(stream(spark, folder, "submissions").withColumn("mrz_line1", unread), *static, str(tmp_path / "out"))
+    want = registry.registry_outcome(table(spark, folder, "submissions"), *static)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
