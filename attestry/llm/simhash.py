@@ -36,12 +36,12 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of the whole text's word shingles, as an unsigned number."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of the whole text's shingles of ``shingle`` words, as an unsigned number."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return 0
-    joined, size = b" ".join(words), min(SHINGLE, len(words))
+    joined, size = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     count = len(words) - size + 1

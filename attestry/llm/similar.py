@@ -1,10 +1,14 @@
-"""Near copies by Jaccard similarity: documents that share four fifths of their five-word shingles or more.
+"""Near copies: SimHash fingerprints of five-word shingles within three bits, or four fifths of the shingles in common.
 
-The words are those of the SimHash operator. A document's fingerprint is the hash of its set of shingles, so texts
-with equal sets share it. Pairs are sought by MinHash: 80 least hashes in 20 bands of four; two documents with a
-band in common are candidates. A pair at similarity s shares a band with probability 1 - (1 - s^4)^20, which is
-0.99997 at 0.8 and more above; this is the only place where a pair can be missed. Every link is then decided by the
-exact similarity of the two whole sets, so no document goes for a candidate that is not a near copy.
+The first kind is that of the SimHash operator with longer shingles: the same words, fingerprints, ring keys, chain
+budgets and Hamming check, and no link is lost. Three of 64 bits are stricter than four fifths, where some ten bits
+differ and no ring key selects any more, so the second kind is sought beside it and adds links only.
+
+A document's set hash is the hash of its set of shingles, so texts with equal sets share it. Pairs of the second kind
+are sought by MinHash: 80 least hashes in 20 bands of four; two documents with a band in common are candidates. A pair
+at similarity s shares a band with probability 1 - (1 - s^4)^20, which is 0.99997 at 0.8 and more above; this is the
+only place where a pair can be missed. Each of these links is then decided by the exact similarity of the two whole
+sets, so no document goes for a candidate that is not a near copy.
 
 Of bands with the same members one is kept. Members of a band meet with their sets in one task and are compared
 until they are connected; only links of a spanning forest leave it.
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import simhash
-from attestry.llm.common import checkpointed, map_texts
+from attestry.llm.common import checkpointed, join_on_hot_key, map_texts
 
 WORDS = 5
 # least similarity, as a fraction
@@ -91,11 +95,12 @@ def _sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     def compute():
         def of_texts(texts):
             sets = [shingles(t) for t in texts]
-            return [_signed([set_hash(s) for s in sets]), _lists([bands(s) for s in sets])]
+            prints = [simhash.fingerprint(t, WORDS) for t in texts]
+            return [_signed([set_hash(s) for s in sets]), _lists([bands(s) for s in sets]), _signed(prints)]
 
         return of_texts
 
-    return map_texts(docs, [id_column], "fp long, bands array<long>", compute, text)
+    return map_texts(docs, [id_column], "fp long, bands array<long>, print long", compute, text)
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
@@ -161,8 +166,22 @@ def _band_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
+def fingerprint_links(sketches: DataFrame) -> DataFrame:
+    """(a, b): links among fingerprints by the SimHash operator, and of set hashes to the fingerprints of their texts.
+
+    Fingerprints that are linked to no other and belong to one set hash need none. Both kinds of nodes are 64-bit hashes.
+    """
+    pairs = checkpointed(sketches.select("print", "fp").distinct())
+    sizes = pairs.groupBy("print").agg(F.count("*").alias("n"))
+    ring = checkpointed(simhash.links(sizes.select(F.col("print").alias("fp"))))
+    near = ring.select(F.col("a").alias("print")).unionByName(ring.select(F.col("b").alias("print"))).distinct()
+    wanted = sizes.join(near.withColumn("linked", F.lit(True)), "print", "left").filter("linked OR n > 1").drop("linked")
+    own = join_on_hot_key(pairs, checkpointed(wanted), "print", "n", pairs.count())
+    return ring.select("a", "b").unionByName(own.select(F.col("fp").alias("a"), F.col("print").alias("b")))
+
+
 def links(docs: DataFrame, sketches: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(a, b): links of a spanning forest per band among the fingerprints."""
+    """(a, b): links of a spanning forest per band among the set hashes."""
     distinct = sketches.select("fp", "bands").dropDuplicates(["fp"])
     keyed = checkpointed(distinct.select(F.explode("bands").alias("band"), "fp"))
     members = F.struct(F.count("*").alias("n"), F.min("fp"), F.max("fp"), F.bit_xor(F.xxhash64("fp"))).alias("members")
@@ -184,5 +203,5 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     sketches = checkpointed(_sketches(docs, id_column, text))
     return simhash.one_per_component(
         docs, id_column, text, rows=sketches.select(id_column, "fp"), mark=set_hashes,
-        link=lambda _: links(docs, sketches, id_column, text),
+        link=lambda _: fingerprint_links(sketches).unionByName(links(docs, sketches, id_column, text)),
     )

@@ -31,7 +31,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document per group of near copies stays, the one with the smallest doc_id.
 
-    Near copies share four fifths of their five-word shingles or more; op5 has a contract of its own.
+    Near copies have SimHash fingerprints within three bits, by op5's method over five-word shingles, or share four fifths
+    of these shingles or more; op5 has a contract of its own.
     """
     return similar.one_per_group(docs)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from attestry.llm import exact_dedup, simhash, suffix_dedup
+from attestry.llm import exact_dedup, similar, simhash, suffix_dedup
 from attestry.llm.common import documents
 from attestry.llm.components import components
 from attestry.llm.induced_sorting import long_repeats, suffix_order
@@ -221,6 +221,16 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id: r.decoded for r in got.collect()} == left
 
 
+def test_near_stage_links_close_fingerprints(spark):
+    line = "one line of seven words that repeats "
+    rows = [(i, line * 200 + " ".join(f"{w}{k}" for k in range(150))) for i, w in ((4, "x"), (9, "y"))] + [(5, "some other text of no kin at all")]
+    shared = [set(similar.shingles(t).tolist()) for _, t in rows[:2]]
+    assert 5 * len(shared[0] & shared[1]) < 4 * len(shared[0] | shared[1])
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SMALL).collect()) == [4, 5]
+
+
 def test_stages_keep_columns_and_odd_rows(spark, odd):
     bench = f"{SMALL}"
     for name, stage in corpus_pipeline.STAGES[:-1]:
