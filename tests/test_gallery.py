@@ -73,3 +73,15 @@ def test_clusters_are_pruned(spark):
     kept = visits.filter("bound >= 0.99").groupBy().sum("size").first()[0]
     assert kept <= 16 * 1600 / 8
     assert answers(index.search(asked, 5)) == brute(rows, [r for r in rows if r[0] % 100 == 0], 5)
+
+
+def test_rows_that_can_be_nearest():
+    """Of many rows a task hands on little more than k, and all that can be among them."""
+    from attestry.operators.gallery import nearest_rows
+
+    similar = np.array([0.5, 0.9, 0.00001, 0.9, -1.0, 0.90004, 0.9] + [0.1] * 1000)
+    assert nearest_rows(similar, [1], 3).tolist() == [3, 5, 6]
+    assert nearest_rows(similar, [], 3).tolist() == [1, 3, 5]
+    assert len(nearest_rows(similar, [], 7)) == 7
+    # a value at the border of two roundings stays in question on both sides
+    assert nearest_rows(np.array([0.2, 0.20005, 0.20005 - 1e-12, 0.1]), [], 1).tolist() == [0, 1, 2]
