@@ -4,7 +4,8 @@ The next lookup after that asks again. Which lookups ask thus follows from the f
 a third of all rows, so no key is walked row by row. Time is cut into cells as long as the freshness: a cell
 holds one answer at most, cells without any row within reach start a new chain, and inside a chain every instant
 points to the first instant it does not serve. Jumping along doubled pointers marks the answers; the number of rounds
-grows with the logarithm of the cells in a chain.
+grows with the logarithm of the cells in a chain. Chains that meet go on as one, so few instants lie behind long jumps,
+and each round keeps the pointers of those only.
 """
 
 from __future__ import annotations
@@ -61,6 +62,9 @@ def _openers(nodes: DataFrame, cells: DataFrame) -> DataFrame:
     jumps = checkpointed(jumps.select(*KEYS, (F.col("at") - FRESH_MICROS).alias("at"), "next"))
     reached = heads
     for _ in range(int(most).bit_length()):  # a chain has one answer a cell at most
+        # an instant is reached already, or lies behind a jump as long as the present ones: no other needs a pointer
+        needed = reached.select(*KEYS, "at").unionByName(jumps.select(*KEYS, F.col("next").alias("at"))).distinct()
+        jumps = checkpointed(jumps.join(needed, [*KEYS, "at"], "left_semi"))
         ahead = reached.join(jumps, [*KEYS, "at"]).select(*KEYS, F.col("next").alias("at"))
         reached = checkpointed(reached.unionByName(ahead).distinct())
         onward = jumps.select(*KEYS, F.col("at").alias("next"), F.col("next").alias("further"))

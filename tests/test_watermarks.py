@@ -233,3 +233,25 @@ def test_a_batch_that_only_ends_cases_computes_no_risk(spark, tmp_path):
     assert got == {"a": "expired", "b": "open"}
     assert [p.name for p in (tmp_path / "work/cases").iterdir()] == ["batch_id=0"]
     assert len(list((tmp_path / "work/expired").iterdir())) > 1
+
+
+def test_pointers_of_dense_lookups_shrink(spark, monkeypatch):
+    """Chains of one key meet; after a few rounds only pointers behind long jumps are left."""
+    kept, whole = [], freshness.checkpointed
+
+    def counted(df):
+        out = whole(df)
+        if out.columns[-1] == "next":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(freshness, "checkpointed", counted)
+    lookups = spark.range(12000).selectExpr(
+        "id AS event_id", "timestamp_seconds(id * 7 + pmod(xxhash64(id), 300)) AS ts", "'passport' AS document_type", "'1' AS query_hash", "'p' AS provider", "'MATCHED' AS outcome"
+    )
+    asked, last = 0, None
+    for t in sorted(r.t for r in lookups.selectExpr("unix_seconds(ts) AS t").collect()):
+        if last is None or t > last + 300:
+            asked, last = asked + 1, t
+    assert freshness.fresh_lookups(lookups).count() == asked
+    assert sum(kept) < 5 * kept[0]
