@@ -165,8 +165,12 @@ def _same_number(doc: Column, reg: Column) -> Column:
     return F.when(F.col("document_type") == "driving_license", licence).otherwise(plain)
 
 
-def field_results() -> Column:
-    """array<struct> with one entry per policy field of the row's document type."""
+def field_results(values: bool = True) -> Column:
+    """array<struct> with one entry per policy field of the row's document type.
+
+    Without ``values`` the entries leave the compared values out; a struct inside an array is never pruned, so they would
+    be made even where no one reads them.
+    """
     doc = {f: F.col(f) for f in dims.COMPARISON_METHODS if f != "valid_from"} | {"valid_from": F.col("issue_date")}
     reg = {f: F.col(f"record.{f}") for f in dims.COMPARISON_METHODS if f != "valid_from"}
     reg["valid_from"] = F.lit(None).cast("string")
@@ -221,8 +225,7 @@ def field_results() -> Column:
                     F.lit(field).alias("field"),
                     is_critical.alias("is_critical"),
                     F.when(d.isNull() | r.isNull(), "none").otherwise(method).alias("comparison_method"),
-                    normal(field, d).alias("document_value"),
-                    normal(field, r).alias("registry_value"),
+                    *([normal(field, d).alias("document_value"), normal(field, r).alias("registry_value")] if values else []),
                     _presence(d, r, compare.get(field, plain)(d, r)).alias("status"),
                 ),
             )
@@ -230,9 +233,9 @@ def field_results() -> Column:
     return F.array_compact(F.array(*entries))
 
 
-def compared(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:
+def compared(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame, values: bool = True) -> DataFrame:
     found = registry_matches(submissions, registry, watchlist)
-    return found.withColumn("field_results", F.when(F.col("record").isNotNull(), field_results()))
+    return found.withColumn("field_results", F.when(F.col("record").isNotNull(), field_results(values)))
 
 
 def field_comparison(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame, secret: str) -> DataFrame:
@@ -275,8 +278,8 @@ def outcome(results: Column, record: Column, kind: Column) -> Column:
 
 
 def registry_outcomes(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Submissions with ``record``, ``field_results`` and ``registry_status``."""
-    rows = compared(submissions, registry, watchlist)
+    """Submissions with ``record``, ``field_results`` without values and ``registry_status``."""
+    rows = compared(submissions, registry, watchlist, values=False)
     return rows.withColumn(
         "registry_status", outcome(F.col("field_results"), F.col("record"), F.col("document_type"))
     )

@@ -35,3 +35,12 @@ def test_no_python_workers_and_no_cartesian_products(spark):
         plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().explainString(mode)
         for word in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in plan, (name, word)
+
+
+def test_outcomes_make_no_compared_values(spark):
+    """Values inside an array of structs are never pruned, so the outcome must not ask for them."""
+    from attestry.operators import registry
+    from attestry.plans.fixtures import table
+
+    rows = registry.registry_outcomes(*[table(spark, "/root/testdata/sf0.001", n) for n in ("submissions", "registry", "watchlist")])
+    assert rows.schema["field_results"].dataType.elementType.names == ["field", "is_critical", "comparison_method", "status"]
