@@ -331,7 +331,9 @@ def evidence_from_registry(submissions: DataFrame, official: DataFrame, watchlis
         F.filter("field_results", lambda f: f["is_critical"] & (f["status"] == "MISMATCH")), lambda f: f["field"]
     )
     emitted = registry_items(F.col("registry_status"), F.lit(True), differing)
-    return rows.select("verification_id", F.explode(emitted).alias("i")).select("verification_id", "i.*").drop("quality")
+    # a plain explode adds a filter that repeats the whole array expression; rows without an item drop out afterwards
+    found = rows.select("verification_id", F.explode_outer(emitted).alias("i")).filter("i IS NOT NULL")
+    return found.select("verification_id", "i.*").drop("quality")
 
 
 def evidence_from_validation(submissions: DataFrame) -> DataFrame:
