@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 import xxhash
 
+from attestry.llm import components as rounds
 from attestry.llm import exact_dedup, similar, simhash, suffix_dedup
-from attestry.llm.common import documents
+from attestry.llm.common import checkpointed, documents
 from attestry.llm.components import components
 from attestry.llm.induced_sorting import long_repeats, suffix_order
 
@@ -175,6 +176,28 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_few_tasks_per_round_however_many_partitions_shuffles_have(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    parts = []
+
+    def noted(df):
+        parts.append((out := checkpointed(df)).rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(rounds, "checkpointed", noted)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        assert {r.root for r in rounds.components(edges).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the first checkpoint is that of the given links, whose number is not yet known
+    assert len(parts) > 4 and max(parts[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_perfect_hash_has_no_gaps_and_checks_bytes():
     words = np.random.default_rng(1).integers(0, 1 << 63, (5000, 4), dtype=np.uint64)
     hashed = exact_dedup.PerfectHash.build(words[:3000])
