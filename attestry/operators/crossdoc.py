@@ -19,6 +19,7 @@ from attestry.operators import risk
 from attestry.operators.conflicts import case_flags, conflict_count
 from attestry.operators.evidence import case_package_items
 from attestry.operators.ranking import first_row
+from attestry.operators.validate import computed_once
 from attestry.session import checkpointed
 
 IDENTITY = ["document_number", "passport_number", "name", "date_of_birth", "nationality"]
@@ -50,11 +51,11 @@ def active_revisions(documents: DataFrame) -> DataFrame:
     return active_documents(documents).select("case_id", "document_type", "document_id", "document_revision")
 
 
-def case_slots(documents: DataFrame) -> DataFrame:
+def case_slots(documents: DataFrame, fields: list[str] = IDENTITY) -> DataFrame:
     """One row per case with the active document of each type as a struct, NULL when absent."""
     kind = text.document_type(F.col("document_type"))
     rows = documents.filter(~F.col("status").isin(*INACTIVE)).select(
-        "case_id", kind.alias("kind"), F.struct("document_id", *IDENTITY).alias("d"),
+        "case_id", kind.alias("kind"), F.struct("document_id", *fields).alias("d"),
         F.struct("uploaded_at", "document_id").alias("order"),
     )
     return rows.groupBy("case_id").agg(
@@ -65,51 +66,55 @@ def case_slots(documents: DataFrame) -> DataFrame:
     )
 
 
-def compare_values(source: Column, target: Column, mode: Column) -> Column:
-    """Status of one source/target value pair under a comparison mode."""
-    left, right = F.coalesce(text.stripped(source), F.lit("")), F.coalesce(text.stripped(target), F.lit(""))
-    left_date, right_date = dates.lenient_date(left), dates.lenient_date(right)
-    left_bare, right_bare = left.rlike(r"^\d{4}$"), right.rlike(r"^\d{4}$")
-    left_year = F.when(left_bare, left).otherwise(F.substring(left_date, 1, 4))
-    right_year = F.when(right_bare, right).otherwise(F.substring(right_date, 1, 4))
-    year_only = left_bare | right_bare
-    left_names, right_names = text.name_tokens(left), text.name_tokens(right)
+def _form(field: str, mode: str) -> str:
+    return f"{field}_{mode.lower()}"
+
+
+def with_forms(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Documents with the comparable forms of their values, made once per document and not per pair, and the names of these."""
+    wanted = sorted({(field, rule[4]) for rule in dims.relationships() for field in rule[2:4]})
+    forms = {_form(field, mode): comparable(F.col(field), mode) for field, mode in wanted}
+    return computed_once(documents, ["case_id", "document_id", "document_type", "status", "uploaded_at"], forms), list(forms)
+
+
+def comparable(value: Column, mode: str) -> Column:
+    """What a comparison mode makes of one value: ``=`` and its normal form, empty for a blank value, NULL where it has no form.
+
+    Dates are marked ``y`` for a year alone and ``d`` for a day.
+    """
+    given = F.coalesce(text.stripped(value), F.lit(""))
+    forms = {
+        "STRICT": lambda v: text.letters_and_digits(v),
+        "NORMALIZED_DATE": lambda v: F.when(v.rlike(r"^\d{4}$"), F.concat(F.lit("y"), v)).otherwise(F.concat(F.lit("d"), dates.lenient_date(v))),
+        "NORMALIZED_TOKEN_SET": lambda v: F.array_join(text.name_tokens(v), " "),
+        "NORMALIZED_CODE": lambda v: text.nationality(v),
+    }
+    return F.when(given == "", "").otherwise(F.concat(F.lit("="), forms.get(mode, F.upper)(given)))
+
+
+def compare_forms(left: Column, right: Column, mode: Column) -> Column:
+    """Status of one source/target pair of comparable forms under a comparison mode."""
+    equal = F.when(F.coalesce(left == right, F.lit(False)), "MATCHED").otherwise("MISMATCH")
+    unknown = left.isNull() | right.isNull()
+    year_only = F.coalesce(left.startswith("=y"), F.lit(False)) | F.coalesce(right.startswith("=y"), F.lit(False))
+    year = lambda form: F.when(form.startswith("=y"), F.substring(form, 3, 1 << 30)).otherwise(F.substring(form, 3, 4))
+    left_names, right_names = (F.split(F.substring(form, 2, 1 << 30), " ") for form in (left, right))
     subset = (F.size(F.array_except(left_names, right_names)) == 0) | (
         F.size(F.array_except(right_names, left_names)) == 0
     )
-
-    def equal(condition: Column) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), "MATCHED").otherwise("MISMATCH")
-
     dated = case_when(
-        [
-            (year_only & (left_year.isNull() | right_year.isNull()), "INCONCLUSIVE"),
-            (year_only & (left_year == right_year), "CONSISTENT_YEAR"),
-            (year_only, "MISMATCH"),
-            (left_date.isNull() | right_date.isNull(), "INCONCLUSIVE"),
-            (left_date == right_date, "MATCHED"),
-        ],
-        "MISMATCH",
-    )
-    named = case_when(
-        [
-            (left_names.isNull() | right_names.isNull(), "INCONCLUSIVE"),
-            (left_names == right_names, "MATCHED"),
-            (subset, "PARTIAL_MATCH"),
-        ],
-        "MISMATCH",
+        [(unknown, "INCONCLUSIVE"), (year_only & (year(left) == year(right)), "CONSISTENT_YEAR"), (year_only, "MISMATCH")], equal
     )
+    named = case_when([(unknown, "INCONCLUSIVE"), (left == right, "MATCHED"), (subset, "PARTIAL_MATCH")], "MISMATCH")
     return case_when(
         [
             ((left == "") & (right == ""), "UNAVAILABLE"),
             (left == "", "MISSING_SOURCE_FIELD"),
             (right == "", "MISSING_TARGET_FIELD"),
-            (mode == "STRICT", equal(text.letters_and_digits(left) == text.letters_and_digits(right))),
             (mode == "NORMALIZED_DATE", dated),
             (mode == "NORMALIZED_TOKEN_SET", named),
-            (mode == "NORMALIZED_CODE", equal(text.nationality(left) == text.nationality(right))),
         ],
-        equal(F.upper(left) == F.upper(right)),
+        equal,
     )
 
 
@@ -129,16 +134,18 @@ def relationships(documents: DataFrame) -> DataFrame:
                     F.lit(source).alias("source_type"), F.lit(target).alias("target_type"),
                     F.col(f"{source}.document_id").alias("source_id"), F.col(f"{target}.document_id").alias("target_id"),
                     F.lit(left).alias("source_field"), F.lit(right).alias("target_field"),
-                    F.col(f"{source}.{left}").alias("source_value"), F.col(f"{target}.{right}").alias("target_value"),
+                    F.col(f"{source}.{_form(left, mode)}").alias("source_value"),
+                    F.col(f"{target}.{_form(right, mode)}").alias("target_value"),
                     F.lit(mode).alias("mode"), F.lit(kind).alias("relationship_type"),
                     F.lit(confidence).alias("confidence"), F.lit(group).cast("string").alias("correlation_group"),
                     F.lit(position).alias("position"),
                 ),
             )
         )
-    rows = case_slots(documents).select("case_id", F.explode(F.array_compact(F.array(*pairs))).alias("r"))
-    rows = rows.select("case_id", "r.*")
-    rows = rows.withColumn("status", compare_values(F.col("source_value"), F.col("target_value"), F.col("mode")))
+    # the outer form repeats no expression in a filter; cases without a pair drop out afterwards
+    rows = case_slots(*with_forms(documents)).select("case_id", F.explode_outer(F.array_compact(F.array(*pairs))).alias("r"))
+    rows = rows.filter("r IS NOT NULL").select("case_id", "r.*")
+    rows = rows.withColumn("status", compare_forms(F.col("source_value"), F.col("target_value"), F.col("mode")))
     return rows.withColumn("severity", status_severity(F.col("status"))).drop("source_value", "target_value")
 
 
@@ -236,18 +243,21 @@ def case_completeness(documents: DataFrame, evidence: DataFrame) -> DataFrame:
 def case_risk(documents: DataFrame, evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
     """Unified risk per case: no overrides and never INCONCLUSIVE.
 
-    The relationships and the merged evidence feed several aggregations each, so both are
+    The relationships and the evidence of the cases feed several aggregations each, so both are
     written once instead of being joined anew for every use.
     """
     relations = checkpointed(relationships(documents))
-    merged = checkpointed(dedup_binding(case_evidence(documents, evidence, relations)))
+    whole = checkpointed(case_evidence(documents, evidence, relations))
+    merged = dedup_binding(whole)
+    # evidence of inactive documents counts for no case, so that of the active ones is enough
+    own = whole.filter("item_seq.source = 0").withColumn("document_id", F.col("item_seq.document")).drop("case_id")
     scores = risk.risk_score(merged, config).select("case_id", "risk_score")
     conflicts = case_flags(merged).select("case_id", conflict_count().alias("conflicts"))
     adverse = relations.groupBy("case_id").agg(
         F.count_if((F.col("status") == "MISMATCH") & F.col("severity").isin("HIGH", "CRITICAL")).alias("mismatches")
     )
     rows = (
-        case_completeness(documents, evidence)
+        case_completeness(documents, own)
         .join(scores, "case_id", "left")
         .join(conflicts, "case_id", "left")
         .join(adverse, "case_id", "left")

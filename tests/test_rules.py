@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import checks, dates, text
-from attestry.operators import payloads, standardize, validate
+from attestry.operators import crossdoc, payloads, standardize, validate
 from attestry.operators.registry import blind_index, blind_index_pads
 
 
@@ -167,3 +167,19 @@ def test_payload_layouts(spark):
     rows = payloads.parse_payloads(df).orderBy("doc_id").collect()
     assert [(r.payload_type, r.license_number, r.name) for r in rows] == [t[1:] for t in texts]
     assert [r.signed for r in rows] == [True] + [False] * 6
+
+
+PAIRS = [
+    ("STRICT", "ab-1", "AB1", "MATCHED"), ("STRICT", "--", "AB1", "MISMATCH"), ("STRICT", " ", None, "UNAVAILABLE"),
+    ("NORMALIZED_DATE", "1990", "01/02/1990", "CONSISTENT_YEAR"), ("NORMALIZED_DATE", "1990", "1991", "MISMATCH"),
+    ("NORMALIZED_DATE", "1990", "soon", "INCONCLUSIVE"), ("NORMALIZED_DATE", "900201", "1990-02-01", "MATCHED"),
+    ("NORMALIZED_TOKEN_SET", "doe<<john", "John Doe", "MATCHED"), ("NORMALIZED_TOKEN_SET", "John", "John Doe", "PARTIAL_MATCH"),
+    ("NORMALIZED_TOKEN_SET", "<<", "John Doe", "INCONCLUSIVE"), ("NORMALIZED_CODE", "ind<", "IND", "MATCHED"),
+    ("NORMALIZED_CODE", "<", "IND", "MISMATCH"), ("EXACT", "a b", "A B", "MATCHED"), ("EXACT", "a", "", "MISSING_TARGET_FIELD"),
+]
+
+
+def test_pairs_are_compared_by_forms_made_once_per_value(spark):
+    forms = lambda side: [crossdoc.comparable(F.lit(pair[side]).cast("string"), pair[0]) for pair in PAIRS]
+    found = [crossdoc.compare_forms(a, b, F.lit(p[0])).alias(str(i)) for i, (p, a, b) in enumerate(zip(PAIRS, forms(1), forms(2), strict=True))]
+    assert list(spark.range(1).select(*found).first()) == [pair[3] for pair in PAIRS]
