@@ -38,6 +38,7 @@ def _named_month(value: Column, pattern: str) -> Column:
 
 def lenient_date(value: Column) -> Column:
     """ISO, day-first or YYMMDD (pivot 30) with range checks only: 31 February passes."""
+    in_range = r"^(?:19\d\d|20\d\d|2100)-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$"
     iso = _rewritten(
         value,
         (r"^\s+|\s+$| ", ""),
@@ -46,8 +47,22 @@ def lenient_date(value: Column) -> Column:
         (r"^([3-9]\d)(\d{2})(\d{2})$", "19$1-$2-$3"),
         (r"^([0-2]\d)(\d{2})(\d{2})$", "20$1-$2-$3"),
     )
-    in_range = r"^(?:19\d\d|20\d\d|2100)-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$"
-    return F.nullif(F.regexp_extract(iso, in_range, 0), F.lit(""))
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(value, start, length)
+
+    # usual layouts are read by position; the patterns are for all other text and give the same for these
+    century = F.when(value < "3", "20").otherwise("19")
+    usual = case_when(
+        [
+            (value.rlike(r"^\d{2}[/\-.]\d{2}[/\-.]\d{4}\z"), F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))),
+            (value.rlike(r"^\d{6}\z"), F.concat_ws("-", F.concat(century, part(1, 2)), part(3, 2), part(5, 2))),
+        ],
+        iso,
+    )
+    # the only match or NULL; nullif would be written out with the text twice inside a condition
+    checked = F.get(F.regexp_extract_all(usual, F.lit(in_range), F.lit(0)), F.lit(0))
+    return F.when(value.rlike(in_range[:-1] + r"\z"), value).otherwise(checked)
 
 
 def licence_date(value: Column) -> Column:

@@ -85,8 +85,12 @@ def document_type(value: Column) -> Column:
     return F.coalesce(lookup(dims.TYPE_ALIASES, key), key)
 
 
+def spaced_name(value: Column) -> Column:
+    return collapsed(F.replace(F.upper(value), F.lit("<"), F.lit(" ")))
+
+
 def person_name(value: Column) -> Column:
-    return blank_to_null(collapsed(F.replace(F.upper(value), F.lit("<"), F.lit(" "))))
+    return blank_to_null(spaced_name(value))
 
 
 def name_tokens(value: Column) -> Column:
@@ -98,6 +102,12 @@ def sorted_letters(value: Column) -> Column:
     return F.array_join(F.array_sort(F.split(value, "")), "")
 
 
+def name_letters(name: Column) -> Column:
+    """Sorted letters of the distinct tokens of a ``person_name``: equal for all names that ``names_equal`` takes as equal."""
+    letters = F.split(F.array_join(F.array_distinct(F.split(name, " ")), ""), "")
+    return F.array_join(F.sort_array(letters), "")
+
+
 def names_equal(a: Column, b: Column, strict: bool = False) -> Column:
     """Equal token sets, or equal once spaces are ignored.
 
@@ -135,7 +145,11 @@ def authority(value: Column) -> Column:
 
 def licence_number(value: Column) -> Column:
     """Licence number without separators; NULL for competing values or illegal characters."""
-    clean = stripped(compatibility_folded(value))
+    return clean_licence_number(stripped(compatibility_folded(value)))
+
+
+def clean_licence_number(clean: Column) -> Column:
+    """``licence_number`` of text that is folded and stripped."""
     bad = clean.rlike(r"(?i)[A-Za-z0-9]{9,}\s+(?:OR|AND|VS)\s+[A-Za-z0-9]{9,}") | clean.rlike(r"[^A-Za-z0-9\s\-_/.]")
     return F.when(~bad, blank_to_null(F.upper(without(clean, SPACES + "-_/."))))
 
@@ -153,7 +167,11 @@ def state_status(code: Column) -> Column:
 
 def states_equal(a: Column, b: Column) -> Column:
     """Same code, paired codes, or codes of the same state name."""
-    left, right = F.upper(stripped(a)), F.upper(stripped(b))
+    return state_codes_equal(F.upper(stripped(a)), F.upper(stripped(b)))
+
+
+def state_codes_equal(left: Column, right: Column) -> Column:
+    """``states_equal`` for codes that are stripped and in upper case."""
     pair = F.concat(F.least(left, right), F.lit("="), F.greatest(left, right))
     pairs = ["=".join(sorted(p.split("="))) for p in dims.STATE_PAIRS]
     names = {k: v.upper() for k, v in dims.STATE_NAMES.items()}

@@ -63,7 +63,9 @@ def _record_keys(records: DataFrame) -> DataFrame:
 
 def _probes(submissions: DataFrame) -> DataFrame:
     """Submissions with their candidate keys in order of preference."""
-    number = text.index_number(F.col("document_number"))
+    # read several times below, so it is a column of its own
+    submissions = submissions.withColumn("_number", text.index_number(F.col("document_number")))
+    number = F.col("_number")
     passport = F.col("kind") == "passport"
 
     def probe(form: str, key: Column, order: int, condition: Column) -> Column:
@@ -76,20 +78,26 @@ def _probes(submissions: DataFrame) -> DataFrame:
     )
     return submissions.withColumn("kind", text.document_type(F.col("document_type"))).withColumn(
         "probes", F.filter(candidates, lambda c: c.isNotNull())
-    )
+    ).drop("_number")
+
 
+def _keyed(probed: DataFrame) -> DataFrame:
+    """One row per candidate key; the outer form repeats no expression in a filter, submissions without a key drop out afterwards."""
+    rows = probed.select("verification_id", "kind", F.explode_outer("probes").alias("p")).filter("p IS NOT NULL")
+    return rows.select("verification_id", "kind", "p.*")
 
-def registry_matches(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:
+
+def registry_matches(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame, prepared=None) -> DataFrame:
     """Every submission with its winning ``record`` (NULL when not found).
 
     The watchlist wins over the official source whatever the candidate. A submission has at
     most two candidates, so the final pick groups at most two rows per submission.
+    ``prepared`` may rewrite ``record`` in the lookup side, once per key and not per submission.
     """
+    keys = _record_keys(load_registry(registry, watchlist))
+    keys = keys if prepared is None else prepared(keys)
     probed = _probes(submissions)
-    keyed = probed.select("verification_id", "kind", F.explode("probes").alias("p")).select(
-        "verification_id", "kind", "p.*"
-    )
-    hits = keyed.join(_record_keys(load_registry(registry, watchlist)), ["kind", "form", "key"])
+    hits = _keyed(probed).join(keys, ["kind", "form", "key"])
     order = F.struct("rank.source_rank", "order", "rank.digit", "rank.record_id")
     best = hits.groupBy("verification_id").agg(
         F.min_by(F.struct("record", "order", "listed", "known"), order).alias("hit")
@@ -123,9 +131,7 @@ def registry_lookup(submissions: DataFrame, registry: DataFrame, watchlist: Data
 def registry_not_found(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Submissions without a record in either source; not the same as INVALID."""
     probed = _probes(submissions)
-    keyed = probed.select("verification_id", "kind", F.explode("probes").alias("p")).select(
-        "verification_id", "kind", "p.form", "p.key"
-    )
+    keyed = _keyed(probed).drop("order")
     keys = _record_keys(load_registry(registry, watchlist)).select("kind", "form", "key")
     found = keyed.join(keys, ["kind", "form", "key"], "left_semi").select("verification_id").distinct()
     return probed.join(found, "verification_id", "left_anti").select(
@@ -156,68 +162,84 @@ def _match(equal: Column) -> Column:
     return F.when(F.coalesce(equal, F.lit(False)), "MATCH").otherwise("MISMATCH")
 
 
+def _critical(field: str, kind: Column) -> Column:
+    """true / false by policy of the document type, NULL when the field is not compared."""
+    known = list(dims.CRITICAL_FIELDS)
+    listed = {True: [], False: []}
+    for flag, policy in ((True, dims.CRITICAL_FIELDS), (False, dims.SECONDARY_FIELDS)):
+        listed[flag] = [k for k, fields in policy.items() if field in fields.split()]
+    default = [flag for flag in (True, False) if "passport" in listed[flag]]
+    other = F.lit(default[0]) if default else F.lit(None).cast("boolean")
+    return case_when([(kind.isin(*kinds), F.lit(flag)) for flag, kinds in listed.items() if kinds], F.when(~kind.isin(*known), other))
+
+
+def with_forms(df: DataFrame, given: dict[str, Column], kind: Column, values: bool) -> DataFrame:
+    """Adds ``form_<field>``, all that a comparison needs of a field, made once per row; NULL for a missing value.
+
+    ``key`` is what is compared, ``normal`` what is shown. Without ``values`` what is only shown is left out. Fields
+    outside the policy of ``kind`` have no forms.
+    """
+    upper = {f: F.upper(text.stripped(v)) for f, v in given.items()}
+    licence = kind == "driving_license"
+    # read more than once below, so they are columns of their own; a column that is read once is written out where it is read
+    rules = dict.fromkeys(("date_of_birth", "expiry_date", "valid_from"), dates.lenient_date)
+    rules |= {"document_number": lambda v: F.upper(text.without(v, text.SPACES)), "name": text.spaced_name}
+    read = {f"_norm_{f}": rules[f](v) for f, v in given.items() if f in rules}
+    folded = F.when(licence, text.stripped(text.compatibility_folded(given["document_number"])))
+    df = df.withColumns(read | {"_licence": folded})
+    forms = {}
+    for field, value in given.items():
+        norm = F.col(f"_norm_{field}")
+        if field == "document_number":
+            # licence numbers ignore separators; all other numbers only whitespace and case
+            bare = F.when(licence, text.without(F.upper(value), text.SPACES + "-_"))
+            parts = {"normal": text.blank_to_null(norm), "bare": bare, "licence": text.clean_licence_number(F.col("_licence"))}
+        elif field == "name":
+            parts = {"key": text.name_letters(text.blank_to_null(norm)), "normal": text.blank_to_null(norm)}
+        elif field in rules:
+            # a date that cannot be read is shown as it is
+            parts = {"key": norm, "other": F.when(norm.isNull(), upper[field])}
+        elif field == "issuing_authority":
+            parts = {"key": upper[field], "normal": text.authority(value)}
+        elif field == "vehicle_classes":
+            parts = {"key": text.vehicle_class_set(value), "normal": upper[field]}
+        else:
+            parts = {"key": text.nationality(value) if field == "nationality" else upper[field]}
+        if not values and len(parts) == 2:
+            parts = {"key": parts["key"]}
+        wanted = value.isNotNull() & _critical(field, kind).isNotNull()
+        forms[f"form_{field}"] = F.when(wanted, F.struct(*[c.alias(n) for n, c in parts.items()]))
+    return df.withColumns(forms).drop(*read, "_licence")
+
+
+def _shown(field: str, form: Column) -> Column:
+    if field in ("date_of_birth", "expiry_date", "valid_from"):
+        return F.coalesce(form["key"], form["other"])
+    return form["key" if field in ("nationality", "state", "blood_group") else "normal"]
+
+
 def _same_number(doc: Column, reg: Column) -> Column:
-    """Licence numbers ignore separators; all other numbers only whitespace and case."""
-    licence = (text.without(F.upper(doc), text.SPACES + "-_") == text.without(F.upper(reg), text.SPACES + "-_")) | (
-        text.licence_number(doc) == text.licence_number(reg)
-    )
-    plain = text.document_number(doc) == text.document_number(reg)
-    return F.when(F.col("document_type") == "driving_license", licence).otherwise(plain)
+    licence = (doc["bare"] == reg["bare"]) | (doc["licence"] == reg["licence"])
+    return F.when(F.col("document_type") == "driving_license", licence).otherwise(doc["normal"] == reg["normal"])
 
 
-def field_results(values: bool = True) -> Column:
+def field_entries(values: bool = True) -> Column:
     """array<struct> with one entry per policy field of the row's document type.
 
     Without ``values`` the entries leave the compared values out; a struct inside an array is never pruned, so they would
     be made even where no one reads them.
     """
-    doc = {f: F.col(f) for f in dims.COMPARISON_METHODS if f != "valid_from"} | {"valid_from": F.col("issue_date")}
-    reg = {f: F.col(f"record.{f}") for f in dims.COMPARISON_METHODS if f != "valid_from"}
-    reg["valid_from"] = F.lit(None).cast("string")
-
-    def same_date(d, r):
-        return _match(dates.lenient_date(d) == dates.lenient_date(r))
-
     compare = {
         "document_number": lambda d, r: _match(_same_number(d, r)),
-        "date_of_birth": same_date,
-        "expiry_date": same_date,
-        "valid_from": same_date,
-        "name": lambda d, r: _match(text.names_equal(d, r)),
-        "nationality": lambda d, r: _match(text.nationality(d) == text.nationality(r)),
-        "vehicle_classes": lambda d, r: text.class_set_relation(text.vehicle_class_set(d), text.vehicle_class_set(r)),
-        "state": lambda d, r: _match(text.states_equal(d, r)),
+        "vehicle_classes": lambda d, r: text.class_set_relation(d["key"], r["key"]),
+        "state": lambda d, r: _match(text.state_codes_equal(d["key"], r["key"])),
     }
-
-    def plain(d, r):
-        return _match(F.upper(text.stripped(d)) == F.upper(text.stripped(r)))
-
-    def normal(field: str, value: Column) -> Column:
-        upper = F.upper(text.stripped(value))
-        if field in ("date_of_birth", "expiry_date", "valid_from"):
-            return F.coalesce(dates.lenient_date(value), upper)
-        rules = {
-            "document_number": text.document_number, "name": text.person_name, "nationality": text.nationality,
-            "issuing_authority": text.authority,
-        }
-        return rules.get(field, lambda _: upper)(value)
-
-    def critical(field: str) -> Column:
-        """true / false by policy of the document type, NULL when the field is not compared."""
-        kind = F.col("document_type")
-        known = list(dims.CRITICAL_FIELDS)
-        listed = {True: [], False: []}
-        for flag, policy in ((True, dims.CRITICAL_FIELDS), (False, dims.SECONDARY_FIELDS)):
-            listed[flag] = [k for k, fields in policy.items() if field in fields.split()]
-        default = [flag for flag in (True, False) if "passport" in listed[flag]]
-        other = F.lit(default[0]) if default else F.lit(None).cast("boolean")
-        return case_when([(kind.isin(*kinds), F.lit(flag)) for flag, kinds in listed.items() if kinds], F.when(~kind.isin(*known), other))
-
     entries = []
     for field, method in dims.COMPARISON_METHODS.items():
-        d, r = doc[field], reg[field]
-        is_critical = critical(field)
-        # fields outside the policy of the row's type are never compared
+        d = F.col(f"form_{field}")
+        # no record has the field
+        r = F.lit(None).cast("struct<key:string,other:string>") if field == "valid_from" else F.col(f"record.form_{field}")
+        is_critical = _critical(field, F.col("document_type"))
         entries.append(
             F.when(
                 is_critical.isNotNull(),
@@ -225,25 +247,39 @@ def field_results(values: bool = True) -> Column:
                     F.lit(field).alias("field"),
                     is_critical.alias("is_critical"),
                     F.when(d.isNull() | r.isNull(), "none").otherwise(method).alias("comparison_method"),
-                    *([normal(field, d).alias("document_value"), normal(field, r).alias("registry_value")] if values else []),
-                    _presence(d, r, compare.get(field, plain)(d, r)).alias("status"),
+                    *([_shown(field, d).alias("document_value"), _shown(field, r).alias("registry_value")] if values else []),
+                    _presence(d, r, compare.get(field, lambda d, r: _match(d["key"] == r["key"]))(d, r)).alias("status"),
                 ),
             )
         )
+    # fields outside the policy of the row's type are never compared
     return F.array_compact(F.array(*entries))
 
 
 def compared(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame, values: bool = True) -> DataFrame:
-    found = registry_matches(submissions, registry, watchlist)
-    return found.withColumn("field_results", F.when(F.col("record").isNotNull(), field_results(values)))
+    """Submissions with the comparable forms of their fields and of their winning ``record``.
+
+    The forms of a record are made once per lookup key, those of a submission once it has a record.
+    """
+    fields = [f for f in dims.COMPARISON_METHODS if f != "valid_from"]
+
+    def prepared(keys: DataFrame) -> DataFrame:
+        kept = [F.col(f"record.{c}") for c in ("record_id", "origin", "source_rank", "registry_document_status", "watchlist_reason")]
+        keys = with_forms(keys, {f: F.col(f"record.{f}") for f in fields}, F.col("kind"), values)
+        forms = [f"form_{f}" for f in fields]
+        return keys.withColumn("record", F.struct(*kept, *forms)).drop(*forms)
+
+    found = registry_matches(submissions, registry, watchlist, prepared)
+    has_record = F.col("record").isNotNull()
+    given = {f: F.col("issue_date" if f == "valid_from" else f) for f in dims.COMPARISON_METHODS}
+    return with_forms(found, {f: F.when(has_record, v) for f, v in given.items()}, F.col("document_type"), values)
 
 
 def field_comparison(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame, secret: str) -> DataFrame:
     """One row per compared field; the compared values leave as keyed hashes under ``secret``."""
-    # the outer form repeats no expression in a filter; rows without a record drop out afterwards
-    rows = compared(submissions, registry, watchlist).select(
-        "verification_id", "document_type", F.explode_outer("field_results").alias("f")
-    )
+    rows = compared(submissions, registry, watchlist).filter("record IS NOT NULL")
+    # the outer form repeats no expression in a filter; the entries are a column, so the code of the explosion stays small
+    rows = rows.withColumn("_entries", field_entries()).select("verification_id", "document_type", F.explode_outer("_entries").alias("f"))
     rows = rows.filter("f IS NOT NULL").select("verification_id", "document_type", "f.*")
     hashes = [text.keyed_hash(F.col(f"{side}_value"), secret).alias(f"{side}_hash") for side in ("document", "registry")]
     return rows.select("*", *hashes).drop("document_value", "registry_value")
@@ -280,6 +316,8 @@ def outcome(results: Column, record: Column, kind: Column) -> Column:
 def registry_outcomes(submissions: DataFrame, registry: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Submissions with ``record``, ``field_results`` without values and ``registry_status``."""
     rows = compared(submissions, registry, watchlist, values=False)
+    results = F.when(F.col("record").isNotNull(), field_entries(values=False))
+    rows = rows.withColumn("field_results", results).drop(*[f"form_{f}" for f in dims.COMPARISON_METHODS])
     return rows.withColumn(
         "registry_status", outcome(F.col("field_results"), F.col("record"), F.col("document_type"))
     )

@@ -44,3 +44,15 @@ def test_outcomes_make_no_compared_values(spark):
 
     rows = registry.registry_outcomes(*[table(spark, "/root/testdata/sf0.001", n) for n in ("submissions", "registry", "watchlist")])
     assert rows.schema["field_results"].dataType.elementType.names == ["field", "is_critical", "comparison_method", "status"]
+
+
+def test_forms_of_compared_fields_are_made_once(spark):
+    from attestry.operators import registry
+    from attestry.plans.fixtures import table
+
+    inputs = [table(spark, "/root/testdata/sf0.001", n) for n in ("submissions", "registry", "watchlist")]
+    plan = registry.field_comparison(*inputs, secret="s")._jdf.queryExecution().optimizedPlan().toString()
+    # each of five dates is recognised and checked once
+    assert plan.count("19\\d\\d|20\\d\\d|2100") == 10
+    # no filter repeats the candidate keys
+    assert "size(filter(" not in plan

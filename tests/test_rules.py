@@ -183,3 +183,24 @@ def test_pairs_are_compared_by_forms_made_once_per_value(spark):
     forms = lambda side: [crossdoc.comparable(F.lit(pair[side]).cast("string"), pair[0]) for pair in PAIRS]
     found = [crossdoc.compare_forms(a, b, F.lit(p[0])).alias(str(i)) for i, (p, a, b) in enumerate(zip(PAIRS, forms(1), forms(2), strict=True))]
     assert list(spark.range(1).select(*found).first()) == [pair[3] for pair in PAIRS]
+
+
+ODD_DATES = [
+    ("1990-02-31", "1990-02-31"), ("2100-12-01", "2100-12-01"), ("2101-12-01", None), ("1990-02-31\n", "1990-02-31"), (" 1990 02 03 ", "1990-02-03"),
+    ("1990.0203", "1990-02-03"), ("3/4/1990", None), ("03.04-1990", "1990-04-03"), ("03-04-1990 ", "1990-04-03"), ("003041", None),
+    ("300401", "1930-04-01"), ("290401\t", "2029-04-01"), ("99 12 31", "1999-12-31"), ("", None), ("29040", None), (None, None),
+]
+
+
+def test_lenient_dates_by_position_and_by_pattern(spark):
+    rows = spark.createDataFrame(ODD_DATES, "v string, expected string")
+    assert [(r.v, r.got) for r in rows.select("v", dates.lenient_date(F.col("v")).alias("got")).collect()] == ODD_DATES
+
+
+def test_name_letters_decide_as_names_equal(spark):
+    names = ["John  Doe", "doe<<john", "Doe John John", "JohnDoe", "Jon Doe", " ", "<<", None]
+    one = spark.createDataFrame([(n,) for n in names], "a string")
+    letters = lambda c: text.name_letters(text.person_name(F.col(c)))
+    same = F.coalesce(letters("a") == letters("b"), F.lit(False))
+    found = one.crossJoin(one.withColumnRenamed("a", "b")).select(same.alias("x"), text.names_equal(F.col("a"), F.col("b")).alias("y")).collect()
+    assert all(r.x == r.y for r in found) and sum(r.x for r in found) == 17
