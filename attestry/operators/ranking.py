@@ -38,6 +38,21 @@ def distinct_in_order(df: DataFrame, keys: Sequence[str], value: Column, positio
     return first.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.col("_all._value").alias(name))
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, sizes: DataFrame | None = None) -> tuple[bool, DataFrame, DataFrame | None]:
+    """Whether keys of more than ``hot_rows`` rows exist, the rows of all other keys, and those of such keys if there are any.
+
+    ``sizes`` may name a frame that is cheaper to count than ``df`` and holds no fewer rows of any key.
+    """
+    counted = (df if sizes is None else sizes).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = checkpointed(counted.filter(F.col("_rows") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    if hot.isEmpty():
+        return False, df, None
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(hot[f"_hot_{k}"])
+    return True, df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
+
+
 def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -48,16 +63,9 @@ def ordinal(
     are few, are spread. ``sizes`` may name a frame that is cheaper to count than ``df`` and holds no fewer rows of any key.
     """
     keys = list(keys)
-    counted = (df if sizes is None else sizes).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = checkpointed(counted.filter(F.col("_rows") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     numbered = lambda rows: rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    if hot.isEmpty():
-        return numbered(df)
-    same = F.lit(True)
-    for k in keys:
-        same = same & df[k].eqNullSafe(hot[f"_hot_{k}"])
-    usual = df.join(F.broadcast(hot), same, "left_anti")
-    return numbered(usual).unionByName(spread_ordinal(df.join(F.broadcast(hot), same, "left_semi"), keys, order, name))
+    hot, usual, large = split_hot(df, keys, hot_rows, sizes)
+    return numbered(usual).unionByName(spread_ordinal(large, keys, order, name)) if hot else numbered(usual)
 
 
 def spread_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:

@@ -12,14 +12,14 @@ before the shuffle, so a case holding a third of all evidence needs no large win
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry import dims
 from attestry.dims import DEFAULT_RISK, RiskConfig
 from attestry.functions.text import case_when
 from attestry.operators import conflicts
-from attestry.operators.ranking import first_row, ordinal, top_rows
+from attestry.operators.ranking import HOT_ROWS, first_row, split_hot, spread_ordinal, top_rows
 
 GROUP = ["case_id", "category", "correlation_group"]
 DIGITS = 8  # absorbs the order in which doubles were summed
@@ -278,9 +278,12 @@ def contribution_order() -> list[Column]:
 
 def _with_order(items: DataFrame, starts: DataFrame) -> DataFrame:
     """Columns that break ties between equal effects: category, group, strength, emission."""
+    return _with_ties(items.join(starts, GROUP, "left"))
+
+
+def _with_ties(items: DataFrame) -> DataFrame:
     return (
-        items.join(starts, GROUP, "left")
-        .withColumn("_category", _category_position())
+        items.withColumn("_category", _category_position())
         .withColumn("_ungrouped", F.col("correlation_group").isNull())
         .withColumn("_strength", F.when(F.col("correlation_group").isNotNull(), F.col("base")))
     )
@@ -304,13 +307,32 @@ def effects(items: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
     )
 
 
-def top_contributors(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, k: int = 5) -> DataFrame:
-    """The ``k`` strongest items per case.
+def _usual_effects(items: DataFrame, config: RiskConfig, shown: list[str]) -> DataFrame:
+    """Items with an ``effect`` above zero, of cases whose rows one task may sort: one shuffle by case, all windows inside it.
+
+    Items of base 0 have no effect and rank behind all others, so they only count for the start of their group and travel
+    without what is shown of an item.
+    """
+    counts = F.col("base") > 0
+    carried = [F.when(counts, F.col(c)).alias(c) for c in (*shown, "confidence_factor", "quality_factor")]
+    rows = items.filter("available").select(*GROUP, "item_seq", "base", *carried).repartition("case_id")
+    group = Window.partitionBy(*GROUP)
+    strongest = F.row_number().over(group.orderBy(F.desc("base"), F.asc("item_seq")))
+    rows = rows.withColumn("group_rank", strongest).withColumn("_group_start", F.min("item_seq").over(group))
+    grouped = F.col("correlation_group").isNotNull()
+    factors = [(F.col("group_rank") == i + 1, F.lit(f)) for i, f in enumerate(config.rank_factors)]
+    factor = F.when(grouped, case_when(factors, F.lit(config.tail_factor))).otherwise(F.lit(1.0))
+    effect = F.col("base") * factor * F.col("confidence_factor") * F.col("quality_factor")
+    rows = rows.withColumn("effect", effect).filter(counts & (F.col("effect") > 0))
+    return _with_ties(rows.withColumn("_group_start", F.when(grouped, F.col("_group_start"))))
+
+
+def _top_of_any(items: DataFrame, config: RiskConfig, k: int) -> DataFrame:
+    """The ``k`` strongest items of cases of any size.
 
     Only items that can reach the list are ranked: group leaders, the best of each group's
     tail (``k`` plus the leaders that may be among them) and the best ungrouped items.
     """
-    items = score_items(evidence, config)
     lead = leading_items(items, config).drop("group_rank")
     grouped = F.col("correlation_group").isNotNull()
     strongest = [F.desc("tail_effect"), F.desc("base"), F.asc("item_seq")]
@@ -322,20 +344,34 @@ def top_contributors(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, k:
     )
     rest = tail.unionByName(single).drop("rank").withColumn("effect", F.col("tail_effect"))
     candidates = lead.unionByName(rest).filter(F.col("effect") > 0)
-    ranked = top_rows(_with_order(candidates, _group_starts(items)), ["case_id"], contribution_order(), k, "position")
-    return ranked.select(
-        "case_id", "position", "item_seq", "module", "signal", "severity", rounded(F.col("effect"), 4).alias("contribution")
-    )
+    return top_rows(_with_order(candidates, _group_starts(items)), ["case_id"], contribution_order(), k, "position")
+
+
+def top_contributors(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, k: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The ``k`` strongest items per case.
+
+    Cases of more than ``hot_rows`` rows, of which there are few, are cut before every shuffle; all others meet in one.
+    """
+    hot, usual, large = split_hot(evidence, ["case_id"], hot_rows)
+    rows = _usual_effects(score_items(usual, config), config, ["module", "signal", "severity"])
+    ranked = top_rows(rows, ["case_id"], contribution_order(), k, "position")
+    shown = ["case_id", "position", "item_seq", "module", "signal", "severity", rounded(F.col("effect"), 4).alias("contribution")]
+    found = ranked.select(*shown)
+    return found.unionByName(_top_of_any(score_items(large, config), config, k).select(*shown)) if hot else found
 
 
-def risk_reasons(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK) -> DataFrame:
+def risk_reasons(evidence: DataFrame, config: RiskConfig = DEFAULT_RISK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every contributing item of a case, strongest first, with its ``R-<module>-NNN`` id."""
-    items = score_items(evidence, config)
-    rows = effects(items, config).filter((F.col("effect") > 0) & (F.col("severity") != "NONE"))
-    rows = _with_order(rows, _group_starts(items))
-    rows = ordinal(
-        rows, ["case_id"], contribution_order(), "position", sizes=evidence
-    )
+    hot, usual, large = split_hot(evidence, ["case_id"], hot_rows)
+    needed = ["case_id", "item_seq", "module", "signal", "severity", "confidence", "effect", "position"]
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(*contribution_order())).cast("long")
+    rows = _usual_effects(score_items(usual, config), config, ["module", "signal", "severity", "confidence"])
+    rows = rows.withColumn("position", place).select(*needed)
+    if hot:
+        items = score_items(large, config)
+        spread = effects(items, config).filter((F.col("effect") > 0) & (F.col("severity") != "NONE"))
+        spread = spread_ordinal(_with_order(spread, _group_starts(items)), ["case_id"], contribution_order(), "position")
+        rows = rows.unionByName(spread.select(*needed))
     number = F.lpad(
         F.col("position").cast("string"), F.greatest(F.length(F.col("position").cast("string")), F.lit(3)), F.lit("0")
     )

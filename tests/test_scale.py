@@ -182,3 +182,24 @@ def test_ordinal_deals_usual_keys_once_and_spreads_hot_ones(spark):
     want = sorted(map(str, usual.collect()))
     assert sorted(map(str, spread.collect())) == want and sorted(map(str, counted.collect())) == want
     assert spread.dtypes == usual.dtypes
+
+
+@pytest.mark.parametrize("build", [risk.top_contributors, risk.risk_reasons])
+def test_items_of_usual_cases_are_shuffled_once(spark, build):
+    found = build(table(spark, SMALL, "evidence"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert found.count() > 0
+
+
+@pytest.mark.parametrize("build", [risk.top_contributors, risk.risk_reasons])
+def test_hot_cases_rank_as_usual_ones(spark, build):
+    rows = [
+        item(100 - i, group=(None, "A", "B")[i % 3], severity=("NONE", "LOW", "CRITICAL", "HIGH")[i % 4], case=case, available=i % 7 > 0,
+             confidence=(0.3, 0.6, 0.95)[i % 3], category=("REGISTRY_STATUS", "MACHINE_READABLE")[i % 2])
+        for case, size in ((1, 60), (2, 5), (3, 40)) for i in range(size)
+    ]
+    given = spark.createDataFrame(rows, EVIDENCE)
+    usual, mixed = build(given), build(given, hot_rows=20)
+    assert usual.count() > 11 and usual.dtypes == mixed.dtypes
+    assert sorted(usual.collect()) == sorted(mixed.collect())
