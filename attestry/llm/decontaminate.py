@@ -2,8 +2,8 @@
 
 A spaced seed is a fixed mask over ten consecutive tokens that hashes the tokens under its ones and ignores the
 others, so a replaced token does not break a hit as long as one mask skips it. Seeds of all benchmark positions
-are matched with seeds of all document positions; each hit names an item and a diagonal (document position minus
-item position). Along the diagonal the maximal segments are found with +1 per equal and -4 per differing token, so at
+are matched with seeds of all document positions, those of a whole batch of documents at once; each hit names an
+item and a diagonal (document position minus item position). Along the diagonal the maximal segments are found with +1 per equal and -4 per differing token, so at
 least four fifths of the tokens of each are equal; the best one counts, and all others with MIN_TOKENS equal tokens
 or more, since those apart by a replaced stretch are parts of one copy. A document is contaminated by an item when
 the equal tokens of all its segments cover at least ``min_share`` of the item, or when one segment has LONG equal
@@ -43,8 +43,7 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w.encode()) for w in WORD.findall((text or "").lower())], dtype=np.uint64)
+    return np.array([*map(xxhash.xxh64_intdigest, WORD.findall((text or "").lower()))], dtype=np.uint64)
 
 
 def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -87,16 +86,13 @@ class Table:
         self.present = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.present[(hashes >> self.shift).astype(np.int64)] = True
 
-    def hits(self, seeds: np.ndarray) -> np.ndarray:
-        """Distinct rows (item, diagonal)."""
+    def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the seeds that occur here, and the row of the table each meets."""
         place = np.flatnonzero(self.present[(seeds >> self.shift).astype(np.int64)])
         low = np.searchsorted(self.hashes, seeds[place], "left")
         many = np.searchsorted(self.hashes, seeds[place], "right") - low
-        place, low, many = place[many > 0], low[many > 0], many[many > 0]
-        if not len(place):
-            return np.zeros((0, 2), dtype=np.int64)
         entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.unique(np.stack([self.item[entry], np.repeat(place, many) - self.at[entry]], axis=1), axis=0)
+        return np.repeat(place, many), entry
 
 
 class Block:
@@ -112,17 +108,42 @@ class Block:
             seeds = [(k, short_seeds(t, length)) for k, t in enumerate(self.tokens) if len(t) == length]
             self.short.append((length, [Table([(k, h[skip]) for k, h in seeds]) for skip in range(length)]))
 
-    def diagonals(self, tokens: np.ndarray) -> np.ndarray:
-        """Distinct rows (item, diagonal) of all hits."""
-        found = [table.hits(seed_hashes(tokens, mask)) for mask, table in self.tables]
+    def diagonals(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct rows (text, item, diagonal) of all hits, sorted; text k is ``tokens[bounds[k] : bounds[k + 1]]``."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+
+        def add(table: Table, seeds: np.ndarray, span: int):
+            place, entry = table.hits(seeds)
+            of = np.searchsorted(bounds, place, "right") - 1
+            # a seed that reaches into the next text is none
+            inside = place + span <= bounds[of + 1]
+            if not inside.any():
+                return
+            place, entry, of = place[inside], entry[inside], of[inside]
+            found.append(np.unique(np.stack([of, table.item[entry], place - bounds[of] - table.at[entry]], axis=1), axis=0))
+
+        for mask, table in self.tables:
+            add(table, seed_hashes(tokens, mask), SPAN)
         for length, tables in self.short:
-            found += [t.hits(h) for t, h in zip(tables, short_seeds(tokens, length), strict=True)]
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            for table, seeds in zip(tables, short_seeds(tokens, length), strict=True):
+                add(table, seeds, length)
+        return np.unique(np.concatenate(found), axis=0)
+
+    def overlaps_of_texts(self, texts: list, min_share: float) -> list[list[tuple[object, int, int, float]]]:
+        """The contaminating items of each text; seeds of all texts are matched at once."""
+        hashed = [token_hashes(t) for t in texts]
+        bounds = np.cumsum([0, *map(len, hashed)])
+        out: list[list] = [[] for _ in texts]
+        hits = self.diagonals(np.concatenate([np.zeros(0, dtype=np.uint64), *hashed]), bounds)
+        for rows in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else []:
+            text = rows[0, 0]
+            out[text] = self.overlaps(hashed[text], rows[:, 1:], min_share)
+        return out
 
-    def overlaps(self, tokens: np.ndarray, min_share: float) -> list[tuple[object, int, int, float]]:
-        """(item_id, first token, end token, share of the item) for every contaminating item."""
+    def overlaps(self, tokens: np.ndarray, diagonals: np.ndarray, min_share: float) -> list[tuple[object, int, int, float]]:
+        """(item_id, first token, end token, share of the item) for every contaminating item of one text."""
         covered: dict[int, list] = {}
-        for k, diagonal in self.diagonals(tokens):
+        for k, diagonal in diagonals:
             item = self.tokens[k]
             low, high = max(0, diagonal), min(len(tokens), diagonal + len(item))
             equal = tokens[low:high] == item[low - diagonal : high - diagonal]
@@ -218,7 +239,7 @@ def scan(
             block = Block(shared.value)
 
             def of_texts(texts):
-                rows = [block.overlaps(token_hashes(t), min_share) if t else [] for t in texts]
+                rows = block.overlaps_of_texts(texts, min_share)
                 parts = list(zip(*[r for row in rows for r in row], strict=True)) or [(), (), (), ()]
                 values = pa.StructArray.from_arrays(
                     [pa.array(list(parts[0]), id_type), pa.array(parts[1], pa.int32()), pa.array(parts[2], pa.int32()), pa.array(parts[3], pa.float64())],

@@ -114,6 +114,23 @@ def test_decontamination_of_split_partial_and_short_copies(spark):
     assert got[2][0].share == 13 / 50
 
 
+def test_seeds_of_a_batch_are_matched_at_once_and_end_at_the_edges_of_texts(monkeypatch):
+    rng = random.Random(15)
+    some = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    bench = [some(n) for n in (6, 8, 9, 12, 20, 20, 30)]
+    texts = [None, "", *[some(rng.randrange(50)) for _ in range(60)], bench[4], bench[5][:21], bench[5][21:], "", *bench, ""]
+    block, made = decontaminate.Block([(k, decontaminate.token_hashes(t)) for k, t in enumerate(bench)]), []
+    alone = [block.overlaps_of_texts([t], 0.5)[0] for t in texts]
+    seed_hashes = decontaminate.seed_hashes
+    monkeypatch.setattr(decontaminate, "seed_hashes", lambda *args: made.append(args) or seed_hashes(*args))
+    assert block.overlaps_of_texts(texts, 0.5) == alone
+    assert len(made) == len(decontaminate.MASKS)
+    assert all(k in {o[0] for o in found} for k, found in enumerate(alone[-8:-1]))
+    # an item of twelve over the edge of two texts is in neither
+    halves = [bench[3][: bench[3].index(" ", 11)], bench[3][12:]]
+    assert not any(o[0] == 3 for found in block.overlaps_of_texts(halves, 0.5) for o in found)
+
+
 def test_segments_are_the_maximal_ones():
     def brute(equal):
         """The best segment, then those of what is left on both sides of it."""
