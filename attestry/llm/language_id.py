@@ -53,17 +53,12 @@ def gram_counts(text: str) -> np.ndarray:
     edge = np.array([32], dtype=np.uint8)
     data = np.concatenate([edge, data, edge])
     data = data[np.concatenate([[True], (data[1:] != 32) | (data[:-1] != 32)])].astype(np.uint32)
-    blocks = []
-    for n in ORDERS:
-        if len(data) < n:
-            blocks.append(np.zeros(BUCKETS, dtype=np.int64))
-            continue
-        mixed = np.zeros(len(data) - n + 1, dtype=np.uint32)
-        for i in range(n):
-            mixed = (mixed ^ data[i : len(data) - n + 1 + i]) * FACTORS[i]
-            mixed ^= mixed >> np.uint32(15)
-        blocks.append(np.bincount(mixed >> np.uint32(20), minlength=BUCKETS))
-    return np.concatenate(blocks)
+    buckets, mixed = [], np.zeros(len(data), dtype=np.uint32)
+    for block, n in enumerate(ORDERS):  # consecutive from 1: each order adds one byte to the hashes of the order before
+        mixed = (mixed[: max(0, len(data) - n + 1)] ^ data[n - 1 :]) * FACTORS[n - 1]
+        mixed ^= mixed >> np.uint32(15)
+        buckets.append((mixed >> np.uint32(20)) + np.uint32(block * BUCKETS))
+    return np.bincount(np.concatenate(buckets), minlength=WIDTH)
 
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:

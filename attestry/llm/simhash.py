@@ -17,6 +17,7 @@ all are null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +37,25 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 16
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of the whole text's shingles of ``shingle`` words, as an unsigned number."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return fingerprint_of(words_of(text), shingle)
+
+
+def fingerprint_of(words: list[bytes], shingle: int = SHINGLE) -> int:
     if not words:
         return 0
-    joined, size = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    size = min(shingle, len(words))
     count = len(words) - size + 1
-    starts, ends = starts[:count].tolist(), ends[size - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, count, CHUNK):
-        spans = zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    joined = map(b" ".join, zip(*(islice(words, i, None) for i in range(size)), strict=False))
+    hashes, ones = map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.zeros(64, dtype=np.int64)
+    for _ in range(0, count, CHUNK):
+        some = np.array([*islice(hashes, CHUNK)], dtype=">u8")
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > count).tobytes(), "big")
 
 

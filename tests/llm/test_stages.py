@@ -5,8 +5,9 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import xxhash
 
-from attestry.llm import decontaminate, exact_dedup, similar
+from attestry.llm import decontaminate, exact_dedup, simhash, similar
 from attestry.llm.common import documents
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -93,6 +94,31 @@ def test_language_stage_rejects_junk_and_keeps_clean_documents(spark):
     assert kept == {r.doc_id for r in clean.select("doc_id").collect()}
 
 
+def test_sketches_split_a_text_once_and_equal_those_of_the_text(monkeypatch):
+    rng = random.Random(16)
+    texts = [None, "", " \n", "a", "A b", *[" ".join(rng.choice("abcdefgh") * 2 for _ in range(n)) for n in (4, 5, 6, 40, 300)]]
+    monkeypatch.setattr(similar, "map_texts", lambda docs, columns, fields, compute, text: compute)
+    split, words_of = [], simhash.words_of
+    of_texts = similar._sketches(None, "doc_id", "text")()
+    monkeypatch.setattr(simhash, "words_of", lambda text: split.append(text) or words_of(text))
+    fp, bands, prints = of_texts(texts)
+    assert split == texts
+
+    def brute(text, size=similar.WORDS):
+        words = (text or "").lower().split()
+        joined = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x, simhash.SEED) for x in joined]
+        return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+    unsigned = lambda column: [v % 2**64 for v in column.to_pylist()]
+    assert unsigned(prints) == [brute(t) for t in texts]
+    sets = [similar.shingles(t) for t in texts]
+    assert all(np.array_equal(s, np.unique(s)) for s in sets)
+    assert [len(s) for s in sets] == [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()}) for w in map(words_of, texts)]
+    assert unsigned(fp) == [similar.set_hash(s) for s in sets]
+    assert [len(b) for b in bands.to_pylist()] == [similar.BANDS if len(s) else 0 for s in sets]
+
+
 def test_decontamination_of_split_partial_and_short_copies(spark):
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

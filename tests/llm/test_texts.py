@@ -5,6 +5,7 @@ import re
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,51 @@ def test_a_full_trie_or_memory_changes_nothing(vocabulary, monkeypatch):
         assert trie.count(part)[0].tolist() == [len(w) for w in want[low : low + 30]]
 
 
+def test_each_prefix_of_sorted_words_is_one_node_below_its_parent():
+    rng = random.Random(21)
+    words = sorted({"".join(rng.choice("ab▁é😀\udc81") for _ in range(rng.randint(1, 9))) for _ in range(400)} | {"a" * 300, "ab"})
+    trie = pieces.WordTrie(words)
+    prefixes = {w[:i] for w in words for i in range(1, len(w) + 1)}
+    assert len(trie.parent) == len(trie.characters) == len(prefixes) + 1
+    spelt = [""]
+    for parent, char in zip(trie.parent[1:].tolist(), trie.characters[1:].tolist(), strict=True):
+        spelt.append(spelt[parent] + chr(char))
+    assert set(spelt[1:]) == prefixes and [spelt[end] for end in trie.ends] == words
+    # a level is one depth, so its forward scores need only those of the levels above
+    for depth, (low, high) in enumerate(zip(trie.levels[:-1].tolist(), trie.levels[1:].tolist(), strict=True), 1):
+        assert {len(x) for x in spelt[low:high]} == {depth}
+    assert trie.levels[-1] == len(spelt)
+
+
+def test_lists_decode_as_ids_one_by_one(vocabulary):
+    rng = random.Random(22)
+    rows = [None, [], [vocabulary.byte_ids[200]], [vocabulary.byte_ids[32]] * 2, [vocabulary.byte_ids[32], vocabulary.byte_ids[65]], None]
+    for ids in (rows, [[rng.randrange(len(vocabulary.outputs)) for _ in range(9)] for _ in range(100)], [], [None]):
+        got = pieces.decode_lists(pa.array(ids, pa.list_(pa.int32())), pa.array(vocabulary.outputs, pa.binary()))
+        assert got.to_pylist() == [None if r is None else pieces.decode_ids(r, vocabulary.outputs) for r in ids]
+
+
+def test_grams_of_all_orders_are_counted_at_once(monkeypatch):
+    def brute(text):
+        data, counts = f" {text} ".encode(), np.zeros(language_id.WIDTH, dtype=np.int64)
+        for block, n in enumerate(language_id.ORDERS):
+            for at in range(len(data) - n + 1):
+                mixed = 0
+                for byte, factor in zip(data[at : at + n], language_id.FACTORS.tolist(), strict=False):
+                    mixed = (mixed ^ byte) * factor % 2**32
+                    mixed ^= mixed >> 15
+                counts[block * language_id.BUCKETS + (mixed >> 20)] += 1
+        return counts
+
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *args, **named: calls.append(args) or bincount(*args, **named))
+    for text in ("a", "ab", "wort für wort", "é漢", "x" * 500):
+        assert np.array_equal(language_id.gram_counts(text), brute(text))
+    assert len(calls) == 5
+    # blanks alone are one separator, which has no grams of two or three
+    assert language_id.gram_counts("  1 ").sum() == 1
+
+
 def test_languages(spark, odd):
     got = queries.op8_language_id(spark, MIDDLE).join(documents(spark, MIDDLE).select("doc_id", "lang"), "doc_id")
     right = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
